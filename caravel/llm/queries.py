@@ -6,11 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import leaks_query
+from .language_id import language_query
+from .near_dedup import near_dup_query
 from .secret_scan import secrets_query
 from .token_count import token_query
+from .toxicity import toxicity_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": near_dup_query,
     "op2_secret_scan": secrets_query,
+    "op3_language_id": language_query,
+    "op4_toxicity": toxicity_query,
+    "op5_decontamination": leaks_query,
     "op8_token_count": token_query,
 }
 
