@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import leaks_query
 from .language_id import language_query
+from .lm_score import lm_query
 from .near_dedup import near_dup_query
 from .secret_scan import secrets_query
 from .token_count import token_query
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": language_query,
     "op4_toxicity": toxicity_query,
     "op5_decontamination": leaks_query,
+    "op9_lm_score": lm_query,
     "op8_token_count": token_query,
 }
 
