@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat_format import CHAT_SQL, chat_query
 from .decontamination import leaks_query
 from .language_id import language_query
 from .lm_score import lm_query
+from .media import media_query
 from .near_dedup import near_dup_query
 from .secret_scan import secrets_query
+from .subword import subword_query
 from .token_count import token_query
 from .toxicity import toxicity_query
 
@@ -20,8 +23,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": language_query,
     "op4_toxicity": toxicity_query,
     "op5_decontamination": leaks_query,
-    "op9_lm_score": lm_query,
+    "op6_chat_format": chat_query,
+    "op7_media": media_query,
     "op8_token_count": token_query,
+    "op9_lm_score": lm_query,
+    "op10_subword": subword_query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_chat_format": CHAT_SQL,
+}

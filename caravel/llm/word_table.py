@@ -19,8 +19,13 @@ from pyspark.sql import functions as F
 HELD_WORDS = 250_000
 
 
-def word_counts(rows: DataFrame, split: Callable[[str | None], list[bytes]]) -> DataFrame:
-    """(word, n, n_train) over ``rows`` (text, train): tokens of all rows and of those with train true."""
+def word_counts(rows: DataFrame, split: Callable[[str | None], list[bytes]], share: float = 0.0) -> DataFrame:
+    """(word, n, n_train) over ``rows`` (text, train): tokens of all rows and of those with train true.
+
+    With a ``share``, a task leaves out the words that are below that share of its own tokens. A
+    word that reaches the share of all tokens reaches it in one task at least, so no such
+    word is missing, but counts are then lower bounds. Only for choosing what to broadcast.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (Counter(), Counter())
@@ -28,6 +33,9 @@ def word_counts(rows: DataFrame, split: Callable[[str | None], list[bytes]]) ->
         def flushed() -> pa.RecordBatch:
             every, train = held
             words = list(every.keys() | train.keys())
+            if share:
+                least = max(2.0, share * (every.total() + train.total()))
+                words = [w for w in words if every.get(w, 0) + train.get(w, 0) >= least]
             n_train = [train.get(w, 0) for w in words]
             n = [every.get(w, 0) + t for w, t in zip(words, n_train, strict=True)]
             every.clear()
