@@ -1,0 +1 @@
+"""Analytics over travel and media archives as Spark plans."""
