@@ -16,7 +16,8 @@ def haversine(lat1, lon1, lat2, lon2) -> Column:
     """Great-circle metres; null if any coordinate is."""
     a1, o1, a2, o2 = (F.radians(_c(x)) for x in (lat1, lon1, lat2, lon2))
     h = F.pow(F.sin((a2 - a1) / 2), 2) + F.cos(a1) * F.cos(a2) * F.pow(F.sin((o2 - o1) / 2), 2)
-    return 2 * EARTH_M * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    # least() would turn an unknown into 1
+    return 2 * EARTH_M * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))
 
 
 def gradient_pct(rise, metres) -> Column:

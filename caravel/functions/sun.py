@@ -43,7 +43,7 @@ def elevation(ts, lat, lon) -> Column:
     hour_angle = F.pmod(minutes_utc + sun["minutes"] + 4 * o, F.lit(1440.0)) / 4 - 180
     phi = F.radians(a)
     cosine = F.sin(phi) * F.sin(sun["declination"]) + F.cos(phi) * F.cos(sun["declination"]) * F.cos(F.radians(hour_angle))
-    return 90 - F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
+    return 90 - F.degrees(F.acos(F.when(cosine > 1, 1.0).when(cosine < -1, -1.0).otherwise(cosine)))
 
 
 def solar_noon_minutes(ts, lon) -> Column:

@@ -291,7 +291,7 @@ def loop_segments(spark, d):
 
 # --- routes ----------------------------------------------------------------------------------
 
-_HAV = "2 * 6371000.0::DOUBLE * asin(sqrt(least(1.0::DOUBLE, pow(sin((radians({c}) - radians({a})) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin((radians({d}) - radians({b})) / 2), 2))))"
+_HAV = "2 * 6371000.0::DOUBLE * asin(sqrt(pow(sin((radians({c}) - radians({a})) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin((radians({d}) - radians({b})) / 2), 2)))"
 _ROUTE_SQL = f"""{ITEM_SQL}, fix AS (SELECT media_id, ts, lat, lon, alt FROM item WHERE lat IS NOT NULL),
 lagged AS (SELECT *, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon, lag(alt) OVER w AS palt FROM fix WINDOW w AS (ORDER BY ts, media_id)),
 pair AS (SELECT *, {_HAV.format(a="plat", b="plon", c="lat", d="lon")} AS metres, alt - palt AS rise FROM lagged)"""
@@ -486,7 +486,7 @@ s3 AS (SELECT *, l - 360 * floor(l / 360) AS ml, sin(m) * (1.914602 - t * (0.004
 s4 AS (SELECT *, asin(sin(eps) * sin(radians(ml + c - 0.00569 - 0.00478 * sin(om)))) AS decl, pow(tan(eps / 2), 2) AS y, radians(ml) AS lr FROM s3),
 s5 AS (SELECT *, 4 * degrees(y * sin(2 * lr) - 2 * e * sin(m) + 4 * e * y * sin(m) * cos(2 * lr) - 0.5 * y * y * sin(4 * lr) - 1.25 * e * e * sin(2 * m)) AS eqt, epoch_us(ts) / 60000000.0 AS mi FROM s4),
 s6 AS (SELECT *, mi - 1440 * floor(mi / 1440) + eqt + 4 * lon AS tst FROM s5),
-sun AS (SELECT media_id, folder, ts, lat, 90 - degrees(acos(greatest(-1, least(1, sin(radians(lat)) * sin(decl) + cos(radians(lat)) * cos(decl) * cos(radians((tst - 1440 * floor(tst / 1440)) / 4 - 180)))))) AS el FROM s6)"""
+sun AS (SELECT media_id, folder, ts, lat, CASE WHEN lat IS NOT NULL THEN 90 - degrees(acos(greatest(-1, least(1, sin(radians(lat)) * sin(decl) + cos(radians(lat)) * cos(decl) * cos(radians((tst - 1440 * floor(tst / 1440)) / 4 - 180)))))) END AS el FROM s6)"""
 _LIGHT = "CASE WHEN el IS NULL THEN NULL WHEN el >= 12 THEN 'day' WHEN el >= 6 THEN 'low sun' WHEN el >= 0 THEN 'golden' WHEN el >= -6 THEN 'civil' WHEN el >= -12 THEN 'nautical' WHEN el >= -18 THEN 'astronomical' ELSE 'night' END"
 
 
