@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat_format import CHAT_SQL, chat_query
-from .decontamination import leaks_query
+from .decontamination import LEAKS_SQL, leaks_query
 from .language_id import language_query
 from .lm_score import lm_query
 from .media import media_query
 from .near_dedup import near_dup_query
-from .secret_scan import secrets_query
+from .secret_scan import SECRETS_SQL, secrets_query
 from .subword import subword_query
 from .token_count import token_query
 from .toxicity import toxicity_query
@@ -31,5 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_secret_scan": SECRETS_SQL,
+    "op5_decontamination": LEAKS_SQL,
     "op6_chat_format": CHAT_SQL,
 }

@@ -177,3 +177,21 @@ def brute_spans(text: str | None) -> list[tuple[str, int, int]]:
 
 def digest(spans: list[tuple[str, int, int]]) -> str:
     return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+
+
+def _kind_sql(order: int, kind: str, pattern: str, keep: str, group: int = 0) -> str:
+    """Spans of one kind: the text between the matches tells where each match begins."""
+    p = pattern.replace("'", "''")
+    return f"""SELECT doc_id, {order} AS o, '{kind}' AS kind, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id ORDER BY k) - length(m) AS a, length(m) AS n, {keep} AS keep FROM (
+  SELECT doc_id, unnest(range(1, len(ms) + 1)) AS k, unnest(ms) AS m, unnest(gs) AS g, unnest(gaps[1:len(ms)]) AS gap FROM (
+    SELECT doc_id, regexp_extract_all(t, '{p}') AS ms, regexp_extract_all(t, '{p}', {group}) AS gs, string_split_regex(t, '{p}') AS gaps FROM docs) WHERE len(ms) > 0)"""
+
+
+SECRETS_SQL = f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS (
+{_kind_sql(0, "assign", f"(?i:({_KEY})){_REST}([A-Za-z0-9+/_.=-]+)", "length(g) >= 8", 2)}
+UNION ALL {_kind_sql(1, "access", "AKIA[A-Z0-9]+", "length(m) >= 16")}
+UNION ALL {_kind_sql(2, "hex", "[0-9a-f]+", "length(m) >= 32")}),
+f AS (SELECT doc_id, count(*) FILTER (o = 0)::BIGINT AS n_assign, count(*) FILTER (o = 1)::BIGINT AS n_access, count(*) FILTER (o = 2)::BIGINT AS n_hex,
+  string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, o) AS spans FROM s WHERE keep GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN f USING (doc_id)"""
