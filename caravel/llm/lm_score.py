@@ -22,6 +22,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -32,8 +33,10 @@ from .word_table import word_counts
 
 SPACE = "▁"
 SHARE = 1e-6
-ROUNDS = 2
+ROUNDS = 1
 LN10 = math.log(10)
+#: Rows whose sums are handed on together.
+SLICE = 500
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -106,6 +109,151 @@ class Lattice:
                         counts[name] = counts.get(name, 0.0) + share
 
 
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_SCRAMBLE = np.uint64(0xBF58476D1CE4E5B9)
+#: Characters up to which words of a length are solved together; longer ones one by one.
+TOGETHER = 48
+BATCH = 20_000
+#: Words that a task gathers before it solves them.
+GATHERED = 100_000
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches of about ``GATHERED`` rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= GATHERED:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+class Lattices:
+    """The lattices of many words at once: one array operation per pair of places.
+
+    Substrings are looked up by a 64-bit rolling hash in an open table of the pieces.
+    """
+
+    def __init__(self, one: Lattice) -> None:
+        self.one = one
+        self.names = list(one.log_p)
+        self.log_p = np.array([*one.log_p.values(), -np.inf])
+        self.hashes = np.zeros(1 << 18, np.uint64)
+        self.entries = np.full(1 << 18, len(self.names), np.int32)
+        self.probes = 1
+        mask = len(self.hashes) - 1
+        for n, name in enumerate(self.names):
+            h = np.zeros(1, np.uint64)
+            for c in name:
+                h = h * _FACTOR + np.uint64(ord(c) + 1)
+            at, steps = int(self._slot(h)[0]), 1
+            while self.entries[at] < len(self.names):
+                at, steps = (at + 1) & mask, steps + 1
+            self.hashes[at], self.entries[at] = h[0], n
+            self.probes = max(self.probes, steps)
+        self.byte = [self.names.index(f"<0x{b:02X}>") if f"<0x{b:02X}>" in one.log_p else -1 for b in range(256)]
+
+    @staticmethod
+    def _slot(h: np.ndarray) -> np.ndarray:
+        return ((h * _SCRAMBLE) >> np.uint64(46)).astype(np.int64)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Piece numbers of hashes; the number of pieces where there is none."""
+        at, none, mask = self._slot(h), len(self.names), len(self.hashes) - 1
+        out = self.entries[at]
+        rest = np.flatnonzero((out < none) & (self.hashes[at] != h))
+        out[rest] = none
+        for _ in range(1, self.probes):
+            if not rest.size:
+                break
+            at[rest] = (at[rest] + 1) & mask
+            here = at[rest]
+            hit = self.hashes[here] == h[rest]
+            out[rest[hit]] = self.entries[here[hit]]
+            rest = rest[~hit & (self.entries[here] < none)]
+        return out
+
+    def _edges(self, points: np.ndarray):
+        """(pieces and ln p by (from, to), characters that are spelled)."""
+        n = points.shape[1]
+        found, spelled = {}, {}
+        for i in range(n):
+            h = np.zeros(len(points), np.uint64)
+            for j in range(i + 1, min(n, i + self.one.longest) + 1):
+                h = h * _FACTOR + (points[:, j - 1].astype(np.uint64) + np.uint64(1))
+                pieces = self._find(h)
+                p = self.log_p[pieces]
+                if j == i + 1 and (lost := np.isneginf(p)).any():
+                    chars, back = np.unique(points[lost, i], return_inverse=True)
+                    p[lost] = np.array([self.one.piece_or_bytes(chr(c)) for c in chars])[back]
+                    spelled[i] = (np.flatnonzero(lost), points[lost, i])
+                elif not (pieces < len(self.names)).any():
+                    continue
+                found[i, j] = (pieces, p)
+        return found, spelled
+
+    @staticmethod
+    def _alpha(found: dict, n: int, rows: int) -> np.ndarray:
+        alpha = np.full((n + 1, rows), -np.inf)
+        alpha[0] = 0.0
+        for i, j in sorted(found, key=lambda e: e[1]):
+            np.logaddexp(alpha[j], alpha[i] + found[i, j][1], out=alpha[j])
+        return alpha
+
+    def _groups(self, words: list[str]):
+        """(rows, code points with the space in front) of words of a length, and the rows of the others."""
+        by: dict[int, list[int]] = {}
+        for k, w in enumerate(words):
+            by.setdefault(len(w), []).append(k)
+        for n, rows in by.items():
+            if 0 < n < TOGETHER:
+                for at in range(0, len(rows), BATCH):
+                    part = rows[at : at + BATCH]
+                    yield part, np.array([SPACE + words[k] + "." for k in part]).view(np.uint32).reshape(len(part), -1)[:, : n + 1]
+            else:
+                yield rows, None
+
+    def marginals(self, words: list[str]) -> np.ndarray:
+        """ln of the marginal probability of each word; of the end for an empty one."""
+        out = np.zeros(len(words))
+        for rows, points in self._groups(words):
+            if points is None:
+                out[rows] = [self.one.word(words[k]) for k in rows]
+            else:
+                out[rows] = self._alpha(self._edges(points)[0], points.shape[1], len(rows))[-1]
+        return out
+
+    def expected(self, words: list[str], counts: list[int]) -> dict[str, float]:
+        """How often each piece is expected in the words, each so many times."""
+        sums, more = np.zeros(len(self.names) + 1), {}
+        weights = np.array(counts, dtype=float)
+        for rows, points in self._groups(words):
+            if points is None:
+                for k in rows:
+                    self.one.expected(words[k], counts[k], more)
+                continue
+            n = points.shape[1]
+            found, spelled = self._edges(points)
+            alpha = self._alpha(found, n, len(rows))
+            beta = np.full((n + 1, len(rows)), -np.inf)
+            beta[n] = 0.0
+            for i, j in sorted(found, key=lambda e: -e[0]):
+                np.logaddexp(beta[i], found[i, j][1] + beta[j], out=beta[i])
+            for (i, j), (pieces, p) in found.items():
+                share = np.exp(alpha[i] + p + beta[j] - alpha[n]) * weights[rows]
+                sums += np.bincount(pieces, share, len(sums))
+                if j == i + 1 and i in spelled:
+                    for k, c in zip(*spelled[i], strict=True):
+                        for b in chr(c).encode("utf-8", "replace"):
+                            sums[self.byte[b]] += share[k]
+        for k in np.flatnonzero(sums[:-1]):
+            more[self.names[k]] = more.get(self.names[k], 0.0) + float(sums[k])
+        return more
+
+
 def learn_pieces(words: DataFrame, vocabulary: bytes, rounds: int = ROUNDS) -> Lattice:
     """Piece probabilities from the training counts (word, n_train).
 
@@ -148,9 +296,10 @@ def learn_pieces(words: DataFrame, vocabulary: bytes, rounds: int = ROUNDS) -> L
 
         def expected(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             held: dict[str, float] = {}
-            for batch in batches:
-                for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    now.value.expected(word, c, held)
+            many = Lattices(now.value)
+            for batch in _gathered(batches):
+                for piece, n in many.expected(batch.column(0).to_pylist(), batch.column(1).to_pylist()).items():
+                    held[piece] = held.get(piece, 0.0) + n
             yield gathered(held)
 
         lattice = estimate(expected)
@@ -172,38 +321,45 @@ def score_documents(docs: DataFrame, vocabulary: bytes, id_col: str = "doc_id",
     unseen = max(1e-6, min(0.5, sums["once"] / total)) if total else 1.0
     lattice = spark.sparkContext.broadcast(learn_pieces(words, vocabulary))
 
-    @F.arrow_udf("double")
-    def marginal(batch: pa.Array) -> pa.Array:
-        word = lattice.value.word
-        return pa.array([word(w) / LN10 for w in batch.to_pylist()], pa.float64())
+    def marginals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many = Lattices(lattice.value)
+        for part in _gathered(batches):
+            column = pa.array(many.marginals(part["word"].to_pylist()) / LN10, pa.float64())
+            yield from part.append_column("pieces", column).to_batches()
 
     base = F.log10((F.col("n_train") + 0.5) / (F.lit(total) + 0.5 * (distinct + 1)))
     whole = F.log10((1 - unseen) * F.col("n_train") / F.lit(max(total, 1)) + unseen * F.pow(F.lit(10.0), F.col("pieces")))
     weighed = F.when(F.col("n_train") > 0, whole).otherwise(F.col("pieces") + math.log10(unseen))
-    solved = words.select("word", "n", "n_train", base.alias("base"), marginal("word").alias("pieces"))
-    solved = written(solved.select("word", "n", (F.col("n_train") > 0).alias("known"), "base", weighed.alias("lattice")), "solved")
+    each = words.select("word", "n", "n_train").mapInArrow(marginals, "word string, n long, n_train long, pieces double")
+    solved = written(each.select("word", "n", (F.col("n_train") > 0).alias("known"), base.alias("base"), weighed.alias("lattice")), "solved")
     frequent = F.col("n") >= max(2, share * tokens)
     table = spark.sparkContext.broadcast({r["word"].encode(): (r["known"], r["base"], r["lattice"]) for r in solved.where(frequent).collect()})
 
     def sums_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, place, row = table.value, TaskContext.get().partitionId() << 40, 0
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                n_known, base_sum, sum_, rare, tokens_ = 0, [], [], [], tokens_of(text)
-                for w, n in Counter(tokens_).items():
-                    found = known.get(w)
-                    if found is None:
-                        rare.append({"word": w.decode(), "k": n})
-                    else:
-                        n_known += n * found[0]
-                        base_sum.append(n * found[1])
-                        sum_.append(n * found[2])
-                out.append((place + row, len(tokens_), n_known, math.fsum(base_sum), math.fsum(sum_), rare))
-                row += 1
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.string()), ("k", pa.int64())])))
-            columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)]
-            yield pa.record_batch([batch.column(0), *columns], ["id", "row", "n_tokens", "n_known", "base", "lattice", "rare"])
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                out, places, rare, k = [], [0], [], []
+                for text in part.column(1).to_pylist():
+                    n_known, base_sum, sum_, tokens_ = 0, [], [], tokens_of(text)
+                    for w, n in Counter(tokens_).items():
+                        found = known.get(w)
+                        if found is None:
+                            rare.append(w)
+                            k.append(n)
+                        else:
+                            n_known += n * found[0]
+                            base_sum.append(n * found[1])
+                            sum_.append(n * found[2])
+                    out.append((place + row, len(tokens_), n_known, math.fsum(base_sum), math.fsum(sum_)))
+                    places.append(len(rare))
+                    row += 1
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+                columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)]
+                pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()).cast(pa.string()), pa.array(k, pa.int64())], ["word", "k"])
+                columns.append(pa.ListArray.from_arrays(pa.array(places, pa.int32()), pairs))
+                yield pa.record_batch([part.column(0), *columns], ["id", "row", "n_tokens", "n_known", "base", "lattice", "rare"])
 
     kind = rows.select("id").schema.fields[0].dataType.simpleString()
     # written once: the row numbers stay the same whatever is computed again later
