@@ -593,3 +593,88 @@ def segment_filter(spark, d):
     piece = lambda i: F.struct((F.lit(float(i)) * 2).alias("start"), (F.lit(float(i)) * 2 + (F.col("event_id") + i) % 4).cast("double").alias("end"), F.concat(F.col("event_type"), F.lit(f" {i} ")).alias("text"), (-((F.col("event_id") + i) % 12) / 10).cast("double").alias("logprob"), F.lit(0.1).alias("no_speech"), F.when(F.col("event_id") % 3 == 0, None).otherwise(F.lit(1.5)).alias("compression"))
     rows = table(spark, d, "events").select("event_id", F.array(*[piece(i) for i in range(4)]).cast(text.SEGMENT).alias("segments"))
     return rows.select("event_id", text.transcript(text.good_segments(F.col("segments"))).alias("transcript"), F.size(text.good_segments(F.col("segments"))).alias("kept"))
+
+
+# --- more of the archive's own questions -----------------------------------------------------
+
+
+@query("""SELECT word FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS word FROM documents) GROUP BY 1 HAVING count(*) = 1""")
+def words_once(spark, d):
+    words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), F.lit(1))).alias("word"))
+    return words.groupBy("word").agg(F.count("*").alias("n")).where("n = 1").select("word")
+
+
+@query("""SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL""")
+def tumbling_counts(spark, d):
+    from caravel.streaming.choices import windowed_counts
+
+    rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return windowed_counts(rows, "1 hour").withColumn("start", _stamp("start"))
+
+
+@query("""SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts) - to_hours(k), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*)::BIGINT AS n FROM events, range(2) r(k) GROUP BY ALL""")
+def sliding_counts(spark, d):
+    from caravel.streaming.choices import windowed_counts
+
+    rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return windowed_counts(rows, "2 hours", "1 hour").withColumn("start", _stamp("start"))
+
+
+@query(f"""SELECT event_id, ([{", ".join(f"'{p}'" for p in geo.COMPASS)}])[1 + CAST(floor(((event_id * 17) % 360 + 11.25) / 22.5) AS BIGINT) % 16] AS wind,
+  CASE {" ".join(f"WHEN event_id % 100 = {k} THEN '{v}'" for k, v in geo.WMO.items())} ELSE 'unknown' END AS weather FROM events""")
+def weather_names(spark, d):
+    i = F.col("event_id")
+    return table(spark, d, "events").select("event_id", geo.wind_point(((i * 17) % 360).cast("double")).alias("wind"), geo.weather_label(i % 100).alias("weather"))
+
+
+@query("""SELECT event_id, strftime(date_trunc('second', ts) + INTERVAL 3 HOUR, '%Y-%m-%d %H:%M:%S') AS utc FROM events""")
+def filename_times(spark, d):
+    from caravel.functions.time import of_filename
+
+    name = F.concat(F.lit("VID_"), F.date_format("ts", "yyyyMMdd_HHmmss"), F.lit("_01.mp4"))
+    return table(spark, d, "events").select("event_id", _stamp(of_filename(name)).alias("utc"))
+
+
+@query("""SELECT event_id, CASE WHEN user_id % 10 = 1 THEN '/nas/trip/' || user_id || '/' || event_id ELSE '/media/u' || (user_id % 10) || '/' || user_id || '/' || event_id END AS path FROM events""")
+def path_moves(spark, d):
+    from caravel.functions.metadata import moved_path
+
+    path = F.concat(F.lit("/media/u"), (F.col("user_id") % 10).cast("string"), F.lit("/"), F.col("user_id").cast("string"), F.lit("/"), F.col("event_id").cast("string"))
+    return table(spark, d, "events").select("event_id", moved_path(path, "/media/u1", "/nas/trip").alias("path"))
+
+
+@query(f"""WITH {ITEM_SQL} SELECT media_id, kind FROM item ORDER BY media_id DESC LIMIT 20""")
+def latest_items(spark, d):
+    return items(spark, d).select("media_id", "kind").orderBy(F.desc("media_id")).limit(20)
+
+
+@query(f"""WITH {ITEM_SQL} SELECT kind, array_to_string(list_sort(list(DISTINCT province)), ',') AS provinces, count(DISTINCT place)::BIGINT AS places FROM item GROUP BY 1""")
+def places_per_kind(spark, d):
+    return items(spark, d).groupBy("kind").agg(F.array_join(F.array_sort(F.collect_set("province")), ",").alias("provinces"), F.countDistinct("place").alias("places"))
+
+
+@query(f"""WITH {ITEM_SQL} SELECT kind, province, count(*)::BIGINT AS n FROM item GROUP BY ROLLUP (kind, province)""")
+def facet_rollup(spark, d):
+    return items(spark, d).rollup("kind", "province").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {ITEM_SQL} SELECT media_id, kind, color1 FROM item WHERE kind IN ('image', 'video') AND place NOT IN (SELECT n_name FROM nation WHERE n_regionkey = 1) AND hour(ts) BETWEEN 7 AND 18
+QUALIFY row_number() OVER (PARTITION BY kind ORDER BY ((media_id + 7) * 1103515245 + 12345) % 2147483648, media_id) <= 5""")
+def filtered_media(spark, d):
+    barred = table(spark, d, "nation").where("n_regionkey = 1").select(F.col("n_name").alias("place"))
+    kept = items(spark, d).where(F.col("kind").isin("image", "video") & F.hour("ts").between(7, 18) & F.col("place").isNotNull()).join(F.broadcast(barred), "place", "left_anti")
+    return facets.sample_per_group(kept.select("media_id", "kind", "color1"), "kind", "media_id", 5, facets.portable_hash("media_id", 7))
+
+
+@query()
+def color_names(spark, d):
+    from caravel.functions.color import nearest_name
+
+    code = F.concat(F.lit("#"), F.lower(F.lpad(F.hex((F.col("event_id") * 7919) % 16_777_216), 6, "0")))
+    return table(spark, d, "events").select("event_id", nearest_name(code).alias("name"))
+
+
+@query()
+def phash_leaders(spark, d):
+    hashed = items(spark, d).select("folder", "media_id", (F.xxhash64("kind").bitwiseXOR(F.col("media_id") % 64)).alias("h"))
+    return dedup.leader_clusters(hashed, ["folder"], "media_id", "h", lambda a, b: dedup.hamming(a, b) <= 2).select("folder", "media_id", "leader")
