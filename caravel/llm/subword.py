@@ -11,15 +11,18 @@ Plan: segments are counted (combined and pruned per task). Frequent ones, at mos
 ``1 / share`` of them at any corpus size, are solved once and broadcast as a table. The rare
 segments of a row are dealt by a key of the row; exploding them and joining the broadcast
 piece table keep that partitioning, so grouping by segment, grouping by row and meeting the
-row's text need one exchange of the rare segments and one of the texts in all.
+row's text need one exchange of the rare segments and one of the texts (packed) in all. The number of
+partitions follows the number of tokens, so that a task's edges fit in memory without spilling.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,10 +31,14 @@ from .common import read_bytes, tokenizer_path, without, written
 from .word_table import word_counts
 
 SPACE = "▁"
-SHARE = 1e-6
+SHARE = 2e-7
+#: Segments that a task solves or joins, about.
+TASK_SEGMENTS = 500_000
 _SEGMENT = re.compile(r" *[^ \n]+|\n| +")
 #: Characters of a segment from which it is solved in a plain loop, as a fold copies its state at every place.
 LONG_SEGMENT = 2048
+#: Rows that are Python objects at a time.
+SLICE = 250
 
 
 @dataclass(frozen=True)
@@ -124,7 +131,7 @@ def _fold(edges: Column) -> Column:
 
 
 def solve(segments: DataFrame, keys: list[str], vocabulary: Vocabulary) -> DataFrame:
-    """(keys, path) of rows (keys, segment): ``path`` is an array of (start, end, id or -1).
+    """(keys, codes) of rows (keys, segment): the ids of the best path, and -1 - place for a spelled character.
 
     ``keys`` hold the segment or tell it. Grouping by them needs no exchange if the rows are
     dealt by some of them already.
@@ -139,7 +146,7 @@ def solve(segments: DataFrame, keys: list[str], vocabulary: Vocabulary) -> DataF
     subs = subs.select(*keys, "_start", "_len", F.expr("substring(_s, _start + 1, _len)").alias("piece"))
     met = subs.join(F.broadcast(pieces), "piece", "left").where("id is not null or _len = 1")
     edge = F.struct((F.col("_start") + F.col("_len")).alias("end"), F.col("_start").alias("start"), F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(vocabulary.unknown_score)).alias("score"))
-    return met.groupBy(*keys).agg(F.sort_array(F.collect_list(edge)).alias("_edges")).select(*keys, _fold(F.col("_edges")).alias("path"))
+    return met.groupBy(*keys).agg(F.sort_array(F.collect_list(edge)).alias("_edges")).select(*keys, F.transform(_fold(F.col("_edges")), lambda p: F.when(p["id"] >= 0, p["id"]).otherwise(-1 - p["start"])).alias("codes"))
 
 
 class Coder:
@@ -163,16 +170,25 @@ class Coder:
             self.byte_of = {i: b for b, i in self.bytes.items()}
         return self._known
 
-    def ids(self, segment: str, path: list[tuple[int, int, int]]) -> tuple[int, ...]:
+    def ids(self, segment: str, codes: list[int]) -> tuple[int, ...]:
+        """Ids of the codes of ``solve``: spelled characters in byte pieces."""
+        if min(codes, default=0) >= 0:
+            return tuple(codes)
         assert self.known
         out: list[int] = []
-        for start, end, piece in path:
-            if piece >= 0:
-                out.append(piece)
+        for c in codes:
+            if c >= 0:
+                out.append(c)
             else:
-                out += [self.bytes[b] for b in segment[start:end].encode("utf-8", "replace")]
+                out += [self.bytes[b] for b in segment[-1 - c].encode("utf-8", "replace")]
         return tuple(out)
 
+    def looped(self, segment: str) -> tuple[int, ...]:
+        """Ids of a segment by the plain loop."""
+        t = segment.replace(" ", SPACE)
+        path = best_path(t, self.known, self.vocabulary.longest, self.vocabulary.unknown_score)
+        return self.ids(segment, [p if p >= 0 else -1 - start for start, _, p in path])
+
     def rare(self, text: str | None) -> list[str]:
         """Different segments that aren't in the table of frequent ones."""
         return [s for s in dict.fromkeys(segments_of(text)) if s not in self.solved]
@@ -189,8 +205,7 @@ class Coder:
                 if ids is None:
                     if len(s) < LONG_SEGMENT:
                         raise KeyError(f"segment {s!r} wasn't solved")
-                    t = s.replace(" ", SPACE)
-                    ids = rare[s] = self.ids(t, best_path(t, self.known, self.vocabulary.longest, self.vocabulary.unknown_score))
+                    ids = rare[s] = self.looped(s)
             out += ids
         return out
 
@@ -209,11 +224,9 @@ class Coder:
         return text[1:] if text[:1] == " " else text
 
 
-_PATHS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("id", T.IntegerType())]))
-
-
-def encode(df: DataFrame, vocabulary: bytes, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, out: str = "piece_ids") -> DataFrame:
+def encode(df: DataFrame, vocabulary: bytes, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, out: str = "piece_ids", round_trip: str | None = None) -> DataFrame:
     """Adds ``out``: array<int>, the ids of the best path. Null text: null; empty text: empty.
+    ``round_trip`` names a boolean column to add: whether decoding the ids gives the text back.
 
     Repeated rows are encoded alike. Any length of text and segment is encoded whole. A
     column already called ``out`` is replaced; names that begin with ``_sp_`` are reserved.
@@ -227,36 +240,50 @@ def encode(df: DataFrame, vocabulary: bytes, id_col: str = "doc_id", text_col: s
     tokens = words.agg(F.sum("n")).first()[0] or 0
     frequent = words.where(F.col("n") >= max(2, share * tokens)).select(F.col("word").alias("segment"))
     coder = Coder(v, {})
-    table = {r["segment"]: coder.ids(r["segment"].replace(" ", SPACE), [(p["start"], p["end"], p["id"]) for p in r["path"]]) for r in solve(frequent, ["segment"], v).collect()}
+    table = {r["segment"]: coder.ids(r["segment"], r["codes"]) for r in solve(frequent, ["segment"], v).collect()}
     shared = spark.sparkContext.broadcast(Coder(v, table))
 
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def rare(texts: pa.Array) -> pa.Array:
         of = shared.value.rare
-        return pa.array([of(t) for t in texts.to_pylist()], pa.list_(pa.string()))
-
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def ids(texts: pa.Array, segments: pa.Array) -> pa.Array:
-        own = shared.value
-        out_ = []
-        for t, found in zip(texts.to_pylist(), segments.to_pylist(), strict=True):
-            rare_ = {}
-            for x in found or []:
-                s = x["s"]
-                rare_[s] = own.ids(s.replace(" ", SPACE), [(p["start"], p["end"], p["id"]) for p in x["path"]])
-            out_.append(own.encode(t, rare_))
-        return pa.array(out_, pa.list_(pa.int32()))
-
-    base = without(df, [out], (text_col,))
+        return pa.chunked_array([pa.array([of(t) for t in texts.slice(i, SLICE).to_pylist()], pa.list_(pa.string())) for i in range(0, max(1, len(texts)), SLICE)]).combine_chunks()
+
+    @F.arrow_udf(T.BinaryType())
+    def packed(texts: pa.Array) -> pa.Array:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        return pa.array([None if t is None else pack(t.encode("utf-8", "surrogatepass")) for t in texts.to_pylist()], pa.binary())
+
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // TASK_SEGMENTS))
+    base = without(df, [out, *([round_trip] if round_trip else [])], (text_col,))
     keyed = base.withColumn("_sp_key", F.xxhash64(F.col(f"`{id_col}`"), text))
-    dealt = keyed.repartition("_sp_key")
+    others = [F.col(f"`{c}`") for c in base.columns if c != text_col]
+    dealt = keyed.select("_sp_key", *others, packed(text).alias("_sp_text")).repartition(n, "_sp_key")
     # a Python function would hide how rows are dealt, so it runs before the exchange
-    met = keyed.select("_sp_key", rare(text).alias("_sp_segments")).where(F.size("_sp_segments") > 0).repartition("_sp_key")
-    found = met.select("_sp_key", F.explode("_sp_segments").alias("segment"))
+    met = keyed.select("_sp_key", rare(text).alias("_sp_segments")).repartition(n, "_sp_key")
+    # outer, as Spark would else push a filter on the size below the function and run it twice; solve() leaves nulls out
+    found = met.select("_sp_key", F.explode_outer("_sp_segments").alias("segment"))
     paths = solve(found.select("_sp_key", F.col("segment").alias("_sp_s"), "segment"), ["_sp_key", "_sp_s"], v)
-    per_row = paths.groupBy("_sp_key").agg(F.collect_list(F.struct(F.col("_sp_s").alias("s"), "path")).alias("_sp_rare"))
-    joined = dealt.join(per_row, "_sp_key", "left").withColumn(out, ids(text, F.col("_sp_rare")))
-    return joined.drop("_sp_key", "_sp_rare")
+    per_row = paths.groupBy("_sp_key").agg(F.collect_list(F.struct(F.col("_sp_s").alias("s"), "codes")).alias("_sp_rare"))
+    joined = dealt.join(per_row, "_sp_key", "left").drop("_sp_key")
+    names = [c for c in base.columns if c != text_col]
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, unpack = shared.value, zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            # few rows at a time: ids take several times the room of what they are made from
+            for i in range(0, batch.num_rows, SLICE):
+                part = batch.slice(i, SLICE)
+                texts = [None if z is None else unpack(z).decode("utf-8", "surrogatepass") for z in part.column("_sp_text").to_pylist()]
+                found = part.column("_sp_rare").to_pylist()
+                ids = [own.encode(t, {x["s"]: own.ids(x["s"], x["codes"]) for x in r or []}) for t, r in zip(texts, found, strict=True)]
+                columns = {c: part.column(c) for c in names} | {text_col: pa.array(texts, pa.string()), out: pa.array(ids, pa.list_(pa.int32()))}
+                if round_trip:
+                    columns[round_trip] = pa.array([own.decode(x) == t for x, t in zip(ids, texts, strict=True)], pa.bool_())
+                yield pa.record_batch([columns[c] for c in schema.names], schema.names)
+
+    fields = [T.StructField(text_col, T.StringType()) if f.name == text_col else f for f in base.schema.fields]
+    schema = T.StructType([*fields, T.StructField(out, T.ArrayType(T.IntegerType())), *([T.StructField(round_trip, T.BooleanType())] if round_trip else [])])
+    return joined.mapInArrow(coded, schema)
 
 
 def decode(df: DataFrame, vocabulary: bytes, ids_col: str = "piece_ids", out: str = "decoded") -> DataFrame:
@@ -266,7 +293,7 @@ def decode(df: DataFrame, vocabulary: bytes, ids_col: str = "piece_ids", out: st
     @F.arrow_udf(T.StringType())
     def text(ids: pa.Array) -> pa.Array:
         of = shared.value.decode
-        return pa.array([of(x) for x in ids.to_pylist()], pa.string())
+        return pa.chunked_array([pa.array([of(x) for x in ids.slice(i, SLICE).to_pylist()], pa.string()) for i in range(0, max(1, len(ids)), SLICE)]).combine_chunks()
 
     return without(df, [out], (ids_col,)).withColumn(out, text(F.col(f"`{ids_col}`")))
 
@@ -275,5 +302,5 @@ def subword_query(spark: SparkSession, sf_dir: str, vocabulary: str = "piece_bpe
     """Every document with its piece ids, and whether decoding them gives the text back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = read_bytes(tokenizer_path(vocabulary))
-    coded = decode(encode(docs, model), model)
-    return coded.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    coded = encode(docs, model, round_trip="round_trip")
+    return coded.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", "round_trip")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Different words that a task holds before it hands its counts on.
-HELD_WORDS = 250_000
+HELD_WORDS = 150_000
 
 
 def word_counts(rows: DataFrame, split: Callable[[str | None], list[bytes]], share: float = 0.0) -> DataFrame:
