@@ -11,7 +11,11 @@ The coordinates are hashed in bands, and texts that meet in a band are candidate
 Joining. A bucket of a band gives edges to one hub each (never all pairs), the edges are
 verified on the whole texts, and the verified links are contracted to components. The members
 of buckets that still hold several components are dealt anew by pairs of bands, which only
-texts close to each other share, and get other hubs there until a round adds no link.
+texts close to each other share, and get other hubs there until a round adds no link. That only
+leaves fewer pairs: at the end every pair of a bucket whose components still differ is verified,
+unless counts of its shingles by bins show that it can't reach the threshold. So all texts that meet
+in a band and are alike are linked. The end is quadratic in the members of a bucket that stay apart;
+their bins, not their texts, go through that join.
 
 Scale. Equal texts share one node from the start (64-bit key of the normalised text), so
 groups of copies collapse in map-side combiners. Buckets are aggregated before they are
@@ -45,6 +49,9 @@ _STEP, _CELL, _RANK, _PLACE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0x51ED
 #: Cumulative probabilities of Poisson(1): a cell whose uniform hash is above entry i has more than i darts.
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)])
 
+#: Bins of a text's profile.
+_BINS = 256
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -217,6 +224,40 @@ def _hub_edges(buckets: DataFrame, order: Column) -> DataFrame:
     return buckets.join(hubs, "h").where("label <> hub_label").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
 
 
+def profile(words: np.ndarray, size: int) -> bytes:
+    """How many shingles fall in each of ``_BINS`` bins, a byte each; then those over 255, as eight bytes."""
+    counts = np.bincount((shingles_of(words, size) % np.uint64(_BINS)).astype(np.int64), minlength=_BINS)
+    kept = np.minimum(counts, 255)
+    return kept.astype(np.uint8).tobytes() + np.array([(counts - kept).sum()], np.int64).tobytes()
+
+
+def most_similar(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """An upper bound of the similarity of texts by their profiles: they share no more than the lesser count of each bin."""
+    x, y = (np.frombuffer(b"".join(p), np.uint8).reshape(-1, _BINS + 8) for p in (a, b))
+    over = [np.ascontiguousarray(p[:, _BINS:]).view(np.int64)[:, 0] for p in (x, y)]
+    sums = [p[:, :_BINS].sum(axis=1, dtype=np.int64) + o for p, o in zip((x, y), over, strict=True)]
+    both = np.minimum(x[:, :_BINS], y[:, :_BINS]).sum(axis=1, dtype=np.int64) + np.minimum(*over)
+    return both / np.maximum(sums[0] + sums[1] - both, 1)
+
+
+def _rest_pairs(buckets: DataFrame, threshold: float) -> DataFrame:
+    """All pairs (a, b) of a bucket whose components differ and whose profiles allow the threshold.
+
+    ``buckets``: h, key, label, profile. A side of a large bucket is dealt in parts of about
+    256 members, so that its pairs are spread over tasks.
+    """
+
+    @F.arrow_udf(T.BooleanType())
+    def possible(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array(most_similar(a.to_pylist(), b.to_pylist()) >= threshold - 1e-9, pa.bool_())
+
+    parts = buckets.groupBy("h").agg(F.ceil(F.count("*") / 256).cast("int").alias("parts"))
+    dealt = buckets.join(parts, "h")
+    a = dealt.select("h", F.pmod(F.xxhash64("key"), "parts").cast("int").alias("part"), F.col("key").alias("a"), F.col("label").alias("x"), F.col("profile").alias("p"))
+    b = dealt.select("h", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("key").alias("b"), F.col("label").alias("y"), F.col("profile").alias("q"))
+    return a.join(b, ["h", "part"]).where("a < b and x <> y").where(possible("p", "q")).select("a", "b").distinct()
+
+
 def _labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return buckets.withColumn("label", F.col("key"))
@@ -287,6 +328,21 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", setti
             break
         tested = tested.union(checked)
         labels = extended(labels, new)
+    tested = tested.union(checked)
+
+    # then the rest exactly: all pairs of a bucket that are still apart, were not compared and are not excluded by a bound
+    @F.arrow_udf(T.BinaryType())
+    def profiled(batch: pa.Array) -> pa.Array:
+        parts = (batch.slice(i, 64).to_pylist() for i in range(0, len(batch), 64))
+        return pa.array([profile(w, s.shingle) for part in parts for w in word_hashes(part)], pa.binary())
+
+    mixed = _labelled(buckets, labels)
+    mixed = mixed.join(_mixed_buckets(mixed), "h", "left_semi")
+    profiles = written(texts.join(mixed.select("key").distinct(), "key", "left_semi").select("key", profiled("text").alias("profile")), "profiles")
+    rest = _rest_pairs(mixed.join(profiles, "key"), s.threshold).join(tested, ["a", "b"], "left_anti")
+    new = verified(written(rest, "rest")).where("linked").select("a", "b")
+    if not new.isEmpty():
+        labels = extended(labels, new)
     if labels is None:
         return sigs.select("id", "key", F.col("key").alias("root"))
     known = labels.select(F.col("node").alias("key"), "label")

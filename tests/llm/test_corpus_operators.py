@@ -79,6 +79,28 @@ def test_classes_equal_brute_force(spark):
     assert sorted(r["doc_id"] for r in kept) == sorted(set(want.values())) and kept[0]["class_id"] == "own"
 
 
+def test_pairs_in_a_large_group_of_less_alike_texts(spark):
+    random.seed(3)
+    fresh = (f"v{i}" for i in range(100_000))
+    base = [next(fresh) for _ in range(176)]
+    own = [[next(fresh) for _ in range(24)] for _ in range(240)]
+    for i in range(0, 40, 2):  # 20 pairs of similarity 0.83 among 240 texts that are otherwise 0.78 alike
+        own[i + 1][:6] = own[i][:6]
+    texts = {i: " ".join(base + w) for i, w in enumerate(own)}
+    assert 0.77 < near_dedup.similarity(texts[0], texts[2]) < 0.8 < near_dedup.similarity(texts[0], texts[1])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(df).collect()} == components(texts)
+
+
+def test_profiles_bound_the_similarity():
+    random.seed(6)
+    for _ in range(60):
+        a = [random.choice("abcdefgh") for _ in range(random.randint(5, 400))] + ["x"] * random.choice([0, 0, 700])
+        b = [random.choice("abcdefgh") if random.random() < 0.1 else w for w in a][: random.randint(5, len(a))] + ["x"] * random.choice([0, 600])
+        p, q = (near_dedup.profile(w, 5) for w in near_dedup.word_hashes([" ".join(a), " ".join(b)]))
+        assert near_dedup.most_similar([p], [q])[0] >= near_dedup.similarity(" ".join(a), " ".join(b))
+
+
 def test_dedup_odd_rows(spark):
     rows = [(None, "a b c d e f"), (4, "A b c d, e f"), (4, "A b c d, e f"), (5, None), (6, None), (7, ""), (8, ""), (9, "!!"), (10, "x " * 30000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
