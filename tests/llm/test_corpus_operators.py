@@ -92,6 +92,27 @@ def test_pairs_in_a_large_group_of_less_alike_texts(spark):
     assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(df).collect()} == components(texts)
 
 
+def test_pairs_that_share_bands_but_no_pair_of_near_bands(spark):
+    random.seed(8)
+    fresh, s = (f"u{i}" for i in range(1_000_000)), near_dedup.Settings()
+    base = [next(fresh) for _ in range(176)]
+
+    def met(a, b):
+        x, y = (near_dedup.band_hashes(w, s) for w in near_dedup.word_hashes([a, b]))
+        same = x == y
+        return same.any() and not any(same[i] and same[(i + d) % s.bands] for i in range(s.bands) for d in (1, 2))
+
+    pairs = []
+    while len(pairs) < 12:  # similarity 0.81, as rare as the draws make it
+        own = [next(fresh) for _ in range(24)]
+        a, b = " ".join(base + own), " ".join(base + own[:5] + [next(fresh) for _ in range(19)])
+        if met(a, b):
+            pairs.append((a, b))
+    texts = dict(enumerate([t for p in pairs for t in p] + [" ".join(base + [next(fresh) for _ in range(24)]) for _ in range(60)]))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(df).collect()} == components(texts)
+
+
 def test_profiles_bound_the_similarity():
     random.seed(6)
     for _ in range(60):
