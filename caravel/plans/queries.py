@@ -577,9 +577,9 @@ def fuzzy_names(spark, d):
 
 @query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id // 50 = b.vec_id // 50 AND a.vec_id < b.vec_id""")
 def cosine_pairs(spark, d):
-    e = table(spark, d, "embeddings").withColumn("block", F.floor(F.col("vec_id") / 50))
-    a, b = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"), "label", "block"), e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"), "label", "block")
-    return a.join(b, ["label", "block"]).where("a < b").select("a", "b", F.round(dedup.cosine(F.col("x"), F.col("y")), 5).alias("similarity"))
+    e = table(spark, d, "embeddings")
+    a, b = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"), "label"), e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"), "label")
+    return a.join(b, "label").where("a < b").select("a", "b", F.round(dedup.cosine(F.col("x"), F.col("y")), 5).alias("similarity"))
 
 
 @query()

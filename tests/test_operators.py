@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from caravel import schemas
 from caravel.functions import geo, sun, text
 from caravel.operators import dedup, intervals, loop, ordered
+from caravel.plans import queries
 from caravel.sources import files, sinks
 from caravel.streaming import choices
 
+DIR = "/root/testdata/sf0.001"
 T0 = dt.datetime(2025, 8, 10, 10)
 
 
@@ -269,3 +271,18 @@ def test_stream_equals_table(spark, tmp_path):
     got = sorted((r["start"], r["choices"]) for r in spark.table("b").collect())
     assert got == table[:2]  # the last burst waits for the watermark
     assert choices.windowed_counts(df.withColumnRenamed("group", "event_type"), "1 hour").count() == 4
+
+
+def embedding_rows(spark):
+    return [(r["label"], r["vec_id"], [float(x) for x in r["embedding"]]) for r in queries.table(spark, DIR, "embeddings").orderBy("vec_id").collect()]
+
+
+def cosine(x, y):
+    return sum(a * b for a, b in zip(x, y, strict=True)) / math.sqrt(sum(a * a for a in x) * sum(b * b for b in y))
+
+
+def test_cosine_pairs_are_all_pairs_of_a_label(spark):
+    rows = embedding_rows(spark)
+    want = {(a, b): cosine(x, y) for la, a, x in rows for lb, b, y in rows if la == lb and a < b}
+    got = {(r["a"], r["b"]): r["similarity"] for r in queries.QUERIES["cosine_pairs"](spark, DIR).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
