@@ -584,8 +584,7 @@ def cosine_pairs(spark, d):
 
 @query()
 def cosine_leader_clusters(spark, d):
-    e = table(spark, d, "embeddings").withColumn("block", F.floor(F.col("vec_id") / 200))
-    return dedup.leader_clusters(e, ["label", "block"], "vec_id", "embedding", lambda a, b: dedup.cosine(a, b) >= 0.7).select("label", "vec_id", "leader")
+    return dedup.leader_clusters(table(spark, d, "embeddings"), ["label"], "vec_id", "embedding", lambda a, b: dedup.cosine(a, b) >= 0.7).select("label", "vec_id", "leader")
 
 
 @query()

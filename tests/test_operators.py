@@ -286,3 +286,10 @@ def test_cosine_pairs_are_all_pairs_of_a_label(spark):
     want = {(a, b): cosine(x, y) for la, a, x in rows for lb, b, y in rows if la == lb and a < b}
     got = {(r["a"], r["b"]): r["similarity"] for r in queries.QUERIES["cosine_pairs"](spark, DIR).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+
+
+def test_leaders_of_whole_labels(spark, tmp_path):
+    rows = [("x", i, [1.0, i / 1000]) for i in range(450)] + [("y", 450, [1.0, 0.0])]  # three blocks of 200 ids, all alike
+    spark.createDataFrame(rows, "label string, vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["vec_id"]: r["leader"] for r in queries.QUERIES["cosine_leader_clusters"](spark, str(tmp_path)).collect()}
+    assert got == {i: 0 for i in range(450)} | {450: 450}
