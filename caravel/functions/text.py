@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Letters with accents and the plain letters they fold to, pair by pair.
 ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
@@ -72,6 +74,22 @@ def merged_ci(words: Column) -> Column:
     return F.aggregate(words, start, step, lambda acc: acc["out"])
 
 
+def merged_words(text) -> Column:
+    """The words between single spaces, as ``merged_ci`` leaves them, joined again; one hash look-up a word."""
+
+    @F.arrow_udf(T.StringType())
+    def merged(texts: pa.Array, lows: pa.Array) -> pa.Array:
+        out = []
+        for t, low in zip(texts, lows, strict=True):
+            first = {}
+            for w, x in zip(t.as_py().split(" "), low.as_py().split(" "), strict=True) if t.is_valid else ():
+                first.setdefault(x, w)
+            out.append(" ".join(first.values()) if t.is_valid else None)
+        return pa.array(out, pa.string())
+
+    return merged(_c(text), F.lower(_c(text)))
+
+
 def compact(text) -> Column:
     return F.trim(F.regexp_replace(_c(text), r"\s+", " "))
 

@@ -218,7 +218,7 @@ def coverage(spark, d):
 f AS (SELECT doc_id, w, p, row_number() OVER (PARTITION BY doc_id, lower(w) ORDER BY p) AS r FROM u)
 SELECT doc_id, string_agg(w, ' ' ORDER BY p) AS merged FROM f WHERE r = 1 GROUP BY 1""")
 def merge_keywords_ci(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(text.merged_ci(F.slice(F.split("text", " "), 1, 12)), " ").alias("merged"))
+    return table(spark, d, "documents").select("doc_id", text.merged_words("text").alias("merged"))
 
 
 @query("""WITH w AS (SELECT doc_id, string_split(text, ' ') AS a, string_split(upper(text), ' ') AS b FROM documents)

@@ -293,3 +293,15 @@ def test_leaders_of_whole_labels(spark, tmp_path):
     spark.createDataFrame(rows, "label string, vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {r["vec_id"]: r["leader"] for r in queries.QUERIES["cosine_leader_clusters"](spark, str(tmp_path)).collect()}
     assert got == {i: 0 for i in range(450)} | {450: 450}
+
+
+def test_whole_word_lists_are_merged(spark):
+    want = {}
+    for r in queries.table(spark, DIR, "documents").collect():
+        first = {}
+        for w in r["text"].split(" "):
+            first.setdefault(w.lower(), w)
+        want[r["doc_id"]] = " ".join(first.values())
+    assert {r["doc_id"]: r["merged"] for r in queries.QUERIES["merge_keywords_ci"](spark, DIR).collect()} == want
+    assert one(spark, text.merged_words(F.lit("A b  a B c "))) == "A b  c"
+    assert one(spark, text.merged_words(F.lit(None).cast("string"))) is None
