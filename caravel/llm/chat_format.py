@@ -91,11 +91,10 @@ def stale_reply(turns: DataFrame) -> DataFrame:
 
 
 def chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ``conversations`` with an assistant turn as chosen, their echoing variants as rejected."""
+    """All ``conversations`` as chosen, their echoing variants as rejected; without an assistant turn all is prompt."""
     turns = clean_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    rejected = stale_reply(turns)
-    chosen = turns.join(rejected.select("pair_id", "turn"), ["pair_id", "turn"], "left_semi")
-    return format_preferences(chosen, rejected)
+    answered = turns.where(F.col("role") == TRAINED_ROLE).select("pair_id").distinct()
+    return format_preferences(turns, stale_reply(turns).unionByName(turns.join(answered, "pair_id", "left_anti")))
 
 
 CHAT_SQL = """

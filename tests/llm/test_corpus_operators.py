@@ -150,6 +150,13 @@ def test_chat_odd_turns(spark):
     assert chat_format.format_preferences(turns.where("false"), turns.where("false")).count() == 0
 
 
+def test_chat_without_assistant_is_all_prompt(spark, tmp_path):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "c"), (2, 1, "user", "d")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted((r["pair_id"], r["part"], r["turn"], r["trained"]) for r in chat_format.chat_query(spark, str(tmp_path)).collect())
+    assert got == [(1, "chosen", 1, True), (1, "prompt", 0, False), (1, "rejected", 1, True), (2, "prompt", 0, False), (2, "prompt", 1, False)]
+
+
 def test_chat_equals_sql(spark):
     import duckdb
 
