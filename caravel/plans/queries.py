@@ -388,7 +388,7 @@ def interval_best_track(spark, d):
 SELECT media_id, point_id, round(metres, 2) AS metres, (row_number() OVER (PARTITION BY media_id ORDER BY m.metres, point_id))::INT AS rank FROM m QUALIFY rank <= 2""")
 def knn_two_points(spark, d):
     item = items(spark, d)
-    near = intervals.nearest_points(item.where("media_id % 20 <> 0"), track_points(item), ("media_id", "lat", "lon"), ("point_id", "plat", "plon"), 2, 0.25)
+    near = intervals.nearest_points(item, track_points(item), ("media_id", "lat", "lon"), ("point_id", "plat", "plon"), 2, 0.25)
     return near.select("media_id", "point_id", F.round("metres", 2).alias("metres"), F.col("rank").cast("int").alias("rank"))
 
 

@@ -305,3 +305,11 @@ def test_whole_word_lists_are_merged(spark):
     assert {r["doc_id"]: r["merged"] for r in queries.QUERIES["merge_keywords_ci"](spark, DIR).collect()} == want
     assert one(spark, text.merged_words(F.lit("A b  a B c "))) == "A b  c"
     assert one(spark, text.merged_words(F.lit(None).cast("string"))) is None
+
+
+def test_items_that_are_points_get_neighbours(spark):
+    placed = queries.items(spark, DIR).where("lat is not null").count()
+    got = queries.QUERIES["knn_two_points"](spark, DIR)
+    assert got.select("media_id").distinct().count() == placed
+    own = got.where("media_id % 20 = 0 and rank = 1").collect()
+    assert own and all(r["metres"] == 0 for r in own)
