@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 The text is normalised as the vocabulary's library does (one space in front, spaces as
-``▁``) and cut into segments that no piece reaches over: a run of spaces with the word behind
-it, and line breaks. For a segment's lattice all substrings up to the longest piece are
-exploded and equi-joined to the piece table; the edges are grouped by segment, sorted by
+``▁``) and cut wherever no piece can reach over: between two characters that stand side by side in no
+piece, so every path passes there and the best path falls into those of the segments. For a segment's
+lattice all substrings up to the longest piece are exploded (up to the longest piece that begins alike)
+and equi-joined to the piece table; the edges are grouped by segment, sorted by
 their end and folded to the best path with ``aggregate``: the greatest sum of the vocabulary's
 scores, on ties the longest last piece. Characters without a piece are spelled in byte pieces.
 
@@ -20,7 +21,7 @@ Plan. Every different segment is solved once:
 So texts are shuffled once and the rest is one row of packed segments or paths a block and
 bucket. Buckets and partitions follow the number of tokens, so a task's edges stay bounded. A
 path holds one character a piece. The lattice of one segment is one row: about a hundred bytes a
-character of the segment.
+character of the segment, and the fold copies the lengths found so far (one byte a character) at every character.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +56,8 @@ HELD_SEGMENTS = 300_000
 KEY_CHARS = 64
 #: Places of a segment whose substrings are cut out of one slice of it.
 SLICE = 64
-_SEGMENT = re.compile(r" *[^ \n]+|\n| +")
+#: Characters of a piece by which substrings are bounded.
+PREFIX = 3
 
 
 @dataclass(frozen=True)
@@ -82,6 +85,24 @@ class Vocabulary:
     def table(self) -> list[tuple[str, int, float]]:
         return [(x, i, self.scores[i]) for i, x in enumerate(self.pieces) if x and not re.fullmatch("<0x[0-9A-F]{2}>", x)]
 
+    @cached_property
+    def known(self) -> dict[str, tuple[int, float]]:
+        return {x: (i, s) for x, i, s in self.table()}
+
+    @cached_property
+    def pairs(self) -> set[str]:
+        """Characters that stand side by side in a piece, with spaces as spaces."""
+        return {x[i : i + 2] for x, _, _ in self.table() for x in (x.replace(SPACE, " "),) for i in range(len(x) - 1)}
+
+    def segments(self, text: str | None) -> list[str]:
+        """Segments of the normalised text, with spaces still as spaces; none for null and empty (for tests)."""
+        if not text:
+            return []
+        led, pairs = " " + text, self.pairs
+        plain = led.replace(SPACE, " ")
+        cuts = [0, *[i for i in range(1, len(led)) if plain[i - 1 : i + 1] not in pairs], len(led)]
+        return [led[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
     def spelled(self) -> dict[int, int]:
         """Id of each byte."""
         return {int(m[1], 16): i for i, x in enumerate(self.pieces) if (m := re.fullmatch("<0x([0-9A-F]{2})>", x))}
@@ -113,34 +134,59 @@ def best_path(segment: str, known: dict[str, tuple[int, float]], longest: int, u
 
 
 def _fold(edges: Column, longest: int) -> Column:
-    """The best path from edges (end, start, score) sorted by end and start: the lengths of its pieces, a character each.
+    """From edges (end, start, score) sorted by end and start: for every place the length of the piece that the
+    best path ends there with, a character each, behind one more character.
 
-    The state holds the scores and paths of the last ``longest`` places that are settled, and of the
-    place whose edges are being read the best score and the length of its last piece.
+    The state holds the place whose edges are being read with its best score and the length of that piece, the scores
+    of the ``longest`` places before it, and the lengths of all places before it.
     """
-    place = "struct<score: double, path: string>"
-    state = F.struct(F.lit(1).alias("at"), F.lit(None).cast("double").alias("best"), F.lit(0).alias("length"), F.array(F.struct(F.lit(0.0).alias("score"), F.lit("").alias("path"))).cast(f"array<{place}>").alias("last"))
+    state = F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("best"), F.lit(0).alias("length"), F.array(*[F.lit(None).cast("double")] * longest).alias("last"), F.lit("").alias("back"))
 
-    def before(places: Column, length: Column) -> Column:
-        return F.get(places, F.size(places) - length)
-
-    def path(acc: Column) -> Column:
-        return F.concat(before(acc["last"], acc["length"])["path"], F.char(acc["length"].cast("long")))
+    def settled(acc: Column) -> Column:
+        return F.concat(acc["back"], F.char(acc["length"].cast("long")))
 
     def step(acc: Column, e: Column) -> Column:
         length = e["end"] - e["start"]
-
-        def ended(places: Column) -> Column:
-            return before(places, length)["score"] + e["score"]
-
-        settled = F.concat(F.when(F.size(acc["last"]) < longest, acc["last"]).otherwise(F.slice(acc["last"], 2, longest - 1)), F.array(F.struct(acc["best"].alias("score"), path(acc).alias("path"))))
-        kept = F.when(ended(acc["last"]) > acc["best"], F.struct(acc["at"].alias("at"), ended(acc["last"]).alias("best"), length.alias("length"), acc["last"].alias("last"))).otherwise(acc)
-        # an array around the settled places makes them a value that is used twice
-        fresh = F.get(F.transform(F.array(settled), lambda places: F.struct(e["end"].alias("at"), ended(places).alias("best"), length.alias("length"), places.alias("last"))), 0)
-        first = F.struct(e["end"].alias("at"), ended(acc["last"]).alias("best"), length.alias("length"), acc["last"].alias("last"))
-        return F.when(acc["best"].isNull(), first).when(e["end"] == acc["at"], kept).otherwise(fresh)
-
-    return F.aggregate(edges, state, step, path)
+        same = F.get(acc["last"], longest - length) + e["score"]
+        better = F.struct(acc["at"].alias("at"), same.alias("best"), length.alias("length"), acc["last"].alias("last"), acc["back"].alias("back"))
+        moved = F.when(length == 1, acc["best"]).otherwise(F.get(acc["last"], longest + 1 - length)) + e["score"]
+        last = F.concat(F.slice(acc["last"], 2, longest - 1), F.array(acc["best"]))
+        next_ = F.struct(e["end"].alias("at"), moved.alias("best"), length.alias("length"), last.alias("last"), settled(acc).alias("back"))
+        return F.when(e["end"] == acc["at"], F.when(same > acc["best"], better).otherwise(acc)).otherwise(next_)
+
+    return F.aggregate(edges, state, step, settled)
+
+
+def walked(backs: pa.Array) -> pa.Array:
+    """Paths (lengths of the pieces in order) from the results of ``_fold``, all walked back together."""
+    at, data = _bytes(_one_byte(backs))
+    place = np.diff(at) - 1
+    row = np.flatnonzero(place > 0)
+    rows, lengths, ends = [], [], []
+    while row.size:
+        length = data[at[row] + place[row]].astype(np.int64)
+        rows.append(row)
+        lengths.append(length)
+        ends.append(place[row])
+        place[row] -= length
+        row = row[place[row] > 0]
+    if not rows:
+        return pa.array([""] * len(backs), pa.large_string())
+    rows, lengths, ends = (np.concatenate(x) for x in (rows, lengths, ends))
+    order = np.lexsort((ends, rows))
+    offsets = np.append(0, np.cumsum(np.bincount(rows, minlength=len(backs))))
+    path = lengths[order].astype(np.uint8)
+    if path.max() < 128:
+        return _strings(offsets, pa.py_buffer(path))
+    return pa.array([path[a:b].tobytes().decode("latin-1") for a, b in zip(offsets, offsets[1:], strict=False)], pa.large_string())
+
+
+def _one_byte(strings: pa.Array) -> pa.Array:
+    """Strings of characters up to 255 with one byte each (for reading their bytes only)."""
+    _, data = _bytes(strings)
+    if not (data > 127).any():
+        return strings if not strings.offset else pa.concat_arrays([strings])
+    return pa.array([x.encode("latin-1") for x in strings.to_pylist()], pa.large_binary())
 
 
 def key_of(segment: Column) -> Column:
@@ -149,29 +195,32 @@ def key_of(segment: Column) -> Column:
 
 
 def solve(segments: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(bucket, key, path) of different segments (bucket, segment) that are dealt by ``bucket``: that stays, nothing is exchanged."""
-    pieces = segments.sparkSession.createDataFrame([(x, s) for x, _, s in vocabulary.table()], "piece string, score double")
+    """(bucket, key, back) of different segments (bucket, segment) that are dealt by ``bucket``: that stays, nothing is exchanged."""
+    spark, table = segments.sparkSession, vocabulary.table()
+    pieces = spark.createDataFrame([(x, s) for x, _, s in table], "piece string, score double")
+    reach: dict[str, int] = {}
+    for x, _, _ in table:
+        if len(x) >= PREFIX:
+            reach[x[:PREFIX]] = max(reach.get(x[:PREFIX], 0), len(x))
+    prefixes = spark.createDataFrame(list(reach.items()), "prefix string, reach int")
     whole = segments.select("bucket", key_of(F.col("segment")).alias("key"), F.regexp_replace("segment", " ", SPACE).alias("s"))
     # slices first, so that a substring of a long segment isn't searched from its beginning
     at = whole.select("bucket", "key", "s", F.explode(F.sequence(F.lit(0), F.greatest(F.length("s") - 1, F.lit(0)), F.lit(SLICE))).alias("base"))
     parts = at.select("bucket", "key", "base", F.expr(f"substring(s, base + 1, {SLICE + vocabulary.longest - 1})").alias("part"))
     starts = parts.select("bucket", "key", "base", "part", F.explode(F.sequence(F.lit(0), F.least(F.lit(SLICE), F.length("part")) - 1)).alias("i"))
-    lengths = F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), F.length("part") - F.col("i")))
-    subs = starts.select("bucket", "key", (F.col("base") + F.col("i")).alias("start"), "part", "i", F.explode(lengths).alias("n"))
-    subs = subs.select("bucket", "key", "start", "n", F.expr("substring(part, i + 1, n)").alias("piece"))
+    ahead = starts.select("bucket", "key", (F.col("base") + F.col("i")).alias("start"), F.expr(f"substring(part, i + 1, {vocabulary.longest})").alias("ahead"))
+    bound = ahead.withColumn("prefix", F.substring("ahead", 1, PREFIX)).join(F.broadcast(prefixes), "prefix", "left")
+    lengths = F.sequence(F.lit(1), F.least(F.coalesce("reach", F.lit(PREFIX - 1)), F.length("ahead")))
+    subs = bound.select("bucket", "key", "start", "ahead", F.explode(lengths).alias("n")).select("bucket", "key", "start", "n", F.expr("substring(ahead, 1, n)").alias("piece"))
     met = subs.join(F.broadcast(pieces), "piece", "left").where("score is not null or n = 1")
     edge = F.struct((F.col("start") + F.col("n")).alias("end"), "start", F.coalesce("score", F.lit(vocabulary.unknown_score)).alias("score"))
-    return met.groupBy("bucket", "key").agg(F.sort_array(F.collect_list(edge)).alias("edges")).select("bucket", "key", _fold(F.col("edges"), vocabulary.longest).alias("path"))
+    edges = met.groupBy("bucket", "key").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    return edges.select("bucket", "key", _fold(F.col("edges"), vocabulary.longest).alias("back"))
 
 
 # --- texts as Arrow columns ------------------------------------------------------------------------
 
 
-def segments_of(text: str | None) -> list[str]:
-    """Segments of the normalised text, with spaces still as spaces; none for null and empty (for tests)."""
-    return _SEGMENT.findall(" " + text) if text else []
-
-
 def _strings(offsets: np.ndarray, data: pa.Buffer) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), data)
 
@@ -189,21 +238,37 @@ def _large(texts: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.cast(texts, pa.large_string())
 
 
-def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """(segments of all texts, how many each text has); the segments are views of one buffer."""
-    counts = np.zeros(len(texts), np.int64)
-    real = np.flatnonzero(pc.fill_null(pc.greater(pc.binary_length(texts), 0), False).to_numpy(zero_copy_only=False))
-    if not real.size:
-        return pa.array([], pa.large_string()), counts
-    led = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts.take(pa.array(real)), pa.scalar("", pa.large_string()))
-    at, data = _bytes(led)
-    data = data[: at[-1]]
-    line, gap = data == 10, data == 32
-    begins = line.copy()
-    begins[1:] |= line[:-1] | (gap[1:] & ~gap[:-1])
-    begins[at[:-1]] = True
-    counts[real] = np.add.reduceat(begins.astype(np.int64), at[:-1])
-    return _strings(np.append(np.flatnonzero(begins), at[-1]), led.buffers()[2]), counts
+class Cutter:
+    """Cuts texts between characters that are side by side in no piece."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        pairs = sorted(vocabulary.pairs)
+        alphabet = sorted({c for p in pairs for c in p} | {" "})
+        self.kind = np.zeros(0x110000, np.uint16)  # 0: in no pair
+        for n, c in enumerate(alphabet):
+            self.kind[ord(c)] = n + 1
+        self.kind[ord(SPACE)] = self.kind[ord(" ")]
+        self.kinds = len(alphabet) + 1
+        self.parted = np.ones(self.kinds * self.kinds, bool)
+        for a, b in pairs:
+            self.parted[int(self.kind[ord(a)]) * self.kinds + int(self.kind[ord(b)])] = False
+
+    def cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """(segments of all texts, how many each text has); the segments are views of one buffer."""
+        counts = np.zeros(len(texts), np.int64)
+        real = np.flatnonzero(pc.fill_null(pc.greater(pc.binary_length(texts), 0), False).to_numpy(zero_copy_only=False))
+        if not real.size:
+            return pa.array([], pa.large_string()), counts
+        led = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts.take(pa.array(real)), pa.scalar("", pa.large_string()))
+        at, data = _bytes(led)
+        data = data[: at[-1]]
+        points = np.flatnonzero((data & 0xC0) != 0x80)
+        kind = self.kind[np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)].astype(np.int32)
+        begins = np.append(True, self.parted[kind[:-1] * self.kinds + kind[1:]])
+        first = np.searchsorted(points, at[:-1])
+        begins[first] = True
+        counts[real] = np.add.reduceat(begins.astype(np.int64), first)
+        return _strings(np.append(points[begins], at[-1]), led.buffers()[2]), counts
 
 
 def keys_of(segments: pa.Array) -> pa.Array:
@@ -277,6 +342,11 @@ class Coder:
             self._out = np.frombuffer(b"".join(out), np.uint8)
             self._out_ends = np.cumsum([len(x) for x in out])
             self._out_sizes = np.diff(self._out_ends, prepend=0)
+            self._cutter = Cutter(self.vocabulary)
+
+    def cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        self._load()
+        return self._cutter.cut(texts)
 
     def rare(self, segments: pa.Array, buckets: int) -> tuple[pa.Array, np.ndarray]:
         """(different segments that aren't frequent by bucket and first place, their buckets)."""
@@ -289,7 +359,7 @@ class Coder:
     def ids(self, texts: pa.Array, rare_paths: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, how many each text has); ``rare_paths`` are those of ``rare``'s segments, joined."""
         self._load()
-        segments, per_text = cut(texts)
+        segments, per_text = self.cut(texts)
         if not len(segments):
             return np.zeros(0, np.int32), per_text
         coded = segments.dictionary_encode()
@@ -303,9 +373,7 @@ class Coder:
         rank[frequent] = np.arange(len(frequent))
         where = pc.index_in(rare, value_set=different).to_numpy()
         rank[where] = len(frequent) + np.arange(len(rare))
-        _, data = _bytes(pa.concat_arrays([self.paths.take(pc.drop_null(known)), pa.array([rare_paths], pa.large_string())]))
-        if (data > 127).any():
-            data = np.frombuffer(data.tobytes().decode().encode("latin-1"), np.uint8)
+        _, data = _bytes(_one_byte(pa.concat_arrays([self.paths.take(pc.drop_null(known)), pa.array([rare_paths], pa.large_string())])))
         ends = np.cumsum(data, dtype=np.int64)
 
         marked = pc.replace_substring(ordered, " ", SPACE)
@@ -352,11 +420,11 @@ class Coder:
 
     def looped(self, segment: str) -> list[int]:
         """Ids of a segment by the plain loop (for tests)."""
-        known = {x: (i, s) for x, i, s in self.vocabulary.table()}
-        spelled = self.vocabulary.spelled()
+        self._load()
+        v = self.vocabulary
         t, out = segment.replace(" ", SPACE), []
-        for a, _, i in best_path(t, known, self.vocabulary.longest, self.vocabulary.unknown_score):
-            out += [i] if i >= 0 else [spelled[b] for b in t[a].encode()]
+        for a, _, i in best_path(t, v.known, v.longest, v.unknown_score):
+            out += [i] if i >= 0 else [self._byte_ids[b] for b in t[a].encode()]
         return out
 
 
@@ -368,7 +436,7 @@ def _lists(ids: np.ndarray, counts: np.ndarray, valid: np.ndarray) -> pa.Array:
 # --- the operators ---------------------------------------------------------------------------------
 
 
-def frequent_segments(texts: DataFrame, share: float) -> tuple[DataFrame, int]:
+def frequent_segments(texts: DataFrame, vocabulary: Vocabulary, share: float) -> tuple[DataFrame, int]:
     """(segment) of at least ``share`` of all segments, and the number of all.
 
     A task leaves out what is below the share of its own; a segment that reaches the share of
@@ -376,6 +444,7 @@ def frequent_segments(texts: DataFrame, share: float) -> tuple[DataFrame, int]:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = Cutter(vocabulary).cut
         held, size, tokens, since = [], 0, 0, 0
 
         def merged() -> pa.Table:
@@ -423,16 +492,16 @@ def encode(df: DataFrame, vocabulary: bytes, text_col: str = "text", share: floa
     base = without(df, [out, *([round_trip] if round_trip else [])], (text_col,))
     base = base.withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
     texts, place = base.select(F.col(f"`{text_col}`").alias("text")), base.columns.index(text_col)
-    frequent, tokens = frequent_segments(texts, share)
+    frequent, tokens = frequent_segments(texts, v, share)
     n = max(2 * spark.sparkContext.defaultParallelism, -(-tokens // TASK_TOKENS))
     buckets = n * TASK_BUCKETS
-    solved = solve(frequent.select(F.pmod(F.xxhash64("segment"), F.lit(buckets)).cast("int").alias("bucket"), "segment").repartition(n, "bucket"), v).select("key", "path").toArrow()
-    shared = spark.sparkContext.broadcast(Coder(v, _large(solved["key"]), _large(solved["path"])))
+    solved = solve(frequent.select(F.pmod(F.xxhash64("segment"), F.lit(buckets)).cast("int").alias("bucket"), "segment").repartition(n, "bucket"), v).select("key", "back").toArrow()
+    shared = spark.sparkContext.broadcast(Coder(v, _large(solved["key"]), walked(_large(solved["back"]))))
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in blocks_of(batches):
             own = _large(rows.column(0))
-            found, bucket = shared.value.rare(cut(own)[0].unique(), buckets)
+            found, bucket = shared.value.rare(shared.value.cut(own)[0].unique(), buckets)
             first = np.flatnonzero(np.diff(bucket, prepend=-1))
             lists = pa.LargeListArray.from_arrays(pa.array(np.append(first, len(found))), found)
             columns = [pa.array(bucket[first], pa.int32()), pa.array(np.full(len(first), block), pa.int64()), pc.binary_join(lists, pa.scalar("\n", pa.large_string())).cast(pa.string())]
@@ -449,16 +518,16 @@ def encode(df: DataFrame, vocabulary: bytes, text_col: str = "text", share: floa
 
     dealt = texts.mapInArrow(asked, "bucket int, block long, segments string").repartition(n, "bucket")
     different = dealt.select("bucket", F.explode(F.split("segments", "\n")).alias("segment")).distinct()
-    paths = solve(different, v)
+    solved = solve(different, v)
 
-    def answered(asking: pa.Table, solved: pa.Table) -> pa.Table:
+    def answered(asking: pa.Table, found: pa.Table) -> pa.Table:
         lists = pc.split_pattern(_large(asking["segments"]), "\n")
-        at = pc.index_in(keys_of(_large(pc.list_flatten(lists))), value_set=_large(solved["key"]))
-        got = pa.LargeListArray.from_arrays(pc.cast(lists.offsets, pa.int64()), _large(solved["path"]).take(at))
+        at = pc.index_in(keys_of(_large(pc.list_flatten(lists))), value_set=_large(found["key"]))
+        got = pa.LargeListArray.from_arrays(pc.cast(lists.offsets, pa.int64()), walked(_large(found["back"])).take(at))
         joined = pc.binary_join(got, pa.scalar("", pa.large_string())).cast(pa.string())
         return pa.table({"block": asking["block"], "bucket": asking["bucket"], "paths": joined})
 
-    answers = dealt.groupBy("bucket").cogroup(paths.select(F.col("bucket").alias("own"), "key", "path").groupBy("own")).applyInArrow(answered, "block long, bucket int, paths string")
+    answers = dealt.groupBy("bucket").cogroup(solved.select(F.col("bucket").alias("own"), "key", "back").groupBy("own")).applyInArrow(answered, "block long, bucket int, paths string")
     fields = [*base.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType())), *([T.StructField(round_trip, T.BooleanType())] if round_trip else [])]
 
     def coded(blocks: pa.Table, paths: pa.Table) -> pa.Table:

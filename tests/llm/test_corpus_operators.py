@@ -258,19 +258,20 @@ def test_lm_base_equals_brute_force(spark):
 
 def test_subword_equals_the_loop_and_the_library(spark):
     v = subword.Vocabulary.load(MODEL)
-    coder = subword.Coder(v, {})
+    coder = subword.Coder(v)
     docs = dict(common.documents(spark, DIR).select("doc_id", "text").collect())
     rows = QUERIES["op10_subword"](spark, DIR).collect()
 
+    known = {}
+
     def looped(text):
-        out = []
-        for s in subword.segments_of(text):
-            out += coder.looped(s)
-        return out
+        found = v.segments(text)
+        known.update({x: coder.looped(x) for x in found if x not in known})
+        return [i for x in found for i in known[x]]
 
     assert len(rows) == len(docs)
     for r in rows:
-        assert r["round_trip"] and r["piece_ids"] == looped(docs[r["doc_id"]])
+        assert r["round_trip"] and (r["piece_ids"] or []) == looped(docs[r["doc_id"]])
 
     # the library's own best path under the same scores: its model with the kind set to unigram; scores of
     # -1e9 (runs of spaces) are lifted, because beside them its 32-bit sums lose the small ones
@@ -294,15 +295,51 @@ def test_subword_equals_the_loop_and_the_library(spark):
     assert checked > 500
 
 
+def test_segments_part_where_no_piece_reaches():
+    """The best path of a whole text is that of its segments, one after another."""
+    random.seed(11)
+    v = subword.Vocabulary.load(MODEL)
+    known = v.known
+    for _ in range(40):
+        text = "".join(random.choice(["the", "ing", " ", "  ", ",", "\n", "é", "日本", "▁", "x", "Q", "12", "🙂", "****"]) for _ in range(random.randint(1, 25)))
+        whole = subword.best_path((" " + text).replace(" ", "▁"), known, v.longest, v.unknown_score)
+        assert "".join(v.segments(text)) == " " + text
+        parts = [p for s in v.segments(text) for p in subword.best_path(s.replace(" ", "▁"), known, v.longest, v.unknown_score)]
+        score = lambda path: sum(v.scores[i] if i >= 0 else v.unknown_score for _, _, i in path)
+        assert math.isclose(score(whole), score(parts))
+
+
 def test_subword_odd_rows(spark):
-    rows = [(1, None), (2, ""), (3, "  two  spaces \n\nand 日本🙂 "), (3, "  two  spaces \n\nand 日本🙂 "), (None, "x" * 5000), (5, "a")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("piece_ids", F.lit(1))
+    rows = [(1, None), (2, ""), (3, "  two  spaces \n\nand 日本🙂 "), (3, "  two  spaces \n\nand 日本🙂 "), (None, "x" * 5000), (5, "a"), (6, "aeiou" * 20000 + " end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("piece_ids", F.lit(1)).withColumn("block", F.lit("b")).withColumn("rows", F.array(F.lit(1)))
     got = subword.decode(subword.encode(df, MODEL), MODEL).collect()
-    assert sorted((r["doc_id"] or 0, r["decoded"] == r["text"]) for r in got) == [(0, True), (1, True), (2, True), (3, True), (3, True), (5, True)]
-    assert {r["doc_id"]: r["piece_ids"] for r in got}[1] is None
+    assert sorted((r["doc_id"] or 0, r["decoded"] == r["text"], r["block"], r["rows"]) for r in got if r["text"] is not None) == [(d, True, "b", [1]) for d in (0, 2, 3, 3, 5, 6)]
+    by_id = {r["doc_id"]: r["piece_ids"] for r in got}
+    assert by_id[1] is None and by_id[2] == []
+    coder = subword.Coder(subword.Vocabulary.load(MODEL))
+    assert by_id[None] == [i for s in coder.vocabulary.segments("x" * 5000) for i in coder.looped(s)]
     assert subword.encode(df.where("false"), MODEL).count() == 0
 
 
+def test_subword_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(subword, "BLOCK_BYTES", 700)
+    df = common.documents(spark, DIR).where("doc_id < 60").select("doc_id", "text")
+    rows = subword.encode(df, MODEL, round_trip="same", share=1e-3).collect()
+    v = subword.Vocabulary.load(MODEL)
+    coder, known = subword.Coder(v), {}
+    for r in rows:
+        found = v.segments(r["text"])
+        known.update({x: coder.looped(x) for x in found if x not in known})
+        assert r["same"] and (r["piece_ids"] or []) == [i for x in found for i in known[x]]
+    assert len(rows) == df.count()
+
+
+def test_broken_bytes_decode_to_the_replacement_mark(spark):
+    byte = subword.Vocabulary.load(MODEL).spelled()
+    df = spark.createDataFrame([([byte[0xE6], byte[0x97]],), (None,), ([],)], "piece_ids array<int>")
+    assert [r["decoded"] for r in subword.decode(df, MODEL).collect()] == [b"\xe6\x97".decode("utf-8", "replace"), None, ""]
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
 
