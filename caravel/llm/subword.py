@@ -48,8 +48,11 @@ SPACE = "▁"
 SHARE = 5e-7
 #: Bytes of text in a block, about; a longer text is a block of its own.
 BLOCK_BYTES = 2 << 20
-#: Tokens of a partition, about, and buckets of segments in it.
-TASK_TOKENS, TASK_BUCKETS = 2_000_000, 16
+#: Tokens of a partition, about.
+TASK_TOKENS = 2_000_000
+#: Buckets of segments at least, and tokens for which there is one more. A block has a row for each bucket that it has
+#: segments of, so there are never more rows than segments.
+BUCKETS, BUCKET_TOKENS = 1024, 4_000_000
 #: Different segments that a counting task holds before it hands its counts on.
 HELD_SEGMENTS = 300_000
 #: Characters up to which a segment is its own key; the digest of a longer one is.
@@ -494,8 +497,8 @@ def encode(df: DataFrame, vocabulary: bytes, text_col: str = "text", share: floa
     texts, place = base.select(F.col(f"`{text_col}`").alias("text")), base.columns.index(text_col)
     frequent, tokens = frequent_segments(texts, v, share)
     n = max(2 * spark.sparkContext.defaultParallelism, -(-tokens // TASK_TOKENS))
-    buckets = n * TASK_BUCKETS
-    solved = solve(frequent.select(F.pmod(F.xxhash64("segment"), F.lit(buckets)).cast("int").alias("bucket"), "segment").repartition(n, "bucket"), v).select("key", "back").toArrow()
+    buckets = max(BUCKETS, -(-tokens // BUCKET_TOKENS))
+    solved = solve(frequent.select(F.pmod(F.xxhash64("segment"), F.lit(buckets)).cast("int").alias("bucket"), "segment").repartition(min(n, buckets), "bucket"), v).select("key", "back").toArrow()
     shared = spark.sparkContext.broadcast(Coder(v, _large(solved["key"]), walked(_large(solved["back"]))))
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -516,7 +519,7 @@ def encode(df: DataFrame, vocabulary: bytes, text_col: str = "text", share: floa
             columns = [pa.array([block], pa.int64()), pa.array([_check(_large(rows.column(place)))], pa.int64()), pa.array([pack(sink.getvalue())], pa.binary())]
             yield pa.record_batch(columns, ["block", "check", "rows"])
 
-    dealt = texts.mapInArrow(asked, "bucket int, block long, segments string").repartition(n, "bucket")
+    dealt = texts.mapInArrow(asked, "bucket int, block long, segments string").repartition(min(n, buckets), "bucket")
     different = dealt.select("bucket", F.explode(F.split("segments", "\n")).alias("segment")).distinct()
     solved = solve(different, v)
 
