@@ -1,17 +1,23 @@
 """Preference formatting: one prompt, two masked completions.
 
-A pair is a chosen and a rejected conversation. Their longest common turn prefix is
+A pair is a chosen and a rejected conversation. Their longest common turn prefix, by position, is
 rendered once as the prompt; what follows in either is its completion, where only the turns of
 the assistant are trained on. The result has one row per rendered turn, so a conversation of any
-length is spread over tasks and never gathered: turns meet by (pair, turn), the first
-difference is a minimum that is combined before the shuffle, and everything is DataFrame functions.
+length is spread over tasks and never gathered.
+
+Plan: turns are dealt once by (pair, block of turn numbers), and windows run within a block. What crosses blocks (the
+turns before a block, the last user's words, the first difference) is one small row for each pair and block.
+Conversations are compared by 128-bit digests of their turns, so texts take no part in that exchange.
+Everything is DataFrame functions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Turn numbers of a block.
+TURNS = 1024
 TRAINED_ROLE = "assistant"
 
 
@@ -21,38 +27,62 @@ def rendered(role: Column, text: Column) -> Column:
 
 
 def clean_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """(pair_id, turn, role, text) of a turns table, one row per turn.
+    """(pair_id, block, turn, role, text) of a turns table, one row per turn.
 
     Rows without an id or a turn number are in no conversation. A null role reads ``unknown``, a
     null text is empty. Of several rows for one turn the least (role, text) is taken, so
-    repeated rows count once.
+    repeated rows count once. Other columns are left out.
     """
     named = df.where(F.col(f"`{id_col}`").isNotNull() & F.col("turn").isNotNull())
     turn = F.struct(F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return named.groupBy(F.col(f"`{id_col}`").alias("pair_id"), "turn").agg(F.min(turn).alias("t")).select("pair_id", "turn", "t.role", "t.text")
+    dealt = named.select(F.col(f"`{id_col}`").alias("pair_id"), F.floor(F.col("turn") / TURNS).alias("block"), "turn", turn.alias("t")).repartition("pair_id", "block")
+    return dealt.groupBy("pair_id", "block", "turn").agg(F.min("t").alias("t")).select("pair_id", "block", "turn", "t.role", "t.text")
+
+
+def _bases(turns: DataFrame) -> DataFrame:
+    """(pair_id, block, base): the turns of a pair before each of its blocks."""
+    earlier = Window.partitionBy("pair_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = turns.groupBy("pair_id", "block").agg(F.count("*").alias("n"))
+    return counts.select("pair_id", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+
+
+def _placed(turns: DataFrame, bases: DataFrame) -> DataFrame:
+    """``turns`` with the columns of ``bases`` and their position in the conversation, from 0 on."""
+    inside = F.row_number().over(Window.partitionBy("pair_id", "block").orderBy("turn"))
+    return turns.withColumn("inside", inside).join(bases, ["pair_id", "block"]).withColumn("position", F.col("base") + F.col("inside") - 1)
+
+
+def first_difference(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
+    """(pair_id, first): the first position at which role or text differ or only one conversation has a turn; none for equal ones."""
+    def digests(turns: DataFrame, side: str) -> DataFrame:
+        slim = turns.select("pair_id", "block", "turn", F.struct(F.xxhash64("role", "text").alias("x"), F.xxhash64(F.lit(1), "text", "role").alias("y")).alias("d"))
+        return _placed(slim, _bases(turns)).select("pair_id", "position", F.lit(side).alias("side"), "d")
+
+    both = digests(chosen, "a").unionByName(digests(rejected, "b"))
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("d")))
+    compared = both.groupBy("pair_id", "position").agg(of("a").alias("a"), of("b").alias("b"))
+    return compared.where(~F.col("a").eqNullSafe(F.col("b"))).groupBy("pair_id").agg(F.min("position").alias("first"))
 
 
 def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Rows (pair_id, part, turn, role, rendered, trained) for pairs of conversations.
+    """Rows (pair_id, part, position, turn, role, rendered, trained) for pairs of conversations.
 
-    Both inputs have (pair_id, turn, role, text) with unique (pair_id, turn). ``part`` is prompt,
-    chosen or rejected; ``trained`` marks the completion turns of the assistant. The prefix
-    ends before the first turn number at which role or text differ or only one
-    conversation has a turn. Equal conversations are all prompt; a pair that one input lacks has an
-    empty completion there.
+    Both inputs are results of ``clean_turns``. ``part`` is prompt, chosen or rejected; ``trained`` marks
+    the completion turns of the assistant. Positions count a conversation's turns, so equal conversations that are
+    numbered from 0 and from 1 share all. Equal conversations are all prompt; a pair that one input lacks has an empty prompt and an
+    empty completion there. Empty tables give an empty result.
     """
-    a = chosen.select("pair_id", "turn", F.col("role").alias("role_a"), F.col("text").alias("text_a"), F.lit(True).alias("in_a"))
-    b = rejected.select("pair_id", "turn", F.col("role").alias("role_b"), F.col("text").alias("text_b"), F.lit(True).alias("in_b"))
-    both = a.join(b, ["pair_id", "turn"], "full")
-    same = F.coalesce("in_a", F.lit(False)) & F.coalesce("in_b", F.lit(False)) & F.col("role_a").eqNullSafe(F.col("role_b")) & F.col("text_a").eqNullSafe(F.col("text_b"))
-    first = both.where(~same).groupBy("pair_id").agg(F.min("turn").alias("first"))
-    placed = both.join(first, "pair_id", "left").withColumn("shared", F.col("first").isNull() | (F.col("turn") < F.col("first")))
-    prompt = F.struct(F.lit("prompt").alias("part"), F.col("role_a").alias("role"), F.col("text_a").alias("text"))
-    side = lambda name, x: F.when(F.col(f"in_{x}"), F.struct(F.lit(name).alias("part"), F.col(f"role_{x}").alias("role"), F.col(f"text_{x}").alias("text")))
-    parts = F.when(F.col("shared"), F.array(prompt)).otherwise(F.array_compact(F.array(side("chosen", "a"), side("rejected", "b"))))
-    rows = placed.select("pair_id", "turn", F.explode(parts).alias("p"))
-    trained = (F.col("p.part") != "prompt") & (F.col("p.role") == TRAINED_ROLE)
-    return rows.select("pair_id", F.col("p.part").alias("part"), "turn", F.col("p.role").alias("role"), rendered(F.col("p.role"), F.col("p.text")).alias("rendered"), trained.alias("trained"))
+    first = first_difference(chosen, rejected)
+
+    def side(turns: DataFrame, name: str) -> DataFrame:
+        placed = _placed(turns, _bases(turns).join(first, "pair_id", "left"))
+        shared = F.col("first").isNull() | (F.col("position") < F.col("first"))
+        rows = placed.withColumn("part", F.when(shared, "prompt").otherwise(name))
+        return rows if name == "chosen" else rows.where("part = 'rejected'")
+
+    rows = side(chosen, "chosen").unionByName(side(rejected, "rejected"))
+    trained = (F.col("part") != "prompt") & (F.col("role") == TRAINED_ROLE)
+    return rows.select("pair_id", "part", "position", "turn", "role", rendered(F.col("role"), F.col("text")).alias("rendered"), trained.alias("trained"))
 
 
 def assembled(rows: DataFrame) -> DataFrame:
@@ -61,7 +91,7 @@ def assembled(rows: DataFrame) -> DataFrame:
     Masks are arrays of trained (start, end) in characters of their completion. For
     conversations that fit in a row, as a trainer's example has to.
     """
-    grouped = rows.groupBy("pair_id").agg(*[F.sort_array(F.collect_list(F.when(F.col("part") == p, F.struct("turn", "rendered", "trained")))).alias(p) for p in ("prompt", "chosen", "rejected")])
+    grouped = rows.groupBy("pair_id").agg(*[F.sort_array(F.collect_list(F.when(F.col("part") == p, F.struct("position", "rendered", "trained")))).alias(p) for p in ("prompt", "chosen", "rejected")])
     text = lambda c: F.array_join(F.transform(c, lambda t: t["rendered"]), "").alias(c)
 
     def mask(c: str) -> Column:
@@ -80,39 +110,43 @@ def assembled(rows: DataFrame) -> DataFrame:
 def stale_reply(turns: DataFrame) -> DataFrame:
     """A rejected variant of each conversation: its last assistant turn only repeats the user's last words before it.
 
-    Conversations without an assistant turn have no variant; without a user turn before it
-    the reply is empty.
+    Without a user turn before it the reply is empty; conversations without an assistant turn stay as they are.
     """
-    last = turns.where(F.col("role") == TRAINED_ROLE).groupBy("pair_id").agg(F.max("turn").alias("last"))
-    marked = turns.join(last, "pair_id")
-    echo = marked.where((F.col("role") == "user") & (F.col("turn") < F.col("last"))).groupBy("pair_id").agg(F.max(F.struct("turn", "text")).alias("echo"))
-    reply = F.when(F.col("turn") == F.col("last"), F.coalesce("echo.text", F.lit(""))).otherwise(F.col("text"))
-    return marked.join(echo, "pair_id", "left").select("pair_id", "turn", "role", reply.alias("text"))
+    inside, blocks = Window.partitionBy("pair_id", "block").orderBy("turn"), Window.partitionBy("pair_id")
+    is_user = F.col("role") == "user"
+    heard = F.last(F.when(is_user, F.col("text")), ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    reply = F.max(F.when(F.col("role") == TRAINED_ROLE, F.struct("turn", "heard")))
+    summary = turns.withColumn("heard", heard).groupBy("pair_id", "block").agg(reply.alias("reply"), F.max(F.when(is_user, F.struct("turn", "text"))).alias("user"))
+    carried = F.last("user.text", ignorenulls=True).over(blocks.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    last = F.max(F.when(F.col("reply").isNotNull(), F.col("block"))).over(blocks)
+    facts = summary.withColumn("carried", carried).withColumn("last", last).where("block = last")
+    echo = facts.select("pair_id", "block", F.col("reply.turn").alias("last"), F.coalesce("reply.heard", "carried", F.lit("")).alias("echo"))
+    text = F.when(F.col("turn") == F.col("last"), F.col("echo")).otherwise(F.col("text"))
+    return turns.join(echo, ["pair_id", "block"], "left").select("pair_id", "block", "turn", "role", text.alias("text"))
 
 
 def chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``conversations`` as chosen, their echoing variants as rejected; without an assistant turn all is prompt."""
     turns = clean_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    answered = turns.where(F.col("role") == TRAINED_ROLE).select("pair_id").distinct()
-    return format_preferences(turns, stale_reply(turns).unionByName(turns.join(answered, "pair_id", "left_anti")))
+    return format_preferences(turns, stale_reply(turns))
 
 
 CHAT_SQL = """
 WITH turns AS (
   SELECT conv_id AS pair_id, turn, min({'role': coalesce(role, 'unknown'), 'text': coalesce(text, '')}) AS t
   FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
-c AS (SELECT pair_id, turn, t.role AS role, t.text AS text FROM turns),
+c AS (SELECT pair_id, turn, t.role AS role, t.text AS text, row_number() OVER (PARTITION BY pair_id ORDER BY turn) - 1 AS position FROM turns),
 l AS (SELECT pair_id, max(turn) AS last FROM c WHERE role = 'assistant' GROUP BY pair_id),
 e AS (SELECT pair_id, max({'turn': turn, 'text': text}) AS echo FROM c JOIN l USING (pair_id) WHERE role = 'user' AND turn < last GROUP BY pair_id),
 p AS (
-  SELECT pair_id, turn, role, text AS a, CASE WHEN turn = last THEN coalesce(e.echo.text, '') ELSE text END AS b
-  FROM c JOIN l USING (pair_id) LEFT JOIN e USING (pair_id)),
-f AS (SELECT pair_id, min(turn) AS first FROM p WHERE a <> b GROUP BY pair_id),
+  SELECT pair_id, turn, position, role, text AS a, CASE WHEN turn = last THEN coalesce(e.echo.text, '') ELSE text END AS b
+  FROM c LEFT JOIN l USING (pair_id) LEFT JOIN e USING (pair_id)),
+f AS (SELECT pair_id, min(position) AS first FROM p WHERE a <> b GROUP BY pair_id),
 r AS (
-  SELECT pair_id, 'prompt' AS part, turn, role, a AS text FROM p LEFT JOIN f USING (pair_id) WHERE first IS NULL OR turn < first
-  UNION ALL SELECT pair_id, 'chosen', turn, role, a FROM p JOIN f USING (pair_id) WHERE turn >= first
-  UNION ALL SELECT pair_id, 'rejected', turn, role, b FROM p JOIN f USING (pair_id) WHERE turn >= first)
-SELECT pair_id, part, turn, role, '<|' || role || '|>' || chr(10) || replace(text, '<|', '< |') || '<|end|>' || chr(10) AS rendered,
+  SELECT pair_id, 'prompt' AS part, position, turn, role, a AS text FROM p LEFT JOIN f USING (pair_id) WHERE first IS NULL OR position < first
+  UNION ALL SELECT pair_id, 'chosen', position, turn, role, a FROM p JOIN f USING (pair_id) WHERE position >= first
+  UNION ALL SELECT pair_id, 'rejected', position, turn, role, b FROM p JOIN f USING (pair_id) WHERE position >= first)
+SELECT pair_id, part, position::BIGINT AS position, turn, role, '<|' || role || '|>' || chr(10) || replace(text, '<|', '< |') || '<|end|>' || chr(10) AS rendered,
   part <> 'prompt' AND role = 'assistant' AS trained
 FROM r
 """

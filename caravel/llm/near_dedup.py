@@ -14,8 +14,8 @@ of buckets that still hold several components are dealt anew by pairs of bands,
 texts close to each other share, and get other hubs there until a round adds no link. That only
 leaves fewer pairs: at the end every pair of a bucket whose components still differ is verified,
 unless counts of its shingles by bins show that it can't reach the threshold. So all texts that meet
-in a band and are alike are linked. The end is quadratic in the members of a bucket that stay apart;
-their bins, not their texts, go through that join.
+in a band and are alike are linked. That end compares the bins of a bucket's members as arrays within a task and makes rows
+of possible pairs only; what it computes is quadratic in the members of a bucket that stay apart.
 
 Scale. Equal texts share one node from the start (64-bit key of the normalised text), so
 groups of copies collapse in map-side combiners. Buckets are aggregated before they are
@@ -231,31 +231,47 @@ def profile(words: np.ndarray, size: int) -> bytes:
     return kept.astype(np.uint8).tobytes() + np.array([(counts - kept).sum()], np.int64).tobytes()
 
 
-def most_similar(a: list[bytes], b: list[bytes]) -> np.ndarray:
-    """An upper bound of the similarity of texts by their profiles: they share no more than the lesser count of each bin."""
-    x, y = (np.frombuffer(b"".join(p), np.uint8).reshape(-1, _BINS + 8) for p in (a, b))
+def most_similar(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """An upper bound of the similarity of texts by their profiles (rows of bytes): they share no more than the lesser count of each bin."""
     over = [np.ascontiguousarray(p[:, _BINS:]).view(np.int64)[:, 0] for p in (x, y)]
     sums = [p[:, :_BINS].sum(axis=1, dtype=np.int64) + o for p, o in zip((x, y), over, strict=True)]
     both = np.minimum(x[:, :_BINS], y[:, :_BINS]).sum(axis=1, dtype=np.int64) + np.minimum(*over)
     return both / np.maximum(sums[0] + sums[1] - both, 1)
 
 
-def _rest_pairs(buckets: DataFrame, threshold: float) -> DataFrame:
-    """All pairs (a, b) of a bucket whose components differ and whose profiles allow the threshold.
+def _rest_pairs(buckets: DataFrame, threshold: float, part: int = 256) -> DataFrame:
+    """Pairs (a, b) of a bucket whose components differ and whose profiles allow the threshold.
 
-    ``buckets``: h, key, label, profile. A side of a large bucket is dealt in parts of about
-    256 members, so that its pairs are spread over tasks.
+    ``buckets``: h, key, label, profile. Profiles are compared within a task as arrays and only possible pairs become
+    rows. A bucket of more than ``part`` members is cut into parts, and each two parts meet in a group of
+    their own, so a group is bounded and the pairs of a large bucket are spread over tasks. Small buckets share groups.
     """
-
-    @F.arrow_udf(T.BooleanType())
-    def possible(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array(most_similar(a.to_pylist(), b.to_pylist()) >= threshold - 1e-9, pa.bool_())
-
-    parts = buckets.groupBy("h").agg(F.ceil(F.count("*") / 256).cast("int").alias("parts"))
-    dealt = buckets.join(parts, "h")
-    a = dealt.select("h", F.pmod(F.xxhash64("key"), "parts").cast("int").alias("part"), F.col("key").alias("a"), F.col("label").alias("x"), F.col("profile").alias("p"))
-    b = dealt.select("h", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("key").alias("b"), F.col("label").alias("y"), F.col("profile").alias("q"))
-    return a.join(b, ["h", "part"]).where("a < b and x <> y").where(possible("p", "q")).select("a", "b").distinct()
+    groups = 16 * max(64, buckets.sparkSession.sparkContext.defaultParallelism)
+
+    def possible(group: pa.Table) -> pa.Table:
+        h, i, j, side, key, label = (group.column(c).to_numpy() for c in ("h", "i", "j", "part", "key", "label"))
+        profiles = np.frombuffer(b"".join(group.column("profile").to_pylist()), np.uint8).reshape(-1, _BINS + 8)
+        order = np.lexsort((key, j, i, h))
+        cuts = np.flatnonzero(np.diff(h[order], prepend=0) | np.diff(i[order], prepend=-1) | np.diff(j[order], prepend=-1))
+        found = []
+        for at in np.split(order, cuts[cuts > 0]):
+            first = at[side[at] == i[at[0]]]
+            second = at[side[at] == j[at[0]]]
+            for x in first:
+                # within a part a pair counts once
+                others = second[(label[second] != label[x]) & ((i[x] != j[x]) | (key[second] > key[x]))]
+                if others.size:
+                    near = others[most_similar(profiles[x : x + 1], profiles[others]) >= threshold - 1e-9]
+                    found += [(min(key[x], k), max(key[x], k)) for k in key[near]]
+        return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
+
+    parts = buckets.groupBy("h").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    dealt = buckets.join(parts, "h").withColumn("part", F.pmod(F.xxhash64("key"), "parts").cast("int"))
+    # a member of part p meets the parts from p on as the first, and those up to p as the second
+    other = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
+    placed = other.select("h", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "key", "label", "profile", "parts")
+    group = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("h"), F.lit(groups))).otherwise(F.xxhash64("h", "i", "j"))
+    return placed.withColumn("g", group).groupBy("g").applyInArrow(possible, "a long, b long").distinct()
 
 
 def _labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -369,10 +385,10 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sett
     """
     found = written(classes(df, id_col, text_col, settings), "classes")
     best = found.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("w"))
-    wins = best.select(F.col("w.id").alias("_win_id"), F.col("w.key").alias("_win_key"))
-    keyed = df.withColumn("_row_key", text_key(F.col(f"`{text_col}`").cast("string")))
-    kept = keyed.join(wins, (F.col("_row_key") == F.col("_win_key")) & F.col(f"`{id_col}`").eqNullSafe(F.col("_win_id")))
-    once = kept.withColumn("_row_id", F.col(f"`{id_col}`")).dropDuplicates(["_row_key", "_row_id"])
+    wins = best.select(F.col("w.id").alias("_near_dedup_win_id"), F.col("w.key").alias("_near_dedup_win_key"))
+    keyed = df.withColumn("_near_dedup_key", text_key(F.col(f"`{text_col}`").cast("string")))
+    kept = keyed.join(wins, (F.col("_near_dedup_key") == F.col("_near_dedup_win_key")) & F.col(f"`{id_col}`").eqNullSafe(F.col("_near_dedup_win_id")))
+    once = kept.withColumn("_near_dedup_id", F.col(f"`{id_col}`")).dropDuplicates(["_near_dedup_key", "_near_dedup_id"])
     names = [F.col(f"`{c}`") for c in df.columns]
     return once.select(*names).unionByName(df.where(F.col(f"`{text_col}`").isNull()).select(*names))
 

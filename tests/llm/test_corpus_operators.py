@@ -118,8 +118,29 @@ def test_profiles_bound_the_similarity():
     for _ in range(60):
         a = [random.choice("abcdefgh") for _ in range(random.randint(5, 400))] + ["x"] * random.choice([0, 0, 700])
         b = [random.choice("abcdefgh") if random.random() < 0.1 else w for w in a][: random.randint(5, len(a))] + ["x"] * random.choice([0, 600])
-        p, q = (near_dedup.profile(w, 5) for w in near_dedup.word_hashes([" ".join(a), " ".join(b)]))
-        assert near_dedup.most_similar([p], [q])[0] >= near_dedup.similarity(" ".join(a), " ".join(b))
+        p, q = (np.frombuffer(near_dedup.profile(w, 5), np.uint8)[None, :] for w in near_dedup.word_hashes([" ".join(a), " ".join(b)]))
+        assert near_dedup.most_similar(p, q)[0] >= near_dedup.similarity(" ".join(a), " ".join(b))
+
+
+def test_rest_pairs_equal_all_pairs(spark):
+    """Buckets in one part and in many give the pairs that a loop over all pairs of a bucket gives."""
+    random.seed(9)
+    rows = []
+    for h in (5, -7, 9):
+        base = [random.choice("abcdefghijklmnop") for _ in range(60)]
+        for k in range(30):
+            words = [random.choice("abcdefghijklmnop") if random.random() < 0.04 else w for w in base]
+            rows.append((h, h * 100 + k, k // 3, near_dedup.profile(near_dedup.word_hashes([" ".join(words)])[0], 5)))
+    want = set()
+    for h, a, x, p in rows:
+        for g, b, y, q in rows:
+            near = near_dedup.most_similar(*(np.frombuffer(r, np.uint8)[None, :] for r in (p, q)))[0]
+            if h == g and a < b and x != y and near >= 0.8:
+                want.add((a, b))
+    df = spark.createDataFrame([(h, k, x, bytearray(p)) for h, k, x, p in rows], "h long, key long, label long, profile binary")
+    for part in (256, 7):
+        assert {tuple(r) for r in near_dedup._rest_pairs(df, 0.8, part).collect()} == want
+    assert 20 < len(want) < 1200
 
 
 def test_dedup_odd_rows(spark):
@@ -132,24 +153,37 @@ def test_dedup_odd_rows(spark):
 
 
 def test_chat_prefix(spark):
-    turns = lambda rows: spark.createDataFrame(rows, "pair_id long, turn long, role string, text string")
-    chosen = turns([(1, 0, "user", "hi"), (1, 1, "assistant", "good <|end|>"), (2, 0, "user", "x"), (3, 0, "user", "only")])
-    rejected = turns([(1, 0, "user", "hi"), (1, 1, "assistant", "bad"), (1, 2, "user", "more"), (2, 0, "user", "x")])
+    turns = lambda rows: chat_format.clean_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    chosen = turns([(1, 0, "user", "hi"), (1, 1, "assistant", "good <|end|>"), (2, 0, "user", "x"), (3, 0, "user", "only"), (5, 0, "user", "a"), (5, 1, "assistant", "b")])
+    rejected = turns([(1, 0, "user", "hi"), (1, 1, "assistant", "bad"), (1, 2, "user", "more"), (2, 0, "user", "x"), (4, 7, "assistant", "z"), (5, 1, "user", "a"), (5, 2000, "assistant", "b")])
     rows = chat_format.format_preferences(chosen, rejected)
-    assert sorted((r["pair_id"], r["part"], r["turn"], r["trained"]) for r in rows.collect()) == [(1, "chosen", 1, True), (1, "prompt", 0, False), (1, "rejected", 1, True), (1, "rejected", 2, False), (2, "prompt", 0, False), (3, "chosen", 0, False)]
+    want = [(1, "chosen", 1, 1, True), (1, "prompt", 0, 0, False), (1, "rejected", 1, 1, True), (1, "rejected", 2, 2, False), (2, "prompt", 0, 0, False), (3, "chosen", 0, 0, False)]
+    want += [(4, "rejected", 0, 7, True), (5, "prompt", 0, 0, False), (5, "prompt", 1, 1, False)]  # numbered from 0 and from 1, and all alike
+    assert sorted((r["pair_id"], r["part"], r["position"], r["turn"], r["trained"]) for r in rows.collect()) == want
     r = chat_format.assembled(rows).where("pair_id = 1").first()
     assert r["prompt"] == "<|user|>\nhi<|end|>\n" and r["chosen"] == "<|assistant|>\ngood < |end|><|end|>\n"
     assert [tuple(x) for x in r["rejected_mask"]] == [(0, len("<|assistant|>\nbad<|end|>\n"))]
 
 
 def test_chat_odd_turns(spark):
-    df = spark.createDataFrame([(1, 0, None, None), (1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 1, "assistant", "b"), (None, 0, "user", "c"), (2, None, "user", "d"), (3, 0, "user", "e")], "conv_id long, turn long, role string, text string")
+    df = spark.createDataFrame([(1, 0, None, None, "x"), (1, 0, "user", "a", "x"), (1, 1, "assistant", "b", "x"), (1, 1, "assistant", "b", "x"), (None, 0, "user", "c", "x"), (2, None, "user", "d", "x"), (3, 0, "user", "e", "x")], "conv_id long, turn long, role string, text string, block string")
     turns = chat_format.clean_turns(df)
     assert sorted((r["pair_id"], r["turn"], r["role"]) for r in turns.collect()) == [(1, 0, "unknown"), (1, 1, "assistant"), (3, 0, "user")]
-    assert {r["pair_id"] for r in chat_format.stale_reply(turns).collect()} == {1}
+    assert sorted((r["pair_id"], r["turn"], r["text"]) for r in chat_format.stale_reply(turns).collect()) == [(1, 0, ""), (1, 1, ""), (3, 0, "e")]
     assert chat_format.format_preferences(turns.where("false"), turns.where("false")).count() == 0
 
 
+def test_chat_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(chat_format, "TURNS", 4)
+    rows = [(1, t, "user" if t in (2, 30) else "system" if t != 21 else "assistant", f"t{t}") for t in range(0, 40, 3)] + [(1, 2, "user", "said")]
+    turns = chat_format.clean_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = chat_format.format_preferences(turns, chat_format.stale_reply(turns)).collect()
+    order = sorted({r[1] for r in rows})
+    assert all(r["position"] == order.index(r["turn"]) for r in got)
+    assert {(r["turn"], r["rendered"].split("\n")[1]) for r in got if r["part"] == "rejected" and r["turn"] <= 21} == {(21, "said<|end|>")}
+    assert sorted(r["turn"] for r in got if r["part"] != "rejected") == order
+
+
 def test_chat_without_assistant_is_all_prompt(spark, tmp_path):
     rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "c"), (2, 1, "user", "d")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
