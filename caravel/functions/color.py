@@ -61,3 +61,16 @@ def dominant(cells: DataFrame, item: str, top: int = 3) -> DataFrame:
     sums = cells.groupBy(item, "hex").agg(F.sum(weight).alias("score"))
     best = F.slice(F.sort_array(F.collect_list(F.struct(F.col("score"), F.col("hex"))), asc=False), 1, top)
     return sums.groupBy(item).agg(best.alias("b")).select(item, F.posexplode("b").alias("rank", "x")).select(item, "x.hex", "x.score", (F.col("rank") + 1).alias("rank"))
+
+
+def lerp(low: Column, high: Column, share: Column) -> Column:
+    """M19. Rounded mix of two rgb structs."""
+    return F.struct(*[F.floor(low[c] + (high[c] - low[c]) * share + 0.5).cast("int").alias(c) for c in ("r", "g", "b")])
+
+
+def of_hour(hour, palette: list[tuple[int, int, int]]) -> Column:
+    """M19. The colour of an hour between those of the whole hours before and behind it (24 colours); any hour wraps."""
+    h = F.pmod(_c(hour).cast("double"), F.lit(24.0))
+    fixed = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(g).alias("g"), F.lit(b).alias("b")) for r, g, b in palette])
+    i = F.floor(h).cast("int")
+    return lerp(F.get(fixed, i), F.get(fixed, F.pmod(i + 1, F.lit(24))), h - i)

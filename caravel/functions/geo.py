@@ -49,23 +49,31 @@ def dms(text) -> Column:
     return F.round(F.when(south, -F.abs(value)).otherwise(value), 7)
 
 
-#: The sixteen compass points, clockwise from north.
-COMPASS = ("N", "NNE", "NE", "ENE", "E", "ESE", "SE", "SSE", "S", "SSW", "SW", "WSW", "W", "WNW", "NW", "NNW")
+#: The sixteen compass points, clockwise from north, in Spanish.
+COMPASS = ("N", "NNE", "NE", "ENE", "E", "ESE", "SE", "SSE", "S", "SSO", "SO", "OSO", "O", "ONO", "NO", "NNO")
 
 
 def wind_point(degrees) -> Column:
-    """Compass point of a wind direction; null stays null."""
+    """M8. Compass point of a wind direction whose fraction is cut off; ``desconocida`` for null."""
     names = F.array(*[F.lit(x) for x in COMPASS])
-    return F.get(names, F.pmod(F.floor((_c(degrees) + 11.25) / 22.5), F.lit(16)).cast("int"))
+    whole = F.pmod(_c(degrees).cast("long"), F.lit(360))
+    return F.when(_c(degrees).isNull(), "desconocida").otherwise(F.get(names, F.pmod(F.floor(whole / 22.5 + 0.5), F.lit(16)).cast("int")))
 
 
-#: WMO weather codes and their English names.
-WMO = {0: "clear sky", 1: "mainly clear", 2: "partly cloudy", 3: "overcast", 45: "fog", 48: "rime fog", 51: "light drizzle", 53: "drizzle", 55: "dense drizzle", 61: "light rain", 63: "rain", 65: "heavy rain", 71: "light snow", 73: "snow", 75: "heavy snow", 80: "light showers", 81: "showers", 82: "violent showers", 95: "thunderstorm", 96: "thunderstorm with hail", 99: "thunderstorm with heavy hail"}
+#: WMO weather codes and their names in Spanish.
+WMO = {
+    0: "despejado", 1: "mayormente despejado", 2: "parcialmente nublado", 3: "nublado", 45: "niebla", 48: "niebla con escarcha",
+    51: "llovizna ligera", 53: "llovizna moderada", 55: "llovizna densa", 56: "llovizna helada", 57: "llovizna helada densa",
+    61: "lluvia ligera", 63: "lluvia moderada", 65: "lluvia intensa", 66: "lluvia helada ligera", 67: "lluvia helada intensa",
+    71: "nieve ligera", 73: "nieve moderada", 75: "nieve intensa", 80: "tormenta ligera", 81: "tormenta moderada", 82: "tormenta intensa",
+    95: "tormenta eléctrica", 96: "tormenta con granizo ligero", 99: "tormenta con granizo intenso",
+}
 
 
 def weather_label(code) -> Column:
+    """M8. Name of a weather code; ``codigo_n`` for one that has none, ``desconocido`` for null."""
     names = F.create_map(*[x for k, v in WMO.items() for x in (F.lit(k), F.lit(v))])
-    return F.coalesce(F.try_element_at(names, _c(code).cast("int")), F.when(_c(code).isNotNull(), F.lit("unknown")))
+    return F.when(_c(code).isNull(), "desconocido").otherwise(F.coalesce(F.try_element_at(names, _c(code).cast("int")), F.concat(F.lit("codigo_"), _c(code).cast("string"))))
 
 
 def cell(lat, lon, decimals: int = 1) -> list[Column]:

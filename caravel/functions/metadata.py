@@ -68,3 +68,26 @@ def slug(text) -> Column:
     from caravel.functions.text import folded
 
     return F.trim(F.regexp_replace(folded(text), "[^a-z0-9]+", "-"), F.lit("-"))
+
+
+def camera_class(bitrate, fps) -> Column:
+    """M17. Camera by bits a second and frame rate; the first rule that applies."""
+    mbps, f = _c(bitrate) / 1e6, _c(fps)
+    film = F.abs(f - 29.97) < 0.5
+    return F.when(f.isNull() | mbps.isNull(), "desconocida").when(f.between(23.5, 24.5) & mbps.between(35, 55), "B (fps cambiado)").when((mbps >= 55) & film, "A (LA +7h)").when((mbps > 25) & (mbps < 55) & film, "B (UTC+1 −1h)").otherwise("desconocida")
+
+
+def clock_offset(embedded, named) -> Column:
+    """SEQ25. Hours from the time in a file's name to its embedded time, both read as plain clock readings."""
+    return (F.unix_micros(_c(embedded)) - F.unix_micros(_c(named))) / 3.6e9
+
+
+def signed_hours(hours) -> Column:
+    """SEQ25. ``+7.0h``."""
+    h = _c(hours)
+    return F.when(h.isNotNull(), F.concat(F.when(h < 0, "-").otherwise("+"), F.format_string("%.1fh", F.abs(h))))
+
+
+def first_known(*sources: Column) -> Column:
+    """D3, DOC14. Struct (value, source) of the first known of columns, with its place from 1 on."""
+    return F.coalesce(*[F.when(c.isNotNull(), F.struct(c.alias("value"), F.lit(i + 1).alias("source"))) for i, c in enumerate(sources)])

@@ -71,3 +71,10 @@ def twilight(degrees) -> Column:
     """Name of the light at a sun elevation."""
     e = _c(degrees)
     return F.when(e.isNull(), None).when(e >= 12, "day").when(e >= 6, "low sun").when(e >= 0, "golden").when(e >= -6, "civil").when(e >= -12, "nautical").when(e >= -18, "astronomical").otherwise("night")
+
+
+def since(ts, lat, lon) -> Column:
+    """M5. Struct of seconds since sunrise, to sunset and since noon of the date; null where there is no such event."""
+    now = F.pmod(F.unix_micros(_c(ts)) / 1e6, F.lit(86_400.0))
+    rise, set_, noon = (x * 60 for x in (rise_set_minutes(ts, lat, lon, True), rise_set_minutes(ts, lat, lon, False), solar_noon_minutes(ts, lon)))
+    return F.struct((now - rise).alias("since_sunrise"), (set_ - now).alias("to_sunset"), (now - noon).alias("since_noon"))

@@ -54,6 +54,47 @@ def canonical(word, synonyms: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(table, _c(word)), _c(word))
 
 
+#: Patterns of replies that repeat their prompt, file names and sizes.
+JUNK = (
+    "g[eé]nero fotogr[aá]fico", "elige una", "deben describir", "no incluyas", "ejemplo", "ning[uú]n otro texto", "separa", "palabra clave", "this is", "spanish",
+    "primera palabra", r"^\.\.\.$", "no inventes", "separ[aá]las", "no incluesas", r"^sa_\d+$", r"^dsc\d+", r"^\d+x\d+$", r"^\d+\s*[a-z]",
+)
+
+
+def is_junk(word, stop: tuple[str, ...] = (), phrases: tuple[str, ...] = ()) -> Column:
+    """S3. Whether a keyword is noise: it has a junk pattern, under three characters, is a stop word, or is a phrase of three or more words that isn't among ``phrases``. Null is no noise."""
+    w = F.lower(_c(word))
+    spaces = F.length(w) - F.length(F.replace(w, F.lit(" "), F.lit("")))
+    phrase = (spaces >= 2) & (~w.isin(*[p.lower() for p in phrases]) if phrases else F.lit(True))
+    out = w.rlike("|".join(f"(?:{j})" for j in JUNK)) | (F.length(w) < 3) | phrase
+    return out | w.isin(*stop) if stop else out
+
+
+def replaced_words(text, table: dict[str, str]) -> Column:
+    """S20. Whole words replaced in any case, entry by entry."""
+    out = _c(text)
+    for k, v in table.items():
+        key = "".join(f"\\{c}" if not c.isalnum() and c != " " else c for c in k)
+        out = F.regexp_replace(out, rf"(?iu)\b{key}\b", v.replace("\\", "\\\\").replace("$", "\\$"))
+    return out
+
+
+def is_token_subset(part, whole) -> Column:
+    """S17. All words of ``part`` are in ``whole``, which has more than one; false for a blank ``part``."""
+    tokens = lambda c: F.filter(F.array_distinct(F.split(_c(c), r"\s+")), lambda t: t != "")
+    return (F.size(tokens(whole)) > 1) & (F.size(tokens(part)) > 0) & (F.size(F.array_except(tokens(part), tokens(whole))) == 0)
+
+
+def is_concentrated(own: Column, official: Column) -> Column:
+    """S17. One province only, which is among the official ones; true if there are no official ones (arrays)."""
+    return F.when(F.coalesce(F.size(official), F.lit(0)) <= 0, True).otherwise((F.size(own) == 1) & (F.size(F.array_except(own, official)) == 0))
+
+
+def voice_state(segments: Column, **limits: float) -> Column:
+    """S30. ``ok`` if a segment passes ``good_segments``, else ``sin_voz``."""
+    return F.when(F.size(good_segments(segments, **limits)) > 0, "ok").otherwise("sin_voz")
+
+
 def refined(words: Column, synonyms: dict[str, str] | None = None, stop: tuple[str, ...] = (), most: int = 7) -> Column:
     """Normal form, junk out, singular, canonical, first occurrences, the first ``most``."""
     junk = lambda w: (F.length(w) < 3) | w.isin(*stop) if stop else F.length(w) < 3

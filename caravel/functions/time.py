@@ -60,3 +60,8 @@ def between_places(t1, d1, t2, d2, most: float = 2000.0) -> Column:
     x, y = _c(d1), _c(d2)
     mixed = F.when(x + y == 0, a).otherwise((a * y + b * x) / (x + y))
     return F.when(F.least(x, y) <= most, F.timestamp_micros(mixed.cast("long")))
+
+
+def mark_time(base, offset_s) -> Column:
+    """D10. The instant of a mark: its item's start and the offset in it."""
+    return F.timestamp_micros(F.unix_micros(_c(base)) + F.round(_c(offset_s) * 1_000_000).cast("long"))

@@ -28,6 +28,22 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot, norm(a) * norm(b))
 
 
+def similarity_search(df: DataFrame, key: str, vector: str, group: str, every: int = 100) -> DataFrame:
+    """JN17. (a, b, similarity): the cosine of each query row (``key`` divisible by ``every``) with all other rows of its group.
+
+    A stated query set against all rows, not all pairs. It is an equi-join on the group
+    whose hot keys adaptive execution splits; norms are worked out once a row.
+    """
+    own = df.where(F.col(key).isNotNull() & F.col(group).isNotNull() & F.col(vector).isNotNull())
+    v = F.transform(vector, lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
+    rows = own.select(F.col(group).alias("_g"), F.col(key).alias("b"), v.alias("_y"), norm.alias("_ny"))
+    asked = own.where(F.col(key) % every == 0).select(F.col(group).alias("_g"), F.col(key).alias("a"), v.alias("_x"), norm.alias("_nx"))
+    met = rows.join(asked, "_g").where(F.col("a") != F.col("b"))
+    dot = F.aggregate(F.zip_with("_x", "_y", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    return met.select("a", "b", F.try_divide(dot, F.col("_nx") * F.col("_ny")).alias("similarity"))
+
+
 def leader_clusters(df: DataFrame, by: Sequence[str], key: str, value: str, alike, out: str = "leader") -> DataFrame:
     """Greedy leaders within ``by``: a row joins the first leader that is ``alike(value, leader value)``, else it leads.
 

@@ -6,12 +6,15 @@ a pair that meets in several bins counts in the first it shares. No side is broa
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caravel.functions.geo import haversine
+from caravel.functions.geo import EARTH_M, haversine
+from caravel.operators.ordered import asof
+from caravel.session import cut_lineage
 
 
 def _bins(start: Column, end: Column, width: int) -> Column:
@@ -29,49 +32,75 @@ def overlaps(a: DataFrame, b: DataFrame, a_span: tuple[str, str], b_span: tuple[
 
 
 def best_interval(items: DataFrame, tracks: DataFrame, item_span: tuple[str, str], track_span: tuple[str, str], item_key: str, track_key: str, by: Sequence[str]) -> DataFrame:
-    """The best track of each item within ``by``: one that contains it (smallest), else that overlaps it
-    most, else the nearest; ties by track key. Adds ``mode`` and ``metric`` (seconds)."""
+    """JN13. The best track of each item within ``by``: one that contains it (smallest), else that overlaps it
+    most, else the nearest; ties by track key. Adds ``mode`` and ``metric`` (seconds).
+
+    Items meet the tracks they touch through time bins. Those that touch none look for the last track that ended before
+    them and the first one that begins behind them (as-of joins), so no item meets all tracks of its key.
+    """
     s = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
-    met = items.join(tracks, list(by))
     i0, i1, t0, t1 = s(item_span[0]), s(item_span[1]), s(track_span[0]), s(track_span[1])
+    met = overlaps(items, tracks, item_span, track_span, 86_400, by)
     shared = F.least(i1, t1) - F.greatest(i0, t0)
     rank = F.when((t0 <= i0) & (t1 >= i1), 0).when(shared > 0, 1).otherwise(2)
-    metric = F.when(rank == 0, t1 - t0).when(rank == 1, -shared).otherwise(F.greatest(t0 - i1, i0 - t1))
+    metric = F.when(rank == 0, t1 - t0).when(rank == 1, -shared).otherwise(F.lit(0.0))
     choice = F.struct(rank.alias("rank"), metric.alias("metric"), F.col(track_key).alias("track"))
-    best = met.groupBy(item_key).agg(F.min(choice).alias("b"))
+    touched = met.select(*by, item_key, choice.alias("b"))
+    # the nearest behind and before; of equal ones the least key
+    ends = tracks.groupBy(*by, F.col(track_span[1]).alias("_edge")).agg(F.min(track_key).alias("_track"))
+    begins = tracks.groupBy(*by, F.col(track_span[0]).alias("_edge")).agg(F.min(track_key).alias("_track"))
+    found = items.select(*by, item_key, F.col(item_span[0]).alias("_edge"), F.col(item_span[1]).alias("_to"))
+    back = asof(found, ends, "_edge", F.struct("_edge", "_track"), by)
+    forth = asof(found.select(*by, item_key, F.col("_to").alias("_edge")), begins, "_edge", F.struct("_edge", "_track"), by, back=False, ahead=True)
+    gap = lambda a, b: (F.unix_micros(F.col(a).cast("timestamp")) - F.unix_micros(F.col(b).cast("timestamp"))) / 1e6
+    near = lambda df, way, away: df.where(F.col(way).isNotNull()).select(*by, item_key, F.struct(F.lit(2).alias("rank"), away.alias("metric"), F.col(f"{way}._track").alias("track")).alias("b"))
+    apart = near(back, "prev", gap("_edge", "prev._edge")).unionByName(near(forth, "next", gap("next._edge", "_edge")))
+    best = touched.unionByName(apart).groupBy(item_key).agg(F.min("b").alias("b"))
     names = F.array(F.lit("contains"), F.lit("overlaps"), F.lit("nearest"))
     return best.select(item_key, F.col("b.track").alias(track_key), F.get(names, F.col("b.rank")).alias("mode"), F.abs("b.metric").alias("metric"))
 
 
 def nearest_points(items: DataFrame, points: DataFrame, item: tuple[str, str, str], point: tuple[str, str, str], k: int = 2, degrees: float = 1.0) -> DataFrame:
-    """(item, point, metres, rank): the ``k`` nearest points of each item.
+    """JN14. (item, point, metres, rank): the ``k`` nearest points of each item, ties by the point's key.
 
-    Rings of grid cells are searched from the inside out; an item leaves as soon as its k-th
-    distance is within what the searched rings cover for sure, so the pairs compared follow the
-    density of points and not their number. ``item`` and ``point`` are (key, lat, lon) names.
+    A pyramid of grids: an item looks at the nine cells around it, and leaves as soon as its k-th distance is within what
+    they cover for sure; the others look again with cells twice as wide, so each round costs nine cells an item
+    whatever the distance. Columns wrap at 180 degrees. ``item`` and ``point`` are (key, lat, lon) names; rows without a
+    position are left out, and an item gets fewer than ``k`` only if there are fewer points.
     """
     ik, ia, io = item
     pk, pa_, po = point
-    near = points.where(F.col(pa_).isNotNull() & F.col(po).isNotNull()).select(F.col(pk).alias("_p"), F.col(pa_).alias("_pa"), F.col(po).alias("_po"), F.floor(F.col(pa_) / degrees).alias("_cy"), F.floor(F.col(po) / degrees).alias("_cx"))
+    near = points.where(F.col(pa_).isNotNull() & F.col(po).isNotNull()).select(F.col(pk).alias("_p"), F.col(pa_).alias("_pa"), F.col(po).alias("_po"))
     open_ = items.where(F.col(ia).isNotNull() & F.col(io).isNotNull()).select(F.col(ik).alias("_i"), F.col(ia).alias("_ia"), F.col(io).alias("_io"))
-    w = Window.partitionBy("_i").orderBy("_m", "_p")
-    reach, out = 1, None
     total = near.count()
+    if total == 0:
+        return open_.where("false").select(F.col("_i").alias(ik), F.lit(None).cast(points.schema[pk].dataType).alias(pk), F.lit(0.0).alias("metres"), F.lit(0).alias("rank"))
+    w = Window.partitionBy("_i").orderBy("_m", "_p")
+    columns = 1 << max(2, math.floor(math.log2(360 / degrees)))
+    out = None
     while True:
-        ring = F.sequence(F.lit(-reach), F.lit(reach))
-        cells = open_.withColumn("_dy", F.explode(ring)).withColumn("_dx", F.explode(ring)).withColumn("_cy", F.floor(F.col("_ia") / degrees) + F.col("_dy")).withColumn("_cx", F.floor(F.col("_io") / degrees) + F.col("_dx"))
-        met = cells.join(near, ["_cy", "_cx"]).withColumn("_m", haversine("_ia", "_io", "_pa", "_po"))
-        ranked = met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        whole = reach * degrees >= 360
-        # metres that the searched square covers around any place in its middle cell, at the least favourable latitude
-        sure = haversine(F.col("_ia"), F.col("_io"), F.col("_ia"), F.col("_io") + F.lit(min(reach * degrees, 180.0))) * 0.999
-        tested = ranked.withColumn("_sure", F.least(sure, F.lit(reach * degrees * 111_000.0))).withColumn("_kth", F.max("_m").over(Window.partitionBy("_i"))).withColumn("_n", F.count("*").over(Window.partitionBy("_i")))
-        done = tested if whole else tested.where((F.col("_n") >= min(k, total)) & (F.col("_kth") <= F.col("_sure")))
-        part = done.select(F.col("_i").alias(ik), F.col("_p").alias(pk), F.col("_m").alias("metres"), "rank")
-        out = part if out is None else out.unionByName(part)
-        if whole or total == 0:
+        size = 360.0 / columns
+        whole = columns <= 4
+        # the widest grid is one cell
+        row = (lambda c: F.lit(0)) if whole else (lambda c: F.floor((F.col(c) + 90) / size).cast("int"))
+        column = (lambda c: F.lit(0)) if whole else (lambda c: F.pmod(F.floor(F.col(c) / size), F.lit(columns)).cast("int"))  # noqa: B023
+        ring = F.array(F.lit(0)) if whole else F.array(F.lit(-1), F.lit(0), F.lit(1))
+        cells = open_.withColumn("_dy", F.explode(ring)).withColumn("_dx", F.explode(ring))
+        cells = cells.withColumn("_cy", row("_ia") + F.col("_dy")).withColumn("_cx", F.pmod(column("_io") + F.col("_dx"), F.lit(max(columns, 1))))
+        met = cells.join(near.withColumn("_cy", row("_pa")).withColumn("_cx", column("_po")), ["_cy", "_cx"]).withColumn("_m", haversine("_ia", "_io", "_pa", "_po"))
+        best = met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        # metres to the nearest edge of the nine cells: along the meridian, and to the meridian one cell away
+        aside = F.asin(F.cos(F.radians("_ia")) * math.sin(math.radians(min(size, 90.0))))
+        sure = EARTH_M * F.least(F.lit(math.radians(size)), aside) * 0.999
+        each = Window.partitionBy("_i")
+        tested = best.withColumn("_kth", F.max("_m").over(each)).withColumn("_n", F.count("*").over(each))
+        done = tested if whole else tested.where((F.col("_n") >= min(k, total)) & (F.col("_kth") <= sure))
+        part = cut_lineage(done.select("_i", "_p", F.col("_m").alias("metres"), "rank"))
+        named = part.select(F.col("_i").alias(ik), F.col("_p").alias(pk), "metres", "rank")
+        out = named if out is None else out.unionByName(named)
+        if whole:
             return out
-        open_ = open_.join(done.select("_i").distinct(), "_i", "left_anti")
+        open_ = cut_lineage(open_.join(part.select("_i").distinct(), "_i", "left_anti"))
         if open_.isEmpty():
             return out
-        reach *= 4
+        columns //= 2

@@ -25,18 +25,21 @@ def _before(by: Sequence[str]) -> Window:
     return Window.partitionBy(*by, "_bucket")
 
 
-def with_neighbours(df: DataFrame, order: Sequence[str], value: Column, by: Sequence[str] = (), bucket: Column | None = None, back: bool = True, ahead: bool = False, current: bool = False) -> DataFrame:
-    """Adds ``prev`` and/or ``next``: the nearest non-null ``value`` before / behind each row.
+def with_neighbours(df: DataFrame, order: Sequence[str], value: Column, by: Sequence[str] = (), bucket: Column | None = None, back: bool = True, ahead: bool = False, current: bool = False, value_ahead: Column | None = None) -> DataFrame:
+    """SEQ12, DOC3. Adds ``prev`` and/or ``next``: the nearest non-null ``value`` before / behind each row.
 
-    ``current``: the row itself counts. ``order`` begins with the time column of the buckets.
+    ``current``: the row itself counts. ``order`` begins with the time column of the buckets. ``value_ahead`` is
+    looked for behind each row instead of ``value``. Rows without a time are in a bucket of their own, before all others; keys
+    ``by`` may be null.
     """
-    rows = df.withColumn("_bucket", bucket if bucket is not None else bucket_of(order[0])).withColumn("_value", value)
+    own = F.coalesce(bucket if bucket is not None else bucket_of(order[0]), F.lit(-(1 << 62)))
+    rows = df.withColumn("_bucket", own).withColumn("_value", value).withColumn("_value_ahead", value if value_ahead is None else value_ahead)
     up, down = [F.col(c).asc() for c in order], [F.col(c).desc() for c in order]
     edge = 0 if current else -1
     key = F.struct(*order)
     # of each bucket the outermost known values
-    known = F.col("_value").isNotNull()
-    summary = rows.groupBy(*by, "_bucket").agg(F.max_by("_value", F.when(known, key)).alias("_high"), F.min_by("_value", F.when(known, key)).alias("_low"))
+    at = lambda c: F.when(F.col(c).isNotNull(), key)
+    summary = rows.groupBy(*by, "_bucket").agg(F.max_by("_value", at("_value")).alias("_high"), F.min_by("_value_ahead", at("_value_ahead")).alias("_low"))
     over = Window.partitionBy(*by)
     carry = []
     if back:
@@ -44,65 +47,82 @@ def with_neighbours(df: DataFrame, order: Sequence[str], value: Column, by: Sequ
         summary = summary.withColumn("_carry_prev", F.last("_high", ignorenulls=True).over(over.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)))
         carry.append("prev")
     if ahead:
-        rows = rows.withColumn("next", F.last("_value", ignorenulls=True).over(_before(by).orderBy(*down).rowsBetween(Window.unboundedPreceding, edge)))
+        rows = rows.withColumn("next", F.last("_value_ahead", ignorenulls=True).over(_before(by).orderBy(*down).rowsBetween(Window.unboundedPreceding, edge)))
         summary = summary.withColumn("_carry_next", F.last("_low", ignorenulls=True).over(over.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)))
         carry.append("next")
-    both = rows.join(summary.select(*by, "_bucket", *[f"_carry_{c}" for c in carry]), [*by, "_bucket"])
+    both = _met(rows, summary.select(*by, "_bucket", *[f"_carry_{c}" for c in carry]), by)
     for c in carry:
         both = both.withColumn(c, F.coalesce(c, f"_carry_{c}"))
-    return both.drop("_bucket", "_value", *[f"_carry_{c}" for c in carry])
+    return both.drop("_bucket", "_value", "_value_ahead", *[f"_carry_{c}" for c in carry])
+
+
+def _met(rows: DataFrame, summary: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``rows`` with the summary of their key and bucket; null keys meet too."""
+    s = summary.withColumnsRenamed({c: f"_of_{c}" for c in (*by, "_bucket")})
+    on = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*by, "_bucket")]
+    cond = on[0]
+    for c in on[1:]:
+        cond = cond & c
+    return rows.join(s, cond).drop(*[f"_of_{c}" for c in (*by, "_bucket")])
 
 
 def running_sums(df: DataFrame, order: Sequence[str], sums: dict[str, Column], by: Sequence[str] = (), bucket: Column | None = None) -> DataFrame:
     """Adds running totals, the row itself included; null counts as 0."""
-    rows = df.withColumn("_bucket", bucket if bucket is not None else bucket_of(order[0]))
-    rows = rows.withColumns({f"_of_{k}": F.coalesce(v, F.lit(0)) for k, v in sums.items()})
-    total = rows.groupBy(*by, "_bucket").agg(*[F.sum(f"_of_{k}").alias(f"_sum_{k}") for k in sums])
+    rows = df.withColumn("_bucket", F.coalesce(bucket if bucket is not None else bucket_of(order[0]), F.lit(-(1 << 62))))
+    rows = rows.withColumns({f"_sum_of_{k}": F.coalesce(v, F.lit(0)) for k, v in sums.items()})
+    total = rows.groupBy(*by, "_bucket").agg(*[F.sum(f"_sum_of_{k}").alias(f"_sum_{k}") for k in sums])
     earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     total = total.select(*by, "_bucket", *[F.coalesce(F.sum(f"_sum_{k}").over(earlier), F.lit(0)).alias(f"_base_{k}") for k in sums])
     inside = _before(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.join(total, [*by, "_bucket"]).withColumns({k: F.sum(f"_of_{k}").over(inside) + F.col(f"_base_{k}") for k in sums})
-    return out.drop("_bucket", *[f"{p}{k}" for k in sums for p in ("_of_", "_base_")])
+    out = _met(rows, total, by).withColumns({k: F.sum(f"_sum_of_{k}").over(inside) + F.col(f"_base_{k}") for k in sums})
+    return out.drop("_bucket", *[f"{p}{k}" for k in sums for p in ("_sum_of_", "_base_")])
 
 
 def asof(left: DataFrame, right: DataFrame, ts: str, value: Column, by: Sequence[str] = (), back: bool = True, ahead: bool = False, strict: bool = False, seconds: int = DAY, right_order: Sequence[str] = ()) -> DataFrame:
-    """Adds to ``left`` the nearest ``value`` of ``right`` at or before (``prev``) and at or after (``next``) ``ts``.
+    """JN10, JN11. Adds to ``left`` the nearest ``value`` of ``right`` at or before (``prev``) and at or after (``next``) ``ts``.
 
     strict: an equal time doesn't count. Both sides meet in one sorted stream of time buckets;
-    no side is broadcast and no pair is enumerated. ``right_order`` breaks ties of equal times.
+    no side is broadcast and no pair is enumerated. ``right_order`` breaks ties of equal times. Every row
+    of ``left`` stays once, repeated and null ones too; a null time has no neighbour.
     """
     order = list(right_order)
-    l = left.withColumn("_left", F.struct(*[F.col(f"`{c}`") for c in left.columns])).select(*by, F.col(ts).alias("_ts"), "_left", *[F.lit(None).alias(f"_o{i}") for i in range(len(order))])
-    r = right.select(*by, F.col(ts).alias("_ts"), value.alias("_right"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
-    union = l.unionByName(r, allowMissingColumns=True)
-    out = left
-    is_left = F.col("_left").isNotNull()
     ties = [f"_o{i}" for i in range(len(order))]
+    l = left.withColumn("_left", F.struct(*[F.col(f"`{c}`") for c in left.columns])).select(*by, F.col(ts).alias("_ts"), F.lit(1).alias("_at"), "_left")
+    r = right.where(F.col(ts).isNotNull()).select(*by, F.col(ts).alias("_ts"), value.alias("_right"), *[F.col(c).alias(t) for c, t in zip(order, ties, strict=True)])
+    # of equal times, what counts backwards stands before the left rows and what counts ahead behind them; if strict the other way round
+    before, behind = (2, 0) if strict else (0, 2)
+    none = F.lit(None).cast(r.schema["_right"].dataType)
+    union = l
+    if back:
+        union = union.unionByName(r.withColumn("_at", F.lit(before)).withColumn("_ahead", none), allowMissingColumns=True)
+    if ahead or not back:
+        union = union.unionByName(r.withColumn("_at", F.lit(behind)).withColumn("_ahead", F.col("_right")).withColumn("_right", none), allowMissingColumns=True)
+    got = with_neighbours(union, ["_ts", "_at", *ties], F.col("_right"), by, bucket_of("_ts", seconds), back=back, ahead=ahead or not back, value_ahead=F.col("_ahead"))
+    names = (["prev"] if back else []) + (["next"] if ahead or not back else [])
+    timeless = F.col("_ts").isNull()
+    return got.where("_left is not null").select("_left.*", *[F.when(~timeless, F.col(n)).alias(n) for n in names])
+
 
-    def leg(name: str) -> DataFrame:
-        # at equal times the left row comes behind the right ones in reading direction, or before them if strict
-        forward = name == "prev"
-        last = is_left if (forward != strict) else ~is_left
-        rows = union.withColumn("_at", last.cast("int"))
-        got = with_neighbours(rows, ["_ts", "_at", *ties], F.col("_right"), by, bucket_of("_ts", seconds), back=forward, ahead=not forward)
-        return got.where("_left is not null").select("_left.*", name)
+def lagged(df: DataFrame, by: Sequence[str], order: Sequence[str], values: dict[str, Column], ahead: bool = False) -> DataFrame:
+    """Adds the values of the row just before (or behind) within ``by``; null at the end of a key.
 
-    if back and ahead:
-        first = leg("prev")
-        second = leg("next")
-        keys = list(left.columns)
-        cond = [first[k].eqNullSafe(second[k]) for k in keys[:1]]
-        return first.join(second.select(keys[0], "next"), keys[0]) if cond else first
-    out = leg("prev" if back else "next")
-    return out
+    A key may hold any share of the rows: it is cut into time buckets.
+    """
+    row = F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values.values())])
+    near = "next" if ahead else "prev"
+    rows = with_neighbours(df.withColumn("_row", row), order, F.col("_row"), by, back=not ahead, ahead=ahead)
+    return rows.withColumns({k: F.col(f"{near}.v{i}") for i, k in enumerate(values)}).drop("_row", near)
 
 
 def sessions(df: DataFrame, by: Sequence[str], ts: str, gap_seconds: float, tie: str, out: str = "session") -> DataFrame:
-    """Adds the session number within ``by``: a new one behind a gap of more than ``gap_seconds``."""
-    w = Window.partitionBy(*by).orderBy(ts, tie)
+    """SEQ14. Adds the session number within ``by``: a new one behind a gap of more than ``gap_seconds``.
+
+    Neighbours and numbers are found in time buckets, so one key may hold any share of the rows.
+    """
     at = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
-    new = (at - F.lag(at).over(w) > gap_seconds).cast("int")
-    return df.withColumn(out, F.sum(F.coalesce(new, F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = lagged(df, by, [ts, tie], {"_before": at})
+    new = F.coalesce((at - F.col("_before") > gap_seconds).cast("long"), F.lit(0))
+    return running_sums(rows, [ts, tie], {out: new}, by).drop("_before")
 
 
 def anchored_groups(df: DataFrame, by: Sequence[str], ts: str, window_seconds: float, tie: str, out: str = "burst") -> DataFrame:
@@ -129,27 +149,6 @@ def anchored_groups(df: DataFrame, by: Sequence[str], ts: str, window_seconds: f
 
 
 def changes(df: DataFrame, by: Sequence[str], order: Sequence[str], state: Column, out: str = "state") -> DataFrame:
-    """Rows at which a known state differs from the row before; an unknown state resets, so the next known one counts."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    rows = df.withColumn(out, state)
-    rows = rows.withColumn("before", F.lag(out).over(w)).withColumn("_n", F.row_number().over(w))
-    return rows.where(F.col(out).isNotNull() & (F.col("_n") > 1) & ~F.col(out).eqNullSafe(F.col("before"))).drop("_n")
-
-
-def emitted(df: DataFrame, by: Sequence[str], ts: str, tie: str, lat: str, lon: str, metres: float) -> DataFrame:
-    """Rows kept by distance to the last *kept* row: the first, then each at least ``metres`` away.
-
-    The state is the last kept position, so it is a fold per key over sorted rows.
-    """
-    from caravel.functions.geo import haversine
-
-    kind = df.schema[tie].dataType.simpleString()
-    listed = df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(tie).alias("id"), F.col(lat).alias("lat"), F.col(lon).alias("lon")))).alias("_rows"))
-    start = F.struct(F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), F.array().cast(f"array<{kind}>").alias("out"))
-
-    def step(acc: Column, r: Column) -> Column:
-        keep = acc["lat"].isNull() | (haversine(acc["lat"], acc["lon"], r["lat"], r["lon"]) >= metres)
-        return F.when(keep, F.struct(r["lat"].alias("lat"), r["lon"].alias("lon"), F.array_append(acc["out"], r["id"]).alias("out"))).otherwise(acc)
-
-    kept = listed.select(*by, F.explode(F.aggregate("_rows", start, step, lambda acc: acc["out"])).alias(tie))
-    return df.join(kept, [*by, tie], "left_semi")
+    """SEQ5. Rows at which a known state differs from the row before; an unknown state resets, so the next known one counts."""
+    rows = lagged(df.withColumn(out, state), by, order, {"before": F.col(out), "_any": F.lit(True)})
+    return rows.where(F.col(out).isNotNull() & F.col("_any").isNotNull() & ~F.col(out).eqNullSafe(F.col("before"))).drop("_any")

@@ -214,7 +214,7 @@ def coverage(spark, d):
     return table(spark, d, "documents").select("doc_id", F.length("text").cast("long").alias("chars"), F.round(F.size(F.array_intersect(words, wanted)) / 5.0, 4).alias("coverage"))
 
 
-@query("""WITH w AS (SELECT doc_id, string_split(text, ' ')[1:12] AS words FROM documents), u AS (SELECT doc_id, unnest(words) AS w, unnest(range(len(words))) AS p FROM w),
+@query("""WITH w AS (SELECT doc_id, string_split(text, ' ') AS words FROM documents), u AS (SELECT doc_id, unnest(words) AS w, unnest(range(len(words))) AS p FROM w),
 f AS (SELECT doc_id, w, p, row_number() OVER (PARTITION BY doc_id, lower(w) ORDER BY p) AS r FROM u)
 SELECT doc_id, string_agg(w, ' ' ORDER BY p) AS merged FROM f WHERE r = 1 GROUP BY 1""")
 def merge_keywords_ci(spark, d):
@@ -248,7 +248,8 @@ def snapshot(spark, d):
 # --- the loop --------------------------------------------------------------------------------
 
 HOURS, LOOP_SECONDS = (7, 16, 13, 18), 300.0
-_SEGMENTS_SQL = ", ".join(f"({s['seg']}, {s['h_from']}, {s['arc']}, {s['t_from']}::DOUBLE, {s['t_to']}::DOUBLE)" for s in loop.loop_segments(HOURS, LOOP_SECONDS))
+# by hand: three arcs of 100 seconds; 16 to 13 doesn't rise, so it goes round midnight
+_SEGMENTS_SQL = "(0, 7, 9, 0::DOUBLE, 100::DOUBLE), (1, 16, 21, 100::DOUBLE, 200::DOUBLE), (2, 13, 5, 200::DOUBLE, 300::DOUBLE)"
 _LOOP_SQL = f"""{ITEM_SQL}, seg(seg, h_from, arc, t_from, t_to) AS (VALUES {_SEGMENTS_SQL}),
 h AS (SELECT *, (epoch(ts - INTERVAL 3 HOUR)::DOUBLE - 86400.0 * floor(epoch(ts - INTERVAL 3 HOUR) / 86400.0)) / 3600 AS hour,
   (CASE WHEN kind = 'image' THEN (color1 IN ('red', 'blue'))::INT + (color2 IN ('red', 'blue'))::INT + (color3 IN ('red', 'blue'))::INT ELSE 0 END + contains(lower(coalesce(place, '')), 'an')::INT) AS score FROM item),
@@ -384,7 +385,7 @@ def interval_best_track(spark, d):
     return best.withColumn("metric", F.round("metric", 3))
 
 
-@query(f"""WITH {ITEM_SQL}, {TRACK_SQL}, m AS (SELECT media_id, point_id, {_HAV.format(a="lat", b="lon", c="plat", d="plon")} AS metres FROM item, track WHERE lat IS NOT NULL AND media_id % 20 <> 0)
+@query(f"""WITH {ITEM_SQL}, {TRACK_SQL}, m AS (SELECT media_id, point_id, {_HAV.format(a="lat", b="lon", c="plat", d="plon")} AS metres FROM item, track WHERE lat IS NOT NULL)
 SELECT media_id, point_id, round(metres, 2) AS metres, (row_number() OVER (PARTITION BY media_id ORDER BY m.metres, point_id))::INT AS rank FROM m QUALIFY rank <= 2""")
 def knn_two_points(spark, d):
     item = items(spark, d)
@@ -436,8 +437,8 @@ def overlap_windows(spark, d):
 
 @query(f"""WITH {ITEM_SQL} SELECT media_id, lag(media_id) OVER w AS previous, lead(media_id) OVER w AS next FROM item WINDOW w AS (PARTITION BY folder ORDER BY ts, media_id)""")
 def next_previous_item(spark, d):
-    w = Window.partitionBy("folder").orderBy("ts", "media_id")
-    return items(spark, d).select("media_id", F.lag("media_id").over(w).alias("previous"), F.lead("media_id").over(w).alias("next"))
+    rows = ordered.with_neighbours(items(spark, d).select("media_id", "folder", "ts"), ["ts", "media_id"], F.col("media_id"), ["folder"], back=True, ahead=True)
+    return rows.select("media_id", F.col("prev").alias("previous"), "next")
 
 
 @query("""SELECT strftime(ts, '%Y-%m-%d') AS day, count(*)::BIGINT AS n FROM events GROUP BY 1""")
@@ -473,8 +474,8 @@ def fixed_samples(spark, d):
 @query(f"""WITH {ITEM_SQL}, l AS (SELECT media_id, folder, alt - lag(alt) OVER (PARTITION BY folder ORDER BY ts, media_id) AS rise FROM item)
 SELECT media_id, CASE WHEN rise > 0 THEN 'up' ELSE 'down' END AS direction, round(rise, 2) AS rise FROM l WHERE abs(rise) >= 300""")
 def elevation_marks(spark, d):
-    w = Window.partitionBy("folder").orderBy("ts", "media_id")
-    rows = items(spark, d).withColumn("rise", F.col("alt") - F.lag("alt").over(w)).where(F.abs("rise") >= 300)
+    rows = ordered.lagged(items(spark, d), ["folder"], ["ts", "media_id"], {"before": F.col("alt")})
+    rows = rows.withColumn("rise", F.col("alt") - F.col("before")).where(F.abs("rise") >= 300)
     return rows.select("media_id", F.when(F.col("rise") > 0, "up").otherwise("down").alias("direction"), F.round("rise", 2).alias("rise"))
 
 
@@ -503,15 +504,19 @@ def twilight_changes(spark, d):
     return ordered.changes(rows, ["folder"], ["ts", "media_id"], sun.twilight("el"), "light").select("media_id", "before", "light")
 
 
-@query(f"""WITH {ITEM_SQL}, p AS (SELECT media_id, folder, ts, {_HAV.format(a="lag(lat) OVER w", b="lag(lon) OVER w", c="lat", d="lon")} / nullif((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 3.6e9, 0) / 1000 AS kmh FROM item WINDOW w AS (PARTITION BY folder ORDER BY ts, media_id)),
-s AS (SELECT *, CASE WHEN kmh >= 30 THEN 'moving' WHEN kmh < 30 THEN 'stopped' END AS state FROM p), l AS (SELECT *, lag(state) OVER w AS before, row_number() OVER w AS n FROM s WINDOW w AS (PARTITION BY folder ORDER BY ts, media_id))
-SELECT media_id, before, state FROM l WHERE n > 1 AND state IS NOT NULL AND state IS DISTINCT FROM before""")
+@query(f"""WITH {ITEM_SQL}, g AS (SELECT media_id, folder, ts, lat, lon, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 AS dt, row_number() OVER w AS n FROM item WINDOW w AS (PARTITION BY folder ORDER BY ts, media_id)),
+s AS (SELECT media_id, folder, ts, CASE WHEN plat IS NULL OR lat IS NULL THEN 'none' WHEN {_HAV.format(a="plat", b="plon", c="lat", d="lon")} / dt * 3.6 >= 30 THEN 'moving' ELSE 'stopped' END AS state FROM g WHERE n > 1 AND (plat IS NULL OR lat IS NULL OR dt > 0)),
+l AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY folder ORDER BY ts, media_id), 'none') AS before FROM s)
+SELECT media_id, nullif(before, 'none') AS before, state FROM l WHERE state <> 'none' AND state <> before""")
 def motion_changes(spark, d):
-    w = Window.partitionBy("folder").orderBy("ts", "media_id")
-    hours = F.nullif((F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))) / 3.6e9, F.lit(0.0))
-    rows = items(spark, d).withColumn("kmh", geo.haversine(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon")) / hours / 1000)
-    state = F.when(F.col("kmh") >= 30, "moving").when(F.col("kmh") < 30, "stopped")
-    return ordered.changes(rows, ["folder"], ["ts", "media_id"], state).select("media_id", "before", "state")
+    """SEQ6: a step without time leaves the state as it is; an unknown position resets it."""
+    rows = ordered.lagged(items(spark, d), ["folder"], ["ts", "media_id"], {"_lat": F.col("lat"), "_lon": F.col("lon"), "_ts": F.col("ts")}).where("_ts is not null")
+    seconds = (F.unix_micros("ts") - F.unix_micros("_ts")) / 1e6
+    known = F.col("lat").isNotNull() & F.col("_lat").isNotNull()
+    kmh = F.try_divide(geo.haversine("_lat", "_lon", "lat", "lon"), seconds) * 3.6
+    states = rows.where(~known | (seconds > 0)).withColumn("state", F.when(~known, "none").when(kmh >= 30, "moving").otherwise("stopped"))
+    steps = ordered.lagged(states, ["folder"], ["ts", "media_id"], {"before": F.col("state")}).withColumn("before", F.coalesce("before", F.lit("none")))
+    return steps.where("state <> 'none' and state <> before").select("media_id", F.nullif("before", F.lit("none")).alias("before"), "state")
 
 
 @query(f"""WITH {ITEM_SQL}, g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) > 7200000000 THEN 1 ELSE 0 END AS new FROM item WINDOW w AS (PARTITION BY folder ORDER BY ts, media_id)),
@@ -530,12 +535,6 @@ def bursts_anchored(spark, d):
     return ordered.anchored_groups(rows, ["folder"], "ts", 86_400, "media_id").select("folder", "media_id", F.col("burst").cast("long").alias("burst"))
 
 
-@query()
-def emission_fold(spark, d):
-    rows = items(spark, d).select("folder", "media_id", "ts", "lat", "lon")
-    return ordered.emitted(rows, ["folder"], "ts", "media_id", "lat", "lon", 150_000).select("folder", "media_id")
-
-
 @query("""WITH c AS (SELECT l_orderkey AS id, list_sort(list_distinct(list_concat([0.0], list(l_quantity), [60.0]))) AS cuts FROM lineitem GROUP BY 1),
 s AS (SELECT id, unnest(cuts[1:len(cuts) - 1]) AS a, unnest(cuts[2:]) AS b FROM c), p AS (SELECT id, a, b, unnest(range(CAST(ceil((b - a) / 20) AS BIGINT))) AS i FROM s)
 SELECT id, round(a + i * 20, 1) AS start, round(least(b, a + (i + 1) * 20), 1) AS stop FROM p""")
@@ -551,10 +550,11 @@ def scene_split(spark, d):
 x AS (SELECT *, last_value(CASE WHEN t IS NOT NULL THEN {{'p': pos, 't': t}} END IGNORE NULLS) OVER (PARTITION BY folder ORDER BY pos) AS a, first_value(CASE WHEN t IS NOT NULL THEN {{'p': pos, 't': t}} END IGNORE NULLS) OVER (PARTITION BY folder ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM o)
 SELECT media_id, round((a.t + (b.t - a.t) / (b.p - a.p)::DOUBLE * (pos - a.p)) / 1e6, 3) AS at FROM x WHERE t IS NULL AND a IS NOT NULL AND b IS NOT NULL""")
 def timestamps_rank_interp(spark, d):
-    by = Window.partitionBy("folder").orderBy("media_id")
-    rows = items(spark, d).select("media_id", "folder", F.row_number().over(by).alias("pos"), F.when(F.col("media_id") % 4 != 1, F.unix_micros("ts")).alias("t"))
+    # in blocks of ids, so that a folder may hold any share of the items
+    block = F.floor(F.col("media_id") / 10_000)
+    rows = ordered.running_sums(items(spark, d), ["media_id"], {"pos": F.lit(1)}, ["folder"], block).select("media_id", "folder", "pos", F.when(F.col("media_id") % 4 != 1, F.unix_micros("ts")).alias("t"))
     known = F.when(F.col("t").isNotNull(), F.struct(F.col("pos").alias("p"), "t"))
-    x = rows.withColumn("a", F.last(known, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b", F.first(known, ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing)))
+    x = ordered.with_neighbours(rows, ["media_id"], known, ["folder"], block, back=True, ahead=True, current=True).withColumnsRenamed({"prev": "a", "next": "b"})
     value = (F.col("a.t") + (F.col("b.t") - F.col("a.t")) / (F.col("b.p") - F.col("a.p")) * (F.col("pos") - F.col("a.p"))) / 1e6
     return x.where("t is null and a is not null and b is not null").select("media_id", F.round(value, 3).alias("at"))
 
@@ -575,11 +575,10 @@ def fuzzy_names(spark, d):
     return dedup.similar_names(part, part, "p_name", "p_name", 1).where("a < b")
 
 
-@query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id // 50 = b.vec_id // 50 AND a.vec_id < b.vec_id""")
+@query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id""")
 def cosine_pairs(spark, d):
-    e = table(spark, d, "embeddings")
-    a, b = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"), "label"), e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"), "label")
-    return a.join(b, "label").where("a < b").select("a", "b", F.round(dedup.cosine(F.col("x"), F.col("y")), 5).alias("similarity"))
+    """JN17 as a search: every vector whose id is divisible by 100 against all others of its label."""
+    return dedup.similarity_search(table(spark, d, "embeddings"), "vec_id", "embedding", "label").select("a", "b", F.round("similarity", 5).alias("similarity"))
 
 
 @query()
@@ -587,13 +586,6 @@ def cosine_leader_clusters(spark, d):
     return dedup.leader_clusters(table(spark, d, "embeddings"), ["label"], "vec_id", "embedding", lambda a, b: dedup.cosine(a, b) >= 0.7).select("label", "vec_id", "leader")
 
 
-@query()
-def segment_filter(spark, d):
-    piece = lambda i: F.struct((F.lit(float(i)) * 2).alias("start"), (F.lit(float(i)) * 2 + (F.col("event_id") + i) % 4).cast("double").alias("end"), F.concat(F.col("event_type"), F.lit(f" {i} ")).alias("text"), (-((F.col("event_id") + i) % 12) / 10).cast("double").alias("logprob"), F.lit(0.1).alias("no_speech"), F.when(F.col("event_id") % 3 == 0, None).otherwise(F.lit(1.5)).alias("compression"))
-    rows = table(spark, d, "events").select("event_id", F.array(*[piece(i) for i in range(4)]).cast(text.SEGMENT).alias("segments"))
-    return rows.select("event_id", text.transcript(text.good_segments(F.col("segments"))).alias("transcript"), F.size(text.good_segments(F.col("segments"))).alias("kept"))
-
-
 # --- more of the archive's own questions -----------------------------------------------------
 
 
@@ -619,11 +611,14 @@ def sliding_counts(spark, d):
     return windowed_counts(rows, "2 hours", "1 hour").withColumn("start", _stamp("start"))
 
 
-@query(f"""SELECT event_id, ([{", ".join(f"'{p}'" for p in geo.COMPASS)}])[1 + CAST(floor(((event_id * 17) % 360 + 11.25) / 22.5) AS BIGINT) % 16] AS wind,
-  CASE {" ".join(f"WHEN event_id % 100 = {k} THEN '{v}'" for k, v in geo.WMO.items())} ELSE 'unknown' END AS weather FROM events""")
+@query("""SELECT event_id, (['N', 'NNE', 'NE', 'ENE', 'E', 'ESE', 'SE', 'SSE', 'S', 'SSO', 'SO', 'OSO', 'O', 'ONO', 'NO', 'NNO'])[1 + CAST(floor((floor(event_id * 17.7)::BIGINT % 360) / 22.5 + 0.5) AS BIGINT) % 16] AS wind,
+  CASE event_id % 100 WHEN 0 THEN 'despejado' WHEN 1 THEN 'mayormente despejado' WHEN 2 THEN 'parcialmente nublado' WHEN 3 THEN 'nublado' WHEN 45 THEN 'niebla' WHEN 48 THEN 'niebla con escarcha'
+    WHEN 51 THEN 'llovizna ligera' WHEN 53 THEN 'llovizna moderada' WHEN 55 THEN 'llovizna densa' WHEN 56 THEN 'llovizna helada' WHEN 57 THEN 'llovizna helada densa' WHEN 61 THEN 'lluvia ligera' WHEN 63 THEN 'lluvia moderada'
+    WHEN 65 THEN 'lluvia intensa' WHEN 66 THEN 'lluvia helada ligera' WHEN 67 THEN 'lluvia helada intensa' WHEN 71 THEN 'nieve ligera' WHEN 73 THEN 'nieve moderada' WHEN 75 THEN 'nieve intensa' WHEN 80 THEN 'tormenta ligera'
+    WHEN 81 THEN 'tormenta moderada' WHEN 82 THEN 'tormenta intensa' WHEN 95 THEN 'tormenta eléctrica' WHEN 96 THEN 'tormenta con granizo ligero' WHEN 99 THEN 'tormenta con granizo intenso' ELSE 'codigo_' || event_id % 100 END AS weather FROM events""")
 def weather_names(spark, d):
     i = F.col("event_id")
-    return table(spark, d, "events").select("event_id", geo.wind_point(((i * 17) % 360).cast("double")).alias("wind"), geo.weather_label(i % 100).alias("weather"))
+    return table(spark, d, "events").select("event_id", geo.wind_point(i * F.lit(17.7)).alias("wind"), geo.weather_label(i % 100).alias("weather"))
 
 
 @query("""SELECT event_id, strftime(date_trunc('second', ts) + INTERVAL 3 HOUR, '%Y-%m-%d %H:%M:%S') AS utc FROM events""")

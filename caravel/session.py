@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = 8, memory: str = "8g", partitions: int = 8) -> SparkSession:
@@ -15,3 +18,25 @@ def local_session(cpus: int | str = 8, memory: str = "8g", partitions: int = 8)
         .config("spark.driver.memory", memory)
         .getOrCreate()
     )
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
+
+    Where that is unset, local mode (tests) gets a folder of this machine; a cluster must name one.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+        found = getattr(shared_folder, "own", None)
+        if found is None:
+            found = shared_folder.own = "file://" + tempfile.mkdtemp(prefix="caravel-")
+    return found.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read again: what comes behind it isn't computed anew for a lost executor."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

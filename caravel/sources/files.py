@@ -14,10 +14,10 @@ from pyspark.sql.types import StructType
 
 #: File extensions by media type.
 EXTENSIONS = {
-    "image": ("jpg", "jpeg", "png", "heic", "gif", "webp", "dng", "tif", "tiff", "insp"),
-    "video": ("mp4", "mov", "avi", "mkv", "webm", "m4v", "insv", "360"),
-    "audio": ("mp3", "wav", "m4a", "ogg", "opus", "flac", "aac"),
-    "text": ("txt", "md", "pdf", "doc", "docx", "json", "csv"),
+    "image": ("jpg", "jpeg", "png", "tif", "tiff", "bmp", "webp", "heic", "heif"),
+    "video": ("mp4", "mov", "avi", "mkv", "mts", "m2ts", "wmv", "flv", "webm", "mpg", "mpeg"),
+    "audio": ("mp3", "wav", "aac", "flac", "ogg", "m4a", "wma", "opus"),
+    "text": ("txt", "md", "csv", "json", "xml", "srt", "vtt", "doc", "docx", "pdf"),
     "archive": ("zip", "rar", "7z", "tar", "gz"),
 }
 
@@ -116,20 +116,36 @@ def repaired_json(text: str | None) -> str | None:
         return text
     except ValueError:
         pass
-    at = len(text)
-    for _ in range(50):
-        at = text.rfind("}", 0, at)
-        if at < 0:
-            return None
-        for tail in ("]}", "}", "]", ""):
-            try:
-                json.loads(text[: at + 1] + tail)
-                return text[: at + 1] + tail
-            except ValueError:
-                continue
+    ends = _last_whole(text)
+    # the last message of an export's list first, then the last whole thing of any kind
+    for cut, stack in sorted(ends.items(), key=lambda e: (e[1] != "{[", -e[0])):
+        tail = "".join({"[": "]", "{": "}"}[c] for c in reversed(stack))
+        try:
+            json.loads(text[: cut + 1] + tail)
+            return text[: cut + 1] + tail
+        except ValueError:
+            continue
     return None
 
 
+def _last_whole(text: str) -> dict[int, str]:
+    """Where the last object of each depth ended, with the brackets that are open there: one pass over the text."""
+    open_, inside, escaped, ends = [], False, False, {}
+    for i, c in enumerate(text):
+        if inside:
+            escaped, inside = c == "\\" and not escaped, c != '"' or escaped
+        elif c == '"':
+            inside = True
+        elif c in "[{":
+            open_.append(c)
+        elif c in "]}" and open_:
+            open_.pop()
+            if c == "}":
+                # only the last end of each depth can be the cut
+                ends[len(open_)] = (i, "".join(open_))
+    return dict(ends.values())
+
+
 def chat_messages(spark: SparkSession, path: str) -> DataFrame:
     """Messages of ``result.json`` exports, cut ones repaired; an export without messages gives no rows."""
 

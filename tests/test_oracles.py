@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from caravel.plans import archive  # noqa: F401  registers more queries
 from caravel.plans.queries import ORACLE_SQL, QUERIES
 
 DIR = "/root/testdata/sf0.001"
