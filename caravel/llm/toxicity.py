@@ -1,12 +1,12 @@
 """Toxicity by weak supervision.
 
 1. *Voters.* Words that go with the training labels far beyond chance (a likelihood
-   ratio test against the number of words tried) and a short fixed list of insults
-   become lexicon voters; rates and numbers of lexicon hits become pattern voters. The
-   annotators' label is one more voter.
-2. *Label model.* A generative model with a hidden label: EM estimates every voter's
-   rates under either label. Correlations that are left between voters once the label is
-   known share out their weight, so that voters that say the same count once.
+   ratio test against the number of words tried) are lexicon voters. Pattern voters look at how a text
+   is written: shouting, masked words, stretched letters, piled-up marks, and lexicon words that are many, dense, shouted, repeated,
+   next to each other or close behind an address. The annotators' label is one more voter.
+2. *Label model.* A generative model with a hidden label: every voter speaks with a probability given the label
+   and given what one other voter, its parent, says. Parents are the tree of greatest conditional mutual information, and
+   EM estimates all probabilities (so accuracies and correlations), so voters that say the same count once.
 3. *Classifier.* Logistic regression on the votes is trained on the model's posterior
    labels, and scores every text.
 
@@ -28,11 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold_of, without
+from .common import fold_of, without, written
 
-#: Insults that vote from the start.
-INSULTS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 _WORD = re.compile(r"[^\W\d_]+")
+_MASKED = re.compile(r"[^\W\d_][*@#$%]{2,}")
+_STRETCHED = re.compile(r"([^\W\d_])\1{3,}")
+_PILED = re.compile(r"[!?]{3,}")
+#: Words of address in English, German, French and Spanish.
+ADDRESS = ("you", "your", "du", "dein", "dich", "dir", "tu", "toi", "ton", "ta", "vous", "votre", "tú", "tus", "usted", "ustedes")
 
 
 @dataclass(frozen=True)
@@ -53,59 +56,96 @@ def words_of(text: str | None) -> Counter:
     return Counter(_WORD.findall(text.lower())) if text else Counter()
 
 
-PATTERNS = ("any hit", "two words", "three words", "five words", "rate 0.2 %", "rate 0.5 %", "rate 1 %", "rate 2 %", "insult", "two insults")
+PATTERNS = (
+    "any hit", "two words", "three words", "five words", "rate 0.2 %", "rate 0.5 %", "rate 1 %", "rate 2 %", "repeated hit",
+    "hits side by side", "hit behind an address", "shouted hit", "shouting", "masked word", "stretched letters", "piled-up marks",
+)
 
 
 def votes_of(text: str | None, lexicon: dict[str, int]) -> tuple[list[int], list[int]]:
     """(lexicon voters, pattern voters) that speak up."""
-    counts = words_of(text)
-    hit = [w for w in (counts.keys() & lexicon.keys())]
-    if not hit:
+    if not text:
         return [], []
-    total, n = sum(counts.values()), sum(counts[w] for w in hit)
-    insults = sum(w in INSULTS for w in hit)
-    rate = n / total
-    spoken = (True, len(hit) >= 2, len(hit) >= 3, len(hit) >= 5, rate >= 0.002, rate >= 0.005, rate >= 0.01, rate >= 0.02, insults >= 1, insults >= 2)
-    return sorted(lexicon[w] for w in hit), [i for i, x in enumerate(spoken) if x]
+    words = _WORD.findall(text)
+    low = _WORD.findall(text.lower())
+    counts = Counter(low)
+    hit = [w for w in (counts.keys() & lexicon.keys())]
+    shouted = [w for w in words if len(w) > 2 and w.isupper()]
+    style = (len(shouted) >= 3 and 3 * len(shouted) >= len(words), bool(_MASKED.search(text)), bool(_STRETCHED.search(text)), bool(_PILED.search(text)))
+    hits = [False] * 12
+    if hit:
+        n = sum(counts[w] for w in hit)
+        rate = n / len(low)
+        at = [i for i, w in enumerate(low) if w in lexicon]
+        aside = any(b == a + 1 for a, b in zip(at, at[1:], strict=False))
+        addressed = any(w in ADDRESS for i in at for w in low[max(0, i - 3) : i])
+        hits = [True, len(hit) >= 2, len(hit) >= 3, len(hit) >= 5, rate >= 0.002, rate >= 0.005, rate >= 0.01, rate >= 0.02, n > len(hit), aside, addressed, any(w.lower() in lexicon for w in shouted)]
+    return sorted(lexicon[w] for w in hit), [i for i, x in enumerate((*hits, *style)) if x]
 
 
 class LabelModel:
-    """Voters that speak or stay silent, given a hidden label.
+    """Voters that speak or stay silent, given a hidden label and a parent voter.
 
-    ``votes`` is a 0/1 matrix (rows, voters); ``labels`` the annotators' word for each row.
+    ``votes`` is a 0/1 matrix (rows, voters); ``labels`` the annotators' word for each row. ``on[y, p]`` holds the
+    probabilities of speaking under label ``y`` when the parent is silent (p = 0) or speaks; the tree's root has itself as
+    parent and no such difference.
     """
 
     def __init__(self, votes: np.ndarray, labels: np.ndarray, settings: Settings) -> None:
         n, m = votes.shape
-        prior = np.clip(labels.mean(), 0.01, 0.99)
         post = np.where(labels == 1, settings.trust, 1 - settings.trust)
-        self.share = np.ones(m)
+        self.parent = self._tree(votes, post)
+        root = self.parent == np.arange(m)
+        above = np.where(root, 0.0, votes[:, self.parent])
+        both = votes * above
         for _ in range(settings.rounds):
-            w1, w0 = post.sum(), n - post.sum()
-            self.on = np.vstack([(votes.T @ (1 - post) + 0.5) / (w0 + 1), (votes.T @ post + 0.5) / (w1 + 1)])
+            weight = (1 - post, post)
+            self.on = np.zeros((2, 2, m))
+            base = np.zeros(2)
+            for y in (0, 1):
+                w, spoken, up, joint = weight[y].sum(), weight[y] @ votes, weight[y] @ above, weight[y] @ both
+                # a share of the voter's overall rate keeps cells with few rows near it
+                rate = (spoken + 0.5) / (w + 1)
+                self.on[y, 0] = (spoken - joint + 2 * rate) / (w - up + 2)
+                self.on[y, 1] = (joint + 2 * rate) / (up + 2)
+                base[y] = w
             # the annotators are a voter with two error rates of their own
-            told = np.array([((labels == 1) @ (1 - post) + 1) / (w0 + 20), ((labels == 1) @ post + 19) / (w1 + 20)])
-            self.share = self._shares(votes, post)
+            told = np.array([((labels == 1) @ (1 - post) + 1) / (base[0] + 20), ((labels == 1) @ post + 19) / (base[1] + 20)])
             prior = np.clip(post.mean(), 0.001, 0.999)
-            weight = self.share * np.log(self.on[1] / self.on[0])
-            silent = self.share * np.log((1 - self.on[1]) / (1 - self.on[0]))
-            log_odds = math.log(prior / (1 - prior)) + votes @ (weight - silent) + silent.sum()
-            log_odds = log_odds + np.where(labels == 1, math.log(told[1] / told[0]), math.log((1 - told[1]) / (1 - told[0])))
-            new = 1 / (1 + np.exp(-np.clip(log_odds, -30, 30)))
+            log = np.log(np.clip(self.on, 1e-9, 1 - 1e-9))
+            off = np.log1p(-np.clip(self.on, 1e-9, 1 - 1e-9))
+            say, hold = log[1] - log[0], off[1] - off[0]
+            # a voter adds hold0, say0, hold1 or say1, which is linear in its vote, its parent's and both
+            odds = math.log(prior / (1 - prior)) + hold[0].sum() + votes @ (say[0] - hold[0]) + above @ (hold[1] - hold[0]) + both @ (say[1] - hold[1] - say[0] + hold[0])
+            odds = odds + np.where(labels == 1, math.log(told[1] / told[0]), math.log((1 - told[1]) / (1 - told[0])))
+            new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
             done = np.abs(new - post).max() < 1e-4
             post = new
             if done:
                 break
         self.posterior = post
 
-    def _shares(self, votes: np.ndarray, post: np.ndarray) -> np.ndarray:
-        """1 / (1 + correlations with the other voters that the label doesn't explain)."""
-        left = votes - (np.outer(1 - post, self.on[0]) + np.outer(post, self.on[1]))
-        scale = np.sqrt((left**2).mean(axis=0)) + 1e-9
-        self.correlations = np.abs((left.T @ left) / len(votes)) / np.outer(scale, scale)
-        np.fill_diagonal(self.correlations, 0)
-        noise = 3 / math.sqrt(len(votes))  # correlations of this size come by chance
-        return 1 / (1 + np.where(self.correlations > noise, self.correlations, 0).sum(axis=1))
+    @staticmethod
+    def _tree(votes: np.ndarray, post: np.ndarray) -> np.ndarray:
+        """Parent of each voter: the spanning tree of greatest mutual information given the label (Chow and Liu), grown from the first voter."""
+        m = votes.shape[1]
+        information = np.zeros((m, m))
+        for weight in (1 - post, post):
+            w = max(weight.sum(), 1e-9)
+            both = (votes * weight[:, None]).T @ votes / w
+            one = np.diag(both).copy()
+            for a, b, joint in ((one[:, None], one[None, :], both), (one[:, None], 1 - one[None, :], one[:, None] - both), (1 - one[:, None], one[None, :], one[None, :] - both), (1 - one[:, None], 1 - one[None, :], 1 - one[:, None] - one[None, :] + both)):
+                joint = np.clip(joint, 0, 1)
+                information += w * np.where(joint > 1e-12, joint * np.log(np.maximum(joint, 1e-12) / np.maximum(a * b, 1e-12)), 0.0)
+        parent, best = np.zeros(m, np.int64), information[0].copy() if m else np.zeros(0)
+        inside = np.zeros(m, bool)
+        inside[:1] = True
+        for _ in range(m - 1):
+            k = int(np.argmax(np.where(inside, -np.inf, best)))
+            inside[k] = True
+            better = ~inside & (information[k] > best)
+            parent[better], best[better] = k, information[k][better]
+        return parent
 
 
 def fit_linear(x: np.ndarray, target: np.ndarray, penalty: float, steps: int = 25) -> np.ndarray:
@@ -153,59 +193,49 @@ def fit(sample: list[tuple[list[int], list[int], int]], lexicon: dict[str, int],
     label_model = LabelModel(votes, labels, settings)
     w = fit_linear(votes, label_model.posterior, settings.penalty)
     names = [*sorted(lexicon, key=lexicon.get), *PATTERNS]
-    right = {x: float(label_model.on[1, i] / (label_model.on[0, i] + label_model.on[1, i])) for i, x in enumerate(names)}
+    right = {x: float(label_model.on[1, 0, i] / (label_model.on[0, 0, i] + label_model.on[1, 0, i])) for i, x in enumerate(names)}
     return Model(lexicon, w[:m].tolist(), w[m : m + k].tolist(), float(w[-1]), right)
 
 
-def choose_lexicon(stats: list[tuple[str, int, int]], toxic: int, clean: int, tried: int, settings: Settings) -> dict[str, int]:
-    """Words whose likelihood ratio beats the number of words tried; (word, toxic texts, clean texts) rows."""
-    total = toxic + clean
-    found = []
-    for word, n1, n0 in stats:
-        n = n1 + n0
-        if n1 * clean <= n0 * toxic:
-            continue
-        cells = ((n1, n * toxic / total), (n0, n * clean / total), (toxic - n1, (total - n) * toxic / total), (clean - n0, (total - n) * clean / total))
-        value = 2 * sum(a * math.log(a / e) for a, e in cells if a > 0 and e > 0)
-        if value > 2 * math.log(max(2, tried)):
-            found.append((-value, word))
-    chosen = [w for _, w in sorted(found)[: settings.max_lexicon]]
-    return {w: i for i, w in enumerate(dict.fromkeys([*INSULTS, *chosen]))}
+def lexicon_of(per_word: DataFrame, toxic: int, clean: int, settings: Settings) -> dict[str, int]:
+    """Words of (w, n1 toxic texts, n0 clean texts) whose likelihood ratio beats the number of words tried, the best first."""
+    tried, total = per_word.count(), max(toxic + clean, 1)
+    n1, n0 = F.col("n1"), F.col("n0")
+    n = n1 + n0
+    cells = ((n1, n * toxic / total), (n0, n * clean / total), (toxic - n1, (total - n) * toxic / total), (clean - n0, (total - n) * clean / total))
+    value = sum((F.when((a > 0) & (e > 0), a * F.ln(a / e)).otherwise(0.0) for a, e in cells), F.lit(0.0)) * 2
+    found = per_word.where(n1 * clean > n0 * toxic).select("w", value.alias("value")).where(F.col("value") > 2 * math.log(max(2, tried)))
+    return {r["w"]: i for i, r in enumerate(found.orderBy(F.desc("value"), "w").limit(settings.max_lexicon).collect())}
 
 
 def learn(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> Model:
     """From documents (doc_id, text) and labels (doc_id, toxic); null labels and ids aren't used.
 
-    Both must hold the rows to learn from only. The labels are sampled before they meet the
-    texts, so the broadcast side has ``max_labelled`` rows at any input.
+    Both must hold the rows to learn from only. Several labels of an id count as toxic if half of them say so; of several texts
+    of an id the least is taken. The labels are sampled before they meet the texts, so the broadcast side has ``max_labelled``
+    rows at any input. Without labels of both kinds the model scores every text low.
     """
     s = settings or Settings()
-    usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
+    usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
     n = usable.count()
     scale = 1 << 30
-    drawn = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < min(scale, scale * s.max_labelled // max(n, 1))).dropDuplicates(["doc_id"])
-    # what is drawn may be read from here on as often as needed: it is small by its limit
-    sample = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").persist()
-    try:
-        found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
-        per_word = sample.select("toxic", F.explode(found).alias("w")).groupBy("w").agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0"))
-        rows = sample.agg(F.sum("toxic").alias("a"), F.count("*").alias("b")).first()
-        toxic, clean = int(rows["a"] or 0), int(rows["b"]) - int(rows["a"] or 0)
-        ratio = F.col("n1") / (F.col("n0") + 1)
-        stats = per_word.where(F.col("n1") >= 3).orderBy(F.desc(ratio), F.desc("n1"), "w").limit(50 * s.max_lexicon).collect()
-        words = per_word.count()
-        lexicon = choose_lexicon([(r["w"], r["n1"], r["n0"]) for r in stats], toxic, clean, words, s)
-        shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-        kind = T.StructType([T.StructField("words", T.ArrayType(T.IntegerType())), T.StructField("patterns", T.ArrayType(T.IntegerType()))])
-
-        @F.arrow_udf(kind)
-        def votes(texts: pa.Array) -> pa.Array:
-            out = [votes_of(t, shared.value) for t in texts.to_pylist()]
-            return pa.StructArray.from_arrays([pa.array([x[0] for x in out], pa.list_(pa.int32())), pa.array([x[1] for x in out], pa.list_(pa.int32()))], ["words", "patterns"])
-
-        rows = sample.select("doc_id", "toxic", votes(F.col("text").cast("string")).alias("v")).collect()
-    finally:
-        sample.unpersist()
+    drawn = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < min(scale, scale * s.max_labelled // max(n, 1)))
+    met = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id")
+    sample = written(met.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "labelled")
+    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
+    per_word = written(sample.select("toxic", F.explode(found).alias("w")).groupBy("w").agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0")), "words")
+    rows = sample.agg(F.sum("toxic").alias("a"), F.count("*").alias("b")).first()
+    toxic, clean = int(rows["a"] or 0), int(rows["b"]) - int(rows["a"] or 0)
+    lexicon = lexicon_of(per_word, toxic, clean, s)
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    kind = T.StructType([T.StructField("words", T.ArrayType(T.IntegerType())), T.StructField("patterns", T.ArrayType(T.IntegerType()))])
+
+    @F.arrow_udf(kind)
+    def votes(texts: pa.Array) -> pa.Array:
+        out = [votes_of(t, shared.value) for t in texts.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([x[0] for x in out], pa.list_(pa.int32())), pa.array([x[1] for x in out], pa.list_(pa.int32()))], ["words", "patterns"])
+
+    rows = sample.select("doc_id", "toxic", votes("text").alias("v")).collect()
     return fit([(r["v"]["words"], r["v"]["patterns"], r["toxic"]) for r in sorted(rows, key=lambda r: r["doc_id"])], lexicon, s)
 
 
