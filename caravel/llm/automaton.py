@@ -263,7 +263,9 @@ def compile_rules(patterns: list[str], *, backwards: bool = False, anywhere: boo
             if e in states:
                 masks[n] |= bit
     rows, masks, first = _minimise(rows, masks)
-    table = [256 * row[of_byte[b]] for row in rows for b in range(256)]
+    # states as shared numbers, so that the array holds no number twice
+    number = [256 * s for s in range(len(rows))]
+    table = [number[row[of_byte[b]]] for row in rows for b in range(256)]
     plain = sum(m == 0 for m in masks)
     dead = next((256 * s for s, row in enumerate(rows) if not masks[s] and all(t == s for t in row)), -1)
     return Dfa(table, 256 * first, 256 * plain, {256 * s: m for s, m in enumerate(masks) if m}, dead)
