@@ -1,6 +1,6 @@
 """Language identification by compression.
 
-Per language, a bounded sample of training texts becomes a zstandard raw-content
+Per language, a bounded sample of pieces from all places of the training texts becomes a zstandard raw-content
 dictionary. A text is folded to lower-case letters and single spaces, cut into
 blocks (all of them), and every block is compressed against every dictionary; the
 language with the smallest total is chosen, and the choice is marked as rejected
@@ -29,20 +29,17 @@ _GAPS = re.compile(r"[\W\d_]+")
 
 @dataclass(frozen=True)
 class Settings:
-    """sample_docs: texts drawn per language at most (about); dictionary_bytes: of its dictionary.
-    max_doc_chars: of one sampled text, so that no text fills a dictionary alone. block: bytes
-    compressed at once. level: of zstandard, and short_level for texts below short bytes, where
-    single bytes decide. margin: least lead over the runner-up, as a share
+    """sample_pieces: pieces of ``piece`` characters drawn per language at most (about), from all places of
+    all texts, so that no text fills a dictionary alone; dictionary_bytes: of its dictionary. block: bytes
+    compressed at once, for every text. level: of zstandard. margin: least lead over the runner-up, as a share
     of the smallest size, below which a choice is rejected. spread: bytes of lead that halve the
     odds of the runner-up."""
 
-    sample_docs: int = 400
+    sample_pieces: int = 600
+    piece: int = 800
     dictionary_bytes: int = 96 * 1024
-    max_doc_chars: int = 4000
     block: int = 4096
-    level: int = 5
-    short: int = 1024
-    short_level: int = 17
+    level: int = 9
     margin: float = 0.02
     spread: float = 2.0
 
@@ -60,7 +57,7 @@ class Model:
     settings: Settings = field(default_factory=Settings)
 
     def __post_init__(self) -> None:
-        self._own: dict | None = None
+        self._own: list | None = None
 
     def __getstate__(self):
         return (self.dictionaries, self.settings)
@@ -69,24 +66,21 @@ class Model:
         self.dictionaries, self.settings = state
         self._own = None
 
-    def _compressors(self, level: int) -> list:
+    def _compressors(self) -> list:
         if self._own is None:
-            self._own = {}
-        if level not in self._own:
-            params = zstandard.ZstdCompressionParameters.from_level(level, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
-            found = self._own[level] = []
+            params = zstandard.ZstdCompressionParameters.from_level(self.settings.level, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+            self._own = []
             for lang, raw in self.dictionaries.items():
                 held = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 held.precompute_compress(compression_params=params)
-                found.append((lang, zstandard.ZstdCompressor(dict_data=held, compression_params=params).compress))
-        return self._own[level]
+                self._own.append((lang, zstandard.ZstdCompressor(dict_data=held, compression_params=params).compress))
+        return self._own
 
     def sizes(self, data: bytes) -> list[tuple[int, int, str]]:
         """(bytes, place in the model, language)."""
         s = self.settings
         blocks = [data[i : i + s.block] for i in range(0, len(data), s.block)]
-        packers = self._compressors(s.short_level if len(data) < s.short else s.level)
-        return [(sum(len(pack(x)) for x in blocks), n, lang) for n, (lang, pack) in enumerate(packers)]
+        return [(sum(len(pack(x)) for x in blocks), n, lang) for n, (lang, pack) in enumerate(self._compressors())]
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, whether the lead is wide enough)."""
@@ -103,29 +97,32 @@ class Model:
 def learn(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", settings: Settings | None = None) -> Model:
     """Dictionaries from the rows of ``train`` with a language and a text.
 
-    The sample is drawn by a hash of id and text whose threshold follows the number of
-    rows of each language, so its size is bounded at any input; equal texts count once.
+    The sample is drawn by a hash of id, text and place whose threshold follows the number of
+    pieces of each language, so its size is bounded at any input; equal pieces count once. Languages without a letter
+    in their sample are left out; an empty table gives a model without languages.
     """
     s = settings or Settings()
-    usable = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in usable.groupBy(lang_col).count().collect()}
+    usable = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"))
+    many = F.ceil(F.length("text") / s.piece).cast("int")
+    counts = {r["lang"]: (r["rows"], r["pieces"]) for r in usable.groupBy("lang").agg(F.count("*").alias("rows"), F.sum(many).alias("pieces")).collect()}
     if not counts:
         return Model({}, s)
     scale = 1 << 30
-    within = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(scale, scale * s.sample_docs // n)))])
-    drawn = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(scale))
-    rows = usable.where(drawn < within[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, s.max_doc_chars).alias("text"), drawn.alias("h")).collect()
+    within = F.create_map(*[x for lang, (_, n) in counts.items() for x in (F.lit(lang), F.lit(min(scale, scale * s.sample_pieces // max(n, 1))))])
+    places = usable.where(F.length("text") > 0).select("lang", "text", F.explode(F.sequence(F.lit(0), many - 1)).alias("at"), "key")
+    # drawn before any text is cut
+    drawn = F.pmod(F.xxhash64("key", "at"), F.lit(scale))
+    rows = places.where(drawn < within[F.col("lang")]).select("lang", F.expr(f"substring(text, at * {s.piece} + 1, {s.piece})").alias("text"), drawn.alias("h")).collect()
     taken: dict[str, list[bytes]] = {lang: [] for lang in counts}
     room = dict.fromkeys(counts, s.dictionary_bytes)
     seen = set()
     for lang, text, _ in sorted(rows, key=lambda r: (r["lang"], r["h"], r["text"])):
-        data = folded(text)[: room[lang]]
-        if data and (lang, data) not in seen:
+        data = folded(text)
+        if data and len(data) < room[lang] and (lang, data) not in seen:
             seen.add((lang, data))
             taken[lang].append(data)
             room[lang] -= len(data) + 1
-            room[lang] = max(0, room[lang])
-    return Model({lang: b" ".join(taken[lang]) for lang in sorted(taken, key=lambda x: (-counts[x], x)) if taken[lang]}, s)
+    return Model({lang: b" ".join(taken[lang]) for lang in sorted(taken, key=lambda x: (-counts[x][0], x)) if taken[lang]}, s)
 
 
 PREDICTION = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
@@ -137,7 +134,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", out: str = "la
 
     Null texts and texts without a letter get ``und``, 0 and false; so does every text
     if the model has no language. Equal sizes go to the language with more training rows. Very long
-    texts are compressed in blocks, all of them. A column already called ``out`` is replaced.
+    texts are compressed in blocks, all of them; repeated rows are predicted alike. A column already called ``out`` is replaced.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
