@@ -3,27 +3,20 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHECKPOINT_KEY = "spark.checkpoint.dir"
+from caravel.session import shared_folder
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    ``spark.checkpoint.dir`` names it. Only where that is unset (tests in local
-    mode) a folder of this machine is made and used.
-    """
-    found = spark.conf.get(CHECKPOINT_KEY, None)
-    if not found:
-        found = getattr(shared_folder, "own", None)
-        if found is None:
-            found = shared_folder.own = "file://" + tempfile.mkdtemp(prefix="caravel-")
-    return found.rstrip("/")
+def unused(name: str, df: DataFrame) -> str:
+    """A column name that ``df`` doesn't have in any case: ``name`` with underscores in front."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -7,8 +7,9 @@ stands for the window names the items it occurs in. Work is linear in the words
 documents and does not depend on the number of items.
 
 Documents are only mapped over, never shuffled. The automaton is broadcast; its size is
-checked, and a benchmark of more than ``block_words`` words is cut by a hash into
-blocks of about that size, one automaton and one pass each.
+checked, and a benchmark of more than ``block_words`` words is dealt by a hash into blocks of about that size. Blocks are
+passes one after another whose hits are written with the rows, so a task holds one block's automaton at a time whatever the
+benchmark's size. A long item is cut into parts that overlap by a window less one word, so no window is lost.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import without
+from .common import unused, without, written
 
 WINDOW = 10
-BLOCK_WORDS = 500_000
+BLOCK_WORDS = 100_000
 #: A-Z in lower case; every other ASCII character but digits and a-z becomes a space.
 _BYTES = bytes(b if b > 127 or chr(b) in "0123456789abcdefghijklmnopqrstuvwxyz" else b | 32 if 65 <= b <= 90 else 32 for b in range(256))
 _POINTS = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
@@ -43,6 +44,7 @@ class Automaton:
     """Generalised suffix automaton over words, with the items of each window."""
 
     def __init__(self, items: Iterable[tuple[str | None, str | None]], window: int = WINDOW) -> None:
+        """``items`` are (id, text); an id may have several texts."""
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
@@ -186,18 +188,23 @@ def find_leaks(df: DataFrame, items: DataFrame, text_col: str = "text", item_col
     """Adds ``out``: n_words, hit spans (of words, exclusive ends, merged) and the items found.
 
     An item shorter than the window is one window; an item without words is none. Null
-    and empty texts have no words. Items with a null id hit but aren't listed; an id given
+    and empty texts have no words, repeated rows have the same hits, and an empty table stays empty. Items with a null id hit but aren't listed; an id given
     to several items is listed once. Without items nothing is hit. A column already called
     ``out`` is replaced.
     """
     spark = df.sparkSession
-    words = F.size(F.regexp_extract_all(F.translate(item_text_col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), F.lit(1)))
-    total = items.agg(F.sum(words).alias("n")).first()["n"] or 0
+    normal = F.regexp_extract_all(F.translate(F.col(item_text_col).cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), F.lit(1))
+    listed = items.select(F.col(item_col).cast("string").alias("i"), normal.alias("w")).where(F.size("w") > 0)
+    # parts of long items begin ``step`` words apart and reach a window less one word into the next
+    step = max(1, block_words // 8)
+    last = F.greatest(F.size("w") - window, F.lit(0))
+    parts = listed.select("i", "w", F.explode(F.sequence(F.lit(0), F.floor(last / step).cast("int") * step, F.lit(step))).alias("at"))
+    rows = parts.select("i", F.array_join(F.slice("w", F.col("at") + 1, step + window - 1), " ").alias("t"))
+    total = parts.agg(F.sum(F.least(F.lit(step + window - 1), F.size("w") - F.col("at"))).alias("n")).first()["n"] or 0
     blocks = max(1, -(-total // block_words))
-    rows = items.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).alias("t"))
 
     def scanner(block: int):
-        own = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == block)
+        own = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("t", "i"), F.lit(blocks)) == block)
         shared = spark.sparkContext.broadcast(Automaton([(r["i"], r["t"]) for r in own.collect()], window))
 
         @F.arrow_udf(HITS)
@@ -207,16 +214,16 @@ def find_leaks(df: DataFrame, items: DataFrame, text_col: str = "text", item_col
 
         return scan(F.col(f"`{text_col}`").cast("string"))
 
-    found = [scanner(b) for b in range(blocks)]
-    base = without(df, [out], (text_col,))
-    if blocks == 1:
-        return base.withColumn(out, found[0])
-
     @F.arrow_udf(HITS)
     def join(parts: pa.Array) -> pa.Array:
         return _hits([_joined(p) for p in parts.to_pylist()])
 
-    return base.withColumn(out, join(F.array(*found)))
+    found = without(df, [out], (text_col,)).withColumn(out, scanner(0))
+    own = [F.col(f"`{c}`") for c in found.columns[:-1]]
+    for block in range(1, blocks):
+        before = written(found, "hits")
+        found = before.select(*own, join(F.array(F.col(f"`{out}`"), scanner(block))).alias(out))
+    return found
 
 
 def cut_spans(text_col: str, leaks: str, span_words: int):
@@ -246,18 +253,19 @@ def decontaminate(df: DataFrame, items: DataFrame, text_col: str = "text", span_
     Columns stay as they are; a column ``n_chars`` follows its shortened text.
     Rows without hits pass unchanged, null texts too.
     """
-    leaks = "_leaks"
+    leaks = unused("leaks", df)
+    cut_text = unused("cut", df)
     found = find_leaks(df, items, text_col, out=leaks, **options)
     hit = F.aggregate(f"{leaks}.spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
     kept = found.where(hit <= F.lit(max_coverage) * F.col(f"{leaks}.n_words"))
     touched = F.exists(f"{leaks}.spans", lambda s: s["end"] - s["start"] >= span_words)
-    cut = kept.withColumn("_cut", F.when(touched, cut_spans(text_col, leaks, span_words)).otherwise(F.col(text_col)))
+    cut = kept.withColumn(cut_text, F.when(touched, cut_spans(text_col, leaks, span_words)).otherwise(F.col(text_col)))
     out = []
     for c in df.columns:
         if c == text_col:
-            out.append(F.col("_cut").alias(c))
+            out.append(F.col(cut_text).alias(c))
         elif c == "n_chars":
-            out.append(F.when(touched, F.length("_cut").cast(df.schema[c].dataType)).otherwise(F.col(c)).alias(c))
+            out.append(F.when(touched, F.length(cut_text).cast(df.schema[c].dataType)).otherwise(F.col(c)).alias(c))
         else:
             out.append(F.col(f"`{c}`"))
     return cut.select(*out)
