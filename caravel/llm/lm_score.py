@@ -1,8 +1,9 @@
 """Language-model scores: marginal likelihood over a subword lattice.
 
-A unigram model over the pieces of an existing vocabulary: its pieces' probabilities start
-from how the vocabulary itself segments the training tokens and are then re-estimated by
-EM over all segmentations. The probability of a text is the sum over *all* segmentations of it into
+A unigram model over the pieces of an existing vocabulary, weighed by the vocabulary's own scores: those of a
+unigram vocabulary are log-probabilities; those of a vocabulary made by merging are an order, and the piece of rank r weighs
+``1 / (r + 2.7)`` (the law of Zipf and Mandelbrot). Only the weight of the end of a text is learned for
+them. With ``rounds`` the scores are a start that EM over all segmentations of the training tokens re-estimates. The probability of a text is the sum over *all* segmentations of it into
 pieces. No piece reaches over white space, so the lattice of a
 text falls into those of its words, and each different word is solved once: a forward
 recursion in log space over its places, with byte pieces for characters that the vocabulary
@@ -33,7 +34,8 @@ from .word_table import word_counts
 
 SPACE = "▁"
 SHARE = 1e-6
-ROUNDS = 1
+#: Rounds of EM; 0 keeps the vocabulary's own scores.
+ROUNDS = 0
 LN10 = math.log(10)
 #: Rows whose sums are handed on together.
 SLICE = 500
@@ -44,14 +46,6 @@ def tokens_of(text: str | None) -> list[bytes]:
     return [*text.encode("utf-8", "replace").lower().split(), b""] if text else [b""]
 
 
-def pieces_of(model: bytes) -> list[str]:
-    """The vocabulary's pieces, in the order of its ids."""
-    import sentencepiece
-
-    p = sentencepiece.SentencePieceProcessor(model_proto=model)
-    return [p.id_to_piece(i) for i in range(p.get_piece_size())]
-
-
 class Lattice:
     """Log-probabilities of pieces, and sums over all segmentations."""
 
@@ -254,19 +248,44 @@ class Lattices:
         return more
 
 
+def vocabulary_scores(vocabulary: bytes) -> dict[str, float]:
+    """ln of the pieces' probabilities, summing to 1, from the vocabulary's own scores.
+
+    Control pieces and those that reach over a space take no part. Byte pieces without scores of their own come last in the order.
+    """
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    proto.ParseFromString(vocabulary)
+    p = sentencepiece.SentencePieceProcessor(model_proto=vocabulary)
+    usable = [i for i in range(p.get_piece_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_unused(i)) and SPACE not in p.id_to_piece(i)[1:]]
+    if proto.trainer_spec.model_type == pb.TrainerSpec.UNIGRAM:
+        own = {p.id_to_piece(i): p.get_score(i) for i in usable}
+    else:
+        order = sorted(usable, key=lambda i: (p.is_byte(i), -p.get_score(i), i))
+        own = {p.id_to_piece(i): -math.log(r + 2.7) for r, i in enumerate(order, 1)}
+    top = max(own.values())
+    total = top + math.log(math.fsum(math.exp(x - top) for x in own.values()))
+    return {x: v - total for x, v in own.items()}
+
+
 def learn_pieces(words: DataFrame, vocabulary: bytes, rounds: int = ROUNDS) -> Lattice:
-    """Piece probabilities from the training counts (word, n_train).
+    """Piece probabilities for the training counts (word, n_train).
 
-    The first estimate segments the words as the vocabulary's own library does; ``rounds`` of
-    EM over all segmentations follow. Every piece has half a count more. What reaches the
+    The vocabulary's own scores, beside the end of a text with its share of the training tokens. With ``rounds``, EM over all
+    segmentations follows; every piece then has half a count more, and what reaches the
     driver is one row per piece and round.
     """
     spark = words.sparkSession
-    names = pieces_of(vocabulary)
-    inner = [x for x in names if x not in ("<unk>", "<s>", "</s>") and SPACE not in x[1:]]
     trained = words.where("n_train > 0")
-    ends = trained.where("word = ''").agg(F.sum("n_train")).first()[0] or 0
+    sums = trained.agg(F.sum("n_train").alias("n"), F.sum(F.when(F.col("word") == "", F.col("n_train"))).alias("ends")).first()
+    n, ends = sums["n"] or 0, sums["ends"] or 0
     trained = trained.where("word <> ''").select("word", "n_train")
+    end = (ends + 0.5) / (n + 1)
+    own = vocabulary_scores(vocabulary)
+    lattice = Lattice({x: v + math.log1p(-end) for x, v in own.items()}, math.log(end))
+    inner = list(own)
 
     def gathered(held: dict) -> pa.RecordBatch:
         return pa.record_batch([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.float64())], ["piece", "n"])
@@ -277,20 +296,6 @@ def learn_pieces(words: DataFrame, vocabulary: bytes, rounds: int = ROUNDS) -> L
         total = sum(counts.get(x, 0.0) + 0.5 for x in inner) + ends + 0.5
         return Lattice({x: math.log((counts.get(x, 0.0) + 0.5) / total) for x in inner}, math.log((ends + 0.5) / total))
 
-    shared = spark.sparkContext.broadcast(vocabulary)
-
-    def segmented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sentencepiece
-
-        p = sentencepiece.SentencePieceProcessor(model_proto=shared.value)
-        held = Counter()
-        for batch in batches:
-            for found, c in zip(p.encode(batch.column(0).to_pylist(), num_threads=1, out_type=str), batch.column(1).to_pylist(), strict=True):
-                for x in found:
-                    held[x] += c
-        yield gathered(held)
-
-    lattice = estimate(segmented)
     for _ in range(rounds):
         now = spark.sparkContext.broadcast(lattice)
 
@@ -306,12 +311,12 @@ def learn_pieces(words: DataFrame, vocabulary: bytes, rounds: int = ROUNDS) -> L
     return lattice
 
 
-def score_documents(docs: DataFrame, vocabulary: bytes, id_col: str = "doc_id", text_col: str = "text", train: str = "train", share: float = SHARE) -> DataFrame:
+def score_documents(docs: DataFrame, vocabulary: bytes, id_col: str = "doc_id", text_col: str = "text", train: str = "train", share: float = SHARE, rounds: int = ROUNDS) -> DataFrame:
     """Rows (``id_col``, n_tokens, n_known, train_tokens, base_score, score), one per row of ``docs``.
 
     ``train`` names a boolean column: the rows to learn from (null: not). Null texts count as
     empty: their only token is the end. Words of any length are summed whole. Without
-    training rows every count is 0 and the pieces are equally likely.
+    training rows every count is 0. Repeated rows score alike, and an empty table gives an empty result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.coalesce(F.col(f"`{train}`"), F.lit(False)).alias("train"))
@@ -319,7 +324,7 @@ def score_documents(docs: DataFrame, vocabulary: bytes, id_col: str = "doc_id",
     sums = words.agg(F.sum("n_train").alias("c"), F.count_if(F.col("n_train") > 0).alias("v"), F.sum("n").alias("n"), F.count_if(F.col("n_train") == 1).alias("once")).first()
     total, distinct, tokens = int(sums["c"] or 0), int(sums["v"] or 0), int(sums["n"] or 0)
     unseen = max(1e-6, min(0.5, sums["once"] / total)) if total else 1.0
-    lattice = spark.sparkContext.broadcast(learn_pieces(words, vocabulary))
+    lattice = spark.sparkContext.broadcast(learn_pieces(words, vocabulary, rounds))
 
     def marginals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many = Lattices(lattice.value)
