@@ -290,6 +290,56 @@ def test_lm_base_equals_brute_force(spark):
     assert lm_score.score_documents(df.where("false"), MODEL).count() == 0
 
 
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_lm_score_equals_enumeration(spark, rounds):
+    """The query's score is the sum over all segmentations, whole words included, under the same piece weights."""
+    rows = [(1, "ab a  ba", True), (2, "a abc", False), (3, None, True), (4, "ba Ab", True), (5, "é", False)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    counts = Counter(w.decode() for _, t, tr in rows if tr for w in lm_score.tokens_of(t))
+    total = sum(counts.values())
+    words = spark.createDataFrame([(w, n, n) for w, n in counts.items()], "word string, n long, n_train long")
+    lattice = lm_score.learn_pieces(words, MODEL, rounds)
+    assert math.isclose(sum(map(math.exp, lattice.log_p.values())) + math.exp(lattice.end), 1, rel_tol=1e-9)
+
+    def every(s):
+        if not s:
+            return 1.0
+        found = sum(math.exp(lattice.log_p[s[:k]]) * every(s[k:]) for k in range(1, len(s) + 1) if s[:k] in lattice.log_p)
+        if s[0] not in lattice.log_p:
+            found += math.exp(sum(lattice.log_p[f"<0x{b:02X}>"] for b in s[0].encode())) * every(s[1:])
+        return found
+
+    unseen = max(1e-6, min(0.5, sum(n == 1 for n in counts.values()) / total))
+
+    def token(w):
+        pieces = every("▁" + w) if w else math.exp(lattice.end)
+        return (1 - unseen) * counts[w] / total + unseen * pieces
+
+    got = {r["doc_id"]: r["score"] for r in lm_score.score_documents(df, MODEL, rounds=rounds).collect()}
+    for d, t, _ in rows:
+        assert math.isclose(got[d], sum(math.log10(token(w.decode())) for w in lm_score.tokens_of(t)), rel_tol=1e-6)
+
+
+def test_vocabulary_scores_follow_the_vocabulary():
+    own = lm_score.vocabulary_scores(MODEL)
+    v = subword.Vocabulary.load(MODEL)
+    pieces = [x for x, _, s in sorted(v.table(), key=lambda r: -r[2]) if x in own]
+    assert all(own[a] >= own[b] for a, b in zip(pieces, pieces[1:], strict=False))
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    proto.ParseFromString(MODEL)
+    proto.trainer_spec.model_type = 1
+    for n, piece in enumerate(proto.pieces):
+        piece.score = -1.0 - n / 1000
+    assert sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+    unigram = lm_score.vocabulary_scores(proto.SerializeToString())
+    a, b = "▁the", "ing"
+    at = {p.piece: p.score for p in proto.pieces}
+    assert math.isclose(unigram[a] - unigram[b], at[a] - at[b], abs_tol=1e-5)
+
+
 def test_subword_equals_the_loop_and_the_library(spark):
     v = subword.Vocabulary.load(MODEL)
     coder = subword.Coder(v)

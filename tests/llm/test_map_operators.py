@@ -50,6 +50,32 @@ def test_secrets_equal_brute_force():
         assert scanner.spans(text) == secret_scan.brute_spans(text)
 
 
+def test_secret_formats_equal_brute_force():
+    """Every public format, whole, cut short by one character and among other text, equals its regular expression."""
+    random.seed(12)
+    scanner = secret_scan.Scanner()
+    assert len(secret_scan.FORMAT_RULES) >= 50
+
+    def made(tree):
+        kind = tree[0]
+        if kind == "set":
+            return chr(random.choice(sorted(c for c in tree[1] if 32 < c < 127) or sorted(tree[1])))
+        if kind == "cat":
+            return "".join(made(x) for x in tree[1])
+        if kind == "alt":
+            return made(random.choice(tree[1]))
+        n = random.randint(tree[2], tree[3] if tree[3] is not None else tree[2] + 3)
+        return "".join(made(tree[1]) for _ in range(n))
+
+    for rule in secret_scan.FORMAT_RULES:
+        tree = automaton._Parser(rule.pattern).parse()
+        for _ in range(4):
+            token = made(tree)
+            for text in (token, token[:-1], f"é {token} and {token}", token + token, "x" + token + "-"):
+                assert scanner.spans(text) == secret_scan.brute_spans(text), (rule.kind, text)
+        assert rule.kind in {k for k, _, _ in scanner.spans(f" {made(tree)} ")}
+
+
 def test_secrets_query(spark, odd):
     found = secret_scan.find_secrets(odd)
     assert found.columns == ["doc_id", "text", "lang", "spans", "secrets"]
@@ -64,8 +90,9 @@ def test_secrets_query_whole_table(spark):
     rows = {r["doc_id"]: r for r in secret_scan.secrets_query(spark, "/root/testdata/sf0.001").collect()}
     for doc_id, text in common.documents(spark, "/root/testdata/sf0.001").select("doc_id", "text").collect():
         spans = secret_scan.brute_spans(text)
-        assert rows[doc_id]["base_sha256"] == secret_scan.digest(spans)
-        assert rows[doc_id]["n_assign"] + rows[doc_id]["n_access"] + rows[doc_id]["n_hex"] == len(spans)
+        base = [x for x in spans if x[0] in ("assign", "access", "hex")]
+        assert base == secret_scan.brute_spans(text, more=False) and rows[doc_id]["base_sha256"] == secret_scan.digest(base)
+        assert rows[doc_id]["n_assign"] + rows[doc_id]["n_access"] + rows[doc_id]["n_hex"] == len(base)
 
 
 def test_tokens_equal_the_library(spark, odd):
@@ -108,7 +135,7 @@ def test_toxicity(spark, odd):
     assert len(scores) == 5 and all(0 <= s < 0.5 for s in scores)
 
 
-def test_label_model_shares_weight_of_copies():
+def test_label_model_counts_copies_once():
     import numpy as np
 
     rng = np.random.default_rng(0)
@@ -116,10 +143,49 @@ def test_label_model_shares_weight_of_copies():
     vote = lambda right: ((rng.random(4000) < np.where(y == 1, right, 1 - right))).astype(float)
     a, b, c = vote(0.9), vote(0.8), vote(0.8)
     model = toxicity.LabelModel(np.column_stack([a, b, c, c, c]), y, toxicity.Settings(trust=0.9))
-    assert model.on[1, 0] > model.on[1, 1] and model.share[1] > model.share[2]
+    # the copies hang on each other, and a copy that its parent tells adds nothing
+    assert {3, 4} <= {i for i in range(5) if model.parent[i] in (2, 3, 4) and model.parent[i] != i}
+    say = np.log(model.on[1, 1] / model.on[0, 1])
+    assert abs(say[3]) < 0.05 and abs(say[4]) < 0.05
     assert ((model.posterior > 0.5) == (y == 1)).mean() > 0.95
 
 
+def test_label_model_equals_enumeration():
+    """The posterior is Bayes' rule over the model's own tables, row by row."""
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    y = (rng.random(500) < 0.4).astype(float)
+    votes = np.column_stack([(rng.random(500) < np.where(y == 1, p, q)).astype(float) for p, q in ((0.8, 0.2), (0.6, 0.1), (0.5, 0.4))])
+    settings = toxicity.Settings(rounds=400)
+    model = toxicity.LabelModel(votes, y, settings)
+    post = model.posterior
+    told = [((y == 1) @ (1 - post) + 1) / ((1 - post).sum() + 20), ((y == 1) @ post + 19) / (post.sum() + 20)]
+    for i in range(0, 500, 25):
+        joint = []
+        for h in (0, 1):
+            prob = post.mean() if h else 1 - post.mean()
+            prob *= told[h] if y[i] == 1 else 1 - told[h]
+            for j in range(3):
+                up = 0 if model.parent[j] == j else int(votes[i, model.parent[j]])
+                on = model.on[h, up, j]
+                prob *= on if votes[i, j] else 1 - on
+            joint.append(prob)
+        assert math.isclose(joint[1] / sum(joint), post[i], abs_tol=2e-3)
+
+
+def test_toxicity_conflicts_and_repeats(spark):
+    docs = spark.createDataFrame([(i, ("grim vile " if i % 2 else "calm mild ") + f"word{i}") for i in range(200)] * 2 + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(0, 1), (1, 0), (None, 1), (5, None)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels)
+    assert {"grim", "vile"} <= set(model.lexicon)
+    clash = docs.limit(3).withColumn("toxicity", F.lit("own")).withColumn("_toxicity", F.lit(1))
+    assert toxicity.score_toxicity(clash, model).columns == ["doc_id", "text", "_toxicity", "toxicity"]
+    assert model.score("you grim VILE grim") > 0.5 > model.score("calm") and toxicity.score_toxicity(docs.where("false"), model).count() == 0
+
+
 def test_leaks_equal_brute_force():
     random.seed(5)
     for n in range(600):
@@ -132,6 +198,38 @@ def test_leaks_equal_brute_force():
             assert (words, {x for s in spans for x in range(*s)}, set(found)) == decontamination.brute_leaks(text, items, window)
 
 
+def test_long_items_keep_their_windows(spark):
+    words = [f"w{i % 37}x{i}" for i in range(400)]
+    items = spark.createDataFrame([("long", " ".join(words)), ("short", "a b c")], "item_id string, text string")
+    docs = spark.createDataFrame([(i, " ".join(["z", *words[i : i + 10], "z"])) for i in range(0, 391, 7)], "doc_id long, text string")
+    for block in (100_000, 64):
+        got = decontamination.find_leaks(docs, items, block_words=block).collect()
+        assert all([tuple(s) for s in r["leaks"]["spans"]] == [(1, 11)] and r["leaks"]["items"] == ["long"] for r in got)
+
+
+def test_predictions_equal_a_loop(spark):
+    """The query's language is the least total of blocks over freshly made compressors."""
+    import zstandard
+
+    docs = common.documents(spark, "/root/testdata/sf0.001").select("doc_id", "text", "lang")
+    model = language_id.learn(docs.where(common.fold_of() != 0))
+    s = model.settings
+    for r in language_id.identify(docs, model).limit(40).collect():
+        data = language_id.folded(r["text"])
+        if not data:
+            assert r["language"]["lang"] == "und"
+            continue
+        sizes = []
+        for n, (lang, raw) in enumerate(model.dictionaries.items()):
+            params = zstandard.ZstdCompressionParameters.from_level(s.level, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+            total = 0
+            for i in range(0, len(data), s.block):
+                held = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                total += len(zstandard.ZstdCompressor(dict_data=held, compression_params=params).compress(data[i : i + s.block]))
+            sizes.append((total, n, lang))
+        assert min(sizes)[2] == r["language"]["lang"]
+
+
 @pytest.mark.parametrize("block_words", [500_000, 3])
 def test_leaks_in_blocks(spark, odd, block_words):
     items = spark.createDataFrame([("a", "x y z"), ("b", "word " * 12), (None, "p q"), ("c", None), ("d", "")], "item_id string, text string")
