@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caravel.llm.common import fold_of, read_bytes, tokenizer_path, written
+from caravel.llm.common import fold_of, read_bytes, tokenizer_path, unused, written
 from caravel.llm.decontamination import decontaminate
 from caravel.llm.near_dedup import keep_one
 from caravel.llm.secret_scan import find_secrets, mask_text
@@ -34,8 +34,9 @@ def _same_columns(df: DataFrame, docs: DataFrame, text=None, changed=None) -> Da
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5; learned from the labels of the training folds."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(fold_of() != 0)
-    scored = score_toxicity(docs, learn(docs, labels), out="_toxicity")
-    return _same_columns(scored.where(F.col("_toxicity") < 0.5), docs)
+    name = unused("toxicity", docs)
+    scored = score_toxicity(docs, learn(docs, labels), out=name)
+    return _same_columns(scored.where(F.col(name) < 0.5), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +51,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked."""
-    found = find_secrets(docs, out="_secrets")
+    spans, text = unused("secrets", docs), unused("masked", docs)
     # a column of its own: beside a new "text", names in a lambda would mean that one
-    masked = found.withColumn("_masked", mask_text("text", "_secrets"))
-    return _same_columns(masked, docs, F.col("_masked"), F.size("_secrets") > 0)
+    masked = find_secrets(docs, out=spans).withColumn(text, mask_text("text", spans))
+    return _same_columns(masked, docs, F.col(text), F.size(spans) > 0)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
