@@ -11,7 +11,7 @@ The coordinates are hashed in bands, and texts that meet in a band are candidate
 Joining. A bucket of a band gives edges to one hub each (never all pairs), the edges are
 verified on the whole texts, and the verified links are contracted to components. The members
 of buckets that still hold several components are dealt anew by pairs of bands, which only
-texts close to each other share, and get other hubs there until a round adds no link. That only
+texts close to each other share, and get other hubs there for a few rounds. That only
 leaves fewer pairs: at the end every pair of a bucket whose components still differ is verified,
 unless counts of its shingles by bins show that it can't reach the threshold. So all texts that meet
 in a band and are alike are linked. That end compares the bins of a bucket's members as arrays within a task and makes rows
@@ -27,7 +27,6 @@ size Spark's own runtime Bloom filter thins that side), and candidates' texts fo
 
 from __future__ import annotations
 
-import itertools
 import math
 import re
 from collections import Counter
@@ -56,12 +55,14 @@ _BINS = 256
 @dataclass(frozen=True)
 class Settings:
     """bands x rows coordinates. With 25 x 5, a pair of similarity 0.8 shares no band with
-    probability 5e-5, one of 0.9 with 1e-10."""
+    probability 5e-5, one of 0.9 with 1e-10. rounds: of other hubs for buckets that still hold several components, before all
+    their pairs that are left are compared; any number gives the same classes."""
 
     shingle: int = 5
     threshold: float = 0.8
     bands: int = 25
     rows: int = 5
+    rounds: int = 2
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -328,7 +329,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", setti
     new = tested.where("linked").select("a", "b")
     labels = None if new.isEmpty() else extended(None, new)
 
-    # then pairs of bands, which only texts close to each other share, until no more is linked
+    # then pairs of bands, which only texts close to each other share
     mixed = _labelled(buckets, labels)
     active = mixed.join(_mixed_buckets(mixed), "h", "left_semi").select("key").distinct()
     band = lambda i: F.get("bands", i)
@@ -336,15 +337,14 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", setti
     doubles = sigs.join(active, "key", "left_semi").dropDuplicates(["key"]).where(F.size("bands") > 0).select("key", F.explode(pairs).alias("h"))
     doubles = written(_labelled(doubles, labels), "doubles")
     doubles = written(doubles.join(_mixed_buckets(doubles), "h", "left_semi").select("h", "key"), "doubles")
-    for round_ in itertools.count(1):
+    for round_ in range(s.rounds):
         edges = _hub_edges(_labelled(doubles, labels), F.xxhash64(F.lit(round_), F.col("key")))
         checked = verified(edges.join(tested, ["a", "b"], "left_anti"))
+        tested = tested.union(checked)
         new = checked.where("linked").select("a", "b")
         if new.isEmpty():
             break
-        tested = tested.union(checked)
         labels = extended(labels, new)
-    tested = tested.union(checked)
 
     # then the rest exactly: all pairs of a bucket that are still apart, were not compared and are not excluded by a bound
     @F.arrow_udf(T.BinaryType())
