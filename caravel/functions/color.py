@@ -34,7 +34,7 @@ def redmean(a: Column, b: Column) -> Column:
 
 
 def nearest_name(code, palette: dict[str, str] | None = None, grey_factor: float = 1.5) -> Column:
-    """Name of the nearest palette colour. For a coloured code the greys count as ``grey_factor`` times as far.
+    """M9. Name of the nearest palette colour. For a coloured code the greys count as ``grey_factor`` times as far.
 
     The palette is a constant of the plan, so it is one array minimum per row and no join.
     """
@@ -51,7 +51,7 @@ def nearest_name(code, palette: dict[str, str] | None = None, grey_factor: float
 
 
 def dominant(cells: DataFrame, item: str, top: int = 3) -> DataFrame:
-    """(item, hex, score, rank): the ``top`` colours of an image from (item, hex, share, centrality) grid rows.
+    """M10, JOB5. (item, hex, score, rank): the ``top`` colours of an image from (item, hex, share, centrality) grid rows.
 
     A cell counts with its share, more in the middle; colours that are near grey count a third.
     """

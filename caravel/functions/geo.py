@@ -39,7 +39,7 @@ def sign_fixed(value, low: float, high: float) -> Column:
 
 
 def dms(text) -> Column:
-    """Decimal degrees of ``d m s H`` or plain decimal text, negative for S and W, 7 decimals; null if unreadable."""
+    """M6. Decimal degrees of ``d m s H`` or plain decimal text, negative for S and W, 7 decimals; null if unreadable."""
     t = _c(text)
     number = lambda i: F.expr("try_cast(NULL as double)") if i is None else F.regexp_extract(t, r"(\d+(?:\.\d+)?)\D+?(\d+(?:\.\d+)?)\D+?(\d+(?:\.\d+)?)", i).try_cast("double")
     sexagesimal = number(1) + number(2) / 60 + number(3) / 3600

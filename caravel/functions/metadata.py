@@ -13,13 +13,13 @@ def _c(x) -> Column:
 
 
 def flat_exif(text) -> Column:
-    """``{"Group:Name": v}`` as a map of ``group_name`` to text."""
+    """SRC5. ``{"Group:Name": v}`` as a map of ``group_name`` to text."""
     found = F.from_json(_c(text), "map<string, string>")
     return F.map_from_entries(F.transform(F.map_entries(found), lambda e: F.struct(F.regexp_replace(F.lower(e["key"]), "[: ]+", "_").alias("key"), e["value"].alias("value"))))
 
 
 def flat_probe(text) -> Column:
-    """First video and audio stream and the format of a probe's JSON; the frame rate has 3 decimals."""
+    """SRC6. First video and audio stream and the format of a probe's JSON; the frame rate has 3 decimals."""
     p = F.from_json(_c(text), PROBE)
     first = lambda kind: F.get(F.filter(p["streams"], lambda s: s["codec_type"] == kind), 0)
     video, audio = first("video"), first("audio")
@@ -29,21 +29,21 @@ def flat_probe(text) -> Column:
 
 
 def container_state(text) -> Column:
-    """video, audio, both, none or unreadable, by the streams of a probe's JSON."""
+    """S29, JOB25. video, audio, both, none or unreadable, by the streams of a probe's JSON."""
     s = F.from_json(_c(text), PROBE)["streams"]
     has = lambda k: F.exists(s, lambda x: x["codec_type"] == k)
     return F.when(s.isNull(), "unreadable").when(has("video") & has("audio"), "both").when(has("video"), "video").when(has("audio"), "audio").otherwise("none")
 
 
 def is_360(tags: Column, width, height, marks: tuple[str, ...] = ("projection", "spherical", "stitch")) -> Column:
-    """A tag that names a sphere and says yes, or a picture twice as wide as high from 3840 on."""
+    """FLT14. A tag that names a sphere and says yes, or a picture twice as wide as high from 3840 on."""
     by_tag = F.exists(F.map_entries(tags), lambda e: F.lower(e["key"]).rlike("|".join(marks)) & F.lower(e["value"]).rlike("true|yes|1|equirectangular"))
     by_shape = (_c(width) >= 3840) & (_c(width) == 2 * _c(height))
     return F.coalesce(by_tag, F.lit(False)) | F.coalesce(by_shape, F.lit(False))
 
 
 def fitted(width, height, most: int) -> Column:
-    """Even width and height that fit in ``most``, never larger than they are."""
+    """M16. Even width and height that fit in ``most``, never larger than they are."""
     w, h = _c(width), _c(height)
     scale = F.least(F.lit(1.0), most / F.greatest(w, h))
     even = lambda x: (F.floor(x * scale / 2) * 2).cast("int")
@@ -51,7 +51,7 @@ def fitted(width, height, most: int) -> Column:
 
 
 def author(exif_artist, folder, camera, folders: dict[str, str], cameras: dict[str, str]) -> Column:
-    """EXIF, else a folder that contains a known name or is contained in one, else the camera's owner, else the folder."""
+    """S27. EXIF, else a folder that contains a known name or is contained in one, else the camera's owner, else the folder."""
     f, c = F.lower(_c(folder)), F.lower(_c(camera))
     by_folder = F.coalesce(*[F.when(F.contains(f, F.lit(k.lower())) | F.contains(F.lit(k.lower()), f), v) for k, v in folders.items()], F.lit(None))
     by_camera = F.coalesce(*[F.when(F.contains(c, F.lit(k.lower())), v) for k, v in cameras.items()], F.lit(None))
@@ -85,7 +85,7 @@ def clock_offset(embedded, named) -> Column:
 def signed_hours(hours) -> Column:
     """SEQ25. ``+7.0h``."""
     h = _c(hours)
-    return F.when(h.isNotNull(), F.concat(F.when(h < 0, "-").otherwise("+"), F.format_string("%.1fh", F.abs(h))))
+    return F.when(h.isNotNull(), F.concat(F.when(h < 0, "-").otherwise("+"), F.format_string("%.1fh", F.abs(h.cast("double")))))
 
 
 def first_known(*sources: Column) -> Column:

@@ -18,7 +18,7 @@ OPENINGS = ("here is", "here's", "the image shows", "this image shows", "this is
 
 
 def repaired(text: str) -> object | None:
-    """The JSON value in a reply: outer text, trailing commas, single quotes and open brackets are mended."""
+    """S9. The JSON value in a reply: outer text, trailing commas, single quotes and open brackets are mended."""
     cut = re.search(r"[\[{].*", text, re.S)
     if not cut:
         return None
@@ -39,7 +39,7 @@ def repaired(text: str) -> object | None:
 
 
 def keywords(text: str | None, most: int = 8, longest: int = 60) -> list[str]:
-    """Keywords of a reply: JSON, a dict's list, numbered or dashed lines, or commas; first occurrences only."""
+    """S7, S8. Keywords of a reply: JSON, a dict's list, numbered or dashed lines, or commas; first occurrences only."""
     if not text:
         return []
     found = repaired(text)
@@ -56,7 +56,7 @@ def keywords(text: str | None, most: int = 8, longest: int = 60) -> list[str]:
 
 
 def description(text: str | None, least: int = 15) -> str | None:
-    """A description without up to three openings; the whole text if too little would be left."""
+    """S10, S11. A description without up to three openings; the whole text if too little would be left."""
     if not text:
         return None
     rest = text.strip()
@@ -88,6 +88,6 @@ def reply_description(text: Column) -> Column:
 
 
 def lossless(old: Column, new: Column) -> Column:
-    """Whether a cleaned text is only the old one without its beginning."""
+    """S12. Whether a cleaned text is only the old one without its beginning."""
     plain = lambda c: F.regexp_replace(F.lower(c), r"\s+", " ")
     return plain(old).endswith(plain(new))

@@ -53,7 +53,7 @@ def solar_noon_minutes(ts, lon) -> Column:
 
 
 def rise_set_minutes(ts, lat, lon, rising: bool) -> Column:
-    """Minutes after 00:00 UTC of sunrise or sunset; null where the sun doesn't cross the horizon."""
+    """M3. Minutes after 00:00 UTC of sunrise or sunset; null where the sun doesn't cross the horizon."""
     day, a, o = F.date_trunc("day", _c(ts)), F.radians(_c(lat)), _c(lon)
 
     def at(jd: Column) -> Column:

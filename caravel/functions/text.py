@@ -24,7 +24,7 @@ def folded(text) -> Column:
 
 
 def keyword_list(text) -> Column:
-    """Array of a JSON array or a comma list: trimmed, without quotes and closing marks, no blanks."""
+    """S1. Array of a JSON array or a comma list: trimmed, without quotes and closing marks, no blanks."""
     t = _c(text)
     raw = F.coalesce(F.from_json(t, "array<string>", {"mode": "PERMISSIVE"}), F.split(t, ","))
     raw = F.when(F.ltrim(t).startswith("["), raw).otherwise(F.split(t, ","))
@@ -33,7 +33,7 @@ def keyword_list(text) -> Column:
 
 
 def normal_keyword(word) -> Column:
-    """Lexical normal form: lower, cut at ``(`` and ``...``, no outer punctuation, no leading article."""
+    """S2. Lexical normal form: lower, cut at ``(`` and ``...``, no outer punctuation, no leading article."""
     w = F.lower(F.trim(_c(word)))
     w = F.regexp_replace(w, r"(\(|\.\.\.).*$", "")
     w = F.regexp_replace(w, r"^[\s\p{Punct}]+|[\s\p{Punct}]+$", "")
@@ -41,13 +41,13 @@ def normal_keyword(word) -> Column:
 
 
 def singular(word) -> Column:
-    """Drops a final s behind a vowel, but not of ``-es`` words or words under four letters."""
+    """S4. Drops a final s behind a vowel, but not of ``-es`` words or words under four letters."""
     w = _c(word)
     return F.when((F.length(w) >= 4) & w.rlike("[aeiouáéíóú]s$") & ~w.endswith("es"), F.substr(w, F.lit(1), F.length(w) - 1)).otherwise(w)
 
 
 def canonical(word, synonyms: dict[str, str]) -> Column:
-    """Canonical form of a word; the first entry for a synonym holds."""
+    """S5. Canonical form of a word; the first entry for a synonym holds."""
     if not synonyms:
         return _c(word)
     table = F.create_map(*[x for k, v in synonyms.items() for x in (F.lit(k), F.lit(v))])
@@ -96,7 +96,7 @@ def voice_state(segments: Column, **limits: float) -> Column:
 
 
 def refined(words: Column, synonyms: dict[str, str] | None = None, stop: tuple[str, ...] = (), most: int = 7) -> Column:
-    """Normal form, junk out, singular, canonical, first occurrences, the first ``most``."""
+    """S3, S6. Normal form, junk out, singular, canonical, first occurrences, the first ``most``."""
     junk = lambda w: (F.length(w) < 3) | w.isin(*stop) if stop else F.length(w) < 3
     steps = F.filter(F.transform(words, normal_keyword), lambda w: ~junk(w))
     steps = F.filter(F.transform(steps, lambda w: canonical(singular(w), synonyms or {})), lambda w: ~junk(w))
@@ -142,12 +142,12 @@ def hashtags(text) -> Column:
 
 
 def leading_score(text, default: float = 5.0) -> Column:
-    """The number a reply begins with, else ``default``."""
+    """S24. The number a reply begins with, else ``default``."""
     return F.coalesce(F.regexp_extract(_c(text), r"^\s*(\d+(?:\.\d+)?)", 1).try_cast("double"), F.lit(default))
 
 
 def cut_at_space(text, most: int) -> Column:
-    """At most ``most`` characters, cut at the last space if that keeps half of them."""
+    """S14. At most ``most`` characters, cut at the last space if that keeps half of them."""
     t = _c(text)
     head = F.substring(t, 1, most)
     whole = F.regexp_extract(head, r"(?s)^(.*)\s", 1)
@@ -168,7 +168,7 @@ def good_segments(segments: Column, logprob: float = -0.8, no_speech: float = 0.
 
 
 def transcript(segments: Column) -> Column:
-    """Texts in order of start, joined by spaces, blanks left out."""
+    """S13. Texts in order of start, joined by spaces, blanks left out."""
     ordered = F.array_sort(segments, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0))
     return F.array_join(F.filter(F.transform(ordered, lambda s: F.trim(s["text"])), lambda t: t != ""), " ")
 
@@ -181,13 +181,13 @@ def srt_time(seconds: Column) -> Column:
 
 
 def subtitles(segments: Column) -> Column:
-    """SRT text of segments in their order."""
+    """SNK14. SRT text of segments in their order."""
     blocks = F.transform(segments, lambda s, i: F.concat((i + 1).cast("string"), F.lit("\n"), srt_time(s["start"]), F.lit(" --> "), srt_time(s["end"]), F.lit("\n"), F.trim(s["text"]), F.lit("\n")))
     return F.array_join(blocks, "\n")
 
 
 def translated(words: Column, glossary: dict[str, str]) -> Column:
-    """A label by the whole entry, else word by word; unknown words stay."""
+    """S19. A label by the whole entry, else word by word; unknown words stay."""
     table = F.create_map(*[x for k, v in glossary.items() for x in (F.lit(k), F.lit(v))])
     by_word = F.array_join(F.transform(F.split(F.lower(words), " "), lambda w: F.coalesce(F.try_element_at(table, w), w)), " ")
     return F.coalesce(F.try_element_at(table, F.lower(words)), by_word)

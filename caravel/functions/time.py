@@ -18,7 +18,7 @@ def _c(x) -> Column:
 
 
 def parsed(text) -> Column:
-    """Struct of ts and note (``offset``, ``local`` or ``unreadable``; null for null)."""
+    """D1. Struct of ts and note (``offset``, ``local`` or ``unreadable``; null for null)."""
     t = F.trim(_c(text))
     has_offset = t.rlike(r"(Z|[+-]\d{2}:?\d{2})$") & t.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}")
     aware = F.when(has_offset, F.try_to_timestamp(F.regexp_replace(F.regexp_replace(t, " ", "T"), r"([+-]\d{2})(\d{2})$", "$1:$2")))
@@ -37,17 +37,18 @@ def of_filename(name) -> Column:
 
 
 def end_time(ts, seconds) -> Column:
-    """Start plus duration; the start itself without a duration."""
+    """D4. Start plus duration; the start itself without a duration."""
     return F.timestamp_micros(F.unix_micros(_c(ts)) + (F.coalesce(_c(seconds), F.lit(0.0)) * 1_000_000).cast("long"))
 
 
 def weekday(ts, hours: int = -3) -> Column:
+    """D6."""
     local = F.timestamp_micros(F.unix_micros(_c(ts)) + hours * 3_600_000_000)
     return F.get(F.array(*[F.lit(d) for d in WEEKDAYS]), F.weekday(local))
 
 
 def span_text(seconds) -> Column:
-    """``2h 15m`` from an hour on, else ``mm:ss``."""
+    """D9. ``2h 15m`` from an hour on, else ``mm:ss``."""
     s = F.floor(_c(seconds)).cast("long")
     hours = F.concat((s / 3600).cast("long").cast("string"), F.lit("h "), (F.pmod(s, F.lit(3600)) / 60).cast("long").cast("string"), F.lit("m"))
     short = F.concat(F.lpad((s / 60).cast("long").cast("string"), 2, "0"), F.lit(":"), F.lpad(F.pmod(s, F.lit(60)).cast("string"), 2, "0"))
@@ -55,7 +56,7 @@ def span_text(seconds) -> Column:
 
 
 def between_places(t1, d1, t2, d2, most: float = 2000.0) -> Column:
-    """Instant between two passes, weighted by the other's distance; null if both are farther than ``most`` metres."""
+    """D11. Instant between two passes, weighted by the other's distance; null if both are farther than ``most`` metres."""
     a, b = F.unix_micros(_c(t1)), F.unix_micros(_c(t2))
     x, y = _c(d1), _c(d2)
     mixed = F.when(x + y == 0, a).otherwise((a * y + b * x) / (x + y))

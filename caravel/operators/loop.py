@@ -57,7 +57,7 @@ def priority(kind: Column, colors: Sequence[Column], wanted_colors: Sequence[str
 
 
 def ambient_events(elevation: Column, temperature: Column, wind: Column, rain: Column) -> Column:
-    """Texts of the ambient rules that hold, in the order of the rules; an unknown measure holds none."""
+    """M15. Texts of the ambient rules that hold, in the order of the rules; an unknown measure holds none."""
     rules = ((elevation.between(0, 3), "sun at the horizon"), (elevation >= 60, "sun overhead"), (temperature >= 30, "heat"), (temperature <= 5, "cold"), (wind >= 30, "wind"), (rain > 0, "rain"), (elevation < -6, "night"))
     return F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in rules]))
 

@@ -45,17 +45,20 @@ def _seconds(c: str) -> Column:
 @query("""SELECT h::INT AS hour, coalesce(n, 0)::BIGINT AS n, round(coalesce(n, 0) / greatest(max(coalesce(n, 0)) OVER (), 1)::DOUBLE, 3) AS weight
 FROM range(24) t(h) LEFT JOIN (SELECT hour(ts) AS x, count(*) AS n FROM events GROUP BY 1) ON x = h""")
 def facet_hours_dense(spark, d):
+    """AG8, AG12, D7, QRY5."""
     return facets.dense_hours(table(spark, d, "events"), F.hour("ts"))
 
 
 @query("""SELECT n_name AS value, count(*)::BIGINT AS n, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 4) AS pct
 FROM events LEFT JOIN nation ON n_nationkey = user_id % 25 GROUP BY 1""")
 def facet_values_share(spark, d):
+    """AG2, AG3, QRY2."""
     return facets.values_share(items(spark, d), "place")
 
 
 @query("""SELECT isodow(ts - INTERVAL 3 HOUR)::INT AS day, count(*)::BIGINT AS n FROM events GROUP BY 1""")
 def facet_weekday(spark, d):
+    """AG10, AG24."""
     local = F.col("ts").cast("timestamp") - F.expr("INTERVAL 3 HOURS")
     return table(spark, d, "events").groupBy((F.weekday(local) + 1).cast("int").alias("day")).agg(F.count("*").alias("n"))
 
@@ -64,6 +67,7 @@ def facet_weekday(spark, d):
   SELECT lower(w) AS lw, strip_accents(lower(w)) AS folded, w FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-záéíóúñüößäàâçèêëîïôûùÁÉÍÓÚÑ]+')) AS w FROM documents))
 WHERE regexp_full_match(lw, '[a-záéíóúñüöäàâçèêëîïôûù]+') GROUP BY 1""")
 def facet_fold_order(spark, d):
+    """AG9, S15."""
     words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-záéíóúñüößäàâçèêëîïôûùÁÉÍÓÚÑ]+)"), F.lit(1))).alias("w"))
     plain = words.where(F.lower("w").rlike("^[a-záéíóúñüöäàâçèêëîïôûù]+$"))
     return plain.groupBy(text.folded("w").alias("folded")).agg(F.count("*").alias("n"), F.min("w").alias("example"))
@@ -71,17 +75,20 @@ def facet_fold_order(spark, d):
 
 @query(f"""WITH {ITEM_SQL}, {EAV_SQL} SELECT key, count(*)::BIGINT AS n FROM eav GROUP BY 1 ORDER BY n DESC, key LIMIT 50""")
 def metadata_top_keys(spark, d):
+    """AG5, SRT1, QRY1."""
     return attributes(items(spark, d)).groupBy("key").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "key").limit(50)
 
 
 @query(f"""WITH {ITEM_SQL}, {EAV_SQL} SELECT kind, eav.value AS value, count(*)::BIGINT AS n FROM eav JOIN item USING (media_id) WHERE key = 'k' GROUP BY 1, 2""")
 def metadata_key_values(spark, d):
+    """JN1, JN2, AG4, QRY3."""
     item = items(spark, d)
     return attributes(item).where("key = 'k'").join(item.select("media_id", "kind"), "media_id").groupBy("kind", "value").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {ITEM_SQL}, {EAV_SQL} SELECT media_id, max(value) FILTER (key = 'event_type') AS event_type, max(value) FILTER (key = 'k') AS k FROM eav GROUP BY 1""")
 def eav_pivot(spark, d):
+    """PRJ3, PRJ4."""
     return facets.pivoted(attributes(items(spark, d)), ["event_type", "k"])
 
 
@@ -91,6 +98,7 @@ UNION ALL SELECT 'supplier', s_suppkey, 's_name', s_name FROM supplier WHERE s_n
 UNION ALL SELECT 'customer', c_custkey, 'c_name', c_name FROM customer WHERE c_name ILIKE '%an%'
 UNION ALL SELECT 'customer', c_custkey, 'c_mktsegment', c_mktsegment FROM customer WHERE c_mktsegment ILIKE '%an%'""")
 def text_search(spark, d):
+    """FLT6, PRJ2, SET2, QRY4."""
     t = lambda n: table(spark, d, n)
     return facets.text_search({"part": (t("part"), "p_partkey", ["p_name", "p_type"]), "supplier": (t("supplier"), "s_suppkey", ["s_name"]), "customer": (t("customer"), "c_custkey", ["c_name", "c_mktsegment"])}, "%an%")
 
@@ -98,6 +106,7 @@ def text_search(spark, d):
 @query(f"""WITH {ITEM_SQL}, {EAV_SQL} SELECT kind, count(*)::BIGINT AS total, count(lat)::BIGINT AS done, count(*) FILTER (lat IS NULL)::BIGINT AS pending,
   count(*) FILTER (NOT EXISTS (SELECT 1 FROM eav e WHERE e.media_id = i.media_id AND e.key = 'k' AND e.value > '5'))::BIGINT AS without_k FROM item i GROUP BY 1""")
 def pending_status(spark, d):
+    """FLT5, JN7, AG1, AG16, QRY14."""
     item = items(spark, d)
     has = attributes(item).where("key = 'k' and value > '5'").select("media_id").distinct().withColumn("_has", F.lit(True))
     return item.join(has, "media_id", "left").groupBy("kind").agg(F.count("*").alias("total"), F.count("lat").alias("done"), F.count_if(F.col("lat").isNull()).alias("pending"), F.count_if(F.col("_has").isNull()).alias("without_k"))
@@ -106,6 +115,7 @@ def pending_status(spark, d):
 @query("""SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')
 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)""")
 def anti_chained(spark, d):
+    """JN8, SET4."""
     line = table(spark, d, "lineitem")
     key = lambda c: line.where(c).select(F.col("l_orderkey").alias("o_orderkey"))
     return table(spark, d, "orders").select("o_orderkey", "o_orderstatus").join(key("l_returnflag = 'R'"), "o_orderkey", "left_anti").join(key("l_quantity > 45"), "o_orderkey", "left_anti")
@@ -113,12 +123,14 @@ def anti_chained(spark, d):
 
 @query("""SELECT o_orderpriority, count(*)::BIGINT AS n FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 30) GROUP BY 1""")
 def semi_facet(spark, d):
+    """JN5, JN6."""
     big = table(spark, d, "lineitem").where("l_quantity > 30").select(F.col("l_orderkey").alias("o_orderkey"))
     return table(spark, d, "orders").join(big, "o_orderkey", "left_semi").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {ITEM_SQL}, {EAV_SQL} SELECT a.value AS event_type, b.value AS k, count(*)::BIGINT AS n FROM eav a JOIN eav b USING (media_id) WHERE a.key = 'event_type' AND b.key = 'k' GROUP BY ALL""")
 def self_join_keys(spark, d):
+    """JN3."""
     eav = attributes(items(spark, d))
     a = eav.where("key = 'event_type'").select("media_id", F.col("value").alias("event_type"))
     b = eav.where("key = 'k'").select("media_id", F.col("value").alias("k"))
@@ -127,29 +139,34 @@ def self_join_keys(spark, d):
 
 @query("""SELECT l_returnflag, count(DISTINCT l_partkey)::BIGINT AS parts, count(DISTINCT l_suppkey)::BIGINT AS suppliers, count(l_tax)::BIGINT AS taxed, min(l_quantity) AS low, max(l_quantity) AS high FROM lineitem GROUP BY 1""")
 def distinct_counts(spark, d):
+    """AG6, AG7."""
     return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.countDistinct("l_partkey").alias("parts"), F.countDistinct("l_suppkey").alias("suppliers"), F.count("l_tax").alias("taxed"), F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"))
 
 
 @query(f"""WITH {ITEM_SQL}, u AS (SELECT color1 AS name, kind AS hex FROM item UNION SELECT color2, kind FROM item UNION SELECT color3, kind FROM item)
 SELECT name, min(hex) AS hex, count(*)::BIGINT AS n FROM u GROUP BY 1""")
 def palette_union(spark, d):
+    """AG14, SET1, SET3, QRY10."""
     return facets.palette(items(spark, d), [(c, "kind") for c in ("color1", "color2", "color3")])
 
 
 @query(f"""WITH {ITEM_SQL} SELECT media_id, color1, color2, color3 FROM item WHERE (color1 IN ('red', 'blue') OR color2 IN ('red', 'blue') OR color3 IN ('red', 'blue')) AND kind = 'image' AND province IS NOT NULL""")
 def any_slot_match(spark, d):
+    """FLT2, FLT4."""
     wanted = F.arrays_overlap(F.array("color1", "color2", "color3"), F.array(F.lit("red"), F.lit("blue")))
     return items(spark, d).where(wanted & (F.col("kind") == "image") & F.col("province").isNotNull()).select("media_id", "color1", "color2", "color3")
 
 
 @query("""SELECT doc_id FROM documents WHERE list_contains(list_transform(string_split(text, ','), lambda x: lower(trim(x, ' '))), 'the') OR list_contains(list_transform(string_split(text, ' '), lambda x: lower(x)), 'nicht')""")
 def list_membership(spark, d):
+    """FLT3."""
     parts = lambda sep: F.transform(F.split("text", sep), lambda x: F.lower(F.trim(x)))
     return table(spark, d, "documents").where(F.array_contains(parts(","), "the") | F.array_contains(F.transform(F.split("text", " "), F.lower), "nicht")).select("doc_id")
 
 
 @query("""SELECT CAST(props ->> '$.k' AS BIGINT) % 10 AS bucket, count(*)::BIGINT AS n, sum(TRY_CAST(props ->> '$.k' AS BIGINT))::BIGINT AS total FROM events GROUP BY 1""")
 def json_attributes(spark, d):
+    """S26."""
     k = F.get_json_object("props", "$.k").try_cast("long")
     return table(spark, d, "events").groupBy((k % 10).alias("bucket")).agg(F.count("*").alias("n"), F.sum(k).alias("total"))
 
@@ -157,6 +174,7 @@ def json_attributes(spark, d):
 @query("""SELECT word, count(*)::BIGINT AS n FROM (SELECT unnest(string_split(lower(text), ' ')) AS word FROM documents) WHERE regexp_full_match(word, '[a-z]{5,}')
 GROUP BY 1 QUALIFY row_number() OVER (ORDER BY n DESC, word) <= greatest(1, least(200, ceil(count(*) OVER () / 4)))""")
 def keyword_quartile(spark, d):
+    """AG11."""
     words = table(spark, d, "documents").select(F.explode(F.split(F.lower("text"), " ")).alias("w")).where(F.col("w").rlike("^[a-z]{5,}$"))
     return facets.top_quartile(words, F.col("w"))
 
@@ -165,6 +183,7 @@ def keyword_quartile(spark, d):
 c AS (SELECT tag, count(*)::BIGINT AS n FROM n WHERE length(tag) >= 3 AND tag NOT IN ('the', 'and') GROUP BY 1 HAVING count(*) > 1 OR NOT contains(tag, ' ') ORDER BY n DESC, tag LIMIT 50)
 SELECT tag, n, round(n / max(n) OVER ()::DOUBLE, 2) AS weight FROM c""")
 def tag_cloud(spark, d):
+    """AG13, QRY11."""
     words = table(spark, d, "documents").select(F.explode(F.split("text", " ")).alias("w"))
     return facets.tag_cloud(words, F.col("w"), stop=("the", "and"))
 
@@ -172,6 +191,7 @@ def tag_cloud(spark, d):
 @query("""SELECT l_suppkey, l_returnflag, votes FROM (SELECT l_suppkey, l_returnflag, count(*)::BIGINT AS votes, min(l_orderkey * 10 + l_linenumber) AS first FROM lineitem GROUP BY ALL)
 QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY votes DESC, first) = 1""")
 def majority_vote(spark, d):
+    """AG17."""
     line = table(spark, d, "lineitem").withColumn("_o", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     return facets.majority(line, ["l_suppkey"], "l_returnflag", "_o")
 
@@ -180,12 +200,14 @@ def majority_vote(spark, d):
 s AS (SELECT media_id, color1 AS color, 1 AS slot FROM item UNION ALL SELECT media_id, color2, 2 FROM item UNION ALL SELECT media_id, color3, 3 FROM item)
 SELECT media_id, meaning, min(slot)::INT AS slot FROM s JOIN m USING (color) GROUP BY ALL""")
 def color_meaning(spark, d):
+    """DOC10."""
     rows = [("red", "fire"), ("red", "love"), ("blue", "water"), ("green", "field"), ("yellow", "fire")]
     return facets.color_meanings(items(spark, d), "media_id", ["color1", "color2", "color3"], spark.createDataFrame(rows, "color string, meaning string"))
 
 
 @query(f"""WITH {ITEM_SQL}, {EAV_SQL} SELECT media_id FROM item i WHERE color1 IN ('red', 'orange') OR place ILIKE '%an%' OR EXISTS (SELECT 1 FROM eav e WHERE e.media_id = i.media_id AND key = 'k' AND value = '7')""")
 def cross_modal_any(spark, d):
+    """DOC12."""
     item = items(spark, d)
     by_key = attributes(item).where("key = 'k' and value = '7'").select("media_id")
     return item.where(F.col("color1").isin("red", "orange") | F.col("place").ilike("%an%")).select("media_id").union(by_key).distinct()
@@ -193,22 +215,26 @@ def cross_modal_any(spark, d):
 
 @query(f"""WITH {ITEM_SQL} SELECT media_id, kind FROM item QUALIFY row_number() OVER (PARTITION BY kind ORDER BY ((media_id + 1) * 1103515245 + 12345) % 2147483648, media_id) <= 20""")
 def sample_per_type(spark, d):
+    """SRT5."""
     return facets.sample_per_group(items(spark, d).select("media_id", "kind"), "kind", "media_id", 20, facets.portable_hash("media_id"))
 
 
 @query("""SELECT l_suppkey, l_orderkey, l_linenumber, l_extendedprice FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) = 1""")
 def best_of_group(spark, d):
+    """SRT8."""
     line = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice")
     return dedup.best_of_group(line, ["l_suppkey"], "l_extendedprice", ["l_orderkey", "l_linenumber"]).drop("rank")
 
 
 @query("""SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS first, count(*) OVER (PARTITION BY sha256(text))::BIGINT AS copies FROM documents""")
 def dedup_first(spark, d):
+    """SET5, SET6, S28."""
     return dedup.first_of(table(spark, d, "documents").select("doc_id", "text"), F.sha2("text", 256), "doc_id").select("doc_id", "first", "copies")
 
 
 @query("""SELECT doc_id, length(text) AS chars, round(len(list_intersect(list_distinct(regexp_extract_all(text, '[A-Za-z]+')), ['the', 'of', 'and', 'der', 'die'])) / 5.0::DOUBLE, 4) AS coverage FROM documents""")
 def coverage(spark, d):
+    """AG22."""
     wanted = F.array(*[F.lit(w) for w in ("the", "of", "and", "der", "die")])
     words = F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))
     return table(spark, d, "documents").select("doc_id", F.length("text").cast("long").alias("chars"), F.round(F.size(F.array_intersect(words, wanted)) / 5.0, 4).alias("coverage"))
@@ -218,12 +244,14 @@ def coverage(spark, d):
 f AS (SELECT doc_id, w, p, row_number() OVER (PARTITION BY doc_id, lower(w) ORDER BY p) AS r FROM u)
 SELECT doc_id, string_agg(w, ' ' ORDER BY p) AS merged FROM f WHERE r = 1 GROUP BY 1""")
 def merge_keywords_ci(spark, d):
+    """SET7."""
     return table(spark, d, "documents").select("doc_id", text.merged_words("text").alias("merged"))
 
 
 @query("""WITH w AS (SELECT doc_id, string_split(text, ' ') AS a, string_split(upper(text), ' ') AS b FROM documents)
 SELECT lower(x) AS word, count(*)::BIGINT AS n FROM (SELECT unnest(a) AS x, unnest(b) AS y FROM w WHERE len(a) = len(b)) WHERE x = y AND regexp_full_match(x, '[A-Z]+') GROUP BY 1""")
 def zip_positions(spark, d):
+    """JN19."""
     a, b = F.split("text", " "), F.split(F.upper("text"), " ")
     rows = table(spark, d, "documents").select(a.alias("a"), b.alias("b")).where(F.size("a") == F.size("b")).select(F.explode(F.arrays_zip("a", "b")).alias("z"))
     return rows.where((F.col("z.a") == F.col("z.b")) & F.col("z.a").rlike("^[A-Z]+$")).groupBy(F.lower("z.a").alias("word")).agg(F.count("*").alias("n"))
@@ -232,6 +260,7 @@ def zip_positions(spark, d):
 @query("""SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'service' WHEN length(text) > 400 THEN 'long' WHEN contains(text, '?') THEN 'question' ELSE 'text' END AS type,
   length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS chars FROM conversations""")
 def chat_attachments(spark, d):
+    """S23, S25."""
     kind = F.when(F.col("role") == "system", "service").when(F.length("text") > 400, "long").when(F.contains("text", F.lit("?")), "question").otherwise("text")
     return table(spark, d, "conversations").select("conv_id", "turn", kind.alias("type"), F.length(text.compact("text")).cast("long").alias("chars"))
 
@@ -239,6 +268,7 @@ def chat_attachments(spark, d):
 @query(f"""WITH {ITEM_SQL}, {EAV_SQL} SELECT media_id, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%H:%M') AS time, kind, place, province, coalesce(lat IS NOT NULL, false) AS placed, list_distinct([color1, color2, color3]).list_sort().array_to_string(',') AS colors, e.k AS k
 FROM item LEFT JOIN (SELECT media_id, max(value) AS k FROM eav WHERE key = 'k' GROUP BY 1) e USING (media_id)""")
 def snapshot(spark, d):
+    """SNK9, PRJ1, JN9, SET8, D8, QRY9."""
     item = items(spark, d)
     wide = facets.pivoted(attributes(item), ["k"])
     colors = F.array_join(F.array_sort(F.array_distinct(F.array("color1", "color2", "color3"))), ",")
@@ -269,17 +299,20 @@ def _looped(spark, d) -> DataFrame:
 
 @query(f"""WITH {_LOOP_SQL} SELECT media_id, kind, score::INT AS score, seg::INT AS seg, round(fraction, 6) AS fraction, round(t_loop, 4) AS t_loop FROM looped""")
 def loop_items(spark, d):
+    """FLT8, D5, M13, M14, QRY6."""
     return _looped(spark, d).select("media_id", "kind", F.col("score").cast("int").alias("score"), "seg", F.round("fraction", 6).alias("fraction"), F.round("t_loop", 4).alias("t_loop"))
 
 
 @query(f"""WITH {_LOOP_SQL} SELECT kind, seg::INT AS seg, count(*)::BIGINT AS n, round(avg(score), 6) AS mean_score, count(*) FILTER (score = 0)::BIGINT AS zero FROM looped GROUP BY ALL""")
 def loop_summary(spark, d):
+    """AG18, AG23."""
     return _looped(spark, d).groupBy("kind", "seg").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), F.count_if(F.col("score") == 0).alias("zero"))
 
 
 @query(f"""WITH {_LOOP_SQL}, e AS (SELECT media_id, hour, score, CASE WHEN value >= 20 THEN 'heat' WHEN value <= 1 THEN 'cold' WHEN alt > 900 THEN 'wind' END AS text FROM looped)
 SELECT text, floor(hour)::INT AS h, round(hour, 6) AS hour, media_id AS key FROM e WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY text, floor(hour) ORDER BY e.hour, score DESC, media_id) = 1""")
 def loop_events(spark, d):
+    """SRT7, SET9."""
     kind = F.when(F.col("value") >= 20, "heat").when(F.col("value") <= 1, "cold").when(F.col("alt") > 900, "wind")
     rows = _looped(spark, d).withColumn("text", kind).where("text is not null")
     return loop.first_events(rows, "text", "hour", "score", "media_id").withColumn("hour", F.round("hour", 6))
@@ -287,6 +320,7 @@ def loop_events(spark, d):
 
 @query(f"""SELECT seg::INT AS seg, h_from::INT AS h_from, arc::INT AS arc, t_from, t_to FROM (VALUES {_SEGMENTS_SQL}) t(seg, h_from, arc, t_from, t_to)""")
 def loop_segments(spark, d):
+    """M12."""
     return spark.createDataFrame([(s["seg"], s["h_from"], s["arc"], s["t_from"], s["t_to"]) for s in loop.loop_segments(HOURS, LOOP_SECONDS)], "seg int, h_from int, arc int, t_from double, t_to double")
 
 
@@ -309,6 +343,7 @@ def _route(spark, d) -> DataFrame:
 @query(f"""WITH {_ROUTE_SQL} SELECT media_id, round(metres, 2) AS metres, round(rise, 2) AS rise, round(CASE WHEN rise IS NULL OR metres IS NULL THEN NULL WHEN metres = 0 THEN 0 ELSE rise / metres * 100 END, 4) AS pct,
   (sum(coalesce(round(metres * 100)::BIGINT, 0)) OVER w)::BIGINT AS run_cm, (sum(CASE WHEN rise > 0 THEN round(rise * 100)::BIGINT ELSE 0 END) OVER w)::BIGINT AS gain_cm FROM pair WINDOW w AS (ORDER BY ts, media_id)""")
 def route_gradient(spark, d):
+    """SEQ1, SEQ2, SEQ3, QRY26."""
     cm = lambda c: F.round(c * 100).cast("long")
     rows = ordered.running_sums(_route(spark, d), ["ts", "media_id"], {"run_cm": cm(F.col("metres")), "gain_cm": F.when(F.col("rise") > 0, cm(F.col("rise")))})
     return rows.select("media_id", F.round("metres", 2).alias("metres"), F.round("rise", 2).alias("rise"), F.round("pct", 4).alias("pct"), "run_cm", "gain_cm")
@@ -317,6 +352,7 @@ def route_gradient(spark, d):
 @query(f"""WITH {_ROUTE_SQL} SELECT count(*)::BIGINT AS points, sum(round(metres * 100)::BIGINT)::BIGINT AS run_cm, sum(CASE WHEN rise > 0 THEN round(rise * 100)::BIGINT END)::BIGINT AS gain_cm, sum(CASE WHEN rise < 0 THEN round(rise * 100)::BIGINT END)::BIGINT AS loss_cm,
   round(min(lat), 6) AS south, round(max(lat), 6) AS north, round(avg(lat), 6) AS mid_lat, round(avg(lon), 6) AS mid_lon FROM pair""")
 def route_totals(spark, d):
+    """AG21, AG26."""
     cm = lambda c: F.round(F.col(c) * 100).cast("long")
     return _route(spark, d).agg(F.count("*").alias("points"), F.sum(cm("metres")).alias("run_cm"), F.sum(F.when(F.col("rise") > 0, cm("rise"))).alias("gain_cm"), F.sum(F.when(F.col("rise") < 0, cm("rise"))).alias("loss_cm"), F.round(F.min("lat"), 6).alias("south"), F.round(F.max("lat"), 6).alias("north"), F.round(F.avg("lat"), 6).alias("mid_lat"), F.round(F.avg("lon"), 6).alias("mid_lon"))
 
@@ -324,12 +360,14 @@ def route_totals(spark, d):
 @query(f"""WITH {_ROUTE_SQL} SELECT media_id, round(plat, 6) AS lat0, round(plon, 6) AS lon0, round(lat, 6) AS lat1, round(lon, 6) AS lon1,
   CASE WHEN rise IS NULL THEN 'unknown' WHEN metres = 0 THEN 'flat' WHEN rise / metres * 100 < -6 THEN 'steep down' WHEN rise / metres * 100 < -2 THEN 'down' WHEN rise / metres * 100 <= 2 THEN 'flat' WHEN rise / metres * 100 <= 6 THEN 'up' ELSE 'steep up' END AS band FROM pair WHERE plat IS NOT NULL""")
 def route_segments(spark, d):
+    """SEQ16, M11."""
     return _route(spark, d).where("prev is not null").select("media_id", F.round("prev.lat", 6).alias("lat0"), F.round("prev.lon", 6).alias("lon0"), F.round("lat", 6).alias("lat1"), F.round("lon", 6).alias("lon1"), geo.gradient_band("pct").alias("band"))
 
 
 @query(f"""WITH {ITEM_SQL}, s AS (SELECT media_id, CASE WHEN media_id % 9 = 0 THEN -lat ELSE lat END AS lat, nullif(alt, 0) AS alt FROM item)
 SELECT media_id, round(CASE WHEN NOT lat BETWEEN -35 AND -30 AND -lat BETWEEN -35 AND -30 THEN -lat ELSE lat END, 6) AS lat, alt FROM s""")
 def sign_fix(spark, d):
+    """FLT11, M7."""
     turned = F.when(F.col("media_id") % 9 == 0, -F.col("lat")).otherwise(F.col("lat"))
     return items(spark, d).select("media_id", F.round(geo.sign_fixed(turned, -35, -30), 6).alias("lat"), F.nullif("alt", F.lit(0)).alias("alt"))
 
@@ -341,6 +379,7 @@ def sign_fix(spark, d):
 f AS (SELECT media_id, t.ts AS t1, t.ele AS e1, t.point_id AS p1 FROM item i ASOF LEFT JOIN track t ON i.ts <= t.ts)
 SELECT media_id, CASE WHEN p0 IS NULL OR epoch_us(t1) - epoch_us(b.ts) <= epoch_us(b.ts) - epoch_us(t0) THEN p1 ELSE p0 END AS point_id, CASE WHEN p0 IS NULL OR epoch_us(t1) - epoch_us(b.ts) <= epoch_us(b.ts) - epoch_us(t0) THEN e1 ELSE e0 END AS ele FROM b JOIN f USING (media_id)""")
 def asof_nearest_altitude(spark, d):
+    """JN10."""
     item = items(spark, d)
     both = ordered.asof(item.select("media_id", "ts"), track_points(item), "ts", F.struct("ts", "point_id", "ele"), ahead=True)
     ahead = F.unix_micros("next.ts") - F.unix_micros("ts") <= F.unix_micros("ts") - F.unix_micros("prev.ts")
@@ -353,6 +392,7 @@ j AS (SELECT i.media_id, i.ts, n.ts AS ts0, n.ts1, plat, plon, ele, lat1, lon1,
 SELECT media_id, round(plat + (lat1 - plat) * f, 6) AS lat, round(plon + (lon1 - plon) * f, 6) AS lon, round(ele + (ele1 - ele) * f, 4) AS ele, round(gap, 3) AS gap FROM
 (SELECT *, (epoch_us(ts) - epoch_us(ts0)) / (epoch_us(ts1) - epoch_us(ts0))::DOUBLE AS f, (epoch_us(ts1) - epoch_us(ts0)) / 1e6 AS gap FROM j WHERE ts1 IS NOT NULL)""")
 def asof_bracket_position(spark, d):
+    """JN11, SEQ12."""
     item = items(spark, d)
     point = F.struct("ts", "plat", "plon", "ele")
     steps = ordered.with_neighbours(track_points(item), ["ts", "point_id"], point, back=False, ahead=True)
@@ -366,6 +406,7 @@ def asof_bracket_position(spark, d):
   first_value(CASE WHEN lat IS NOT NULL THEN {{'t': ts, 'v': lat}} END IGNORE NULLS) OVER (ORDER BY ts, media_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS n FROM item)
 SELECT media_id, round(CASE WHEN p IS NULL THEN n.v WHEN n IS NULL THEN p.v WHEN n.t = p.t THEN p.v ELSE p.v + (n.v - p.v) * ((epoch_us(ts) - epoch_us(p.t)) / (epoch_us(n.t) - epoch_us(p.t))::DOUBLE) END, 6) AS lat FROM x""")
 def fill_position(spark, d):
+    """JN12, JOB12."""
     known = F.when(F.col("lat").isNotNull(), F.struct(F.col("ts").alias("t"), F.col("lat").alias("v")))
     x = ordered.with_neighbours(items(spark, d).select("media_id", "ts", "lat"), ["ts", "media_id"], known, ahead=True, current=True)
     f = F.try_divide(F.unix_micros("ts") - F.unix_micros("prev.t"), F.unix_micros("next.t") - F.unix_micros("prev.t"))
@@ -378,6 +419,7 @@ c AS (SELECT media_id, track_id, CASE WHEN t0 <= ts AND t1 >= end_ts THEN 0 WHEN
 m AS (SELECT *, CASE rank WHEN 0 THEN b - a WHEN 1 THEN greatest(i0, a) - least(i1, b) ELSE greatest(a - i1, i0 - b) END AS metric FROM c)
 SELECT media_id, track_id, (['contains', 'overlaps', 'nearest'])[rank + 1] AS mode, round(abs(metric), 3) AS metric FROM m QUALIFY row_number() OVER (PARTITION BY media_id ORDER BY rank, metric, track_id) = 1""")
 def interval_best_track(spark, d):
+    """JN13."""
     item = items(spark, d)
     span = item.groupBy("folder", F.to_date("ts").alias("day")).agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.count("*").alias("_n")).where("_n > 1")
     span = span.select("folder", "t0", "t1", (F.col("folder") * 1000 + F.dayofyear("t0")).alias("track_id"))
@@ -388,6 +430,7 @@ def interval_best_track(spark, d):
 @query(f"""WITH {ITEM_SQL}, {TRACK_SQL}, m AS (SELECT media_id, point_id, {_HAV.format(a="lat", b="lon", c="plat", d="plon")} AS metres FROM item, track WHERE lat IS NOT NULL)
 SELECT media_id, point_id, round(metres, 2) AS metres, (row_number() OVER (PARTITION BY media_id ORDER BY m.metres, point_id))::INT AS rank FROM m QUALIFY rank <= 2""")
 def knn_two_points(spark, d):
+    """JN14."""
     item = items(spark, d)
     near = intervals.nearest_points(item, track_points(item), ("media_id", "lat", "lon"), ("point_id", "plat", "plon"), 2, 0.25)
     return near.select("media_id", "point_id", F.round("metres", 2).alias("metres"), F.col("rank").cast("int").alias("rank"))
@@ -396,6 +439,7 @@ def knn_two_points(spark, d):
 @query(f"""WITH {ITEM_SQL}, w AS (SELECT date_trunc('day', ts)::DATE AS day, round(lat, 0) AS cy, round(lon, 0) AS cx, hour(ts) AS h, min(value) AS temp FROM item WHERE media_id % 3 = 0 AND lat IS NOT NULL GROUP BY ALL)
 SELECT media_id, h::INT AS h, round(temp, 4) AS temp FROM item i JOIN w ON w.day = i.ts::DATE AND w.cy = round(i.lat, 0) AND w.cx = round(i.lon, 0) QUALIFY row_number() OVER (PARTITION BY media_id ORDER BY abs(h - hour(i.ts)), h) = 1""")
 def cell_nearest_hour(spark, d):
+    """JN16."""
     item = items(spark, d)
     cy, cx = geo.cell("lat", "lon", 0)
     celled = item.where("lat is not null").withColumn("day", F.to_date("ts")).withColumn("cy", cy).withColumn("cx", cx)
@@ -406,6 +450,7 @@ def cell_nearest_hour(spark, d):
 
 @query(f"""WITH {ITEM_SQL}, r AS (SELECT min(ts) AS a, max(ts) AS b FROM item WHERE folder = 7) SELECT media_id, kind FROM item, r WHERE ts BETWEEN a AND b AND kind = 'text'""")
 def date_range_messages(spark, d):
+    """FLT7, JN15, QRY8."""
     item = items(spark, d)
     span = item.where("folder = 7").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
     return item.where("kind = 'text'").join(F.broadcast(span), F.col("ts").between(F.col("a"), F.col("b"))).select("media_id", "kind")
@@ -414,6 +459,7 @@ def date_range_messages(spark, d):
 @query(f"""WITH {ITEM_SQL}, t(target) AS (VALUES (0), (6), (13), (22)), x AS (SELECT media_id, hour(ts) + minute(ts) / 60.0::DOUBLE AS h FROM item)
 SELECT media_id, target::INT AS target, round(least(abs(h - target), 24 - abs(h - target)), 6) AS away FROM x, t QUALIFY row_number() OVER (PARTITION BY media_id ORDER BY least(abs(h - target), 24 - abs(h - target)), target) = 1""")
 def circular_hour_match(spark, d):
+    """JN21."""
     h = F.hour("ts") + F.minute("ts") / 60.0
     away = lambda t: F.least(F.abs(h - t), 24 - F.abs(h - t))
     best = F.array_min(F.array(*[F.struct(away(t).alias("away"), F.lit(t).alias("target")) for t in (0, 6, 13, 22)]))
@@ -423,6 +469,7 @@ def circular_hour_match(spark, d):
 @query(f"""WITH {ITEM_SQL}, p AS (SELECT range AS n, TIMESTAMP '2024-01-05 00:00:00' + to_hours(range) AS t FROM range(24))
 SELECT n::INT AS n, media_id, kind FROM p JOIN item ON ts <= t AND end_ts >= t""")
 def active_at(spark, d):
+    """DOC1."""
     probes = spark.range(24).select(F.col("id").cast("int").alias("n"), F.timestamp_seconds(F.lit(1_704_412_800) + F.col("id") * 3600).alias("t"))
     return intervals.overlaps(items(spark, d).select("media_id", "kind", "ts", "end_ts"), probes, ("ts", "end_ts"), ("t", "t")).select("n", "media_id", "kind")
 
@@ -430,6 +477,7 @@ def active_at(spark, d):
 @query(f"""WITH {ITEM_SQL}, w AS (SELECT date_trunc('hour', ts) AS t0, date_trunc('hour', ts) + INTERVAL 59 MINUTE AS t1 FROM item GROUP BY ALL)
 SELECT strftime(t0, '%Y-%m-%d %H:%M:%S') AS start, count(*)::BIGINT AS n FROM w JOIN item ON ts <= t1 AND end_ts >= t0 GROUP BY 1""")
 def overlap_windows(spark, d):
+    """DOC2."""
     item = items(spark, d).select("media_id", "ts", "end_ts")
     hours = item.select(F.date_trunc("hour", "ts").alias("t0")).distinct().withColumn("t1", F.col("t0") + F.expr("INTERVAL 59 MINUTES"))
     return intervals.overlaps(item, hours, ("ts", "end_ts"), ("t0", "t1")).groupBy(_stamp("t0").alias("start")).agg(F.count("*").alias("n"))
@@ -437,17 +485,20 @@ def overlap_windows(spark, d):
 
 @query(f"""WITH {ITEM_SQL} SELECT media_id, lag(media_id) OVER w AS previous, lead(media_id) OVER w AS next FROM item WINDOW w AS (PARTITION BY folder ORDER BY ts, media_id)""")
 def next_previous_item(spark, d):
+    """DOC3, DOC4."""
     rows = ordered.with_neighbours(items(spark, d).select("media_id", "folder", "ts"), ["ts", "media_id"], F.col("media_id"), ["folder"], back=True, ahead=True)
     return rows.select("media_id", F.col("prev").alias("previous"), "next")
 
 
 @query("""SELECT strftime(ts, '%Y-%m-%d') AS day, count(*)::BIGINT AS n FROM events GROUP BY 1""")
 def daily_distribution(spark, d):
+    """DOC6."""
     return table(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {ITEM_SQL} SELECT a.media_id AS point, b.media_id AS segment FROM item a JOIN item b ON a.province = b.province AND a.kind = 'image' AND b.kind IN ('video', 'audio') AND a.ts >= b.ts AND a.ts <= b.end_ts""")
 def points_in_segments(spark, d):
+    """DOC7."""
     item = items(spark, d).where("province is not null")
     a = item.where("kind = 'image'").select(F.col("media_id").alias("point"), "province", F.col("ts").alias("p0"))
     b = item.where("kind in ('video', 'audio')").select(F.col("media_id").alias("segment"), "province", F.col("ts").alias("s0"), F.col("end_ts").alias("s1"))
@@ -457,6 +508,7 @@ def points_in_segments(spark, d):
 @query(f"""WITH {ITEM_SQL}, m AS (SELECT folder, ts, kind || ':' || media_id AS mark FROM item WHERE media_id % 7 = 0)
 SELECT media_id, mark FROM item i ASOF LEFT JOIN m ON i.folder = m.folder AND i.ts >= m.ts""")
 def latest_mark_at_item(spark, d):
+    """DOC8."""
     from caravel.plans.views import marks
 
     item = items(spark, d)
@@ -468,12 +520,14 @@ def latest_mark_at_item(spark, d):
 
 @query(f"""WITH {ITEM_SQL} SELECT media_id, o::INT AS offset_s FROM (SELECT media_id, unnest(range(0, duration_s + 1, 75)) AS o FROM item WHERE duration_s > 0)""")
 def fixed_samples(spark, d):
+    """SEQ8."""
     return items(spark, d).where("duration_s > 0").select("media_id", F.explode(F.sequence(F.lit(0), F.col("duration_s").cast("int"), F.lit(75))).alias("offset_s"))
 
 
 @query(f"""WITH {ITEM_SQL}, l AS (SELECT media_id, folder, alt - lag(alt) OVER (PARTITION BY folder ORDER BY ts, media_id) AS rise FROM item)
 SELECT media_id, CASE WHEN rise > 0 THEN 'up' ELSE 'down' END AS direction, round(rise, 2) AS rise FROM l WHERE abs(rise) >= 300""")
 def elevation_marks(spark, d):
+    """SEQ4."""
     rows = ordered.lagged(items(spark, d), ["folder"], ["ts", "media_id"], {"before": F.col("alt")})
     rows = rows.withColumn("rise", F.col("alt") - F.col("before")).where(F.abs("rise") >= 300)
     return rows.select("media_id", F.when(F.col("rise") > 0, "up").otherwise("down").alias("direction"), F.round("rise", 2).alias("rise"))
@@ -493,6 +547,7 @@ _LIGHT = "CASE WHEN el IS NULL THEN NULL WHEN el >= 12 THEN 'day' WHEN el >= 6 T
 
 @query(f"""WITH {ITEM_SQL}, {_SUN} SELECT media_id, round(el, 5) AS elevation, {_LIGHT} AS light FROM sun WHERE lat IS NOT NULL""")
 def sun_position(spark, d):
+    """M1, M2, M4, QRY25."""
     rows = items(spark, d).where("lat is not null").withColumn("el", sun.elevation("ts", "lat", "lon"))
     return rows.select("media_id", F.round("el", 5).alias("elevation"), sun.twilight("el").alias("light"))
 
@@ -500,6 +555,7 @@ def sun_position(spark, d):
 @query(f"""WITH {ITEM_SQL}, {_SUN}, k AS (SELECT media_id, folder, ts, {_LIGHT} AS light FROM sun), l AS (SELECT *, lag(light) OVER w AS before, row_number() OVER w AS n FROM k WINDOW w AS (PARTITION BY folder ORDER BY ts, media_id))
 SELECT media_id, before, light FROM l WHERE n > 1 AND light IS NOT NULL AND light IS DISTINCT FROM before""")
 def twilight_changes(spark, d):
+    """SEQ5."""
     rows = items(spark, d).withColumn("el", sun.elevation("ts", "lat", "lon"))
     return ordered.changes(rows, ["folder"], ["ts", "media_id"], sun.twilight("el"), "light").select("media_id", "before", "light")
 
@@ -522,6 +578,7 @@ def motion_changes(spark, d):
 @query(f"""WITH {ITEM_SQL}, g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) > 7200000000 THEN 1 ELSE 0 END AS new FROM item WINDOW w AS (PARTITION BY folder ORDER BY ts, media_id)),
 s AS (SELECT *, sum(new) OVER (PARTITION BY folder ORDER BY ts, media_id) AS session FROM g) SELECT folder, session::BIGINT AS session, count(*)::BIGINT AS n, min(media_id) AS first FROM s GROUP BY ALL""")
 def bursts_by_gap(spark, d):
+    """SEQ14."""
     rows = ordered.sessions(items(spark, d).select("folder", "ts", "media_id"), ["folder"], "ts", 7200, "media_id")
     return rows.groupBy("folder", "session").agg(F.count("*").alias("n"), F.min("media_id").alias("first"))
 
@@ -531,6 +588,7 @@ b AS (SELECT folder, media_id, ts, r, ts AS first, 0 AS burst FROM o WHERE r = 1
   SELECT o.folder, o.media_id, o.ts, o.r, CASE WHEN epoch_us(o.ts) - epoch_us(b.first) > 86400000000 THEN o.ts ELSE b.first END, b.burst + CASE WHEN epoch_us(o.ts) - epoch_us(b.first) > 86400000000 THEN 1 ELSE 0 END FROM b JOIN o ON o.folder = b.folder AND o.r = b.r + 1)
 SELECT folder, media_id, burst::BIGINT AS burst FROM b""")
 def bursts_anchored(spark, d):
+    """SEQ13."""
     rows = items(spark, d).select("folder", "ts", "media_id")
     return ordered.anchored_groups(rows, ["folder"], "ts", 86_400, "media_id").select("folder", "media_id", F.col("burst").cast("long").alias("burst"))
 
@@ -539,6 +597,7 @@ def bursts_anchored(spark, d):
 s AS (SELECT id, unnest(cuts[1:len(cuts) - 1]) AS a, unnest(cuts[2:]) AS b FROM c), p AS (SELECT id, a, b, unnest(range(CAST(ceil((b - a) / 20) AS BIGINT))) AS i FROM s)
 SELECT id, round(a + i * 20, 1) AS start, round(least(b, a + (i + 1) * 20), 1) AS stop FROM p""")
 def scene_split(spark, d):
+    """SEQ17, SEQ18."""
     cuts = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_quantity").alias("q"))
     cuts = cuts.select("id", F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0)), "q", F.array(F.lit(60.0))))).alias("c"))
     spans = cuts.select("id", F.explode(F.arrays_zip(F.slice("c", 1, F.size("c") - 1).alias("a"), F.slice("c", 2, F.size("c") - 1).alias("b"))).alias("s")).select("id", "s.a", "s.b")
@@ -550,6 +609,7 @@ def scene_split(spark, d):
 x AS (SELECT *, last_value(CASE WHEN t IS NOT NULL THEN {{'p': pos, 't': t}} END IGNORE NULLS) OVER (PARTITION BY folder ORDER BY pos) AS a, first_value(CASE WHEN t IS NOT NULL THEN {{'p': pos, 't': t}} END IGNORE NULLS) OVER (PARTITION BY folder ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM o)
 SELECT media_id, round((a.t + (b.t - a.t) / (b.p - a.p)::DOUBLE * (pos - a.p)) / 1e6, 3) AS at FROM x WHERE t IS NULL AND a IS NOT NULL AND b IS NOT NULL""")
 def timestamps_rank_interp(spark, d):
+    """SEQ15, JOB11."""
     # in blocks of ids, so that a folder may hold any share of the items
     block = F.floor(F.col("media_id") / 10_000)
     rows = ordered.running_sums(items(spark, d), ["media_id"], {"pos": F.lit(1)}, ["folder"], block).select("media_id", "folder", "pos", F.when(F.col("media_id") % 4 != 1, F.unix_micros("ts")).alias("t"))
@@ -571,6 +631,7 @@ def session_bursts(spark, d):
 
 @query("""SELECT DISTINCT a.p_name AS a, b.p_name AS b, levenshtein(a.p_name, b.p_name)::INT AS distance FROM (SELECT DISTINCT p_name FROM part) a, (SELECT DISTINCT p_name FROM part) b WHERE a.p_name < b.p_name AND abs(length(a.p_name) - length(b.p_name)) <= 1 AND levenshtein(a.p_name, b.p_name) <= 1""")
 def fuzzy_names(spark, d):
+    """JN18, S16."""
     part = table(spark, d, "part")
     return dedup.similar_names(part, part, "p_name", "p_name", 1).where("a < b")
 
@@ -583,6 +644,7 @@ def cosine_pairs(spark, d):
 
 @query()
 def cosine_leader_clusters(spark, d):
+    """SET12."""
     return dedup.leader_clusters(table(spark, d, "embeddings"), ["label"], "vec_id", "embedding", lambda a, b: dedup.cosine(a, b) >= 0.7).select("label", "vec_id", "leader")
 
 
@@ -591,6 +653,7 @@ def cosine_leader_clusters(spark, d):
 
 @query("""SELECT word FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS word FROM documents) GROUP BY 1 HAVING count(*) = 1""")
 def words_once(spark, d):
+    """AG25."""
     words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), F.lit(1))).alias("word"))
     return words.groupBy("word").agg(F.count("*").alias("n")).where("n = 1").select("word")
 
@@ -617,12 +680,14 @@ def sliding_counts(spark, d):
     WHEN 65 THEN 'lluvia intensa' WHEN 66 THEN 'lluvia helada ligera' WHEN 67 THEN 'lluvia helada intensa' WHEN 71 THEN 'nieve ligera' WHEN 73 THEN 'nieve moderada' WHEN 75 THEN 'nieve intensa' WHEN 80 THEN 'tormenta ligera'
     WHEN 81 THEN 'tormenta moderada' WHEN 82 THEN 'tormenta intensa' WHEN 95 THEN 'tormenta eléctrica' WHEN 96 THEN 'tormenta con granizo ligero' WHEN 99 THEN 'tormenta con granizo intenso' ELSE 'codigo_' || event_id % 100 END AS weather FROM events""")
 def weather_names(spark, d):
+    """M8."""
     i = F.col("event_id")
     return table(spark, d, "events").select("event_id", geo.wind_point(i * F.lit(17.7)).alias("wind"), geo.weather_label(i % 100).alias("weather"))
 
 
 @query("""SELECT event_id, strftime(date_trunc('second', ts) + INTERVAL 3 HOUR, '%Y-%m-%d %H:%M:%S') AS utc FROM events""")
 def filename_times(spark, d):
+    """D2."""
     from caravel.functions.time import of_filename
 
     name = F.concat(F.lit("VID_"), F.date_format("ts", "yyyyMMdd_HHmmss"), F.lit("_01.mp4"))
@@ -631,6 +696,7 @@ def filename_times(spark, d):
 
 @query("""SELECT event_id, CASE WHEN user_id % 10 = 1 THEN '/nas/trip/' || user_id || '/' || event_id ELSE '/media/u' || (user_id % 10) || '/' || user_id || '/' || event_id END AS path FROM events""")
 def path_moves(spark, d):
+    """S18, JOB30."""
     from caravel.functions.metadata import moved_path
 
     path = F.concat(F.lit("/media/u"), (F.col("user_id") % 10).cast("string"), F.lit("/"), F.col("user_id").cast("string"), F.lit("/"), F.col("event_id").cast("string"))
@@ -639,11 +705,13 @@ def path_moves(spark, d):
 
 @query(f"""WITH {ITEM_SQL} SELECT media_id, kind FROM item ORDER BY media_id DESC LIMIT 20""")
 def latest_items(spark, d):
+    """SRT2, QRY15."""
     return items(spark, d).select("media_id", "kind").orderBy(F.desc("media_id")).limit(20)
 
 
 @query(f"""WITH {ITEM_SQL} SELECT kind, array_to_string(list_sort(list(DISTINCT province)), ',') AS provinces, count(DISTINCT place)::BIGINT AS places FROM item GROUP BY 1""")
 def places_per_kind(spark, d):
+    """AG20."""
     return items(spark, d).groupBy("kind").agg(F.array_join(F.array_sort(F.collect_set("province")), ",").alias("provinces"), F.countDistinct("place").alias("places"))
 
 
@@ -655,6 +723,7 @@ def facet_rollup(spark, d):
 @query(f"""WITH {ITEM_SQL} SELECT media_id, kind, color1 FROM item WHERE kind IN ('image', 'video') AND place NOT IN (SELECT n_name FROM nation WHERE n_regionkey = 1) AND hour(ts) BETWEEN 7 AND 18
 QUALIFY row_number() OVER (PARTITION BY kind ORDER BY ((media_id + 7) * 1103515245 + 12345) % 2147483648, media_id) <= 5""")
 def filtered_media(spark, d):
+    """FLT1, FLT9, QRY7."""
     barred = table(spark, d, "nation").where("n_regionkey = 1").select(F.col("n_name").alias("place"))
     kept = items(spark, d).where(F.col("kind").isin("image", "video") & F.hour("ts").between(7, 18) & F.col("place").isNotNull()).join(F.broadcast(barred), "place", "left_anti")
     return facets.sample_per_group(kept.select("media_id", "kind", "color1"), "kind", "media_id", 5, facets.portable_hash("media_id", 7))
@@ -670,5 +739,6 @@ def color_names(spark, d):
 
 @query()
 def phash_leaders(spark, d):
+    """SET10."""
     hashed = items(spark, d).select("folder", "media_id", (F.xxhash64("kind").bitwiseXOR(F.col("media_id") % 64)).alias("h"))
     return dedup.leader_clusters(hashed, ["folder"], "media_id", "h", lambda a, b: dedup.hamming(a, b) <= 2).select("folder", "media_id", "leader")

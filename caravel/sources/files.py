@@ -39,7 +39,7 @@ def media_type(path) -> Column:
 
 
 def walk(spark: SparkSession, folder: str, recursive: bool = True, kinds: tuple[str, ...] = ()) -> DataFrame:
-    """(path, modified, bytes, kind) of files; hidden folders, ``excluir/`` and ``._*`` files are left out.
+    """SRC3. (path, modified, bytes, kind) of files; hidden folders, ``excluir/`` and ``._*`` files are left out.
 
     Contents aren't read: the plan only selects the file's facts.
     """
@@ -58,7 +58,7 @@ def fingerprint(path, modified, size) -> Column:
 
 
 def gpx_points(spark: SparkSession, path: str) -> DataFrame:
-    """All ``trkpt`` under any segment: latitude, longitude, elevation?, time?; points without a position are left out."""
+    """SRC8. All ``trkpt`` under any segment: latitude, longitude, elevation?, time?; points without a position are left out."""
     schema = "_lat double, _lon double, ele double, time string"
     rows = spark.read.format("xml").option("rowTag", "trkpt").schema(schema).load(path)
     return rows.where("_lat is not null and _lon is not null").select(F.col("_lat").alias("latitude"), F.col("_lon").alias("longitude"), F.col("ele").alias("elevation"), "time", F.col("_metadata.file_path").alias("file"))
@@ -82,7 +82,7 @@ TEXT_KEYS = ("autor", "fecha", "tags", "ubicacion")
 
 
 def markdown_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """Sections of Markdown files: key ``path::index``, title, body and the keys of ``TEXT_KEYS``.
+    """SRC9. Sections of Markdown files: key ``path::index``, title, body and the keys of ``TEXT_KEYS``.
 
     Files that begin with ``_`` are left out, comments go, front matter holds for the sections
     that don't say otherwise, and a section begins at ``## ``.
@@ -147,7 +147,7 @@ def _last_whole(text: str) -> dict[int, str]:
 
 
 def chat_messages(spark: SparkSession, path: str) -> DataFrame:
-    """Messages of ``result.json`` exports, cut ones repaired; an export without messages gives no rows."""
+    """SRC10. Messages of ``result.json`` exports, cut ones repaired; an export without messages gives no rows."""
 
     @F.arrow_udf("string")
     def repair(texts: pa.Array) -> pa.Array:
@@ -158,7 +158,7 @@ def chat_messages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def flat_text(text) -> Column:
-    """Plain text of a message: itself, or the joined parts of a JSON list of strings and entities."""
+    """S22. Plain text of a message: itself, or the joined parts of a JSON list of strings and entities."""
     t = _c(text)
     parts = F.from_json(t, "array<string>")
     plain = F.array_join(F.transform(parts, lambda p: F.coalesce(F.get_json_object(p, "$.text"), p)), "")
@@ -180,7 +180,7 @@ def attachments(messages: DataFrame) -> DataFrame:
 
 
 def scene_marks(df: DataFrame, key: str, analysis: str) -> DataFrame:
-    """Marks of ``{"escenas": [...]}``: per scene a keyword list, each keyword and a description; older or broken JSON gives none."""
+    """JOB14. Marks of ``{"escenas": [...]}``: per scene a keyword list, each keyword and a description; older or broken JSON gives none."""
     shape = "escenas array<struct<indice: int, inicio: double, fin: double, keywords: array<string>, descripcion: string>>"
     scenes = df.select(key, F.explode(F.from_json(analysis, shape)["escenas"]).alias("s"))
     marks = F.array_compact(F.concat(F.array(F.when(F.size("s.keywords") > 0, F.struct(F.lit("scene").alias("key"), F.array_join("s.keywords", ", ").alias("value"))), F.when(F.col("s.descripcion").isNotNull(), F.struct(F.lit("description").alias("key"), F.col("s.descripcion").alias("value")))), F.coalesce(F.transform("s.keywords", lambda k: F.struct(F.lit("keyword").alias("key"), k.alias("value"))), F.array())))
@@ -188,7 +188,7 @@ def scene_marks(df: DataFrame, key: str, analysis: str) -> DataFrame:
 
 
 def hourly(df: DataFrame, variables: tuple[str, ...]) -> DataFrame:
-    """(day, hour, variables) rows of hourly arrays; short arrays end in nulls."""
+    """SRC11. (day, hour, variables) rows of hourly arrays; short arrays end in nulls."""
     zipped = F.arrays_zip(F.col("hourly.time").alias("time"), *[F.col(f"hourly.{v}").alias(v) for v in variables])
     others = [c for c in df.columns if c != "hourly"]
     rows = df.select(*others, F.explode(zipped).alias("h")).where("h.time is not null")
@@ -224,7 +224,7 @@ class _SqliteReader(DataSourceReader):
 
 
 class SqliteSource(DataSource):
-    """``spark.read.format("caravel_sqlite").option("table", t).load(file)``: rowid ranges as partitions."""
+    """SRC1, SRC2. ``spark.read.format("caravel_sqlite").option("table", t).load(file)``: rowid ranges as partitions."""
 
     @classmethod
     def name(cls) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def export_csv(df: DataFrame, path: str, vector: str = "embedding", hidden_keys: tuple[str, ...] = ("transcript", "transcript_segments")) -> None:
-    """A table as CSV with header, without its vector column and without the long transcript attributes."""
+    """SNK8. A table as CSV with header, without its vector column and without the long transcript attributes."""
     rows = df.drop(vector)
     if {"key", "value"} <= set(rows.columns):
         rows = rows.where(~F.col("key").isin(*hidden_keys))
@@ -15,7 +15,7 @@ def export_csv(df: DataFrame, path: str, vector: str = "embedding", hidden_keys:
 
 
 def loop_document(looped: DataFrame, segments: DataFrame) -> DataFrame:
-    """One row, one JSON text: segments, placed items in order and counts per kind. For a loop's worth of items."""
+    """SNK10. One row, one JSON text: segments, placed items in order and counts per kind. For a loop's worth of items."""
     order = F.array_sort(F.collect_list(F.struct("t_loop", "media_id", "kind", "score")))
     placed = looped.agg(order.alias("items"), F.count("*").alias("n"))
     kinds = looped.groupBy("kind").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("by_kind"))
@@ -24,12 +24,12 @@ def loop_document(looped: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def geojson_lines(segments: DataFrame) -> DataFrame:
-    """One GeoJSON feature text per route segment (lat0, lon0, lat1, lon1, band)."""
+    """SNK13. One GeoJSON feature text per route segment (lat0, lon0, lat1, lon1, band)."""
     line = F.struct(F.lit("LineString").alias("type"), F.array(F.array("lon0", "lat0"), F.array("lon1", "lat1")).alias("coordinates"))
     return segments.select(F.to_json(F.struct(F.lit("Feature").alias("type"), line.alias("geometry"), F.struct("band").alias("properties"))).alias("feature"))
 
 
 def snapshot_tables(tables: dict[str, DataFrame], folder: str, version: str) -> None:
-    """A backup: every table under ``folder/version``; an earlier one of that name is replaced."""
+    """SNK15. A backup: every table under ``folder/version``; an earlier one of that name is replaced."""
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{folder}/{version}/{name}")

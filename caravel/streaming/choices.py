@@ -10,7 +10,7 @@ GROUPS = ("horas", "municipios", "colores", "tags", "dias", "clima")
 
 
 def bursts(messages: DataFrame, quiet: str = "700 milliseconds", late: str = "10 seconds") -> DataFrame:
-    """(sender, start, end, choices) of each burst of (sender, ts, group, value): one per sender and silence of ``quiet``.
+    """SRC15, STR1. (sender, start, end, choices) of each burst of (sender, ts, group, value): one per sender and silence of ``quiet``.
 
     Works on a stream (append mode; a burst goes out when the watermark has passed its end) and
     on a table alike. Unknown groups are ignored. Values are distinct and sorted.
@@ -23,7 +23,7 @@ def bursts(messages: DataFrame, quiet: str = "700 milliseconds", late: str = "10
 
 
 def parsed(burst: DataFrame) -> DataFrame:
-    """Hours (from ``HH:MM``, distinct, sorted) and filters by group of each burst; texts that are no hour go."""
+    """STR2. Hours (from ``HH:MM``, distinct, sorted) and filters by group of each burst; texts that are no hour go."""
     of = lambda g: F.transform(F.filter("choices", lambda c: c["group"] == g), lambda c: c["value"])
     hours = F.array_sort(F.array_distinct(F.filter(F.transform(of("horas"), lambda v: F.regexp_extract(v, r"^(\d{1,2}):\d{2}$", 1).try_cast("int")), lambda h: h.between(0, 23))))
     return burst.select("sender", "start", hours.alias("hours"), *[of(g).alias(g) for g in GROUPS[1:]])
