@@ -83,6 +83,26 @@ def votes_of(text: str | None, lexicon: dict[str, int]) -> tuple[list[int], list
     return sorted(lexicon[w] for w in hit), [i for i, x in enumerate((*hits, *style)) if x]
 
 
+#: Rows of a vote matrix that are floating-point numbers at a time.
+CHUNK = 1024
+
+
+def _chunks(matrix: np.ndarray):
+    """(rows, the rows as floating-point numbers) of a matrix of bytes."""
+    for at in range(0, len(matrix), CHUNK):
+        rows = slice(at, at + CHUNK)
+        yield rows, matrix[rows].astype(np.float64)
+
+
+def _sums(weight: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Weighted sums of the columns; ``weight`` is (kinds, rows)."""
+    return sum((weight[:, rows] @ x for rows, x in _chunks(matrix)), np.zeros((len(weight), matrix.shape[1])))
+
+
+def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    return np.concatenate([x @ vector for _, x in _chunks(matrix)]) if len(matrix) else np.zeros(0)
+
+
 class LabelModel:
     """Voters that speak or stay silent, given a hidden label and a parent voter.
 
@@ -93,22 +113,19 @@ class LabelModel:
 
     def __init__(self, votes: np.ndarray, labels: np.ndarray, settings: Settings) -> None:
         n, m = votes.shape
+        votes = votes.astype(np.uint8)
         post = np.where(labels == 1, settings.trust, 1 - settings.trust)
         self.parent = self._tree(votes, post)
         root = self.parent == np.arange(m)
-        above = np.where(root, 0.0, votes[:, self.parent])
-        both = votes * above
+        above = np.where(root, np.uint8(0), votes[:, self.parent])
+        both = votes & above
         for _ in range(settings.rounds):
-            weight = (1 - post, post)
-            self.on = np.zeros((2, 2, m))
-            base = np.zeros(2)
-            for y in (0, 1):
-                w, spoken, up, joint = weight[y].sum(), weight[y] @ votes, weight[y] @ above, weight[y] @ both
-                # a share of the voter's overall rate keeps cells with few rows near it
-                rate = (spoken + 0.5) / (w + 1)
-                self.on[y, 0] = (spoken - joint + 2 * rate) / (w - up + 2)
-                self.on[y, 1] = (joint + 2 * rate) / (up + 2)
-                base[y] = w
+            weight = np.vstack([1 - post, post])
+            base = weight.sum(axis=1)
+            spoken, up, joint = _sums(weight, votes), _sums(weight, above), _sums(weight, both)
+            # a share of the voter's overall rate keeps cells with few rows near it
+            rate = (spoken + 0.5) / (base[:, None] + 1)
+            self.on = np.stack([(spoken - joint + 2 * rate) / (base[:, None] - up + 2), (joint + 2 * rate) / (up + 2)], axis=1)
             # the annotators are a voter with two error rates of their own
             told = np.array([((labels == 1) @ (1 - post) + 1) / (base[0] + 20), ((labels == 1) @ post + 19) / (base[1] + 20)])
             prior = np.clip(post.mean(), 0.001, 0.999)
@@ -116,7 +133,7 @@ class LabelModel:
             off = np.log1p(-np.clip(self.on, 1e-9, 1 - 1e-9))
             say, hold = log[1] - log[0], off[1] - off[0]
             # a voter adds hold0, say0, hold1 or say1, which is linear in its vote, its parent's and both
-            odds = math.log(prior / (1 - prior)) + hold[0].sum() + votes @ (say[0] - hold[0]) + above @ (hold[1] - hold[0]) + both @ (say[1] - hold[1] - say[0] + hold[0])
+            odds = math.log(prior / (1 - prior)) + hold[0].sum() + _times(votes, say[0] - hold[0]) + _times(above, hold[1] - hold[0]) + _times(both, say[1] - hold[1] - say[0] + hold[0])
             odds = odds + np.where(labels == 1, math.log(told[1] / told[0]), math.log((1 - told[1]) / (1 - told[0])))
             new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
             done = np.abs(new - post).max() < 1e-4
@@ -129,14 +146,19 @@ class LabelModel:
     def _tree(votes: np.ndarray, post: np.ndarray) -> np.ndarray:
         """Parent of each voter: the spanning tree of greatest mutual information given the label (Chow and Liu), grown from the first voter."""
         m = votes.shape[1]
-        information = np.zeros((m, m))
+        information = np.zeros((m, m), np.float32)
         for weight in (1 - post, post):
             w = max(weight.sum(), 1e-9)
-            both = (votes * weight[:, None]).T @ votes / w
-            one = np.diag(both).copy()
-            for a, b, joint in ((one[:, None], one[None, :], both), (one[:, None], 1 - one[None, :], one[:, None] - both), (1 - one[:, None], one[None, :], one[None, :] - both), (1 - one[:, None], 1 - one[None, :], 1 - one[:, None] - one[None, :] + both)):
-                joint = np.clip(joint, 0, 1)
-                information += w * np.where(joint > 1e-12, joint * np.log(np.maximum(joint, 1e-12) / np.maximum(a * b, 1e-12)), 0.0)
+            pairs = np.zeros((m, m), np.float32)
+            for rows, x in _chunks(votes):
+                x = x.astype(np.float32)
+                pairs += (x * weight[rows, None].astype(np.float32)).T @ x
+            one = np.diag(pairs).astype(np.float64) / w
+            for at in range(0, m, 256):  # a strip at a time, so that no second matrix of all pairs is held
+                both, a, b = pairs[at : at + 256].astype(np.float64) / w, one[at : at + 256, None], one[None, :]
+                for p, q, joint in ((a, b, both), (a, 1 - b, a - both), (1 - a, b, b - both), (1 - a, 1 - b, 1 - a - b + both)):
+                    joint = np.clip(joint, 0, 1)
+                    information[at : at + 256] += w * np.where(joint > 1e-12, joint * np.log(np.maximum(joint, 1e-12) / np.maximum(p * q, 1e-12)), 0.0)
         parent, best = np.zeros(m, np.int64), information[0].copy() if m else np.zeros(0)
         inside = np.zeros(m, bool)
         inside[:1] = True
@@ -150,14 +172,16 @@ class LabelModel:
 
 def fit_linear(x: np.ndarray, target: np.ndarray, penalty: float, steps: int = 25) -> np.ndarray:
     """Logistic regression on soft targets by Newton's method; the last weight is the constant."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x.astype(np.uint8), np.ones((len(x), 1), np.uint8)])
     w = np.zeros(x.shape[1])
     ridge = np.full(x.shape[1], penalty)
     ridge[-1] = 1e-3
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - target) + ridge * w
-        curve = (x.T * np.maximum(p * (1 - p), 1e-6)) @ x + np.diag(ridge)
+        slope, curve = ridge * w, np.diag(ridge)
+        for rows, part in _chunks(x):
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            slope = slope + part.T @ (p - target[rows])
+            curve += (part.T * np.maximum(p * (1 - p), 1e-6)) @ part
         step = np.linalg.solve(curve, slope)
         w = w - step * min(1.0, 5 / (np.abs(step).max() + 1e-12))
         if np.abs(step).max() < 1e-6:
@@ -185,7 +209,7 @@ def fit(sample: list[tuple[list[int], list[int], int]], lexicon: dict[str, int],
     if not sample or len({y for *_, y in sample}) < 2:
         rate = (sum(y for *_, y in sample) + 0.1) / (len(sample) + 1)
         return Model(lexicon, [2.0] * m, [1.0] * k, math.log(rate / (1 - min(rate, 0.99))), {})
-    votes = np.zeros((len(sample), m + k))
+    votes = np.zeros((len(sample), m + k), np.uint8)
     for i, (words, patterns, _) in enumerate(sample):
         votes[i, words] = 1
         votes[i, [m + p for p in patterns]] = 1
