@@ -5,14 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Basic CSS colour keywords and their codes.
-BASIC = {
-    "aqua": "#00ffff", "black": "#000000", "blue": "#0000ff", "brown": "#a52a2a", "fuchsia": "#ff00ff", "gold": "#ffd700",
-    "gray": "#808080", "green": "#008000", "lime": "#00ff00", "maroon": "#800000", "navy": "#000080", "olive": "#808000",
-    "orange": "#ffa500", "pink": "#ffc0cb", "purple": "#800080", "red": "#ff0000", "silver": "#c0c0c0", "teal": "#008080",
-    "violet": "#ee82ee", "white": "#ffffff", "yellow": "#ffff00",
+#: The 147 CSS colour keywords and their codes.
+CSS = {
+    "aliceblue": "#f0f8ff", "antiquewhite": "#faebd7", "aqua": "#00ffff", "aquamarine": "#7fffd4", "azure": "#f0ffff", "beige": "#f5f5dc",
+    "bisque": "#ffe4c4", "black": "#000000", "blanchedalmond": "#ffebcd", "blue": "#0000ff", "blueviolet": "#8a2be2", "brown": "#a52a2a",
+    "burlywood": "#deb887", "cadetblue": "#5f9ea0", "chartreuse": "#7fff00", "chocolate": "#d2691e", "coral": "#ff7f50", "cornflowerblue": "#6495ed",
+    "cornsilk": "#fff8dc", "crimson": "#dc143c", "cyan": "#00ffff", "darkblue": "#00008b", "darkcyan": "#008b8b", "darkgoldenrod": "#b8860b",
+    "darkgray": "#a9a9a9", "darkgreen": "#006400", "darkgrey": "#a9a9a9", "darkkhaki": "#bdb76b", "darkmagenta": "#8b008b",
+    "darkolivegreen": "#556b2f", "darkorange": "#ff8c00", "darkorchid": "#9932cc", "darkred": "#8b0000", "darksalmon": "#e9967a",
+    "darkseagreen": "#8fbc8f", "darkslateblue": "#483d8b", "darkslategray": "#2f4f4f", "darkslategrey": "#2f4f4f", "darkturquoise": "#00ced1",
+    "darkviolet": "#9400d3", "deeppink": "#ff1493", "deepskyblue": "#00bfff", "dimgray": "#696969", "dimgrey": "#696969", "dodgerblue": "#1e90ff",
+    "firebrick": "#b22222", "floralwhite": "#fffaf0", "forestgreen": "#228b22", "fuchsia": "#ff00ff", "gainsboro": "#dcdcdc", "ghostwhite": "#f8f8ff",
+    "gold": "#ffd700", "goldenrod": "#daa520", "gray": "#808080", "green": "#008000", "greenyellow": "#adff2f", "grey": "#808080",
+    "honeydew": "#f0fff0", "hotpink": "#ff69b4", "indianred": "#cd5c5c", "indigo": "#4b0082", "ivory": "#fffff0", "khaki": "#f0e68c",
+    "lavender": "#e6e6fa", "lavenderblush": "#fff0f5", "lawngreen": "#7cfc00", "lemonchiffon": "#fffacd", "lightblue": "#add8e6",
+    "lightcoral": "#f08080", "lightcyan": "#e0ffff", "lightgoldenrodyellow": "#fafad2", "lightgray": "#d3d3d3", "lightgreen": "#90ee90",
+    "lightgrey": "#d3d3d3", "lightpink": "#ffb6c1", "lightsalmon": "#ffa07a", "lightseagreen": "#20b2aa", "lightskyblue": "#87cefa",
+    "lightslategray": "#778899", "lightslategrey": "#778899", "lightsteelblue": "#b0c4de", "lightyellow": "#ffffe0", "lime": "#00ff00",
+    "limegreen": "#32cd32", "linen": "#faf0e6", "magenta": "#ff00ff", "maroon": "#800000", "mediumaquamarine": "#66cdaa", "mediumblue": "#0000cd",
+    "mediumorchid": "#ba55d3", "mediumpurple": "#9370db", "mediumseagreen": "#3cb371", "mediumslateblue": "#7b68ee", "mediumspringgreen": "#00fa9a",
+    "mediumturquoise": "#48d1cc", "mediumvioletred": "#c71585", "midnightblue": "#191970", "mintcream": "#f5fffa", "mistyrose": "#ffe4e1",
+    "moccasin": "#ffe4b5", "navajowhite": "#ffdead", "navy": "#000080", "oldlace": "#fdf5e6", "olive": "#808000", "olivedrab": "#6b8e23",
+    "orange": "#ffa500", "orangered": "#ff4500", "orchid": "#da70d6", "palegoldenrod": "#eee8aa", "palegreen": "#98fb98", "paleturquoise": "#afeeee",
+    "palevioletred": "#db7093", "papayawhip": "#ffefd5", "peachpuff": "#ffdab9", "peru": "#cd853f", "pink": "#ffc0cb", "plum": "#dda0dd",
+    "powderblue": "#b0e0e6", "purple": "#800080", "red": "#ff0000", "rosybrown": "#bc8f8f", "royalblue": "#4169e1", "saddlebrown": "#8b4513",
+    "salmon": "#fa8072", "sandybrown": "#f4a460", "seagreen": "#2e8b57", "seashell": "#fff5ee", "sienna": "#a0522d", "silver": "#c0c0c0",
+    "skyblue": "#87ceeb", "slateblue": "#6a5acd", "slategray": "#708090", "slategrey": "#708090", "snow": "#fffafa", "springgreen": "#00ff7f",
+    "steelblue": "#4682b4", "tan": "#d2b48c", "teal": "#008080", "thistle": "#d8bfd8", "tomato": "#ff6347", "turquoise": "#40e0d0",
+    "violet": "#ee82ee", "wheat": "#f5deb3", "white": "#ffffff", "whitesmoke": "#f5f5f5", "yellow": "#ffff00", "yellowgreen": "#9acd32",
 }
-GREYS = ("black", "gray", "silver", "white")
+#: Keywords that count as white, grey or black.
+NO_COLOR = (
+    "antiquewhite", "beige", "black", "darkgray", "darkgrey", "darkslategray", "darkslategrey", "dimgray", "dimgrey", "floralwhite", "gainsboro", "gray", "grey", "honeydew", "ivory",
+    "lightgray", "lightgrey", "lightslategray", "lightslategrey", "linen", "mintcream", "oldlace", "seashell", "silver", "slategray", "slategrey", "snow", "white", "whitesmoke",
+)
 
 
 def _c(x) -> Column:
@@ -33,21 +59,23 @@ def redmean(a: Column, b: Column) -> Column:
     return F.sqrt((2 + mean / 256) * dr * dr + 4 * dg * dg + (2 + (255 - mean) / 256) * db * db)
 
 
-def nearest_name(code, palette: dict[str, str] | None = None, grey_factor: float = 1.5) -> Column:
-    """M9. Name of the nearest palette colour. For a coloured code the greys count as ``grey_factor`` times as far.
+def nearest_name(code, palette: dict[str, str] | None = None, factor: float = 1.5) -> Column:
+    """M9. Name of the nearest palette colour; of equally near ones the first by name. If that is no colour (white, grey, black), the
+    nearest real colour is taken instead where it is less than ``factor`` times as far. Null for what is no code.
 
-    The palette is a constant of the plan, so it is one array minimum per row and no join.
+    The palette is a constant of the plan, so it is two array minima per row and no join.
     """
     own = rgb(code)
-    spread = F.greatest(own["r"], own["g"], own["b"]) - F.least(own["r"], own["g"], own["b"])
-    options = []
-    for name, value in (palette or BASIC).items():
-        r, g, b = (int(value[i : i + 2], 16) for i in (1, 3, 5))
-        fixed = F.struct(F.lit(r).alias("r"), F.lit(g).alias("g"), F.lit(b).alias("b"))
-        d = redmean(own, fixed)
-        d = F.when(spread > 30, d * grey_factor).otherwise(d) if name in GREYS else d
-        options.append(F.struct(d.alias("d"), F.lit(name).alias("name")))
-    return F.when(own["r"].isNotNull(), F.array_min(F.array(*options))["name"])
+
+    def nearest(names: list[str]) -> Column:
+        table = palette or CSS
+        fixed = F.array(*[F.struct(F.lit(n).alias("name"), *[F.lit(int(table[n][i : i + 2], 16)).alias(c) for i, c in ((1, "r"), (3, "g"), (5, "b"))]) for n in names])
+        return F.array_min(F.transform(fixed, lambda p: F.struct(redmean(own, p).alias("d"), p["name"].alias("name"))))
+
+    names = list(palette or CSS)
+    best, real = nearest(names), nearest([n for n in names if n not in NO_COLOR])
+    other = best["name"].isin(*NO_COLOR) & (real["d"] < best["d"] * factor)
+    return F.when(own["r"].isNotNull(), F.when(other, real["name"]).otherwise(best["name"]))
 
 
 def dominant(cells: DataFrame, item: str, top: int = 3) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def first_of(df: DataFrame, content: Column, order: str) -> DataFrame:
@@ -44,22 +47,114 @@ def similarity_search(df: DataFrame, key: str, vector: str, group: str, every: i
     return met.select("a", "b", F.try_divide(dot, F.col("_nx") * F.col("_ny")).alias("similarity"))
 
 
-def leader_clusters(df: DataFrame, by: Sequence[str], key: str, value: str, alike, out: str = "leader") -> DataFrame:
-    """Greedy leaders within ``by``: a row joins the first leader that is ``alike(value, leader value)``, else it leads.
+class Leaders:
+    """The leaders of one key so far: ``first`` gives the place of the first one that a value is alike to, or None."""
 
-    The leaders so far are the state of a fold over the rows by key; keys ``by`` should be bursts or
-    other bounded groups (one fold is rows times leaders).
-    """
-    k, v = df.schema[key].dataType.simpleString(), df.schema[value].dataType.simpleString()
-    listed = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.col(value).alias("v")))).alias("_rows"))
-    start = F.struct(F.array().cast(f"array<struct<k: {k}, v: {v}>>").alias("leaders"), F.array().cast(f"array<struct<k: {k}, leader: {k}>>").alias("out"))
+    def __init__(self) -> None:
+        self.keys: list = []
+
+    def first(self, value) -> int | None:
+        raise NotImplementedError
+
+    def add(self, key, value) -> None:
+        self.keys.append(key)
+
+
+class CosineLeaders(Leaders):
+    """SET12. Vectors at or above a cosine; one of norm 0 is alike to none."""
+
+    def __init__(self, least: float) -> None:
+        super().__init__()
+        self.least, self.units = least, np.zeros((16, 0))
+
+    @staticmethod
+    def _unit(value) -> np.ndarray:
+        v = np.asarray(value if value is not None else [], float)
+        norm = np.sqrt((v * v).sum())
+        return v / norm if norm else np.zeros(len(v))
+
+    def first(self, value) -> int | None:
+        n, v = len(self.keys), self._unit(value)
+        if not n or not v.any() or v.shape[0] != self.units.shape[1]:
+            return None
+        hit = self.units[:n] @ v >= self.least
+        return int(np.argmax(hit)) if hit.any() else None
+
+    def add(self, key, value) -> None:
+        n, v = len(self.keys), self._unit(value)
+        if not n:
+            self.units = np.zeros((16, len(v)))
+        elif n == len(self.units):
+            self.units = np.vstack([self.units, np.zeros_like(self.units)])
+        if len(v) == self.units.shape[1]:
+            self.units[n] = v
+        super().add(key, value)
+
+
+class HammingLeaders(Leaders):
+    """SET10. 64-bit hashes that differ in few bits."""
 
-    def step(acc: Column, r: Column) -> Column:
-        found = F.get(F.filter(acc["leaders"], lambda x: F.coalesce(alike(r["v"], x["v"]), F.lit(False))), 0)
-        leaders = F.when(found.isNull(), F.array_append(acc["leaders"], F.struct(r["k"].alias("k"), r["v"].alias("v")))).otherwise(acc["leaders"])
-        return F.struct(leaders.alias("leaders"), F.array_append(acc["out"], F.struct(r["k"].alias("k"), F.coalesce(found["k"], r["k"]).alias("leader"))).alias("out"))
+    def __init__(self, most: int) -> None:
+        super().__init__()
+        self.most, self.hashes = most, np.zeros(16, np.int64)
 
-    return listed.select(*by, F.explode(F.aggregate("_rows", start, step, lambda acc: acc["out"])).alias("r")).select(*by, F.col("r.k").alias(key), F.col("r.leader").alias(out))
+    def first(self, value) -> int | None:
+        n = len(self.keys)
+        if not n or value is None:
+            return None
+        hit = np.bitwise_count((self.hashes[:n] ^ np.int64(value)).view(np.uint64)) <= self.most
+        return int(np.argmax(hit)) if hit.any() else None
+
+    def add(self, key, value) -> None:
+        if value is None:
+            return
+        if len(self.keys) == len(self.hashes):
+            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+        self.hashes[len(self.keys)] = value
+        super().add(key, value)
+
+
+class TagLeaders(Leaders):
+    """SET11. Lists that share some tags; one without tags is alike to none."""
+
+    def __init__(self, shared: int) -> None:
+        super().__init__()
+        self.shared, self.tags = shared, []
+
+    def first(self, value) -> int | None:
+        own = set(value or ())
+        return next((i for i, t in enumerate(self.tags) if len(own & t) >= self.shared), None) if own else None
+
+    def add(self, key, value) -> None:
+        self.tags.append(set(value or ()))
+        super().add(key, value)
+
+
+def leader_clusters(df: DataFrame, by: Sequence[str], key: str, value: str, kind: type[Leaders], limit: float, out: str = "leader") -> DataFrame:
+    """SET10, SET11, SET12. Greedy leaders within ``by``: in order of ``key``, a row joins the first leader that it is alike to, else it leads.
+
+    The rule looks back at all leaders, so a key is read in order. Rows are dealt by key and sorted, and a task streams
+    through them with the leaders so far: memory follows the leaders of a key and not its rows.
+    """
+    rows = df.select(*by, F.col(key).alias("_id"), F.col(value).alias("_value"), F.struct(*by).alias("_by"))
+    schema = T.StructType([*rows.select(*by).schema.fields, T.StructField(key, df.schema[key].dataType), T.StructField(out, df.schema[key].dataType)])
+
+    def led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for batch in batches:
+            leaders = []
+            for k, i, v in zip(*[batch.column(c).to_pylist() for c in ("_by", "_id", "_value")], strict=True):
+                if state is None or k != now:
+                    now, state = k, kind(limit)
+                at = state.first(v)
+                if at is None:
+                    state.add(i, v)
+                leaders.append(i if at is None else state.keys[at])
+            ids = batch.column("_id")
+            columns = [*[batch.column(c) for c in by], ids, pa.array(leaders, ids.type)]
+            yield pa.record_batch(columns, schema.names)
+
+    return rows.repartition(*by).sortWithinPartitions(*by, "_id").mapInArrow(led, schema)
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,12 +31,13 @@ def pivoted(eav: DataFrame, keys: Sequence[str], id_col: str = "media_id") -> Da
     return eav.where(F.col("key").isin(*keys)).groupBy(id_col).agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in keys])
 
 
-def top_quartile(df: DataFrame, word: Column, cap: int = 200) -> DataFrame:
+def top_quartile(df: DataFrame, word: Column, keep: Callable[[Column], Column] | None = None, cap: int = 200) -> DataFrame:
     """(word, n) of the most frequent quarter of the words, at least 1 and at most ``cap``; ties by word.
 
-    The number of words is an aggregate, so the ranking is a top-``cap`` and no global window.
+    ``keep`` is asked once for each different word. The number of words is an aggregate, so the ranking is a top-``cap`` and no global window.
     """
     counts = df.select(word.alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    counts = counts.where(keep(F.col("word"))) if keep else counts
     size = counts.agg(F.count("*").alias("words"))
     top = counts.orderBy(F.desc("n"), "word").limit(cap)
     ranked = top.withColumn("_r", F.row_number().over(Window.partitionBy().orderBy(F.desc("n"), "word")))
@@ -44,10 +45,14 @@ def top_quartile(df: DataFrame, word: Column, cap: int = 200) -> DataFrame:
 
 
 def tag_cloud(df: DataFrame, word: Column, top: int = 50, least: int = 3, stop: Sequence[str] = ()) -> DataFrame:
-    """(tag, n, weight) of normalised words: letters only, ``least`` characters, no stop words, once-only phrases out."""
-    tag = F.trim(F.regexp_replace(F.lower(word), r"[^\p{L} ]", ""))
-    tags = df.select(tag.alias("tag")).where((F.length("tag") >= least) & ~F.col("tag").isin(*stop) if stop else F.length("tag") >= least)
-    counts = tags.groupBy("tag").agg(F.count("*").alias("n")).where((F.col("n") > 1) | ~F.col("tag").contains(" "))
+    """(tag, n, weight) of normalised words: letters only, ``least`` characters, no stop words, once-only phrases out.
+
+    Raw words are counted first, so that each different one is normalised once.
+    """
+    raw = df.select(word.alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    tag = F.trim(F.regexp_replace(F.lower("w"), r"[^\p{L} ]", ""))
+    tags = raw.select(tag.alias("tag"), "n").where((F.length("tag") >= least) & ~F.col("tag").isin(*stop) if stop else F.length("tag") >= least)
+    counts = tags.groupBy("tag").agg(F.sum("n").alias("n")).where((F.col("n") > 1) | ~F.col("tag").contains(" "))
     best = counts.orderBy(F.desc("n"), "tag").limit(top)
     return best.withColumn("weight", F.round(F.col("n") / F.max("n").over(Window.partitionBy()), 2))
 

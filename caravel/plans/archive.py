@@ -357,3 +357,10 @@ def videos_with_sound(spark, d):
     a = i.where("kind = 'video'").select(F.col("media_id").alias("video"), "province", F.col("ts").alias("a0"), F.col("end_ts").alias("a1"))
     b = i.where("kind = 'audio'").select("media_id", "province", F.col("ts").alias("b0"), F.col("end_ts").alias("b1"))
     return intervals.overlaps(a, b, ("a0", "a1"), ("b0", "b1"), by=["province"]).groupBy("video").agg(F.count("*").alias("n"), F.min("media_id").alias("first"))
+
+
+@query()
+def tag_leaders(spark, d):
+    """SET11: items of a folder by two shared colours."""
+    rows = items(spark, d).select("folder", "media_id", F.array("color1", "color2", "color3").alias("tags"))
+    return dedup.leader_clusters(rows, ["folder"], "media_id", "tags", dedup.TagLeaders, 2).select("folder", "media_id", "leader")

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from caravel.functions import geo, sun, text
+from caravel.functions import color, geo, sun, text
 from caravel.operators import dedup, facets, intervals, loop, ordered
 from caravel.plans.views import EAV_SQL, ITEM_SQL, TRACK_SQL, attributes, items, table, track_points
 
@@ -175,8 +175,8 @@ def json_attributes(spark, d):
 GROUP BY 1 QUALIFY row_number() OVER (ORDER BY n DESC, word) <= greatest(1, least(200, ceil(count(*) OVER () / 4)))""")
 def keyword_quartile(spark, d):
     """AG11."""
-    words = table(spark, d, "documents").select(F.explode(F.split(F.lower("text"), " ")).alias("w")).where(F.col("w").rlike("^[a-z]{5,}$"))
-    return facets.top_quartile(words, F.col("w"))
+    words = table(spark, d, "documents").select(F.explode(F.split(F.lower("text"), " ")).alias("w"))
+    return facets.top_quartile(words, F.col("w"), lambda w: w.rlike("^[a-z]{5,}$"))
 
 
 @query("""WITH t AS (SELECT unnest(string_split(text, ' ')) AS w FROM documents), n AS (SELECT trim(regexp_replace(lower(w), '[^\\p{L} ]', '', 'g')) AS tag FROM t),
@@ -645,7 +645,7 @@ def cosine_pairs(spark, d):
 @query()
 def cosine_leader_clusters(spark, d):
     """SET12."""
-    return dedup.leader_clusters(table(spark, d, "embeddings"), ["label"], "vec_id", "embedding", lambda a, b: dedup.cosine(a, b) >= 0.7).select("label", "vec_id", "leader")
+    return dedup.leader_clusters(table(spark, d, "embeddings"), ["label"], "vec_id", "embedding", dedup.CosineLeaders, 0.7).select("label", "vec_id", "leader")
 
 
 # --- more of the archive's own questions -----------------------------------------------------
@@ -729,16 +729,21 @@ def filtered_media(spark, d):
     return facets.sample_per_group(kept.select("media_id", "kind", "color1"), "kind", "media_id", 5, facets.portable_hash("media_id", 7))
 
 
-@query()
-def color_names(spark, d):
-    from caravel.functions.color import nearest_name
+_COLORS_SQL = ", ".join(f"('{n}', {int(h[1:3], 16)}, {int(h[3:5], 16)}, {int(h[5:7], 16)}, {n in color.NO_COLOR})" for n, h in color.CSS.items())
 
+
+@query(f"""WITH c(name, r, g, b, plain) AS (VALUES {_COLORS_SQL}), e AS (SELECT event_id, (event_id * 7919) % 16777216 AS x FROM events), k AS (SELECT event_id, x // 65536 AS r, (x // 256) % 256 AS g, x % 256 AS b FROM e),
+d AS (SELECT event_id, name, plain, sqrt((2 + (k.r + c.r) / 2.0::DOUBLE / 256) * (k.r - c.r) * (k.r - c.r) + 4 * (k.g - c.g) * (k.g - c.g) + (2 + (255 - (k.r + c.r) / 2.0::DOUBLE) / 256) * (k.b - c.b) * (k.b - c.b)) AS d FROM k, c),
+m AS (SELECT event_id, min({{'d': d, 'name': name}}) AS a, arg_min(plain, {{'d': d, 'name': name}}) AS plain, min({{'d': d, 'name': name}}) FILTER (NOT plain) AS b FROM d GROUP BY 1)
+SELECT event_id, CASE WHEN plain AND b.d < a.d * 1.5 THEN b.name ELSE a.name END AS name FROM m""")
+def color_names(spark, d):
+    """M9."""
     code = F.concat(F.lit("#"), F.lower(F.lpad(F.hex((F.col("event_id") * 7919) % 16_777_216), 6, "0")))
-    return table(spark, d, "events").select("event_id", nearest_name(code).alias("name"))
+    return table(spark, d, "events").select("event_id", color.nearest_name(code).alias("name"))
 
 
 @query()
 def phash_leaders(spark, d):
     """SET10."""
     hashed = items(spark, d).select("folder", "media_id", (F.xxhash64("kind").bitwiseXOR(F.col("media_id") % 64)).alias("h"))
-    return dedup.leader_clusters(hashed, ["folder"], "media_id", "h", lambda a, b: dedup.hamming(a, b) <= 2).select("folder", "media_id", "leader")
+    return dedup.leader_clusters(hashed, ["folder"], "media_id", "h", dedup.HammingLeaders, 2).select("folder", "media_id", "leader")

@@ -126,10 +126,37 @@ def test_nearest_points_far_apart(spark):
 
 def test_leaders(spark):
     df = spark.createDataFrame([("g", 1, 0b0000), ("g", 2, 0b0001), ("g", 3, 0b1111), ("g", 4, 0b0111)], "g string, id long, h long")
-    got = {r["id"]: r["leader"] for r in dedup.leader_clusters(df, ["g"], "id", "h", lambda a, b: dedup.hamming(a, b) <= 1).collect()}
+    got = {r["id"]: r["leader"] for r in dedup.leader_clusters(df, ["g"], "id", "h", dedup.HammingLeaders, 1).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 3}
 
 
+def test_leaders_equal_a_loop(spark):
+    import random
+
+    random.seed(6)
+    rows = [(k, i, [random.gauss(0, 1) for _ in range(3)] if i % 9 else [0.0] * 3, random.getrandbits(63) & 0xFF, random.sample("abcdef", random.randint(0, 3))) for k in ("x", None) for i in range(120)]
+    df = spark.createDataFrame(rows, "g string, id long, v array<double>, h long, t array<string>")
+
+    def looped(place, alike):
+        out = {}
+        for k in ("x", None):
+            leaders = []
+            for r in (r for r in rows if r[0] == k):
+                found = next((x for x in leaders if alike(r[place], x[place])), None)
+                if found is None:
+                    leaders.append(r)
+                out[k, r[1]] = r[1] if found is None else found[1]
+        return out
+
+    def cosine_of(a, b):
+        n = sum(x * x for x in a) * sum(x * x for x in b)
+        return n > 0 and sum(x * y for x, y in zip(a, b, strict=True)) / n**0.5 >= 0.8
+
+    for column, place, kind, limit, alike in (("v", 2, dedup.CosineLeaders, 0.8, cosine_of), ("h", 3, dedup.HammingLeaders, 1, lambda a, b: (a ^ b).bit_count() <= 1), ("t", 4, dedup.TagLeaders, 2, lambda a, b: len(set(a) & set(b)) >= 2)):
+        got = {(r["g"], r["id"]): r["leader"] for r in dedup.leader_clusters(df, ["g"], "id", column, kind, limit).collect()}
+        assert got == looped(place, alike)
+
+
 def test_similar_names_finds_all(spark):
     import random
 
