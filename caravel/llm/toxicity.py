@@ -170,19 +170,42 @@ class LabelModel:
         return parent
 
 
+#: Pairs of votes of a row that are added to the curvature at a time, about.
+PAIRS = 2_000_000
+
+
 def fit_linear(x: np.ndarray, target: np.ndarray, penalty: float, steps: int = 25) -> np.ndarray:
-    """Logistic regression on soft targets by Newton's method; the last weight is the constant."""
-    x = np.hstack([x.astype(np.uint8), np.ones((len(x), 1), np.uint8)])
-    w = np.zeros(x.shape[1])
-    ridge = np.full(x.shape[1], penalty)
+    """Logistic regression of soft targets on 0/1 columns by Newton's method; the last weight is the constant.
+
+    Few votes are cast in a row, so sums run over the votes cast and the curvature over pairs of them.
+    """
+    n, m = len(x), x.shape[1] + 1
+    rows, cols = np.nonzero(x)
+    rows, cols = np.concatenate([rows, np.arange(n)]), np.concatenate([cols, np.full(n, m - 1)])
+    order = np.argsort(rows, kind="stable")
+    rows, cols = rows[order], cols[order]
+    cast = np.bincount(rows, minlength=n)
+    first = np.cumsum(cast) - cast
+    cuts = np.searchsorted(np.cumsum(cast.astype(np.int64) ** 2), np.arange(PAIRS, int((cast.astype(np.int64) ** 2).sum()) + PAIRS, PAIRS)) + 1
+    parts = list(zip(np.append(0, cuts), np.minimum(cuts, n), strict=False))
+    w = np.zeros(m)
+    ridge = np.full(m, penalty)
     ridge[-1] = 1e-3
     for _ in range(steps):
-        slope, curve = ridge * w, np.diag(ridge)
-        for rows, part in _chunks(x):
-            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
-            slope = slope + part.T @ (p - target[rows])
-            curve += (part.T * np.maximum(p * (1 - p), 1e-6)) @ part
-        step = np.linalg.solve(curve, slope)
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, w[cols], n), -30, 30)))
+        slope = np.bincount(cols, (p - target)[rows], m) + ridge * w
+        bend = np.maximum(p * (1 - p), 1e-6)
+        curve = np.diag(ridge).ravel()
+        for low, high in parts:
+            if low >= high:
+                continue
+            entries = np.arange(first[low], first[high - 1] + cast[high - 1])
+            many = cast[rows[entries]]
+            one = np.repeat(entries, many)
+            ends = np.cumsum(many)
+            other = np.arange(ends[-1]) + np.repeat(first[rows[entries]] - (ends - many), many)
+            curve += np.bincount(cols[one] * m + cols[other], bend[rows[one]], m * m)
+        step = np.linalg.solve(curve.reshape(m, m), slope)
         w = w - step * min(1.0, 5 / (np.abs(step).max() + 1e-12))
         if np.abs(step).max() < 1e-6:
             break
