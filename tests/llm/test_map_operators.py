@@ -150,6 +150,20 @@ def test_label_model_counts_copies_once():
     assert ((model.posterior > 0.5) == (y == 1)).mean() > 0.95
 
 
+def test_linear_fit_equals_dense_newton(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(toxicity, "PAIRS", 37)
+    rng = np.random.default_rng(3)
+    x = (rng.random((200, 6)) < 0.3).astype(np.uint8)
+    x[:5] = 0
+    target = 1 / (1 + np.exp(-(x @ np.array([2.0, -1, 0.5, 0, 1, -2]) - 0.5)))
+    w = toxicity.fit_linear(x, target, 0.3)
+    full = np.hstack([x, np.ones((200, 1))]).astype(float)
+    p = 1 / (1 + np.exp(-(full @ w)))
+    assert np.abs(full.T @ (p - target) + np.array([0.3] * 6 + [1e-3]) * w).max() < 1e-5
+
+
 def test_label_model_equals_enumeration():
     """The posterior is Bayes' rule over the model's own tables, row by row."""
     import math
