@@ -30,6 +30,25 @@ def coarse(df: DataFrame, by: Sequence[str], offset: str, every: float) -> DataF
     return rows.where(F.when(F.col("prev").isNull(), greatest >= 0).otherwise(greatest > low + 1e-9)).drop("prev", "next")
 
 
+def scene_spans(cuts: Column, duration: Column, shortest: float = 0.05) -> Column:
+    """SEQ17. (start, end) structs between 0, the cuts inside and the end, rounded to tenths; spans under ``shortest`` go. None without a length."""
+    inside = F.filter(cuts, lambda c: (c > 0) & (c < duration))
+    places = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0)), inside, F.array(duration.cast("double")))))
+    spans = F.transform(F.sequence(F.lit(1), F.greatest(F.size(places) - 1, F.lit(1))), lambda i: F.struct(F.get(places, i - 1).alias("start"), F.get(places, i).alias("end")))
+    kept = F.filter(spans, lambda s: s["end"] - s["start"] >= shortest)
+    return F.when(duration > 0, F.transform(kept, lambda s: F.struct(F.round(s["start"], 1).alias("start"), F.round(s["end"], 1).alias("end")))).otherwise(F.slice(kept, 1, 0))
+
+
+def split_spans(spans: Column, most: float, tail: float = 0.05) -> Column:
+    """SEQ18. Spans of at most ``most`` seconds, one after another; a last piece of no more than ``tail`` is left out."""
+    def pieces(s: Column) -> Column:
+        n = F.greatest(F.ceil((s["end"] - s["start"]) / most).cast("int"), F.lit(1))
+        cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct((s["start"] + i * most).alias("start"), F.least(s["end"], s["start"] + (i + 1) * most).alias("end")))
+        return F.filter(cut, lambda p: (p["end"] - p["start"] > tail) | (n == 1))
+
+    return F.flatten(F.transform(spans, pieces))
+
+
 def position_cascade(track: Column, estimate: Column, own: Column) -> Column:
     """SEQ10. Struct (lat, lon, ele, source) of the first known of three (lat, lon, ele) structs: on the track, along its points, the item's own."""
     tagged = lambda c, name: F.when(c["lat"].isNotNull() & c["lon"].isNotNull(), F.struct(c["lat"].alias("lat"), c["lon"].alias("lon"), c["ele"].alias("ele"), F.lit(name).alias("source")))

@@ -195,6 +195,35 @@ def hourly(df: DataFrame, variables: tuple[str, ...]) -> DataFrame:
     return rows.select(*others, F.to_date(F.substring("h.time", 1, 10)).alias("day"), F.substring("h.time", 12, 2).cast("int").alias("hour"), *[f"h.{v}" for v in variables])
 
 
+def xml_sidecars(spark: SparkSession, path: str, tag: str) -> DataFrame:
+    """SRC7. (file, key, value) of the attributes and texts of a camera's XML sidecars, whatever their namespaces: one row for each child of ``tag``."""
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"(</?|\s)[A-Za-z0-9_]+:(?=[A-Za-z])", "$1").alias("t"))
+    inner = rows.select("file", F.regexp_extract("t", rf"(?s)<{tag}\b[^>]*>(.*)</{tag}>", 1).alias("t"))
+    parts = inner.select("file", F.explode(F.regexp_extract_all("t", F.lit(r"(<[A-Za-z][^>]*>[^<]*)"), F.lit(1))).alias("p"))
+    name = F.lower(F.regexp_extract("p", r"^<([A-Za-z0-9_]+)", 1))
+    pairs = F.regexp_extract_all("p", F.lit(r'([A-Za-z0-9_]+="[^"]*")'), F.lit(1))
+    attributes_ = F.transform(pairs, lambda a: F.struct(F.concat(name, F.lit("_"), F.lower(F.regexp_extract(a, "^([A-Za-z0-9_]+)", 1))).alias("key"), F.regexp_extract(a, '"([^"]*)"', 1).alias("value")))
+    text = F.trim(F.regexp_extract("p", r"(?s)>([^<]*)$", 1))
+    own = F.when(text != "", F.array(F.struct(name.alias("key"), text.alias("value")))).otherwise(F.array().cast("array<struct<key: string, value: string>>"))
+    return parts.select("file", F.explode(F.concat(own, attributes_)).alias("x")).select("file", "x.*").where("value <> ''")
+
+
+def valid_sidecars(items: DataFrame, sidecars: DataFrame, key: str) -> DataFrame:
+    """SRC13. Sidecars whose fingerprint is still that of their item; stale ones and those without an item are left out."""
+    now = items.select(key, F.col("fingerprint").alias("_now"))
+    return sidecars.join(now, key).where(F.col("fingerprint") == F.col("_now")).drop("_now")
+
+
+def cached(places: DataFrame, cache: DataFrame, decimals: int = 3) -> tuple[DataFrame, DataFrame]:
+    """SRC14. (places with the cache's columns, cells that the cache lacks); both sides meet by rounded coordinates.
+
+    A place without a position is in no cell. ``cache`` holds cy, cx and what was found for the cell.
+    """
+    cells = places.withColumn("cy", F.round("latitude", decimals)).withColumn("cx", F.round("longitude", decimals))
+    missing = cells.where("cy is not null and cx is not null").select("cy", "cx").distinct().join(cache, ["cy", "cx"], "left_anti")
+    return cells.join(cache, ["cy", "cx"], "left").drop("cy", "cx"), missing
+
+
 # --- SQLite ---------------------------------------------------------------------------------------------
 
 

@@ -215,3 +215,25 @@ def test_one_hot_folder_is_split(spark):
     assert rows.agg(F.max("session")).first()[0] == 2999
     plan = ordered.with_neighbours(df, ["ts", "id"], F.col("id"), ["folder"], ahead=True)
     assert plan.where("prev = id - 1 or id = 0").where("next = id + 1 or id = 2999").count() == 3000
+
+
+def test_src7_src13_src14(spark, tmp_path):
+    (tmp_path / "a.xml").write_text('<?xml version="1.0"?><ns:Meta xmlns:ns="urn:x"><ns:Duration value="250"/><ns:Device manufacturer="S" ns:modelName="M 1">  </ns:Device><ns:Note> hi </ns:Note></ns:Meta>')
+    got = {(r["key"], r["value"]) for r in files.xml_sidecars(spark, str(tmp_path), "Meta").collect()}
+    assert got == {("duration_value", "250"), ("device_manufacturer", "S"), ("device_modelname", "M 1"), ("note", "hi")}
+    things = spark.createDataFrame([(1, "x"), (2, "y")], "id long, fingerprint string")
+    sidecars = spark.createDataFrame([(1, "x", "a"), (2, "old", "b"), (3, "z", "c")], "id long, fingerprint string, tags string")
+    assert [r["tags"] for r in files.valid_sidecars(things, sidecars, "id").collect()] == ["a"]
+    places = spark.createDataFrame([(1, -31.40001, -64.2), (2, 5.0, 5.0), (3, None, 1.0)], "id long, latitude double, longitude double")
+    cache = spark.createDataFrame([(-31.4, -64.2, "here")], "cy double, cx double, name string")
+    found, missing = files.cached(places, cache)
+    assert sorted((r["id"], r["name"]) for r in found.collect()) == [(1, "here"), (2, None), (3, None)]
+    assert [(r["cy"], r["cx"]) for r in missing.collect()] == [(5.0, 5.0)]
+
+
+def test_seq17_seq18(spark):
+    cuts = F.array(*[F.lit(x) for x in (-1.0, 3.0, 3.02, 9.0, 12.0)])
+    spans = marks.scene_spans(cuts, F.lit(10.0))
+    assert [(s["start"], s["end"]) for s in one(spark, spans)] == [(0.0, 3.0), (3.0, 9.0), (9.0, 10.0)]
+    assert one(spark, marks.scene_spans(cuts, F.lit(0.0))) == []
+    assert [(s["start"], s["end"]) for s in one(spark, marks.split_spans(spans, 2.99))] == [(0.0, 2.99), (3.0, 5.99), (5.99, 8.98), (9.0, 10.0)]
