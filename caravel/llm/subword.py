@@ -47,7 +47,7 @@ from .common import read_bytes, tokenizer_path, without, written
 SPACE = "▁"
 SHARE = 5e-7
 #: Bytes of text in a block, about; a longer text is a block of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Tokens of a partition, about.
 TASK_TOKENS = 2_000_000
 #: Buckets of segments at least, and tokens for which there is one more. A block has a row for each bucket that it has
@@ -291,8 +291,14 @@ def _ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
 
 
+def _own_memory() -> None:
+    """Arrow's memory in a worker comes from the system, which takes large pieces back at once."""
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def blocks_of(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tuple[int, pa.Table]]:
     """(number, rows) of blocks; where they end depends on the texts of ``column`` alone, not on batches."""
+    _own_memory()
     part, n, held, room = TaskContext.get().partitionId() << 36, 0, [], BLOCK_BYTES
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64
@@ -301,12 +307,15 @@ def blocks_of(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tu
             ends = np.cumsum(sizes[done:])
             k = int(np.searchsorted(ends, room))
             if k == len(ends):
-                held.append(batch.slice(done))
+                # a copy, as a slice would hold the whole batch
+                held.append(batch.take(pa.array(np.arange(done, batch.num_rows))))
                 room -= int(ends[-1])
                 break
             held.append(batch.slice(done, k + 1))
             yield part + n, pa.Table.from_batches(held)
             done, n, held, room = done + k + 1, n + 1, [], BLOCK_BYTES
+        # let go before the next batch is read
+        batch = sizes = ends = None
     if held:
         yield part + n, pa.Table.from_batches(held)
 
@@ -524,6 +533,7 @@ def encode(df: DataFrame, vocabulary: bytes, text_col: str = "text", share: floa
     solved = solve(different, v)
 
     def answered(asking: pa.Table, found: pa.Table) -> pa.Table:
+        _own_memory()
         lists = pc.split_pattern(_large(asking["segments"]), "\n")
         at = pc.index_in(keys_of(_large(pc.list_flatten(lists))), value_set=_large(found["key"]))
         got = pa.LargeListArray.from_arrays(pc.cast(lists.offsets, pa.int64()), walked(_large(found["back"])).take(at))
@@ -534,6 +544,7 @@ def encode(df: DataFrame, vocabulary: bytes, text_col: str = "text", share: floa
     fields = [*base.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType())), *([T.StructField(round_trip, T.BooleanType())] if round_trip else [])]
 
     def coded(blocks: pa.Table, paths: pa.Table) -> pa.Table:
+        _own_memory()
         own = shared.value
         rare = "".join(paths.sort_by("bucket")["paths"].to_pylist())
         tables = []
