@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The 147 CSS colour keywords and their codes.
 CSS = {
@@ -63,19 +66,35 @@ def nearest_name(code, palette: dict[str, str] | None = None, factor: float = 1.
     """M9. Name of the nearest palette colour; of equally near ones the first by name. If that is no colour (white, grey, black), the
     nearest real colour is taken instead where it is less than ``factor`` times as far. Null for what is no code.
 
-    The palette is a constant of the plan, so it is two array minima per row and no join.
+    The palette is a constant of the plan; distances to all of it are array operations over a batch of rows, and no join.
     """
-    own = rgb(code)
-
-    def nearest(names: list[str]) -> Column:
-        table = palette or CSS
-        fixed = F.array(*[F.struct(F.lit(n).alias("name"), *[F.lit(int(table[n][i : i + 2], 16)).alias(c) for i, c in ((1, "r"), (3, "g"), (5, "b"))]) for n in names])
-        return F.array_min(F.transform(fixed, lambda p: F.struct(redmean(own, p).alias("d"), p["name"].alias("name"))))
+    table = palette or CSS
+    names = np.array(sorted(table))
+    points = np.array([[int(table[n][i : i + 2], 16) for i in (1, 3, 5)] for n in names], float)
+    plain = np.isin(names, NO_COLOR)
+
+    @F.arrow_udf(T.StringType())
+    def nearest(r: pa.Array, g: pa.Array, b: pa.Array) -> pa.Array:
+        known = r.is_valid().to_numpy(zero_copy_only=False)
+        out = np.full(len(r), None, object)
+        places = np.flatnonzero(known)
+        for at in range(0, len(places), 4096):
+            rows = places[at : at + 4096]
+            own = np.column_stack([c.take(pa.array(rows)).to_numpy(zero_copy_only=False) for c in (r, g, b)]).astype(float)
+            d = own[:, None, :] - points[None, :, :]
+            mean = (own[:, None, 0] + points[None, :, 0]) / 2
+            far = np.sqrt((2 + mean / 256) * d[..., 0] ** 2 + 4 * d[..., 1] ** 2 + (2 + (255 - mean) / 256) * d[..., 2] ** 2)
+            best = far.argmin(axis=1)
+            if not plain.all():
+                colored = np.where(plain, np.inf, far)
+                real = colored.argmin(axis=1)
+                k = np.arange(len(rows))
+                best = np.where(plain[best] & (colored[k, real] < far[k, best] * factor), real, best)
+            out[rows] = names[best]
+        return pa.array(out, pa.string())
 
-    names = list(palette or CSS)
-    best, real = nearest(names), nearest([n for n in names if n not in NO_COLOR])
-    other = best["name"].isin(*NO_COLOR) & (real["d"] < best["d"] * factor)
-    return F.when(own["r"].isNotNull(), F.when(other, real["name"]).otherwise(best["name"]))
+    own = rgb(code)
+    return nearest(own["r"], own["g"], own["b"])
 
 
 def dominant(cells: DataFrame, item: str, top: int = 3) -> DataFrame:

@@ -52,7 +52,7 @@ def best_interval(items: DataFrame, tracks: DataFrame, item_span: tuple[str, str
     found = items.select(*by, item_key, F.col(item_span[0]).alias("_edge"), F.col(item_span[1]).alias("_to"))
     back = asof(found, ends, "_edge", F.struct("_edge", "_track"), by)
     forth = asof(found.select(*by, item_key, F.col("_to").alias("_edge")), begins, "_edge", F.struct("_edge", "_track"), by, back=False, ahead=True)
-    gap = lambda a, b: (F.unix_micros(F.col(a).cast("timestamp")) - F.unix_micros(F.col(b).cast("timestamp"))) / 1e6
+    gap = lambda a, b: s(a) - s(b)
     near = lambda df, way, away: df.where(F.col(way).isNotNull()).select(*by, item_key, F.struct(F.lit(2).alias("rank"), away.alias("metric"), F.col(f"{way}._track").alias("track")).alias("b"))
     apart = near(back, "prev", gap("_edge", "prev._edge")).unionByName(near(forth, "next", gap("next._edge", "_edge")))
     best = touched.unionByName(apart).groupBy(item_key).agg(F.min("b").alias("b"))

@@ -97,7 +97,7 @@ def coarse_samples(spark, d):
 s AS (SELECT media_id, lat, lon, alt, duration_s, ts AS t0, unnest(range(0, duration_s + 1, 300)) AS o FROM item WHERE duration_s > 0), p AS (SELECT *, t0 + to_seconds(o) AS ts FROM s),
 j AS (SELECT p.media_id, p.o, p.lat, p.lon, p.alt, p.duration_s, (epoch_us(p.ts) - epoch_us(n.ts)) / (epoch_us(n.ts1) - epoch_us(n.ts))::DOUBLE AS f, plat, plon, lat1, lon1, n.ts1 IS NOT NULL AND epoch_us(n.ts1) - epoch_us(n.ts) <= 3600000000 AS near FROM p ASOF LEFT JOIN n ON p.ts > n.ts)
 SELECT media_id, o::INT AS offset_s, CASE WHEN near THEN 'track_interpolado' WHEN lat IS NULL THEN NULL WHEN media_id % 2 = 0 THEN 'estimado' ELSE 'gps_propio' END AS source,
-  round(CASE WHEN near THEN plat + (lat1 - plat) * f WHEN media_id % 2 = 0 THEN lat + 0.01::DOUBLE * (o / duration_s::DOUBLE) ELSE lat END, 6) AS lat FROM j""")
+  round(CASE WHEN near THEN plat + (lat1 - plat) * f WHEN media_id % 2 = 0 THEN lat + (lat + 0.01::DOUBLE - lat) * (o / duration_s::DOUBLE) ELSE lat END, 10) AS lat FROM j""")
 def sample_positions(spark, d):
     """SEQ10, SEQ8, SEQ12, JN11: on a track of points at most an hour apart, else along the item's own two points (every second item), else its own position."""
     item = items(spark, d)
@@ -111,7 +111,7 @@ def sample_positions(spark, d):
     moved = F.struct((F.col("lat") + 0.01).alias("lat"), F.col("lon"), F.col("alt").alias("ele"))
     estimate = F.when(F.col("media_id") % 2 == 0, marks.along(own, moved, F.col("offset_s") / F.col("duration_s")))
     rows = got.withColumn("p", marks.position_cascade(track, estimate, own))
-    return rows.select("media_id", "offset_s", "p.source", F.round("p.lat", 6).alias("lat"))
+    return rows.select("media_id", "offset_s", "p.source", F.round("p.lat", 10).alias("lat"))
 
 
 @query(f"""WITH {ITEM_SQL}, k AS (SELECT media_id, folder, ts, CASE WHEN media_id % 6 <> 0 THEN color1 END AS spot FROM item), l AS (SELECT *, lag(spot) OVER (PARTITION BY folder ORDER BY ts, media_id) AS before FROM k)
