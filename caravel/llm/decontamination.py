@@ -184,12 +184,13 @@ def _joined(parts: list[dict | None]) -> tuple[int, list[tuple[int, int]], list[
     return parts[0]["n_words"], [tuple(x) for x in spans], sorted({i for p in parts for i in p["items"]})
 
 
-def find_leaks(df: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, out: str = "leaks") -> DataFrame:
+def find_leaks(df: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, out: str = "leaks", cut_words: int | None = None) -> DataFrame:
     """Adds ``out``: n_words, hit spans (of words, exclusive ends, merged) and the items found.
 
     An item shorter than the window is one window; an item without words is none. Null
     and empty texts have no words, repeated rows have the same hits, and an empty table stays empty. Items with a null id hit but aren't listed; an id given
-    to several items is listed once. Without items nothing is hit. A column already called
+    to several items is listed once. With ``cut_words``, and a benchmark of one block, ``out`` also holds the text without
+    spans of so many words, so that one Python function does both. Without items nothing is hit. A column already called
     ``out`` is replaced.
     """
     spark = df.sparkSession
@@ -207,10 +208,17 @@ def find_leaks(df: DataFrame, items: DataFrame, text_col: str = "text", item_col
         own = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("t", "i"), F.lit(blocks)) == block)
         shared = spark.sparkContext.broadcast(Automaton([(r["i"], r["t"]) for r in own.collect()], window))
 
-        @F.arrow_udf(HITS)
+        both = blocks == 1 and cut_words is not None
+
+        @F.arrow_udf(T.StructType([*HITS.fields, T.StructField("cut", T.StringType())]) if both else HITS)
         def scan(texts: pa.Array) -> pa.Array:
-            of = shared.value.scan
-            return _hits([of(t) for t in texts.to_pylist()])
+            of, listed = shared.value.scan, texts.to_pylist()
+            rows = [of(t) for t in listed]
+            found = _hits(rows)
+            if not both:
+                return found
+            cut = pa.array([cut_text(t, r[1], cut_words) for t, r in zip(listed, rows, strict=True)], pa.string())
+            return pa.StructArray.from_arrays([*found.flatten(), cut], ["n_words", "spans", "items", "cut"])
 
         return scan(F.col(f"`{text_col}`").cast("string"))
 
@@ -226,23 +234,26 @@ def find_leaks(df: DataFrame, items: DataFrame, text_col: str = "text", item_col
     return found
 
 
-def cut_spans(text_col: str, leaks: str, span_words: int):
+def cut_text(text: str | None, spans: list[tuple[int, int]], span_words: int) -> str | None:
     """The text without its hit spans of ``span_words`` words or more."""
+    long = [(a, b) for a, b in spans if b - a >= span_words]
+    if not long:
+        return text
+    places = [m.span() for m in _POINTS.finditer(text)]
+    parts, at = [], 0
+    for a, b in long:
+        parts.append(text[at : places[a][0]])
+        at = places[b - 1][1]
+    return "".join([*parts, text[at:]])
+
+
+def cut_spans(text_col: str, leaks: str, span_words: int):
+    """``cut_text`` of a text column and the spans that ``find_leaks`` added."""
 
     @F.arrow_udf(T.StringType())
     def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        out = []
-        for text, found in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
-            long = [(s["start"], s["end"]) for s in found or [] if s["end"] - s["start"] >= span_words]
-            if long:
-                places = [m.span() for m in _POINTS.finditer(text)]
-                parts, at = [], 0
-                for a, b in long:
-                    parts.append(text[at : places[a][0]])
-                    at = places[b - 1][1]
-                text = "".join([*parts, text[at:]])
-            out.append(text)
-        return pa.array(out, pa.string())
+        pairs = zip(texts.to_pylist(), spans.to_pylist(), strict=True)
+        return pa.array([cut_text(t, [(s["start"], s["end"]) for s in found or []], span_words) for t, found in pairs], pa.string())
 
     return cut(F.col(f"`{text_col}`").cast("string"), F.col(f"{leaks}.spans"))
 
@@ -255,11 +266,12 @@ def decontaminate(df: DataFrame, items: DataFrame, text_col: str = "text", span_
     """
     leaks = unused("leaks", df)
     cut_text = unused("cut", df)
-    found = find_leaks(df, items, text_col, out=leaks, **options)
+    found = find_leaks(df, items, text_col, out=leaks, cut_words=span_words, **options)
+    text = F.col(f"{leaks}.cut") if "cut" in found.schema[leaks].dataType.names else cut_spans(text_col, leaks, span_words)
     hit = F.aggregate(f"{leaks}.spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
     kept = found.where(hit <= F.lit(max_coverage) * F.col(f"{leaks}.n_words"))
     touched = F.exists(f"{leaks}.spans", lambda s: s["end"] - s["start"] >= span_words)
-    cut = kept.withColumn(cut_text, F.when(touched, cut_spans(text_col, leaks, span_words)).otherwise(F.col(text_col)))
+    cut = kept.withColumn(cut_text, F.when(touched, text).otherwise(F.col(text_col)))
     out = []
     for c in df.columns:
         if c == text_col:
