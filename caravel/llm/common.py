@@ -36,6 +36,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_table(spark: SparkSession, path: str) -> None:
+    """Deletes a table of the shared folder that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def without(df: DataFrame, names: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """``df`` without the columns that an operator is about to add (any case)."""
     held = {x.lower() for x in keep}

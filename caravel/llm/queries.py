@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat_format import CHAT_SQL, chat_query
 from .decontamination import LEAKS_SQL, leaks_query
+from .hamerly import CLUSTER_SQL, cluster_query
 from .language_id import language_query
 from .lm_score import lm_query
 from .media import media_query
 from .near_dedup import near_dup_query
+from .norm_search import SEARCH_SQL, search_query
 from .secret_scan import SECRETS_SQL, secrets_query
 from .subword import subword_query
 from .token_count import token_query
 from .toxicity import toxicity_query
+from .whitening import whiten_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": near_dup_query,
@@ -28,10 +31,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_count": token_query,
     "op9_lm_score": lm_query,
     "op10_subword": subword_query,
+    "op11_norm_search": search_query,
+    "op12_hamerly": cluster_query,
+    "op13_whitening": whiten_query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_secret_scan": SECRETS_SQL,
     "op5_decontamination": LEAKS_SQL,
     "op6_chat_format": CHAT_SQL,
+    "op11_norm_search": SEARCH_SQL,
+    "op12_hamerly": CLUSTER_SQL,
 }
