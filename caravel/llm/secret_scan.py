@@ -1,22 +1,26 @@
 """Secret scans with one combined deterministic automaton.
 
-All rules are compiled together (subset construction, minimisation) into one
-transition array that reads the UTF-8 bytes of a text once, backwards. Reading
-backwards, an accepting state at byte p says that a match of its rules can *start*
-at p, so the leftmost start of every rule is known after that single pass: rules whose tokens
-begin with a fixed text take part with that text, the others with their whole pattern. Each
-accepted start is then extended to its longest end by the rule's own small
-forward automaton, which only reads the bytes of the match; where it finds none, there is no match.
-
-Beside the three base rules there are public formats of vendors' tokens, private keys and addresses with
-passwords. Work is linear in the text and needs no shuffle; the tables are a few MB
-whatever the input is, and travel in a broadcast.
+The whole patterns of all rules are compiled together (subset construction, minimisation)
+into one transition array over UTF-8 bytes. It is entered where a match can start, and tells
+for all rules at once where their longest match from there ends. Where a match can start
+is found by a second combined array, which reads the text once, backwards: an accepting state at byte p
+names the rules that can start at p. Rules whose tokens begin with a fixed text take part in
+that one with this text, the others with their whole pattern. (One array that finds whole matches
+anywhere would have to count all runs of characters at once: even with every bounded repeat loosened to
+one or more it has 38,575 states. The pair has 1,432 and 2,528.)
+
+Two runs of the forward array that are in the same state at a byte go on alike, so a run ends where it
+meets an earlier one and takes over what that found. Runs differ only while they count repeats, so the
+work is linear in the text, also where a text is full of beginnings that come to nothing. Beside the three base
+rules there are public formats of vendors' tokens, private keys and addresses with passwords. Nothing is shuffled; the
+tables are a few MB whatever the input is, and travel in a broadcast.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .automaton import Dfa, compile_rules
-from .common import without
+from .common import tidy, without
 
 
 @dataclass(frozen=True)
@@ -136,7 +140,8 @@ class Scanner:
     def __init__(self, rules: tuple[Rule, ...] = RULES) -> None:
         self.rules = rules
         self.starts = compile_rules([r.head or r.pattern for r in rules], backwards=True, anywhere=True)
-        self.ends = [compile_rules([r.pattern]) for r in rules]
+        self.whole = compile_rules([r.pattern for r in rules])
+        self.bits = {m: [n for n in range(len(rules)) if m >> n & 1] for m in self.whole.tags.values()}
         self.checks = [re.compile(r.check, re.ASCII) if r.check else None for r in rules]
 
     def starting(self, data: bytes) -> list[tuple[int, int]]:
@@ -152,16 +157,37 @@ class Scanner:
         found.reverse()
         return found
 
-    def longest(self, rule: int, data: bytes, start: int) -> int:
-        dfa = self.ends[rule]
-        s, end = dfa.start, start
-        for i in range(start, len(data)):
-            s = dfa.table[s + data[i]]
-            if s >= dfa.accepting:
-                end = i + 1
-            elif s == dfa.dead:
-                break
-        return end
+    def runner(self, data: bytes) -> Callable[[int], dict[int, int]]:
+        """A function from a byte to {rule: end of its longest match from there}."""
+        dfa, bits = self.whole, self.bits
+        table, accepting, dead, tags = dfa.table, dfa.accepting, dfa.dead, dfa.tags
+        met: dict[int, tuple[int, dict[int, int]]] = {}  # state behind a byte, and what that run found
+        low = 0
+
+        def ends(start: int) -> dict[int, int]:
+            nonlocal low
+            for i in range(low, start if met else low):
+                met.pop(i, None)  # starts ascend
+            low = start
+            s, found, own = dfa.start, {}, []
+            for i in range(start, len(data)):
+                s = table[s + data[i]]
+                if s == dead:
+                    break
+                if s >= accepting:
+                    for n in bits[tags[s]]:
+                        found[n] = i + 1
+                if (before := met.get(i)) is not None and before[0] == s:
+                    for n, end in before[1].items():
+                        if end > i:
+                            found[n] = end
+                    break
+                own.append(s)
+            for i, s in enumerate(own, start):
+                met[i] = (s, found)
+            return found
+
+        return ends
 
     def spans(self, text: str | None) -> list[tuple[str, int, int]]:
         """(kind, start, end) in code points, by start and then in the order of the rules."""
@@ -173,14 +199,18 @@ class Scanner:
             return []
         found = []
         behind = [0] * len(self.rules)
+        ends = self.runner(data)
         for start, mask in hits:
+            longest = None
             while mask:
                 n = (mask & -mask).bit_length() - 1
                 mask &= mask - 1
                 if start < behind[n]:
                     continue
-                end = self.longest(n, data, start)
-                if end == start:
+                if longest is None:
+                    longest = ends(start)
+                end = longest.get(n)
+                if end is None:
                     continue
                 behind[n] = end
                 rule = self.rules[n]
@@ -210,9 +240,14 @@ def find_secrets(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...]
     shared = df.sparkSession.sparkContext.broadcast(Scanner(rules))
 
     @F.arrow_udf(T.ArrayType(SPAN))
-    def scan(texts: pa.Array) -> pa.Array:
+    @tidy
+    def scan(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         spans = shared.value.spans
-        return pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in spans(t)] for t in texts.to_pylist()], pa.list_(_SPAN))
+        for batch in texts:
+            found = []
+            for i in range(0, len(batch), 256):
+                found += [[{"kind": k, "start": a, "end": b} for k, a, b in spans(t)] for t in batch.slice(i, 256).to_pylist()]
+            yield pa.array(found, pa.list_(_SPAN))
 
     return without(df, [out], (text_col,)).withColumn(out, scan(F.col(f"`{text_col}`").cast("string")))
 

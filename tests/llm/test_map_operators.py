@@ -265,3 +265,35 @@ def test_leaks_query(spark):
         n, hit, found = decontamination.brute_leaks(text, items)
         r = got[doc_id]
         assert (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) == (n, len(hit), len(found), bool(hit))
+
+
+def test_secret_scan_is_linear():
+    """Texts full of beginnings that come to nothing take time in proportion, and give what the expressions give."""
+    import time
+
+    from caravel.llm.secret_scan import Scanner, brute_spans
+
+    scanner = Scanner()
+    for unit in ("eyJ", "eyJaaaaaaaa.", "https://a:", "ghp_", "sk_live_AKIA", "token=xoxb-"):
+        small = unit * 40
+        assert scanner.spans(small) == brute_spans(small)
+        took = []
+        for n in (4_000, 32_000):
+            text = unit * n
+            began = time.perf_counter()
+            scanner.spans(text)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 24 * max(took[0], 0.02), (unit, took)
+
+
+def test_runs_that_meet_find_what_they_would_alone():
+    import random
+
+    from caravel.llm.secret_scan import _FORMATS, Scanner, brute_spans
+
+    scanner, r = Scanner(), random.Random(5)
+    heads = [head for _, head, _ in _FORMATS] + ["password=", "AKIA", "secret: '", "deadbeef", "PRIVATE KEY-----", ".eyJ", "@", ":"]
+    for _ in range(600):
+        parts = [r.choice(heads) if r.random() < 0.3 else "".join(r.choice("abcdef0123456789ABCXYZ_-.+/ \u00e9\n") for _ in range(r.choice([1, 5, 12, 20, 36, 40, 64, 90]))) for _ in range(r.randint(1, 9))]
+        text = "".join(parts)
+        assert scanner.spans(text) == brute_spans(text)
