@@ -15,14 +15,14 @@ benchmark's size. A long item is cut into parts that overlap by a window less on
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import unused, without, written
+from .common import tidy, unused, without, written
 
 WINDOW = 10
 BLOCK_WORDS = 100_000
@@ -211,14 +211,22 @@ def find_leaks(df: DataFrame, items: DataFrame, text_col: str = "text", item_col
         both = blocks == 1 and cut_words is not None
 
         @F.arrow_udf(T.StructType([*HITS.fields, T.StructField("cut", T.StringType())]) if both else HITS)
-        def scan(texts: pa.Array) -> pa.Array:
-            of, listed = shared.value.scan, texts.to_pylist()
-            rows = [of(t) for t in listed]
-            found = _hits(rows)
-            if not both:
-                return found
-            cut = pa.array([cut_text(t, r[1], cut_words) for t, r in zip(listed, rows, strict=True)], pa.string())
-            return pa.StructArray.from_arrays([*found.flatten(), cut], ["n_words", "spans", "items", "cut"])
+        @tidy
+        def scan(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            of = shared.value.scan
+            for batch in texts:
+                rows, cut = [], []
+                for i in range(0, len(batch), 256):
+                    listed = batch.slice(i, 256).to_pylist()
+                    new = [of(t) for t in listed]
+                    rows += new
+                    if both:
+                        cut.append(pa.array([cut_text(t, r[1], cut_words) for t, r in zip(listed, new, strict=True)], pa.string()))
+                found = _hits(rows)
+                if both:
+                    cut = pa.concat_arrays(cut) if cut else pa.array([], pa.string())
+                    found = pa.StructArray.from_arrays([*found.flatten(), cut], ["n_words", "spans", "items", "cut"])
+                yield found
 
         return scan(F.col(f"`{text_col}`").cast("string"))
 

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import give_back, tidy, written
 
 _WORD = re.compile(r"[^\W_]+")
 _STEP, _CELL, _RANK, _PLACE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0x51ED270B, 0xA5A5A5A5, 0x7F4A7C15))
@@ -167,6 +167,7 @@ def text_key(text: Column) -> Column:
 
 def _signatures(rows: DataFrame, s: Settings) -> DataFrame:
     @F.arrow_udf(T.ArrayType(T.LongType()))
+    @tidy
     def bands(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
             out = []
@@ -264,6 +265,8 @@ def _rest_pairs(buckets: DataFrame, threshold: float, part: int = 256) -> DataFr
                 if others.size:
                     near = others[most_similar(profiles[x : x + 1], profiles[others]) >= threshold - 1e-9]
                     found += [(min(key[x], k), max(key[x], k)) for k in key[near]]
+        profiles = None
+        give_back()
         return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
 
     parts = buckets.groupBy("h").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
@@ -315,8 +318,14 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", setti
     texts = written(own, "texts")
 
     @F.arrow_udf(T.DoubleType())
-    def alike(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([similarity(x, y, s.shingle) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
+    @tidy
+    def alike(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for a, b in pairs:
+            found = []
+            for i in range(0, len(a), 256):
+                found += [similarity(x, y, s.shingle) for x, y in zip(a.slice(i, 256).to_pylist(), b.slice(i, 256).to_pylist(), strict=True)]
+            yield pa.array(found, pa.float64())
+        _bag.cache_clear()
 
     def verified(edges: DataFrame) -> DataFrame:
         first, second = texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), texts.select(F.col("key").alias("b"), F.col("text").alias("tb"))
@@ -348,9 +357,11 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", setti
 
     # then the rest exactly: all pairs of a bucket that are still apart, were not compared and are not excluded by a bound
     @F.arrow_udf(T.BinaryType())
-    def profiled(batch: pa.Array) -> pa.Array:
-        parts = (batch.slice(i, 64).to_pylist() for i in range(0, len(batch), 64))
-        return pa.array([profile(w, s.shingle) for part in parts for w in word_hashes(part)], pa.binary())
+    @tidy
+    def profiled(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            parts = (batch.slice(i, 64).to_pylist() for i in range(0, len(batch), 64))
+            yield pa.array([profile(w, s.shingle) for part in parts for w in word_hashes(part)], pa.binary())
 
     mixed = _labelled(buckets, labels)
     mixed = mixed.join(_mixed_buckets(mixed), "h", "left_semi")

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_bytes, tokenizer_path, without, written
+from .common import give_back, read_bytes, tidy, tokenizer_path, without, written
 
 SPACE = "▁"
 SHARE = 5e-7
@@ -455,6 +455,7 @@ def frequent_segments(texts: DataFrame, vocabulary: Vocabulary, share: float) ->
     all reaches it in one task at least, and may then count less than it occurs. Only for choosing what to broadcast.
     """
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Cutter(vocabulary).cut
         held, size, tokens, since = [], 0, 0, 0
@@ -510,6 +511,7 @@ def encode(df: DataFrame, vocabulary: bytes, text_col: str = "text", share: floa
     solved = solve(frequent.select(F.pmod(F.xxhash64("segment"), F.lit(buckets)).cast("int").alias("bucket"), "segment").repartition(min(n, buckets), "bucket"), v).select("key", "back").toArrow()
     shared = spark.sparkContext.broadcast(Coder(v, _large(solved["key"]), walked(_large(solved["back"]))))
 
+    @tidy
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in blocks_of(batches):
             own = _large(rows.column(0))
@@ -519,6 +521,7 @@ def encode(df: DataFrame, vocabulary: bytes, text_col: str = "text", share: floa
             columns = [pa.array(bucket[first], pa.int32()), pa.array(np.full(len(first), block), pa.int64()), pc.binary_join(lists, pa.scalar("\n", pa.large_string())).cast(pa.string())]
             yield pa.record_batch(columns, ["bucket", "block", "segments"])
 
+    @tidy
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for block, rows in blocks_of(batches, place):
@@ -538,6 +541,8 @@ def encode(df: DataFrame, vocabulary: bytes, text_col: str = "text", share: floa
         at = pc.index_in(keys_of(_large(pc.list_flatten(lists))), value_set=_large(found["key"]))
         got = pa.LargeListArray.from_arrays(pc.cast(lists.offsets, pa.int64()), walked(_large(found["back"])).take(at))
         joined = pc.binary_join(got, pa.scalar("", pa.large_string())).cast(pa.string())
+        lists = at = got = None
+        give_back()
         return pa.table({"block": asking["block"], "bucket": asking["bucket"], "paths": joined})
 
     answers = dealt.groupBy("bucket").cogroup(solved.select(F.col("bucket").alias("own"), "key", "back").groupBy("own")).applyInArrow(answered, "block long, bucket int, paths string")
@@ -560,6 +565,8 @@ def encode(df: DataFrame, vocabulary: bytes, text_col: str = "text", share: floa
                 same = pc.fill_null(pc.equal(own.texts(ids, counts), own_texts), True)
                 table = table.append_column(round_trip, same)
             tables.append(table)
+        rare = own_texts = ids = counts = None
+        give_back()
         return pa.concat_tables(tables)
 
     blocks = base.mapInArrow(packed, "block long, check long, rows binary").repartition(n, "block")

@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold_of, without, written
+from .common import fold_of, tidy, without, written
 
 _WORD = re.compile(r"[^\W\d_]+")
 _MASKED = re.compile(r"[^\W\d_][*@#$%]{2,}")
@@ -294,9 +295,11 @@ def score_toxicity(df: DataFrame, model: Model, text_col: str = "text", out: str
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(T.DoubleType())
-    def score(texts: pa.Array) -> pa.Array:
+    @tidy
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of = shared.value.score
-        return pa.array([of(t) for t in texts.to_pylist()], pa.float64())
+        for batch in texts:
+            yield pa.array([of(t) for i in range(0, len(batch), 256) for t in batch.slice(i, 256).to_pylist()], pa.float64())
 
     return without(df, [out], (text_col,)).withColumn(out, score(F.col(f"`{text_col}`").cast("string")))
 
