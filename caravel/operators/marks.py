@@ -21,13 +21,13 @@ def coarse(df: DataFrame, by: Sequence[str], offset: str, every: float) -> DataF
     ``offset`` is unique within ``by``.
     """
     block = F.floor(F.col(offset) / 86_400)
-    rows = with_neighbours(df, [offset], F.col(offset), by, block, back=True, ahead=True)
+    rows = with_neighbours(df, [offset], F.col(offset), by, block, back=True, ahead=True, names=("_lower", "_upper"))
     o = F.col(offset)
-    low = (F.col("prev") + o) / 2
+    low = (F.col("_lower") + o) / 2
     # behind the last sample there is no multiple that counts
-    high = F.coalesce((F.col("next") + o) / 2, o)
+    high = F.coalesce((F.col("_upper") + o) / 2, o)
     greatest = F.floor(high / every + 1e-12) * every
-    return rows.where(F.when(F.col("prev").isNull(), greatest >= 0).otherwise(greatest > low + 1e-9)).drop("prev", "next")
+    return rows.where(F.when(F.col("_lower").isNull(), greatest >= 0).otherwise(greatest > low + 1e-9)).drop("_lower", "_upper")
 
 
 def scene_spans(cuts: Column, duration: Column, shortest: float = 0.05) -> Column:
@@ -144,4 +144,6 @@ def emitted(df: DataFrame, by: Sequence[str], ts: str, tie: str, lat: str, lon:
 
     schema = slim.select(*names).schema
     found = slim.repartition(*by).sortWithinPartitions(*by, "_at", "_tie").mapInArrow(kept, schema).withColumnRenamed("_tie", tie)
-    return df.join(found, [*by, tie], "left_semi")
+    # a struct equals another field by field, nulls too
+    here = F.struct(*[F.col(f"`{c}`") for c in (*by, tie)])
+    return df.withColumn("_here", here).join(found.select(here.alias("_here")), "_here", "left_semi").drop("_here")

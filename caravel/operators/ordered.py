@@ -12,6 +12,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from caravel.session import cut_lineage
 
 DAY = 86_400
 
@@ -21,61 +24,72 @@ def bucket_of(ts: str | Column, seconds: int = DAY) -> Column:
     return F.floor(F.unix_seconds(c.cast("timestamp")) / seconds)
 
 
-def _before(by: Sequence[str]) -> Window:
-    return Window.partitionBy(*by, "_bucket")
+def plain_keys(df: DataFrame, by: Sequence[str], name: str = "_key") -> dict[str, Column]:
+    """Columns that are never null and equal for rows whose ``by`` are equal, nulls being equal: a value, and beside a nullable one whether it is null.
+
+    So windows, summaries and plain equi-joins all need the same partitioning, and rows are exchanged once.
+    """
+    out: dict[str, Column] = {}
+    for i, c in enumerate(by):
+        field, own = df.schema[c], F.col(f"`{c}`")
+        if not field.nullable:
+            out[f"{name}{i}"] = own
+        elif isinstance(field.dataType, (T.NumericType, T.StringType, T.BooleanType, T.TimestampType, T.DateType)):
+            zero = {T.StringType: F.lit(""), T.BooleanType: F.lit(False), T.TimestampType: F.timestamp_seconds(F.lit(0)), T.DateType: F.date_from_unix_date(F.lit(0))}.get(type(field.dataType), F.lit(0))
+            out[f"{name}{i}"] = F.coalesce(own, zero.cast(field.dataType))
+            out[f"{name}{i}_null"] = own.isNull()
+        else:
+            out[f"{name}{i}"] = F.struct(own)
+    return out
+
+
+def _keyed(df: DataFrame, by: Sequence[str], bucket: Column) -> tuple[DataFrame, list[str], list[str]]:
+    """``df`` with its place columns; those of a key, and those of a key's bucket."""
+    keys = plain_keys(df, by)
+    return df.withColumns({**keys, "_bucket": bucket}), list(keys), [*keys, "_bucket"]
 
 
-def with_neighbours(df: DataFrame, order: Sequence[str], value: Column, by: Sequence[str] = (), bucket: Column | None = None, back: bool = True, ahead: bool = False, current: bool = False, value_ahead: Column | None = None) -> DataFrame:
-    """SEQ12, DOC3. Adds ``prev`` and/or ``next``: the nearest non-null ``value`` before / behind each row.
+def with_neighbours(df: DataFrame, order: Sequence[str], value: Column, by: Sequence[str] = (), bucket: Column | None = None, back: bool = True, ahead: bool = False, current: bool = False, value_ahead: Column | None = None, names: tuple[str, str] = ("prev", "next")) -> DataFrame:
+    """SEQ12, DOC3. Adds ``prev`` and/or ``next`` (or other ``names``): the nearest non-null ``value`` before / behind each row.
 
     ``current``: the row itself counts. ``order`` begins with the time column of the buckets. ``value_ahead`` is
     looked for behind each row instead of ``value``. Rows without a time are in a bucket of their own, before all others; keys
     ``by`` may be null.
     """
     own = F.coalesce(bucket if bucket is not None else bucket_of(order[0]), F.lit(-(1 << 62)))
-    rows = df.withColumn("_bucket", own).withColumn("_value", value).withColumn("_value_ahead", value if value_ahead is None else value_ahead)
+    rows, key, place = _keyed(df, by, own)
+    rows = rows.withColumn("_value", value).withColumn("_value_ahead", value if value_ahead is None else value_ahead)
     up, down = [F.col(c).asc() for c in order], [F.col(c).desc() for c in order]
     edge = 0 if current else -1
-    key = F.struct(*order)
-    # of each bucket the outermost known values
-    at = lambda c: F.when(F.col(c).isNotNull(), key)
-    summary = rows.groupBy(*by, "_bucket").agg(F.max_by("_value", at("_value")).alias("_high"), F.min_by("_value_ahead", at("_value_ahead")).alias("_low"))
-    over = Window.partitionBy(*by)
-    carry = []
-    if back:
-        rows = rows.withColumn("prev", F.last("_value", ignorenulls=True).over(_before(by).orderBy(*up).rowsBetween(Window.unboundedPreceding, edge)))
-        summary = summary.withColumn("_carry_prev", F.last("_high", ignorenulls=True).over(over.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)))
-        carry.append("prev")
-    if ahead:
-        rows = rows.withColumn("next", F.last("_value_ahead", ignorenulls=True).over(_before(by).orderBy(*down).rowsBetween(Window.unboundedPreceding, edge)))
-        summary = summary.withColumn("_carry_next", F.last("_low", ignorenulls=True).over(over.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)))
-        carry.append("next")
-    both = _met(rows, summary.select(*by, "_bucket", *[f"_carry_{c}" for c in carry]), by)
-    for c in carry:
-        both = both.withColumn(c, F.coalesce(c, f"_carry_{c}"))
-    return both.drop("_bucket", "_value", "_value_ahead", *[f"_carry_{c}" for c in carry])
-
-
-def _met(rows: DataFrame, summary: DataFrame, by: Sequence[str]) -> DataFrame:
-    """``rows`` with the summary of their key and bucket; null keys meet too."""
-    s = summary.withColumnsRenamed({c: f"_of_{c}" for c in (*by, "_bucket")})
-    on = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*by, "_bucket")]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    return rows.join(s, cond).drop(*[f"_of_{c}" for c in (*by, "_bucket")])
+    at = F.struct(*order)
+    inside, over = Window.partitionBy(*place), Window.partitionBy(*key)
+    found, edges, carries = [], [], []
+    for wanted, name, column, direction, outermost, buckets in ((back, names[0], "_value", up, F.max_by, F.asc("_bucket")), (ahead, names[1], "_value_ahead", down, F.min_by, F.desc("_bucket"))):
+        if not wanted:
+            continue
+        n = len(found)
+        near = F.last(column, ignorenulls=True).over(inside.orderBy(*direction).rowsBetween(Window.unboundedPreceding, edge))
+        found.append((name, near.alias(f"_near{n}")))
+        # of each bucket the outermost known value, then the last one of the buckets before
+        edges.append(outermost(column, F.when(F.col(column).isNotNull(), at)).alias(f"_edge{n}"))
+        carries.append(F.last(f"_edge{n}", ignorenulls=True).over(over.orderBy(buckets).rowsBetween(Window.unboundedPreceding, -1)).alias(f"_carry{n}"))
+    summary = rows.groupBy(*place).agg(*edges).select(*place, *carries)
+    kept = [c for c in df.columns if c not in names[:2] or c not in {n for n, _ in found}]
+    both = rows.select(*place, *[F.col(f"`{c}`") for c in kept], *[c for _, c in found]).join(summary, place)
+    return both.select(*[F.col(f"`{c}`") for c in kept], *[F.coalesce(f"_near{n}", f"_carry{n}").alias(name) for n, (name, _) in enumerate(found)])
 
 
 def running_sums(df: DataFrame, order: Sequence[str], sums: dict[str, Column], by: Sequence[str] = (), bucket: Column | None = None) -> DataFrame:
     """Adds running totals, the row itself included; null counts as 0."""
-    rows = df.withColumn("_bucket", F.coalesce(bucket if bucket is not None else bucket_of(order[0]), F.lit(-(1 << 62))))
+    rows, key, place = _keyed(df, by, F.coalesce(bucket if bucket is not None else bucket_of(order[0]), F.lit(-(1 << 62))))
     rows = rows.withColumns({f"_sum_of_{k}": F.coalesce(v, F.lit(0)) for k, v in sums.items()})
-    total = rows.groupBy(*by, "_bucket").agg(*[F.sum(f"_sum_of_{k}").alias(f"_sum_{k}") for k in sums])
-    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    total = total.select(*by, "_bucket", *[F.coalesce(F.sum(f"_sum_{k}").over(earlier), F.lit(0)).alias(f"_base_{k}") for k in sums])
-    inside = _before(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = _met(rows, total, by).withColumns({k: F.sum(f"_sum_of_{k}").over(inside) + F.col(f"_base_{k}") for k in sums})
-    return out.drop("_bucket", *[f"{p}{k}" for k in sums for p in ("_sum_of_", "_base_")])
+    total = rows.groupBy(*place).agg(*[F.sum(f"_sum_of_{k}").alias(f"_sum_{k}") for k in sums])
+    earlier = Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    total = total.select(*place, *[F.coalesce(F.sum(f"_sum_{k}").over(earlier), F.lit(0)).alias(f"_base_{k}") for k in sums])
+    inside = Window.partitionBy(*place).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = rows.withColumns({f"_run_{k}": F.sum(f"_sum_of_{k}").over(inside) for k in sums})
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in sums]
+    return own.join(total, place).select(*kept, *[(F.col(f"_run_{k}") + F.col(f"_base_{k}")).alias(k) for k in sums])
 
 
 def asof(left: DataFrame, right: DataFrame, ts: str, value: Column, by: Sequence[str] = (), back: bool = True, ahead: bool = False, strict: bool = False, seconds: int = DAY, right_order: Sequence[str] = ()) -> DataFrame:
@@ -99,8 +113,8 @@ def asof(left: DataFrame, right: DataFrame, ts: str, value: Column, by: Sequence
         union = union.unionByName(r.withColumn("_at", F.lit(behind)).withColumn("_ahead", F.col("_right")).withColumn("_right", none), allowMissingColumns=True)
     got = with_neighbours(union, ["_ts", "_at", *ties], F.col("_right"), by, bucket_of("_ts", seconds), back=back, ahead=ahead or not back, value_ahead=F.col("_ahead"))
     names = (["prev"] if back else []) + (["next"] if ahead or not back else [])
-    timeless = F.col("_ts").isNull()
-    return got.where("_left is not null").select("_left.*", *[F.when(~timeless, F.col(n)).alias(n) for n in names])
+    own = [F.col(f"_left.`{c}`") for c in left.columns if c not in names]
+    return got.where("_left is not null").select(*own, *[F.when(F.col("_ts").isNotNull(), F.col(n)).alias(n) for n in names])
 
 
 def lagged(df: DataFrame, by: Sequence[str], order: Sequence[str], values: dict[str, Column], ahead: bool = False) -> DataFrame:
@@ -109,43 +123,67 @@ def lagged(df: DataFrame, by: Sequence[str], order: Sequence[str], values: dict[
     A key may hold any share of the rows: it is cut into time buckets.
     """
     row = F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values.values())])
-    near = "next" if ahead else "prev"
-    rows = with_neighbours(df.withColumn("_row", row), order, F.col("_row"), by, back=not ahead, ahead=ahead)
-    return rows.withColumns({k: F.col(f"{near}.v{i}") for i, k in enumerate(values)}).drop("_row", near)
+    rows = with_neighbours(df, order, row, by, back=not ahead, ahead=ahead, names=("_beside", "_beside"))
+    return rows.withColumns({k: F.col(f"_beside.v{i}") for i, k in enumerate(values)}).drop("_beside")
 
 
 def sessions(df: DataFrame, by: Sequence[str], ts: str, gap_seconds: float, tie: str, out: str = "session") -> DataFrame:
     """SEQ14. Adds the session number within ``by``: a new one behind a gap of more than ``gap_seconds``.
 
-    Neighbours and numbers are found in time buckets, so one key may hold any share of the rows.
+    Gaps are counted in time buckets, so one key may hold any share of the rows; the gaps between and in the buckets before come
+    from their first and last times. Rows without a time are in the first session.
     """
-    at = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
-    rows = lagged(df, by, [ts, tie], {"_before": at})
-    new = F.coalesce((at - F.col("_before") > gap_seconds).cast("long"), F.lit(0))
-    return running_sums(rows, [ts, tie], {out: new}, by).drop("_before")
-
-
-def anchored_groups(df: DataFrame, by: Sequence[str], ts: str, window_seconds: float, tie: str, out: str = "burst") -> DataFrame:
-    """Adds a group number within ``by``: a group ends where a row is more than ``window_seconds`` behind its *first* row.
-
-    A fold over the sorted rows of a key; long silences cut a key into independent pieces
-    first, so one fold holds a stretch without a gap of the window's size.
+    rows, key, place = _keyed(df, by, F.coalesce(bucket_of(ts), F.lit(-(1 << 62))))
+    rows = rows.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")))
+    far = lambda later, earlier: F.coalesce((later - earlier > F.lit(gap_seconds * 1e6)).cast("long"), F.lit(0))
+    inside = Window.partitionBy(*place).orderBy(ts, tie)
+    gaps = rows.withColumn("_gap", far(F.col("_at"), F.lag("_at").over(inside)))
+    ends = gaps.groupBy(*place).agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"), F.sum("_gap").alias("_gaps"))
+    over = Window.partitionBy(*key).orderBy("_bucket")
+    ends = ends.withColumn("_gap_before", far(F.col("_first"), F.lag("_last").over(over)))
+    base = F.sum(F.col("_gaps") + F.col("_gap_before")).over(over.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_gaps")
+    kept = [F.col(f"`{c}`") for c in df.columns if c != out]
+    own = gaps.withColumn("_run", F.sum("_gap").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    return own.join(ends.select(*place, base.alias("_base")), place).select(*kept, (F.col("_run") + F.col("_base")).alias(out))
+
+
+def anchored_groups(df: DataFrame, by: Sequence[str], ts: str, window_seconds: float, tie: str = "", out: str = "burst") -> DataFrame:
+    """SEQ13. Adds a group number within ``by``: a group ends where a row is more than ``window_seconds`` behind its *first* row.
+
+    Of each time of a key (rows of one time share their group) an as-of join finds the next group's first time, were it
+    the first of a group itself. Which times are first ones is then a matter of following these links from those behind a silence, which
+    are first ones for sure. Links are joined with themselves, so that each table of links reaches twice as far as the one before it;
+    taken from the farthest to the nearest, each one finds the first times in the middle between those known. So a key may hold any
+    share of the rows, and the rounds follow the logarithm of the groups between two silences. Every row stays once, repeated ones
+    and null keys too; rows without a time have no group. ``tie`` isn't needed any more.
     """
-    pieces = sessions(df, by, ts, window_seconds, tie, "_piece")
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    listed = pieces.groupBy(*by, "_piece").agg(F.sort_array(F.collect_list(F.struct(at.alias("at"), F.col(tie).alias("tie")))).alias("_rows"))
-    start = F.struct(F.lit(None).cast("long").alias("first"), F.lit(-1).alias("n"), F.array().cast(f"array<struct<tie: {df.schema[tie].dataType.simpleString()}, n: int>>").alias("out"))
-
-    def step(acc: Column, r: Column) -> Column:
-        new = acc["first"].isNull() | (r["at"] - acc["first"] > int(window_seconds * 1e6))
-        n = acc["n"] + new.cast("int")
-        return F.struct(F.when(new, r["at"]).otherwise(acc["first"]).alias("first"), n.alias("n"), F.array_append(acc["out"], F.struct(r["tie"].alias("tie"), n.alias("n"))).alias("out"))
-
-    folded = listed.select(*by, "_piece", F.explode(F.aggregate("_rows", start, step, lambda acc: acc["out"])).alias("r")).select(*by, "_piece", F.col("r.tie").alias(tie), F.col("r.n").alias("_n"))
-    sizes = folded.groupBy(*by, "_piece").agg((F.max("_n") + 1).alias("_k"))
-    base = sizes.select(*by, "_piece", F.coalesce(F.sum("_k").over(Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    numbered = folded.join(base, [*by, "_piece"]).select(*by, tie, (F.col("_base") + F.col("_n")).alias(out))
-    return df.join(numbered, [*by, tie])
+    micros = int(window_seconds * 1e6)
+    rows, n = df.withColumn("_at", F.col(ts).cast("timestamp")), len(by)
+    keys = [f"_by{i}" for i in range(n)]
+    times = rows.where("_at is not null").select(*[F.col(f"`{c}`").alias(k) for c, k in zip(by, keys, strict=True)], "_at").distinct()
+    near = lagged(times, keys, ["_at"], {"_before": F.col("_at")})
+    silent = F.col("_before").isNull() | (F.unix_micros("_at") - F.unix_micros("_before") > micros)
+    # one struct, which is equal for equal fields, nulls too
+    here = lambda c: F.struct(*keys, F.col(c).alias("t"))
+    nodes = cut_lineage(near.select(*keys, "_at", silent.alias("_root")))
+    probes = nodes.select(*keys, here("_at").alias("a"), F.timestamp_micros(F.unix_micros("_at") + micros).alias("_end"))
+    ends = nodes.select(*keys, F.col("_at").alias("_end"), "_root")
+    step = asof(probes, ends, "_end", F.struct("_end", "_root"), keys, back=False, ahead=True, strict=True)
+    step = step.where("next is not null and not next._root").select("a", F.struct(*keys, F.col("next._end").alias("t")).alias("b"))
+    links = []
+    while True:
+        step = cut_lineage(step)
+        if step.isEmpty():
+            break
+        links.append(step)
+        step = step.join(step.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
+    first = nodes.where("_root").select(here("_at").alias("a"))
+    for link in reversed(links):
+        first = cut_lineage(first.unionByName(first.join(link, "a").select(F.col("b").alias("a"))))
+    marked = nodes.withColumn("a", here("_at")).join(first.withColumn("_first", F.lit(1).cast("long")), "a", "left")
+    numbered = running_sums(marked, ["_at"], {"_n": F.col("_first")}, keys).select(here("_at").alias("_time"), (F.col("_n") - 1).alias(out))
+    own = F.struct(*[F.col(f"`{c}`").alias(k) for c, k in zip(by, keys, strict=True)], F.col("_at").alias("t"))
+    return rows.drop(out).withColumn("_time", own).join(numbered, "_time", "left").drop("_time", "_at")
 
 
 def changes(df: DataFrame, by: Sequence[str], order: Sequence[str], state: Column, out: str = "state") -> DataFrame:

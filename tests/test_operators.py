@@ -345,3 +345,72 @@ def test_items_that_are_points_get_neighbours(spark):
     assert got.select("media_id").distinct().count() == placed
     own = got.where("media_id % 20 = 0 and rank = 1").collect()
     assert own and all(r["metres"] == 0 for r in own)
+
+
+# --- keys that are null, rows that repeat, one hot key ------------------------------------------
+
+
+def _anchored(rows, window):
+    """The rule in a loop: (key, time) to the number of its group."""
+    out = {}
+    for key in {k for k, _, _ in rows}:
+        first, n = None, -1
+        for t in sorted({t for k, t, _ in rows if k == key and t is not None}):
+            if first is None or t - first > window:
+                first, n = t, n + 1
+            out[key, t] = n
+    return out
+
+
+@pytest.mark.parametrize(("seed", "window", "span"), [(1, 50, 5_000), (2, 300, 200_000), (3, 7, 900), (4, 100_000, 900_000)])
+def test_anchored_groups_equal_the_loop(spark, seed, window, span):
+    import random
+
+    r = random.Random(seed)
+    rows = [(r.choice(["hot"] * 6 + ["a", None]), r.choice([None] + [r.randrange(span)] * 30), i) for i in range(400)]
+    rows += rows[:30]
+    df = spark.createDataFrame(rows, "folder string, t long, id int").withColumn("ts", F.timestamp_seconds("t"))
+    want = _anchored(rows, window)
+    got = [(x["folder"], x["t"], x["id"], x["burst"]) for x in ordered.anchored_groups(df, ["folder"], "ts", window).collect()]
+    assert sorted(got, key=repr) == sorted(((k, t, i, want.get((k, t))) for k, t, i in rows), key=repr)
+
+
+def test_anchored_groups_without_keys_and_of_nothing(spark):
+    df = spark.createDataFrame([(i * 10,) for i in range(40)], "t long").withColumn("ts", F.timestamp_seconds("t"))
+    assert sorted(r["burst"] for r in ordered.anchored_groups(df, [], "ts", 35).collect()) == sorted(i // 4 for i in range(40))
+    assert ordered.anchored_groups(df.where("t < 0"), [], "ts", 35).count() == 0
+
+
+def test_no_row_holds_a_key(spark):
+    df = spark.createDataFrame([("k", i) for i in range(50)], "folder string, t long").withColumn("ts", F.timestamp_seconds("t"))
+    plan = ordered.anchored_groups(df, ["folder"], "ts", 5)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "Arrow" not in plan
+
+
+def test_sessions_over_buckets_and_null_keys(spark):
+    import random
+
+    r = random.Random(6)
+    rows = [(r.choice(["a", None]), r.choice([None] + [r.randrange(2_000_000)] * 20), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "folder string, t long, id int").withColumn("ts", F.timestamp_seconds("t"))
+    want = {}
+    for key in ("a", None):
+        n, before = 0, None
+        for t, i in sorted((t, i) for k, t, i in rows if k == key and t is not None):
+            n += before is not None and t - before > 20_000
+            want[i], before = n, t
+    assert {x["id"]: x["session"] for x in ordered.sessions(df, ["folder"], "ts", 20_000, "id").collect()} == {i: want.get(i, 0) for _, _, i in rows}
+
+
+def test_neighbours_leave_other_columns(spark):
+    """Columns called prev and next, of the caller, stay as they are."""
+    df = spark.createDataFrame([(None, 1, "x", "y"), (None, 5, "x", "y"), ("a", 3, "x", "y")], "k string, t long, prev string, next string").withColumn("ts", F.timestamp_seconds("t"))
+    got = ordered.lagged(df, ["k"], ["ts"], {"before": F.col("t")}).collect()
+    assert sorted(((r["k"], r["t"], r["prev"], r["next"], r["before"]) for r in got), key=repr) == [("a", 3, "x", "y", None), (None, 1, "x", "y", None), (None, 5, "x", "y", 1)]
+
+
+def test_emission_keeps_null_keys(spark):
+    rows = [(k, i, i, 0.0, float(i)) for k in ("a", None) for i in range(4)]
+    df = spark.createDataFrame(rows, "k string, id int, t long, lat double, lon double").withColumn("ts", F.timestamp_seconds("t"))
+    got = marks.emitted(df, ["k"], "ts", "id", "lat", "lon", 1000.0)
+    assert sorted(((r["k"], r["id"]) for r in got.collect()), key=repr) == sorted([(k, i) for k in ("a", None) for i in range(4)], key=repr)
