@@ -96,10 +96,9 @@ def voice_state(segments: Column, **limits: float) -> Column:
 
 
 def refined(words: Column, synonyms: dict[str, str] | None = None, stop: tuple[str, ...] = (), most: int = 7) -> Column:
-    """S3, S6. Normal form, junk out, singular, canonical, first occurrences, the first ``most``."""
-    junk = lambda w: (F.length(w) < 3) | w.isin(*stop) if stop else F.length(w) < 3
-    steps = F.filter(F.transform(words, normal_keyword), lambda w: ~junk(w))
-    steps = F.filter(F.transform(steps, lambda w: canonical(singular(w), synonyms or {})), lambda w: ~junk(w))
+    """S3, S6. Normal form, noise out (``is_junk``), singular, canonical, first occurrences, the first ``most``."""
+    steps = F.filter(F.transform(words, normal_keyword), lambda w: ~is_junk(w, stop))
+    steps = F.filter(F.transform(steps, lambda w: canonical(singular(w), synonyms or {})), lambda w: ~is_junk(w, stop))
     return F.slice(F.array_distinct(steps), 1, most)
 
 

@@ -59,7 +59,7 @@ def between_places(t1, d1, t2, d2, most: float = 2000.0) -> Column:
     """D11. Instant between two passes, weighted by the other's distance; null if both are farther than ``most`` metres."""
     a, b = F.unix_micros(_c(t1)), F.unix_micros(_c(t2))
     x, y = _c(d1), _c(d2)
-    mixed = F.when(x + y == 0, a).otherwise((a * y + b * x) / (x + y))
+    mixed = F.when(x + y == 0, a).otherwise(a + (b - a) * (x / (x + y)))
     return F.when(F.least(x, y) <= most, F.timestamp_micros(mixed.cast("long")))
 
 

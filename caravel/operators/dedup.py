@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caravel.operators.ordered import plain_keys
+from caravel.session import cut_lineage
+
 
 def first_of(df: DataFrame, content: Column, order: str) -> DataFrame:
     """Adds ``first`` (least ``order`` of equal content) and ``copies``, combined before the shuffle."""
@@ -53,6 +56,11 @@ class Leaders:
     def __init__(self) -> None:
         self.keys: list = []
 
+    @staticmethod
+    def alone(value) -> bool:
+        """Whether a value is alike to none, itself included."""
+        raise NotImplementedError
+
     def first(self, value) -> int | None:
         raise NotImplementedError
 
@@ -67,6 +75,10 @@ class CosineLeaders(Leaders):
         super().__init__()
         self.least, self.units = least, np.zeros((16, 0))
 
+    @staticmethod
+    def alone(value) -> bool:
+        return value is None or not any(value)
+
     @staticmethod
     def _unit(value) -> np.ndarray:
         v = np.asarray(value if value is not None else [], float)
@@ -94,6 +106,10 @@ class CosineLeaders(Leaders):
 class HammingLeaders(Leaders):
     """SET10. 64-bit hashes that differ in few bits."""
 
+    @staticmethod
+    def alone(value) -> bool:
+        return value is None
+
     def __init__(self, most: int) -> None:
         super().__init__()
         self.most, self.hashes = most, np.zeros(16, np.int64)
@@ -117,6 +133,10 @@ class HammingLeaders(Leaders):
 class TagLeaders(Leaders):
     """SET11. Lists that share some tags; one without tags is alike to none."""
 
+    @staticmethod
+    def alone(value) -> bool:
+        return not value
+
     def __init__(self, shared: int) -> None:
         super().__init__()
         self.shared, self.tags = shared, []
@@ -130,31 +150,64 @@ class TagLeaders(Leaders):
         super().add(key, value)
 
 
-def leader_clusters(df: DataFrame, by: Sequence[str], key: str, value: str, kind: type[Leaders], limit: float, out: str = "leader") -> DataFrame:
+def leader_clusters(df: DataFrame, by: Sequence[str], key: str, value: str, kind: type[Leaders], limit: float, out: str = "leader", block: int = 2048, chunk: int = 50_000) -> DataFrame:
     """SET10, SET11, SET12. Greedy leaders within ``by``: in order of ``key``, a row joins the first leader that it is alike to, else it leads.
 
-    The rule looks back at all leaders, so a key is read in order. Rows are dealt by key and sorted, and a task streams
-    through them with the leaders so far: memory follows the leaders of a key and not its rows.
+    Rounds. Of each key the first ``block`` rows that are still undecided find their leaders among themselves, in order; no earlier
+    leader is alike to them. Then all undecided rows are compared with these leaders, in chunks of at most about
+    ``chunk`` rows dealt over all tasks: the first one that a row is alike to is its leader for good, as later leaders come later in
+    the order. A key of any size is spread over tasks, a group holds a block or a chunk, and the rounds follow
+    the leaders of the key that has most, ``block`` at a time. Rows that can't be alike to any are decided at once. ``key`` is unique
+    within ``by``, whose nulls are keys like others.
     """
-    rows = df.select(*by, F.col(key).alias("_id"), F.col(value).alias("_value"), F.struct(*by).alias("_by"))
-    schema = T.StructType([*rows.select(*by).schema.fields, T.StructField(key, df.schema[key].dataType), T.StructField(out, df.schema[key].dataType)])
-
-    def led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state = None, None
-        for batch in batches:
-            leaders = []
-            for k, i, v in zip(*[batch.column(c).to_pylist() for c in ("_by", "_id", "_value")], strict=True):
-                if state is None or k != now:
-                    now, state = k, kind(limit)
+    keys = plain_keys(df, by)
+    rows = df.select(*by, *[c.alias(n) for n, c in keys.items()], F.col(f"`{key}`").alias("_id"), F.col(f"`{value}`").alias("_value"))
+    large = rows.groupBy(*keys).agg(F.ceil(F.count("*") / chunk).cast("int").alias("_chunks")).where("_chunks > 1")
+    rows = rows.join(large, list(keys), "left") if keys else rows.crossJoin(F.broadcast(rows.agg(F.greatest(F.ceil(F.count("*") / chunk).cast("int"), F.lit(1)).alias("_chunks"))))
+    rows = rows.withColumn("_chunks", F.coalesce("_chunks", F.lit(1)))
+    rows = cut_lineage(rows.withColumn("_chunk", F.pmod(F.xxhash64("_id"), F.col("_chunks")).cast("int")))
+    schema = T.StructType([*rows.schema.fields, T.StructField(out, rows.schema["_id"].dataType)])
+    lead_schema = rows.drop("_chunk", *by).schema
+
+    def led(group: pa.Table) -> pa.Table:
+        group = group.sort_by("_id")
+        state, kept = kind(limit), []
+        for n, (i, v) in enumerate(zip(group.column("_id").to_pylist(), group.column("_value").to_pylist(), strict=True)):
+            if not kind.alone(v) and state.first(v) is None:
+                state.add(i, v)
+                kept.append(n)
+        return group.take(pa.array(kept, pa.int64())).select(lead_schema.names)
+
+    def joined(group: pa.Table, leaders: pa.Table) -> pa.Table:
+        leaders = leaders.sort_by("_id")
+        state, own = kind(limit), set()
+        for i, v in zip(leaders.column("_id").to_pylist(), leaders.column("_value").to_pylist(), strict=True):
+            state.add(i, v)
+            own.add(i)
+        found = []
+        for i, v in zip(group.column("_id").to_pylist(), group.column("_value").to_pylist(), strict=True):
+            if i in own or kind.alone(v):
+                found.append(i)
+            else:
                 at = state.first(v)
-                if at is None:
-                    state.add(i, v)
-                leaders.append(i if at is None else state.keys[at])
-            ids = batch.column("_id")
-            columns = [*[batch.column(c) for c in by], ids, pa.array(leaders, ids.type)]
-            yield pa.record_batch(columns, schema.names)
-
-    return rows.repartition(*by).sortWithinPartitions(*by, "_id").mapInArrow(led, schema)
+                found.append(None if at is None else state.keys[at])
+        return group.append_column(schema[out].name, pa.array(found, group.column("_id").type))
+
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("_id"))
+    done = None
+    while True:
+        first = rows.withColumn("_nth", nth).where(F.col("_nth") <= block).drop("_nth")
+        leaders = cut_lineage(first.groupBy(*keys).applyInArrow(led, lead_schema))
+        spread = leaders.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+        names = [*keys, "_chunk"]
+        tried = cut_lineage(rows.groupBy(*names).cogroup(spread.groupBy(*names)).applyInArrow(joined, schema))
+        # an id that is null leads itself, which null can't say
+        settled = F.col(out).isNotNull() | F.col("_id").isNull()
+        part = tried.where(settled).select(*by, F.col("_id").alias(key), out)
+        done = part if done is None else done.unionByName(part)
+        rows = tried.where(~settled).drop(out)
+        if rows.isEmpty():
+            return done
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from caravel.functions import color, geo, metadata, text
 from caravel.operators import audio, dedup, intervals, marks, ordered, ranking
 from caravel.plans.queries import _HAV, _stamp, query
-from caravel.plans.views import ITEM_SQL, TRACK_SQL, items, table, track_points
+from caravel.plans.views import EAV_SQL, ITEM_SQL, TRACK_SQL, attributes, items, table, track_points
 
 # --- predicates, pages, orders -----------------------------------------------------------------
 
@@ -158,14 +158,19 @@ def mark_times(spark, d):
     return items(spark, d).where("duration_s > 0").select("media_id", _stamp(mark_time("ts", ((F.col("media_id") * 13) % 90) / 10.0)).alias("at"))
 
 
-@query(f"""WITH {ITEM_SQL}, p AS (SELECT TIMESTAMP '2024-01-09 12:00:00' AS t), a AS (SELECT media_id, kind, ts, end_ts FROM item, p WHERE ts <= t AND end_ts >= t AND ts BETWEEN TIMESTAMP '2024-01-09 00:00:00' AND TIMESTAMP '2024-01-09 23:59:59')
-SELECT CASE kind WHEN 'image' THEN 'visual' WHEN 'video' THEN 'visual' WHEN 'audio' THEN 'auditory' ELSE 'textual' END AS layer, count(*)::BIGINT AS n, min(media_id) AS first FROM a GROUP BY 1""")
+@query(f"""WITH {ITEM_SQL}, {EAV_SQL}, p AS (SELECT province, max(ts) AS t FROM item WHERE duration_s > 0 GROUP BY 1), a AS (SELECT item.province, media_id, kind, ts, end_ts FROM item JOIN p ON item.province IS NOT DISTINCT FROM p.province AND ts <= t AND end_ts >= t AND epoch_us(t) - epoch_us(ts) <= 43200000000),
+l AS (SELECT province, CASE kind WHEN 'image' THEN 'visual' WHEN 'video' THEN 'visual' WHEN 'audio' THEN 'auditory' ELSE 'textual' END AS layer, media_id FROM a UNION ALL SELECT province, 'metadata:' || key, media_id FROM a JOIN eav USING (media_id))
+SELECT province, layer, count(*)::BIGINT AS n, min(media_id) AS first FROM l GROUP BY ALL""")
 def layers_at(spark, d):
-    """DOC5, DOC9, DOC11: what covers an instant, layer by layer, within a range of starts."""
-    t = F.timestamp_seconds(F.lit(1_704_801_600))
-    day = F.col("ts").between(F.timestamp_seconds(F.lit(1_704_758_400)), F.timestamp_seconds(F.lit(1_704_844_799)))
+    """DOC5, DOC9, DOC11: of each province, what covers the instant at which its last item with a length begins, layer by layer, among starts of the twelve hours before it; and these items' attributes."""
+    item = items(spark, d)
+    instants = item.where("duration_s > 0").groupBy("province").agg(F.max("ts").alias("t")).select(F.col("province").alias("_p"), "t")
+    covers = F.col("province").eqNullSafe(F.col("_p")) & (F.col("ts") <= F.col("t")) & (F.col("end_ts") >= F.col("t")) & (F.unix_micros("t") - F.unix_micros("ts") <= 43_200_000_000)
+    active = item.join(instants, covers).select("province", "media_id", "kind")
     layer = F.when(F.col("kind").isin("image", "video"), "visual").when(F.col("kind") == "audio", "auditory").otherwise("textual")
-    return items(spark, d).where((F.col("ts") <= t) & (F.col("end_ts") >= t) & day).groupBy(layer.alias("layer")).agg(F.count("*").alias("n"), F.min("media_id").alias("first"))
+    kinds = active.select("province", layer.alias("layer"), "media_id")
+    known = active.join(attributes(item), "media_id").select("province", F.concat(F.lit("metadata:"), "key").alias("layer"), "media_id")
+    return kinds.unionByName(known).groupBy("province", "layer").agg(F.count("*").alias("n"), F.min("media_id").alias("first"))
 
 
 @query(f"""WITH {ITEM_SQL}, m AS (SELECT folder, ts, media_id AS message FROM item WHERE kind = 'text'), b AS (SELECT i.media_id, i.ts, m.ts AS t0, m.message AS m0 FROM item i ASOF LEFT JOIN m ON i.folder = m.folder AND i.ts >= m.ts WHERE i.kind = 'image'),

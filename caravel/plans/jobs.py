@@ -74,11 +74,27 @@ def without_parts(rows: DataFrame, predicate: Column, columns: Sequence[str]) ->
 
 
 def free_names(df: DataFrame, path: Column, order: Sequence[str]) -> DataFrame:
-    """SNK17. Adds ``path``: the first of equal ones stays, the others get ``_1``, ``_2`` … before the extension."""
+    """SNK17. Adds ``path``: the first of equal ones stays, the others get ``_1``, ``_2`` … before the extension, leaving out numbers whose name a row bears itself.
+
+    Of the numbers t1 < t2 < … that are taken for a path, t_j has t_j - j free ones before it, so the r-th free number
+    is r and as many taken ones as have less than r free ones before them: a running count over both.
+    """
+    split = r"^(.*?)(\.[^./]*)?$"
     rows = df.withColumn("_path", path)
-    n = F.row_number().over(Window.partitionBy("_path").orderBy(*order)) - 1
-    stem, end = F.regexp_extract("_path", r"^(.*?)(\.[^./]*)?$", 1), F.regexp_extract("_path", r"^(.*?)(\.[^./]*)?$", 2)
-    return rows.withColumn("_n", n).withColumn("path", F.when(F.col("_n") == 0, F.col("_path")).otherwise(F.concat(stem, F.lit("_"), F.col("_n").cast("string"), end))).drop("_n", "_path")
+    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_path").orderBy(*order)) - 1)
+    numbered = r"^(.*)_([1-9][0-9]{0,17})(\.[^./]*)?$"
+    names = rows.select(F.col("_path").alias("p")).distinct()
+    part = lambda i: F.regexp_extract("p", numbered, i)
+    taken = names.where(F.col("p").rlike(numbered)).select(F.concat(part(1), part(3)).alias("_path"), part(2).cast("long").alias("t"))
+    free = F.col("t") - F.row_number().over(Window.partitionBy("_path").orderBy("t"))
+    taken = taken.select("_path", (free + 0.5).alias("_at"), F.lit(1).alias("_taken"))
+    wanted = rows.where("_r > 0").select("_path", "_r").distinct().select("_path", F.col("_r").cast("double").alias("_at"), F.lit(0).alias("_taken"))
+    before = F.sum("_taken").over(Window.partitionBy("_path").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    given = wanted.unionByName(taken).withColumn("_skip", before).where("_taken = 0").select("_path", F.col("_at").cast("int").alias("_r"), "_skip")
+    stem, end = F.regexp_extract("_path", split, 1), F.regexp_extract("_path", split, 2)
+    n = (F.col("_r") + F.coalesce("_skip", F.lit(0))).cast("string")
+    out = rows.join(given, ["_path", "_r"], "left")
+    return out.withColumn("path", F.when(F.col("_r") == 0, F.col("_path")).otherwise(F.concat(stem, F.lit("_"), n, end))).select(*[c for c in df.columns if c != "path"], "path")
 
 
 def blocks(counts: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -116,11 +132,12 @@ def job_transcript_marks(spark, d):
     return transcript_marks(existing, e.where("media_id % 2 = 0").select("media_id", F.array(*[piece(i) for i in range(3)]).alias("segments")))
 
 
-@query(f"""WITH {ITEM_SQL}, k AS (SELECT media_id, upper(color1) || ', ' || color2 AS value, CASE color1 WHEN 'grey' THEN 'gray' ELSE color1 END AS a, CASE color2 WHEN 'grey' THEN 'gray' ELSE color2 END AS b FROM item)
-SELECT media_id, CASE WHEN a = b OR b = 'red' THEN CASE WHEN a = 'red' THEN '' ELSE a END WHEN a = 'red' THEN b ELSE a || ', ' || b END AS refined FROM k""")
+@query(f"""WITH {ITEM_SQL}, k AS (SELECT media_id, list_filter([CASE color1 WHEN 'grey' THEN 'gray' ELSE color1 END, CASE color2 WHEN 'grey' THEN 'gray' ELSE color2 END, CASE media_id % 5 WHEN 0 THEN 'sierra' END], lambda w: w IS NOT NULL AND w <> 'red') AS w FROM item)
+SELECT media_id, array_to_string(list_filter(w, lambda v, i: list_position(w, v) = i), ', ') AS refined FROM k""")
 def job_keywords(spark, d):
-    """JOB16, S1, S6."""
-    rows = items(spark, d).select("media_id", F.concat(F.upper("color1"), F.lit(", "), "color2").alias("value"))
+    """JOB16, S1, S3, S6: colours, and of four kinds of noise and one word one each."""
+    more = F.element_at(F.array(*[F.lit(x) for x in ("sierra", "dsc0123", "una frase de cuatro", "por ejemplo", "ab")]), (F.col("media_id") % 5 + 1).cast("int"))
+    rows = items(spark, d).select("media_id", F.concat_ws(", ", F.upper("color1"), "color2", more).alias("value"))
     return refined_attribute(rows, {"grey": "gray"}, ("red",)).select("media_id", "refined")
 
 

@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from caravel.functions import color, geo, sun, text
+from caravel.functions import color, geo, image, sun, text
 from caravel.operators import dedup, facets, intervals, loop, ordered
+from caravel.operators import marks as marks_
 from caravel.plans.views import EAV_SQL, ITEM_SQL, TRACK_SQL, attributes, items, table, track_points
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -309,12 +310,12 @@ def loop_summary(spark, d):
     return _looped(spark, d).groupBy("kind", "seg").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), F.count_if(F.col("score") == 0).alias("zero"))
 
 
-@query(f"""WITH {_LOOP_SQL}, e AS (SELECT media_id, hour, score, CASE WHEN value >= 20 THEN 'heat' WHEN value <= 1 THEN 'cold' WHEN alt > 900 THEN 'wind' END AS text FROM looped)
-SELECT text, floor(hour)::INT AS h, round(hour, 6) AS hour, media_id AS key FROM e WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY text, floor(hour) ORDER BY e.hour, score DESC, media_id) = 1""")
+@query(f"""WITH {_LOOP_SQL}, e AS (SELECT media_id, hour, score, unnest(['sun at the horizon', 'sun overhead', 'heat', 'cold', 'wind', 'rain', 'night']) AS text, unnest([alt / 20 BETWEEN 0 AND 3, alt / 20 >= 60, value * 2 >= 30, value * 2 <= 5, alt / 25 >= 30, CASE WHEN media_id % 11 = 0 THEN 1 ELSE 0 END > 0, alt / 20 < -6]) AS holds FROM looped)
+SELECT text, floor(hour)::INT AS h, round(hour, 6) AS hour, media_id AS key FROM e WHERE holds QUALIFY row_number() OVER (PARTITION BY text, floor(hour) ORDER BY e.hour, score DESC, media_id) = 1""")
 def loop_events(spark, d):
-    """SRT7, SET9."""
-    kind = F.when(F.col("value") >= 20, "heat").when(F.col("value") <= 1, "cold").when(F.col("alt") > 900, "wind")
-    rows = _looped(spark, d).withColumn("text", kind).where("text is not null")
+    """SRT7, SET9, M15. Measures are stand-ins; altitude in steps of 20 m is the sun's elevation."""
+    texts = loop.ambient_events(F.col("alt") / 20, F.col("value") * 2, F.col("alt") / 25, F.when(F.col("media_id") % 11 == 0, 1).otherwise(0))
+    rows = _looped(spark, d).withColumn("text", F.explode(texts))
     return loop.first_events(rows, "text", "hour", "score", "media_id").withColumn("hour", F.round("hour", 6))
 
 
@@ -599,10 +600,8 @@ SELECT id, round(a + i * 20, 1) AS start, round(least(b, a + (i + 1) * 20), 1) A
 def scene_split(spark, d):
     """SEQ17, SEQ18."""
     cuts = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_quantity").alias("q"))
-    cuts = cuts.select("id", F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0)), "q", F.array(F.lit(60.0))))).alias("c"))
-    spans = cuts.select("id", F.explode(F.arrays_zip(F.slice("c", 1, F.size("c") - 1).alias("a"), F.slice("c", 2, F.size("c") - 1).alias("b"))).alias("s")).select("id", "s.a", "s.b")
-    parts = spans.select("id", "a", "b", F.explode(F.sequence(F.lit(0), F.ceil((F.col("b") - F.col("a")) / 20).cast("int") - 1)).alias("i"))
-    return parts.select("id", F.round(F.col("a") + F.col("i") * 20, 1).alias("start"), F.round(F.least(F.col("b"), F.col("a") + (F.col("i") + 1) * 20), 1).alias("stop"))
+    spans = marks_.split_spans(marks_.scene_spans(F.col("q"), F.lit(60.0)), 20.0)
+    return cuts.select("id", F.explode(spans).alias("s")).select("id", F.round("s.start", 1).alias("start"), F.round("s.end", 1).alias("stop"))
 
 
 @query(f"""WITH {ITEM_SQL}, o AS (SELECT media_id, folder, row_number() OVER (PARTITION BY folder ORDER BY media_id) AS pos, CASE WHEN media_id % 4 <> 1 THEN epoch_us(ts) END AS t FROM item),
@@ -744,6 +743,7 @@ def color_names(spark, d):
 
 @query()
 def phash_leaders(spark, d):
-    """SET10."""
-    hashed = items(spark, d).select("folder", "media_id", (F.xxhash64("kind").bitwiseXOR(F.col("media_id") % 64)).alias("h"))
-    return dedup.leader_clusters(hashed, ["folder"], "media_id", "h", dedup.HammingLeaders, 2).select("folder", "media_id", "leader")
+    """SET10: documents of a source by the hash of their whole texts' bytes, read as grey rows of 64."""
+    docs = table(spark, d, "documents").select("source", "doc_id", F.rpad(F.coalesce("text", F.lit("")).cast("binary"), (F.ceil(F.octet_length(F.coalesce("text", F.lit(" "))) / 64) * 64).cast("int"), F.lit(b" ")).alias("b"))
+    hashed = docs.select("source", "doc_id", image.perceptual_hash("b", F.lit(64)).alias("h"))
+    return dedup.leader_clusters(hashed, ["source"], "doc_id", "h", dedup.HammingLeaders, 10).select("source", "doc_id", "leader")
