@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caravel.functions import geo, time
-from caravel.operators import intervals, ordered
+from caravel.operators import dedup, intervals, names, ordered, vector_index
 from caravel.plans.queries import _HAV, query
-from caravel.plans.views import ITEM_SQL, items
+from caravel.plans.views import ITEM_SQL, items, table
 
 
 def pass_times(items_: DataFrame, points: DataFrame, item: tuple[str, str, str], point: tuple[str, str, str, str, str], metres: float = 2000.0, hours: float = 2.0, degrees: float = 1.0) -> DataFrame:
@@ -94,3 +94,71 @@ def text_time_report(spark, d):
     item = items(spark, d)
     found = inferred_times(_texts(item), _points(item), "skip", _METRES, _HOURS, 0.25)
     return found.groupBy("state").agg(F.count("*").alias("n"), F.date_format(F.min("ts"), "yyyy-MM-dd").alias("first"))
+
+
+# --- names of places -----------------------------------------------------------------------------
+
+_COMMON = ("irak", "mesa", "casa")
+
+
+def _tags(item: DataFrame, nation: DataFrame) -> DataFrame:
+    """Words of items: names of places, misspelt, cut, or of other places (nations are a table of fixed size)."""
+    low, region = F.lower("place"), F.lower("province")
+    others = nation.select(F.col("n_nationkey").cast("long").alias("_n"), F.lower("n_name").alias("_other"))
+    item = item.withColumn("_n", F.floor(F.col("media_id") / 7) % 25).join(F.broadcast(others), "_n", "left")
+    other = F.col("_other")
+    word = {0: F.concat(low, F.lit("x")), 1: F.substring(low, 2, 100), 2: F.get(F.split(low, " "), 0), 4: region, 5: F.get(F.split(region, " "), 0)}
+    tag = F.when(F.col("media_id") % 14 == 10, "buildin").when(F.col("media_id") % 7 == 3, "irak").when(F.col("media_id") % 7 == 6, F.concat(F.lit("q"), other))
+    for n, c in word.items():
+        tag = tag.when(F.col("media_id") % 7 == n, c)
+    rows = item.select("media_id", "province", tag.alias("tag")).where("tag is not null")
+    return rows.groupBy("tag").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("province")).alias("provinces"))
+
+
+def _names(item: DataFrame, customer: DataFrame) -> DataFrame:
+    of = lambda c, kind: item.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("name")).agg(F.array_sort(F.collect_set("province")).alias("provinces")).select("name", F.lit(kind).alias("kind"), "provinces")
+    points = customer.select(F.col("c_mktsegment").alias("name")).where("name is not null").distinct().select("name", F.lit("waypoint").alias("kind"), F.array().cast("array<string>").alias("provinces"))
+    return of("place", "municipio").unionByName(of("province", "provincia")).unionByName(points)
+
+
+_NORM = "regexp_replace(lower(strip_accents(trim({0}))), '\\s+', ' ', 'g')"
+
+
+@query(f"""WITH {ITEM_SQL}, w AS (SELECT media_id, province, CASE WHEN media_id % 14 = 10 THEN 'buildin' WHEN media_id % 7 = 3 THEN 'irak' WHEN media_id % 7 = 6 THEN 'q' || lower(o.n_name) WHEN media_id % 7 = 0 THEN lower(place) || 'x' WHEN media_id % 7 = 1 THEN substr(lower(place), 2)
+  WHEN media_id % 7 = 2 THEN split_part(lower(place), ' ', 1) WHEN media_id % 7 = 4 THEN lower(province) ELSE split_part(lower(province), ' ', 1) END AS tag FROM item LEFT JOIN nation o ON o.n_nationkey = (media_id // 7) % 25),
+tag AS (SELECT tag, count(*) AS n, list(DISTINCT province) FILTER (province IS NOT NULL) AS tp, {_NORM.format("tag")} AS nt FROM w WHERE tag IS NOT NULL GROUP BY tag),
+off AS (SELECT place AS name, 'municipio' AS kind, 1 AS pos, list(DISTINCT province) FILTER (province IS NOT NULL) AS op FROM item WHERE place IS NOT NULL GROUP BY 1 UNION ALL SELECT province, 'provincia', 3, list(DISTINCT province) FROM item WHERE province IS NOT NULL GROUP BY 1
+  UNION ALL SELECT DISTINCT c_mktsegment, 'waypoint', 4, [] FROM customer WHERE c_mktsegment IS NOT NULL),
+pair AS (SELECT tag, n, name, kind, pos, nt, nt IN {_COMMON} AS common, {_NORM.format("name")} AS no, levenshtein(nt, {_NORM.format("name")}) AS d, coalesce(len(op), 0) = 0 OR (len(tp) = 1 AND list_has_all(op, tp)) AS conc FROM tag, off WHERE length(nt) >= 3),
+step AS (SELECT *, CASE WHEN d = 0 THEN 'A' WHEN d <= 2 AND conc THEN 'B' WHEN len(list_distinct(string_split(no, ' '))) > 1 AND list_has_all(string_split(no, ' '), string_split(nt, ' ')) AND conc THEN 'C' END AS step FROM pair WHERE NOT common),
+best AS (SELECT tag, n, step, name, kind, CASE WHEN step = 'C' THEN len(string_split(no, ' ')) ELSE d END AS distance FROM step WHERE step IS NOT NULL QUALIFY row_number() OVER (PARTITION BY tag ORDER BY step, CASE WHEN step = 'C' THEN 0 ELSE d END, pos, name) = 1),
+miss AS (SELECT tag, n, name, kind, d, concat_ws(' + ', CASE WHEN common THEN 'comun' END, CASE WHEN NOT conc THEN 'no concentrada' END) AS note FROM pair WHERE d <= 2 AND tag NOT IN (SELECT tag FROM best) QUALIFY row_number() OVER (PARTITION BY tag ORDER BY d, pos, name) = 1)
+SELECT CASE step WHEN 'A' THEN 'exactos' WHEN 'B' THEN 'cercanos' ELSE 'token-subset' END AS section, tag, n::BIGINT AS n, name, kind, distance::INT AS distance, '' AS note FROM best
+UNION ALL SELECT 'ambiguos', tag, n, name, kind, distance, '' FROM best WHERE step = 'C' AND kind = 'provincia'
+UNION ALL SELECT 'propuesta', tag, n, lower(name), kind, distance, '' FROM best WHERE step <> 'A' AND kind <> 'provincia' AND tag <> 'chinax' AND lower(name) <> 'peru'
+UNION ALL SELECT 'excluidos', tag, n, name, kind, d, note FROM miss WHERE note <> ''""")
+def synonym_report(spark, d):
+    """QRY16, JN18, AG27."""
+    item = items(spark, d)
+    tags = _tags(item, table(spark, d, "nation"))
+    return names.synonym_report(tags, _names(item, table(spark, d, "customer")), _COMMON, {"chinax": "catay", "pirou": "peru"})
+
+
+# --- concepts across kinds -----------------------------------------------------------------------
+
+
+@query("""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.vec_id AS a, b.vec_id AS b, b.label AS kind, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.label <> b.label AND a.vec_id % 100 = 0)
+SELECT a, b, kind, round(s, 5) AS similarity, (row_number() OVER (PARTITION BY a, kind ORDER BY s DESC, b))::INT AS rank FROM p WHERE s >= 0.15 QUALIFY rank <= 3""")
+def concept_neighbours(spark, d):
+    """DOC15: of every vector whose id is divisible by 100, the three nearest of every other kind, exactly."""
+    index = vector_index.VectorIndex.build(table(spark, d, "embeddings"), "vec_id", "embedding", "label")
+    found = index.search(F.col("id") % 100 == 0, 0.15, 3)
+    return found.select("a", "b", "kind", F.round("similarity", 5).alias("similarity"), "rank")
+
+
+@query()
+def concept_groups(spark, d):
+    """DOC15: groups of vectors of several kinds around their first one."""
+    rows = table(spark, d, "embeddings")
+    clusters = dedup.leader_clusters(rows, [], "vec_id", "embedding", dedup.CosineLeaders, 0.35)
+    return vector_index.concepts(clusters, rows, "vec_id", "label")
