@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caravel.functions import geo, time
-from caravel.operators import dedup, intervals, names, ordered, vector_index
+from caravel.operators import chat, dedup, history, intervals, names, ordered, vector_index
 from caravel.plans.queries import _HAV, query
 from caravel.plans.views import ITEM_SQL, items, table
 
@@ -162,3 +162,67 @@ def concept_groups(spark, d):
     rows = table(spark, d, "embeddings")
     clusters = dedup.leader_clusters(rows, [], "vec_id", "embedding", dedup.CosineLeaders, 0.35)
     return vector_index.concepts(clusters, rows, "vec_id", "label")
+
+
+# --- taking a batch back -------------------------------------------------------------------------
+
+
+def _archive_before(item: DataFrame) -> DataFrame:
+    return item.select("media_id", "alt", "place", F.lit(None).cast("string").alias("origin"))
+
+
+def _written(before: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The archive after altitudes were taken from a track, and after a second batch that corrects some, brings rows and deletes others."""
+    filled = before.withColumn("origin", F.when(F.col("alt").isNull(), "track_gps").otherwise(F.col("origin"))).withColumn("alt", F.coalesce("alt", (F.col("media_id") % 500).cast("double")))
+    corrected = filled.where("media_id % 77 <> 5").withColumn("alt", F.when(F.col("media_id") % 30 == 0, F.col("alt") + 1).otherwise(F.col("alt"))).withColumn("place", F.when(F.col("media_id") % 41 == 0, F.lit("somewhere")).otherwise(F.col("place")))
+    new = before.where("media_id % 100 = 0").select((F.col("media_id") + 1_000_000_000).alias("media_id"), F.lit(7.0).alias("alt"), "place", F.lit("card").alias("origin"))
+    return filled, corrected.unionByName(new)
+
+
+def _log(before: DataFrame, filled: DataFrame, after: DataFrame) -> DataFrame:
+    when = lambda s: F.timestamp_seconds(F.lit(s))
+    return history.changes_of(before, filled, ["media_id"], 1, when(1_700_000_000)).unionByName(history.changes_of(filled, after, ["media_id"], 2, when(1_700_000_600)))
+
+
+_WRITTEN_SQL = f"""{ITEM_SQL}, filled AS (SELECT media_id, alt AS old, coalesce(alt, (media_id % 500)::DOUBLE) AS alt, place, CASE WHEN alt IS NULL THEN 'track_gps' END AS origin FROM item),
+late AS (SELECT media_id, alt + CASE WHEN media_id % 30 = 0 THEN 1 ELSE 0 END AS alt, CASE WHEN media_id % 41 = 0 THEN 'somewhere' ELSE place END AS place, origin, old FROM filled WHERE media_id % 77 <> 5),
+new AS (SELECT media_id + 1000000000 AS media_id, 7.0::DOUBLE AS alt, place, 'card' AS origin FROM item WHERE media_id % 100 = 0)"""
+
+
+@query(f"""WITH {_WRITTEN_SQL} SELECT 1 AS batch, '2023-11-14 22:13:20' AS at, count(*)::BIGINT AS n, 0::BIGINT AS inserted, count(*)::BIGINT AS updated, 0::BIGINT AS deleted FROM filled WHERE old IS NULL
+UNION ALL SELECT 2, '2023-11-14 22:23:20', (i + u + x)::BIGINT, i, u, x FROM (SELECT (SELECT count(*) FROM new)::BIGINT AS i, (SELECT count(*) FROM late WHERE media_id % 30 = 0 OR (media_id % 41 = 0 AND place IS DISTINCT FROM (SELECT place FROM item WHERE item.media_id = late.media_id)))::BIGINT AS u, (SELECT count(*) FROM filled WHERE media_id % 77 = 5)::BIGINT AS x)""")
+def batch_list(spark, d):
+    """QRY18, AG7: what can be taken back."""
+    before = _archive_before(items(spark, d))
+    return history.batches(_log(before, *_written(before))).withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(f"""WITH {_WRITTEN_SQL} SELECT media_id, CASE WHEN old IS NULL AND media_id % 30 <> 0 THEN NULL ELSE alt END AS alt, place, NULL::VARCHAR AS origin FROM late UNION ALL SELECT * FROM new""")
+def undo_track(spark, d):
+    """QRY18, SNK5: a track's altitudes taken back from under a later batch; what that one wrote stays."""
+    before = _archive_before(items(spark, d))
+    filled, after = _written(before)
+    return history.undone(after, _log(before, filled, after), ["media_id"], 1)
+
+
+@query(f"""WITH {ITEM_SQL} SELECT media_id, alt, place, NULL::VARCHAR AS origin FROM item""")
+def undo_all(spark, d):
+    """QRY18, SNK6: both batches taken back, the last one first; the table is as it was."""
+    before = _archive_before(items(spark, d))
+    filled, after = _written(before)
+    log = _log(before, filled, after)
+    return history.undone(history.undone(after, log, ["media_id"], 2), log, ["media_id"], 1)
+
+
+# --- chat windows --------------------------------------------------------------------------------
+
+
+@query(f"""WITH {ITEM_SQL}, m AS (SELECT province, media_id, ts, (epoch_us(ts) - 10800000000) % 86400000000 AS h, row_number() OVER w AS n, count(*) OVER (PARTITION BY province) AS total FROM item WHERE kind = 'text' AND province IS NOT NULL WINDOW w AS (PARTITION BY province ORDER BY ts, media_id)),
+p AS (SELECT DISTINCT province, unnest(range(24)) AS hour FROM m), b AS (SELECT p.province, hour, arg_min(n, least(abs(h - hour * 3600000000), 86400000000 - abs(h - hour * 3600000000)) * 1000000 + n) AS best, min(total) AS total FROM p JOIN m ON m.province = p.province GROUP BY 1, 2),
+s AS (SELECT province, hour, least(best - 1, greatest(total - 12, 0)) AS start FROM b)
+SELECT m.province, hour::INT AS hour, media_id, (n - start)::INT AS place FROM s JOIN m ON m.province = s.province AND n > start AND n <= start + 12""")
+def chat_windows(spark, d):
+    """SEQ24, STR5: twelve messages of each province's chat for every hour of the day."""
+    chat_ = items(spark, d).where("kind = 'text' and province is not null").select("province", "media_id", "ts")
+    probes = chat_.select("province").distinct().withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    return chat.windows(chat_, probes, ["province"], ["ts", "media_id"], "ts", "hour", 12).select("province", "hour", "media_id", "place")
