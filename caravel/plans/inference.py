@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caravel.functions import geo, time
-from caravel.operators import chat, dedup, history, intervals, names, ordered, vector_index
+from caravel.operators import audit, chat, dedup, history, intervals, names, ordered, vector_index
+from caravel.plans import steps
 from caravel.plans.queries import _HAV, query
 from caravel.plans.views import ITEM_SQL, items, table
 
@@ -226,3 +227,66 @@ def chat_windows(spark, d):
     chat_ = items(spark, d).where("kind = 'text' and province is not null").select("province", "media_id", "ts")
     probes = chat_.select("province").distinct().withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
     return chat.windows(chat_, probes, ["province"], ["ts", "media_id"], "ts", "hour", 12).select("province", "hour", "media_id", "place")
+
+
+# --- audits and results that are out of date -----------------------------------------------------
+
+_WORDS = r"list_filter(string_split_regex(lower(trim(text)), '\s+'), lambda w: w <> '')"
+
+
+@query(f"""WITH w AS (SELECT {_WORDS} AS w FROM documents), h AS (SELECT unnest(range(1, least(len(w), 6) + 1)) AS words, w FROM w)
+SELECT words::INT AS words, array_to_string(w[1:words], ' ') AS opening, count(*)::BIGINT AS n FROM h GROUP BY ALL HAVING count(*) >= 3""")
+def opening_tree(spark, d):
+    """QRY17: beginnings that at least three texts share, up to six words."""
+    return audit.openings(table(spark, d, "documents"), "text", 3, 6)
+
+
+_PREFIXES = {"en": ("the ", "and the", "of "), "es": ("de ", "la ", "en ")}
+_RESIDUES = (("the of, midst", "en", "the of", 2), ("que la, midst", "es", "que la", 2), ("anywhere", None, "nd the", 1))
+
+
+def _descriptions(spark, d) -> DataFrame:
+    """Texts as descriptions: an item has one of an even and one of an odd document."""
+    docs = table(spark, d, "documents")
+    return docs.select(F.floor(F.col("doc_id") / 2).alias("media_id"), F.when(F.col("doc_id") % 2 == 0, "en").otherwise("es").alias("key"), F.col("text").alias("value"))
+
+
+@query("""WITH x AS (SELECT doc_id // 2 AS media_id, CASE WHEN doc_id % 2 = 0 THEN 'en' ELSE 'es' END AS key, text AS value, lower(trim(text)) AS low FROM documents),
+p AS (SELECT *, CASE key WHEN 'en' THEN starts_with(low, 'the ') OR starts_with(low, 'and the') OR starts_with(low, 'of ') ELSE starts_with(low, 'de ') OR starts_with(low, 'la ') OR starts_with(low, 'en ') END AS pre FROM x),
+i AS (SELECT media_id, coalesce(bool_or(key = 'en' AND pre), false) AS a, coalesce(bool_or(key = 'es' AND pre), false) AS b FROM p GROUP BY 1)
+SELECT 'count' AS section, key AS name, count(*)::BIGINT AS n FROM p GROUP BY key UNION ALL SELECT 'prefix', key, count(*) FILTER (pre) FROM p GROUP BY key
+UNION ALL SELECT 'residue', 'the of, midst', count(*) FILTER (key = 'en' AND strpos(lower(value), 'the of') > 1) FROM p UNION ALL SELECT 'residue', 'que la, midst', count(*) FILTER (key = 'es' AND strpos(lower(value), 'que la') > 1) FROM p
+UNION ALL SELECT 'residue', 'anywhere', count(*) FILTER (strpos(lower(value), 'nd the') > 0) FROM p UNION ALL SELECT 'opener', o, count(*) FILTER (starts_with(low, o)) FROM p, (VALUES ('is '), ('to '), ('le ')) t(o) GROUP BY o
+UNION ALL SELECT 'only', 'en', count(*) FILTER (a AND NOT b) FROM i UNION ALL SELECT 'only', 'es', count(*) FILTER (b AND NOT a) FROM i""")
+def description_audit(spark, d):
+    """QRY17: counts, prefixes, residues, legitimate openers, and which language lags behind."""
+    return audit.description_audit(_descriptions(spark, d), _PREFIXES, _RESIDUES, ("is ", "to ", "le "))
+
+
+_DERIVED = {"vision_es": ("vision_en",), "keywords": ("vision_es",), "embedding": ("keywords", "transcript"), "summary": ("embedding",)}
+
+
+def _made(item: DataFrame) -> DataFrame:
+    """Five results of every item, and transcripts of sounds."""
+    of = lambda key, value: item.select("media_id", F.lit(key).alias("key"), value.alias("value"))
+    out = of("vision_en", F.col("color1"))
+    for key, c in (("vision_es", "color2"), ("keywords", "color3"), ("embedding", "place"), ("summary", "province")):
+        out = out.unionByName(of(key, F.col(c)))
+    return out.unionByName(of("transcript", F.col("event_type")).where("value = 'purchase'"))
+
+
+_MADE_SQL = f"""{ITEM_SQL}, made AS (SELECT media_id, 'vision_en' AS key, color1 AS value FROM item UNION ALL SELECT media_id, 'vision_es', color2 FROM item UNION ALL SELECT media_id, 'keywords', color3 FROM item
+  UNION ALL SELECT media_id, 'embedding', place FROM item UNION ALL SELECT media_id, 'summary', province FROM item UNION ALL SELECT media_id, 'transcript', event_type FROM item WHERE event_type = 'purchase')"""
+
+
+@query(f"""WITH {_MADE_SQL}, redone AS (SELECT media_id, media_id % 5 = 0 AND media_id % 10 <> 0 AS seen, media_id % 7 = 0 AND event_type IS DISTINCT FROM 'purchase' OR media_id % 14 = 0 AS heard FROM item)
+SELECT media_id, key, CASE WHEN key = 'vision_en' AND seen THEN 'new' WHEN key = 'transcript' AND media_id % 7 = 0 THEN CASE WHEN media_id % 14 = 0 THEN 'heard' ELSE 'purchase' END ELSE value END AS value FROM made JOIN redone USING (media_id)
+WHERE NOT (seen AND key IN ('vision_es', 'keywords', 'embedding', 'summary')) AND NOT (heard AND key IN ('embedding', 'summary'))
+UNION ALL SELECT media_id, 'transcript', CASE WHEN media_id % 14 = 0 THEN 'heard' ELSE 'purchase' END FROM item WHERE media_id % 7 = 0 AND event_type IS DISTINCT FROM 'purchase'""")
+def stale_results(spark, d):
+    """JOB6, JOB8, JOB19: pictures and sounds seen again; what was made from another result than before is gone, through all later steps."""
+    item = items(spark, d)
+    i = F.col("media_id")
+    seen = item.where(i % 5 == 0).select("media_id", F.lit("vision_en").alias("key"), F.when(i % 10 == 0, F.col("color1")).otherwise("new").alias("value"))
+    heard = item.where(i % 7 == 0).select("media_id", F.lit("transcript").alias("key"), F.when(i % 14 == 0, "heard").otherwise("purchase").alias("value"))
+    return steps.enriched(_made(item), seen.unionByName(heard), _DERIVED, "update")

@@ -51,3 +51,50 @@ def run_steps(tables: dict[str, DataFrame], steps: dict[str, Step], wanted: list
     for name in in_order(steps, wanted):
         tables = tables | steps[name].run(tables)
     return tables
+
+
+# --- results that are out of date ----------------------------------------------------------------
+
+
+def derived_from(derivations: dict[str, tuple[str, ...]]) -> dict[str, set[str]]:
+    """Of each key, all keys that are made from it, directly or through others. ``derivations``: of each made key, what it is made from; a circle is an error."""
+    makes: dict[str, set[str]] = {}
+    for made, sources in derivations.items():
+        for s in sources:
+            makes.setdefault(s, set()).add(made)
+    out: dict[str, set[str]] = {}
+
+    def after(key: str, path: tuple[str, ...]) -> set[str]:
+        if key in path:
+            raise ValueError(f"{key} is made from itself")
+        if key not in out:
+            found = set(makes.get(key, ()))
+            for k in makes.get(key, ()):
+                found |= after(k, (*path, key))
+            out[key] = found
+        return out[key]
+
+    for key in makes:
+        after(key, ())
+    return {k: v for k, v in out.items() if v}
+
+
+def enriched(attributes: DataFrame, results: DataFrame, derivations: dict[str, tuple[str, ...]], mode: str = "skip") -> DataFrame:
+    """JOB6, JOB8, JOB19. The table of attributes (media_id, key, value) after a step's ``results``, as one table to write.
+
+    skip: only results of keys that an item lacks. update: all, over the older values. Where a value is new or another one, everything of
+    that item that is derived from it goes, through all later steps, but for what ``results`` bring themselves; so the later steps find it pending. A result that says what was there
+    already invalidates nothing. ``results`` hold a key of an item once.
+    """
+    if mode not in ("skip", "update"):
+        raise ValueError(f"unknown mode {mode!r}")
+    place = ["media_id", "key"]
+    new = results.join(attributes.select(place), place, "left_anti") if mode == "skip" else results
+    was = attributes.select(*place, F.struct("value").alias("_was"))
+    changed = new.join(was, place, "left").where(F.col("_was").isNull() | ~F.col("_was.value").eqNullSafe(F.col("value"))).select(*place)
+    links = [(k, made) for k, later in derived_from(derivations).items() for made in sorted(later)]
+    spark = attributes.sparkSession
+    table = spark.createDataFrame(links, "key string, made string")
+    stale = changed.join(F.broadcast(table), "key").select("media_id", F.col("made").alias("key"))
+    gone = stale.unionByName(new.select(place)).distinct()
+    return attributes.join(gone, place, "left_anti").select(*place, "value").unionByName(new.select(*place, "value"))

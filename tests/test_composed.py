@@ -198,3 +198,50 @@ def test_modes_and_states(spark):
     for mode in ("update", "replace"):
         redone = context.context_step(marks, states, some, mode, run)
         assert sorted((x["media_id"], x["offset_s"] or 0, x["key"]) for x in redone[0].collect()) == first and redone[1].count() == 3
+
+
+# --- audits and stale results -------------------------------------------------------------------------
+
+
+def test_openings_level_by_level(spark):
+    from collections import Counter
+
+    from caravel.operators import audit
+
+    r = random.Random(7)
+    texts = [" ".join(r.choice("abc") for _ in range(r.randint(0, 9))) for _ in range(300)] + [None, "  ", "A  B\n c"]
+    want = Counter()
+    for t in texts:
+        w = (t or "").lower().split()
+        want.update((k, " ".join(w[:k])) for k in range(1, min(len(w), 5) + 1))
+    got = {(x["words"], x["opening"]): x["n"] for x in audit.openings(spark.createDataFrame([(t,) for t in texts], "t string"), "t", 4, 5).collect()}
+    assert got == {k: n for k, n in want.items() if n >= 4}
+
+
+@pytest.mark.parametrize("mode", ["skip", "update"])
+def test_stale_results_equal_the_loop(spark, mode):
+    from caravel.plans import steps
+
+    derivations = {"b": ("a",), "c": ("b",), "d": ("c", "x"), "e": ("d",), "z": ("y",)}
+    after = {"a": "bcde", "b": "cde", "c": "de", "d": "e", "x": "de", "y": "z"}
+    r = random.Random(8)
+    old = {(i, k): r.choice("12") for i in range(60) for k in "abcdexyz" if r.random() < 0.8}
+    new = {(i, k): r.choice("12") for i in range(60) for k in "abxy" if r.random() < 0.3}
+    want = dict(old)
+    brought = {p: v for p, v in new.items() if mode == "update" or p not in old}
+    for (i, k), v in brought.items():
+        if (i, k) not in old or old[i, k] != v:
+            for made in after.get(k, ""):
+                if (i, made) not in brought:
+                    want.pop((i, made), None)
+    want |= brought
+    frame = lambda rows: spark.createDataFrame([(i, k, v) for (i, k), v in rows.items()], "media_id int, key string, value string")
+    got = steps.enriched(frame(old), frame(new), derivations, mode).collect()
+    assert sorted(((x["media_id"], x["key"]), x["value"]) for x in got) == sorted(want.items())
+
+
+def test_circles_of_results_are_an_error():
+    from caravel.plans import steps
+
+    with pytest.raises(ValueError, match="itself"):
+        steps.derived_from({"a": ("b",), "b": ("a",)})
