@@ -181,7 +181,7 @@ def _joined(parts: list[dict | None]) -> tuple[int, list[tuple[int, int]], list[
             spans[-1][1] = max(spans[-1][1], b)
         else:
             spans.append([a, b])
-    return parts[0]["n_words"], [tuple(x) for x in spans], sorted({i for p in parts for i in p["items"]})
+    return max(p["n_words"] for p in parts), [tuple(x) for x in spans], sorted({i for p in parts for i in p["items"]})
 
 
 def find_leaks(df: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, out: str = "leaks", cut_words: int | None = None) -> DataFrame:
@@ -230,16 +230,25 @@ def find_leaks(df: DataFrame, items: DataFrame, text_col: str = "text", item_col
 
         return scan(F.col(f"`{text_col}`").cast("string"))
 
+    base = without(df, [out], (text_col,))
+    if blocks == 1:
+        return base.withColumn(out, scanner(0))
+
     @F.arrow_udf(HITS)
     def join(parts: pa.Array) -> pa.Array:
         return _hits([_joined(p) for p in parts.to_pylist()])
 
-    found = without(df, [out], (text_col,)).withColumn(out, scanner(0))
-    own = [F.col(f"`{c}`") for c in found.columns[:-1]]
-    for block in range(1, blocks):
-        before = written(found, "hits")
-        found = before.select(*own, join(F.array(F.col(f"`{out}`"), scanner(block))).alias(out))
-    return found
+    # rows are numbered once; a pass reads their texts and writes the hits of rows that have any, and the texts meet the hits at the end
+    row, text = unused("row", base), F.col(f"`{text_col}`")
+    numbered = written(base.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    passes = None
+    for block in range(blocks):
+        found = numbered.select(F.col(row), text).withColumn("_hits", scanner(block)).select(row, "_hits")
+        # the first pass counts the words of all
+        found = written(found if block == 0 else found.where(F.size("_hits.spans") > 0), "hits")
+        passes = found if passes is None else passes.unionByName(found)
+    merged = passes.groupBy(row).agg(F.collect_list("_hits").alias("_all")).select(row, join("_all").alias(out))
+    return numbered.join(merged, row).select(*[F.col(f"`{c}`") for c in base.columns], out)
 
 
 def cut_text(text: str | None, spans: list[tuple[int, int]], span_words: int) -> str | None:

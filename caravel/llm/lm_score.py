@@ -312,7 +312,9 @@ def learn_pieces(words: DataFrame, vocabulary: bytes, rounds: int = ROUNDS) -> L
 
 
 def score_documents(docs: DataFrame, vocabulary: bytes, id_col: str = "doc_id", text_col: str = "text", train: str = "train", share: float = SHARE, rounds: int = ROUNDS) -> DataFrame:
-    """Rows (``id_col``, n_tokens, n_known, train_tokens, base_score, score), one per row of ``docs``.
+    """Rows (``id_col``, n_tokens, n_known, train_tokens, base_score, score, lattice_score), one per row of ``docs``.
+
+    ``lattice_score`` is the sum over all segmentations into the vocabulary's pieces alone; in ``score`` a word seen in training is one more edge of its lattice.
 
     ``train`` names a boolean column: the rows to learn from (null: not). Null texts count as
     empty: their only token is the end. Words of any length are summed whole. Without
@@ -336,9 +338,9 @@ def score_documents(docs: DataFrame, vocabulary: bytes, id_col: str = "doc_id",
     whole = F.log10((1 - unseen) * F.col("n_train") / F.lit(max(total, 1)) + unseen * F.pow(F.lit(10.0), F.col("pieces")))
     weighed = F.when(F.col("n_train") > 0, whole).otherwise(F.col("pieces") + math.log10(unseen))
     each = words.select("word", "n", "n_train").mapInArrow(marginals, "word string, n long, n_train long, pieces double")
-    solved = written(each.select("word", "n", (F.col("n_train") > 0).alias("known"), base.alias("base"), weighed.alias("lattice")), "solved")
+    solved = written(each.select("word", "n", (F.col("n_train") > 0).alias("known"), base.alias("base"), weighed.alias("lattice"), F.col("pieces").alias("pure")), "solved")
     frequent = F.col("n") >= max(2, share * tokens)
-    table = spark.sparkContext.broadcast({r["word"].encode(): (r["known"], r["base"], r["lattice"]) for r in solved.where(frequent).collect()})
+    table = spark.sparkContext.broadcast({r["word"].encode(): (r["known"], r["base"], r["lattice"], r["pure"]) for r in solved.where(frequent).collect()})
 
     def sums_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, place, row = table.value, TaskContext.get().partitionId() << 40, 0
@@ -347,7 +349,7 @@ def score_documents(docs: DataFrame, vocabulary: bytes, id_col: str = "doc_id",
                 part = batch.slice(at, SLICE)
                 out, places, rare, k = [], [0], [], []
                 for text in part.column(1).to_pylist():
-                    n_known, base_sum, sum_, tokens_ = 0, [], [], tokens_of(text)
+                    n_known, base_sum, sum_, pure, tokens_ = 0, [], [], [], tokens_of(text)
                     for w, n in Counter(tokens_).items():
                         found = known.get(w)
                         if found is None:
@@ -357,21 +359,22 @@ def score_documents(docs: DataFrame, vocabulary: bytes, id_col: str = "doc_id",
                             n_known += n * found[0]
                             base_sum.append(n * found[1])
                             sum_.append(n * found[2])
-                    out.append((place + row, len(tokens_), n_known, math.fsum(base_sum), math.fsum(sum_)))
+                            pure.append(n * found[3])
+                    out.append((place + row, len(tokens_), n_known, math.fsum(base_sum), math.fsum(sum_), math.fsum(pure)))
                     places.append(len(rare))
                     row += 1
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
                 columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)]
                 pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()).cast(pa.string()), pa.array(k, pa.int64())], ["word", "k"])
                 columns.append(pa.ListArray.from_arrays(pa.array(places, pa.int32()), pairs))
-                yield pa.record_batch([part.column(0), *columns], ["id", "row", "n_tokens", "n_known", "base", "lattice", "rare"])
+                yield pa.record_batch([part.column(0), *columns], ["id", "row", "n_tokens", "n_known", "base", "lattice", "pure", "rare"])
 
     kind = rows.select("id").schema.fields[0].dataType.simpleString()
     # written once: the row numbers stay the same whatever is computed again later
-    partial = written(rows.select("id", "text").mapInArrow(sums_of, f"id {kind}, row long, n_tokens long, n_known long, base double, lattice double, rare array<struct<word: string, k: long>>"), "scores")
+    partial = written(rows.select("id", "text").mapInArrow(sums_of, f"id {kind}, row long, n_tokens long, n_known long, base double, lattice double, pure double, rare array<struct<word: string, k: long>>"), "scores")
     pairs = partial.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.k").alias("k"))
-    cold = solved.where(~frequent).select("word", "known", F.col("base").alias("b"), F.col("lattice").alias("l"))
-    rest = pairs.join(cold, "word").groupBy("row").agg(F.sum(F.col("k") * F.col("known").cast("long")).alias("k"), F.sum(F.col("k") * F.col("b")).alias("b"), F.sum(F.col("k") * F.col("l")).alias("l"))
+    cold = solved.where(~frequent).select("word", "known", F.col("base").alias("b"), F.col("lattice").alias("l"), F.col("pure").alias("p"))
+    rest = pairs.join(cold, "word").groupBy("row").agg(F.sum(F.col("k") * F.col("known").cast("long")).alias("k"), F.sum(F.col("k") * F.col("b")).alias("b"), F.sum(F.col("k") * F.col("l")).alias("l"), F.sum(F.col("k") * F.col("p")).alias("p"))
     both = partial.drop("rare").join(rest, "row", "left")
     return both.select(
         F.col("id").alias(id_col),
@@ -380,6 +383,7 @@ def score_documents(docs: DataFrame, vocabulary: bytes, id_col: str = "doc_id",
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("b", F.lit(0.0))).alias("base_score"),
         (F.col("lattice") + F.coalesce("l", F.lit(0.0))).alias("score"),
+        (F.col("pure") + F.coalesce("p", F.lit(0.0))).alias("lattice_score"),
     )
 
 
@@ -387,4 +391,4 @@ def lm_query(spark: SparkSession, sf_dir: str, vocabulary: str = "piece_bpe_32k.
     """Contract query: learned from the folds other than 1, scored for all ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", (fold_of() != 1).alias("train"))
     scored = score_documents(docs, read_bytes(tokenizer_path(vocabulary)))
-    return scored.select("doc_id", F.coalesce(fold_of() == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", F.coalesce(fold_of() == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score")

@@ -241,6 +241,10 @@ def most_similar(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return both / np.maximum(sums[0] + sums[1] - both, 1)
 
 
+#: Rows of small buckets that are compared in one group, about.
+GROUP_ROWS = 4096
+
+
 def _rest_pairs(buckets: DataFrame, threshold: float, part: int = 256) -> DataFrame:
     """Pairs (a, b) of a bucket whose components differ and whose profiles allow the threshold.
 
@@ -248,7 +252,8 @@ def _rest_pairs(buckets: DataFrame, threshold: float, part: int = 256) -> DataFr
     rows. A bucket of more than ``part`` members is cut into parts, and each two parts meet in a group of
     their own, so a group is bounded and the pairs of a large bucket are spread over tasks. Small buckets share groups.
     """
-    groups = 16 * max(64, buckets.sparkSession.sparkContext.defaultParallelism)
+    # by the number of rows, so that a group of small buckets has about GROUP_ROWS whatever the corpus is
+    groups = max(16 * max(64, buckets.sparkSession.sparkContext.defaultParallelism), -(-buckets.count() // GROUP_ROWS))
 
     def possible(group: pa.Table) -> pa.Table:
         h, i, j, side, key, label = (group.column(c).to_numpy() for c in ("h", "i", "j", "part", "key", "label"))
@@ -366,7 +371,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", setti
     mixed = _labelled(buckets, labels)
     mixed = mixed.join(_mixed_buckets(mixed), "h", "left_semi")
     profiles = written(texts.join(mixed.select("key").distinct(), "key", "left_semi").select("key", profiled("text").alias("profile")), "profiles")
-    rest = _rest_pairs(mixed.join(profiles, "key"), s.threshold).join(tested, ["a", "b"], "left_anti")
+    rest = _rest_pairs(written(mixed.join(profiles, "key"), "mixed"), s.threshold).join(tested, ["a", "b"], "left_anti")
     new = verified(written(rest, "rest")).where("linked").select("a", "b")
     if not new.isEmpty():
         labels = extended(labels, new)

@@ -315,8 +315,10 @@ def test_lm_score_equals_enumeration(spark, rounds):
         pieces = every("▁" + w) if w else math.exp(lattice.end)
         return (1 - unseen) * counts[w] / total + unseen * pieces
 
-    got = {r["doc_id"]: r["score"] for r in lm_score.score_documents(df, MODEL, rounds=rounds).collect()}
+    found = lm_score.score_documents(df, MODEL, rounds=rounds).collect()
+    got, pure = ({r["doc_id"]: r[c] for r in found} for c in ("score", "lattice_score"))
     for d, t, _ in rows:
+        assert math.isclose(pure[d], sum(math.log10(every("▁" + w.decode()) if w else math.exp(lattice.end)) for w in lm_score.tokens_of(t)), rel_tol=1e-6)
         assert math.isclose(got[d], sum(math.log10(token(w.decode())) for w in lm_score.tokens_of(t)), rel_tol=1e-6)
 
 
