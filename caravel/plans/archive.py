@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from caravel.functions import color, geo, metadata, text
-from caravel.operators import audio, dedup, intervals, marks, ordered, ranking
+from caravel.operators import audio, bursts, dedup, intervals, marks, ordered, ranking
 from caravel.plans.queries import _HAV, _stamp, query
 from caravel.plans.views import EAV_SQL, ITEM_SQL, TRACK_SQL, attributes, items, table, track_points
 
@@ -364,8 +364,34 @@ def videos_with_sound(spark, d):
     return intervals.overlaps(a, b, ("a0", "a1"), ("b0", "b1"), by=["province"]).groupBy("video").agg(F.count("*").alias("n"), F.min("media_id").alias("first"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {ITEM_SQL}, o AS (SELECT folder, media_id, [color1, color2, color3] AS tags, row_number() OVER (PARTITION BY folder ORDER BY media_id) AS r FROM item),
+b AS (SELECT folder, media_id, r, media_id AS leader, [{{'id': media_id, 'tags': tags}}] AS leaders FROM o WHERE r = 1
+  UNION ALL SELECT folder, media_id, r, coalesce(hit, media_id), CASE WHEN hit IS NULL THEN list_append(leaders, {{'id': media_id, 'tags': tags}}) ELSE leaders END FROM (SELECT o.folder, o.media_id, o.r, o.tags, leaders, (list_filter(leaders, lambda l: len(list_intersect(l.tags, o.tags)) >= 2)[1]).id AS hit FROM b JOIN o ON o.folder = b.folder AND o.r = b.r + 1))
+SELECT folder, media_id, leader FROM b""")
 def tag_leaders(spark, d):
     """SET11: items of a folder by two shared colours."""
     rows = items(spark, d).select("folder", "media_id", F.array("color1", "color2", "color3").alias("tags"))
     return dedup.leader_clusters(rows, ["folder"], "media_id", "tags", dedup.TagLeaders, 2).select("folder", "media_id", "leader")
+
+
+@query(f"""WITH RECURSIVE {ITEM_SQL}, o AS (SELECT folder, media_id, ts, row_number() OVER (PARTITION BY folder ORDER BY ts, media_id) AS r FROM item),
+b AS (SELECT folder, media_id, ts, r, ts AS first, 0 AS burst FROM o WHERE r = 1 UNION ALL
+  SELECT o.folder, o.media_id, o.ts, o.r, CASE WHEN epoch_us(o.ts) - epoch_us(b.first) > 172800000000 THEN o.ts ELSE b.first END, b.burst + CASE WHEN epoch_us(o.ts) - epoch_us(b.first) > 172800000000 THEN 1 ELSE 0 END FROM b JOIN o ON o.folder = b.folder AND o.r = b.r + 1),
+t AS (SELECT b.folder, burst, media_id, [color1, color2, color3] AS tags, CASE WHEN media_id % 3 > 0 THEN value END AS score, row_number() OVER (PARTITION BY b.folder, burst ORDER BY media_id) AS q FROM b JOIN item USING (media_id)),
+l AS (SELECT folder, burst, media_id, q, score, media_id AS leader, [{{'id': media_id, 'tags': tags}}] AS leaders FROM t WHERE q = 1
+  UNION ALL SELECT folder, burst, media_id, q, score, coalesce(hit, media_id), CASE WHEN hit IS NULL THEN list_append(leaders, {{'id': media_id, 'tags': tags}}) ELSE leaders END FROM (SELECT t.*, leaders, (list_filter(leaders, lambda x: len(list_intersect(x.tags, t.tags)) >= 1)[1]).id AS hit FROM l JOIN t ON t.folder = l.folder AND t.burst = l.burst AND t.q = l.q + 1)),
+g AS (SELECT *, row_number() OVER (PARTITION BY folder, burst, leader ORDER BY coalesce(score, 0) DESC, media_id) AS place, count(score) OVER (PARTITION BY folder, burst, leader) AS rated FROM l)
+SELECT media_id, burst::BIGINT AS burst, leader, rated = 0 OR place = 1 AS kept, CASE WHEN rated = 0 THEN 'unrated' WHEN place = 1 THEN 'best' ELSE 'worse' END AS reason FROM g""")
+def burst_selection(spark, d):
+    """SET13 by tags, SRT8: of pictures of two days that share a colour with the group's first one, the best; every third evaluation failed."""
+    rows = items(spark, d).select("folder", "media_id", "ts", F.array("color1", "color2", "color3").alias("tags"), F.when(F.col("media_id") % 3 > 0, F.col("value")).alias("score"))
+    found = bursts.selection(rows, ["folder"], "ts", "media_id", "score", 172_800, [("tags", dedup.TagLeaders, 1)])
+    return found.select("media_id", "burst", "leader", "kept", "reason")
+
+
+@query(f"""WITH {ITEM_SQL}, e AS (SELECT folder, end_ts, max(media_id) AS last FROM item GROUP BY ALL) SELECT media_id, e.last AS before FROM item i ASOF LEFT JOIN e ON i.folder = e.folder AND i.ts > e.end_ts""")
+def ended_before(spark, d):
+    """DOC4: the item of the folder that ended last before each one began, of several that ended together the one of the greatest id."""
+    item = items(spark, d)
+    ends = item.select("folder", F.col("end_ts").alias("ts"), F.col("media_id").alias("before"))
+    return ordered.asof(item.select("media_id", "folder", "ts"), ends, "ts", F.col("before"), ["folder"], strict=True, right_order=["before"]).select("media_id", F.col("prev").alias("before"))

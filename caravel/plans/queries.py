@@ -641,7 +641,10 @@ def cosine_pairs(spark, d):
     return dedup.similarity_search(table(spark, d, "embeddings"), "vec_id", "embedding", "label").select("a", "b", F.round("similarity", 5).alias("similarity"))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT label, vec_id, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings),
+b AS (SELECT label, vec_id, r, vec_id AS leader, [{'id': vec_id, 'e': e}] AS leaders FROM o WHERE r = 1
+  UNION ALL SELECT label, vec_id, r, coalesce(hit, vec_id), CASE WHEN hit IS NULL THEN list_append(leaders, {'id': vec_id, 'e': e}) ELSE leaders END FROM (SELECT o.label, o.vec_id, o.r, o.e, leaders, (list_filter(leaders, lambda l: list_cosine_similarity(l.e, o.e) >= 0.7)[1]).id AS hit FROM b JOIN o ON o.label = b.label AND o.r = b.r + 1))
+SELECT label, vec_id, leader FROM b""")
 def cosine_leader_clusters(spark, d):
     """SET12."""
     return dedup.leader_clusters(table(spark, d, "embeddings"), ["label"], "vec_id", "embedding", dedup.CosineLeaders, 0.7).select("label", "vec_id", "leader")

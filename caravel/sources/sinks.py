@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def export_csv(df: DataFrame, path: str, vector: str = "embedding", hidden_keys: tuple[str, ...] = ("transcript", "transcript_segments")) -> None:
-    """SNK8. A table as CSV with header, without its vector column and without the long transcript attributes."""
+    """SNK8. A table as CSV with header, without its vector column and without the long transcript attributes. Each file begins with a byte order mark, which spreadsheets look for."""
     rows = df.drop(vector)
     if {"key", "value"} <= set(rows.columns):
         rows = rows.where(~F.col("key").isin(*hidden_keys))
+    rows = rows.toDF("\ufeff" + rows.columns[0], *rows.columns[1:])
     rows.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
 
 
@@ -33,3 +34,23 @@ def snapshot_tables(tables: dict[str, DataFrame], folder: str, version: str) ->
     """SNK15. A backup: every table under ``folder/version``; an earlier one of that name is replaced."""
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{folder}/{version}/{name}")
+
+
+def _entries(spark: SparkSession, folder: str) -> list:
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [x for x in files.listStatus(place) if x.isDirectory()] if files.exists(place) else []
+
+
+def snapshots(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
+    """SNK15. (version, milliseconds of its last change), newest first."""
+    found = [(x.getPath().getName(), x.getModificationTime()) for x in _entries(spark, folder)]
+    return sorted(found, key=lambda x: (-x[1], x[0]))
+
+
+def restored(spark: SparkSession, folder: str, version: str) -> dict[str, DataFrame]:
+    """SNK15. The tables of a backup, by name; an unknown version is an error."""
+    found = _entries(spark, f"{folder}/{version}")
+    if not found:
+        raise ValueError(f"no backup {version!r}")
+    return {x.getPath().getName(): spark.read.parquet(x.getPath().toString()) for x in found}

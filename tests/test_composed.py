@@ -245,3 +245,39 @@ def test_circles_of_results_are_an_error():
 
     with pytest.raises(ValueError, match="itself"):
         steps.derived_from({"a": ("b",), "b": ("a",)})
+
+
+# --- bursts and backups -----------------------------------------------------------------------------
+
+
+def test_selection_with_a_prefilter(spark):
+    """Two bursts; equal hashes go before vectors are compared; a group without any score stays whole."""
+    from caravel.operators import bursts, dedup
+
+    v = {"a": [1.0, 0.0], "b": [0.0, 1.0]}
+    rows = [(1, 0, 7, v["a"], 1.0), (2, 10, 7, v["b"], 9.0), (3, 20, 99_000_000, v["a"], 5.0), (4, 30, 0x7FFF00000000, v["b"], None), (5, 9000, 7, v["a"], None), (6, 9010, 0xFFFF0000, v["a"], None), (7, None, 7, v["a"], 1.0)]
+    df = spark.createDataFrame([(None, *r) for r in rows], "k string, id int, s long, h long, v array<double>, score double").withColumn("ts", F.timestamp_seconds("s"))
+    got = bursts.selection(df, ["k"], "ts", "id", "score", 300, [("h", dedup.HammingLeaders, 3), ("v", dedup.CosineLeaders, 0.9)])
+    assert {(x["id"], x["burst"], x["leader"], x["kept"], x["reason"]) for x in got.collect()} == {
+        (1, 0, 1, False, "worse"), (2, 0, 1, False, "prefilter"), (3, 0, 1, True, "best"), (4, 0, 4, True, "unrated"), (5, 1, 5, True, "unrated"), (6, 1, 5, True, "unrated")
+    }
+    plain = bursts.selection(df, ["k"], "ts", "id", "score", 300)
+    assert {(x["id"], x["kept"]) for x in plain.collect()} == {(1, False), (2, True), (3, False), (4, False), (5, True), (6, True)}
+
+
+def test_backups_and_marked_csv(spark, tmp_path):
+    from caravel.sources import sinks
+
+    df = spark.createDataFrame([(1, "ñ")], "id int, value string")
+    folder = f"file://{tmp_path}/backups"
+    assert sinks.snapshots(spark, folder) == []
+    for v in ("one", "two"):
+        sinks.snapshot_tables({"items": df.withColumn("v", F.lit(v)), "more": df}, folder, v)
+    assert {v for v, _ in sinks.snapshots(spark, folder)} == {"one", "two"}
+    back = sinks.restored(spark, folder, "one")
+    assert set(back) == {"items", "more"} and back["items"].first()["v"] == "one"
+    with pytest.raises(ValueError, match="three"):
+        sinks.restored(spark, folder, "three")
+    sinks.export_csv(df.coalesce(1), str(tmp_path / "csv"))
+    part = next((tmp_path / "csv").glob("part-*.csv"))
+    assert part.read_bytes().decode("utf-8") == "﻿id,value\n1,ñ\n"
