@@ -236,7 +236,7 @@ _WORDS = r"list_filter(string_split_regex(lower(trim(text)), '\s+'), lambda w: w
 
 @query(f"""WITH w AS (SELECT {_WORDS} AS w FROM documents), h AS (SELECT unnest(range(1, least(len(w), 6) + 1)) AS words, w FROM w)
 SELECT words::INT AS words, array_to_string(w[1:words], ' ') AS opening, count(*)::BIGINT AS n FROM h GROUP BY ALL HAVING count(*) >= 3""")
-def opening_tree(spark, d):
+def beginning_tree(spark, d):
     """QRY17: beginnings that at least three texts share, up to six words."""
     return audit.openings(table(spark, d, "documents"), "text", 3, 6)
 

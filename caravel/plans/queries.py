@@ -319,10 +319,11 @@ def loop_events(spark, d):
     return loop.first_events(rows, "text", "hour", "score", "media_id").withColumn("hour", F.round("hour", 6))
 
 
-@query(f"""SELECT seg::INT AS seg, h_from::INT AS h_from, arc::INT AS arc, t_from, t_to FROM (VALUES {_SEGMENTS_SQL}) t(seg, h_from, arc, t_from, t_to)""")
+@query(f"""WITH {_LOOP_SQL} SELECT g.seg::INT AS seg, g.h_from::INT AS h_from, g.arc::INT AS arc, g.t_from, g.t_to, coalesce(n, 0)::BIGINT AS n FROM seg g LEFT JOIN (SELECT seg, count(*) AS n FROM looped GROUP BY 1) USING (seg)""")
 def loop_segments(spark, d):
-    """M12."""
-    return spark.createDataFrame([(s["seg"], s["h_from"], s["arc"], s["t_from"], s["t_to"]) for s in loop.loop_segments(HOURS, LOOP_SECONDS)], "seg int, h_from int, arc int, t_from double, t_to double")
+    """M12: the loop's segments, with the items that fall in each."""
+    known = spark.createDataFrame([(s["seg"], s["h_from"], s["arc"], s["t_from"], s["t_to"]) for s in loop.loop_segments(HOURS, LOOP_SECONDS)], "seg int, h_from int, arc int, t_from double, t_to double")
+    return known.join(_looped(spark, d).groupBy("seg").agg(F.count("*").alias("n")), "seg", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 # --- routes ----------------------------------------------------------------------------------
