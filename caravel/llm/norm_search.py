@@ -206,16 +206,17 @@ def _best(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _passes(blocks: DataFrame, pass_bytes: int) -> list[list[tuple[int, int]]]:
-    """Which blocks (part, seq) of queries go together; one small row a block is read here."""
-    passes, room = [], -1
-    for part, seq, n, width in sorted(map(tuple, blocks.select("part", "seq", "n", "width").collect())):
-        if room < 0 or n * width * 8 > room:
-            passes.append([])
-            room = pass_bytes
-        passes[-1].append((part, seq))
+def _passes(blocks: DataFrame, pass_bytes: int) -> Iterator[list[tuple[int, int]]]:
+    """Which blocks (part, seq) of queries go together; their small rows are read one partition at a time."""
+    some, room = [], pass_bytes
+    for part, seq, n, width in blocks.select("part", "seq", "n", "width").orderBy("part", "seq").toLocalIterator():
+        if some and n * width * 8 > room:
+            yield some
+            some, room = [], pass_bytes
+        some.append((part, seq))
         room -= n * width * 8
-    return passes
+    if some:
+        yield some
 
 
 def top_k(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", bucket_rows: int = 2048, head_buckets: int = 2, coordinate_from: float = 0.75, pass_bytes: int = 32 << 20) -> DataFrame:
