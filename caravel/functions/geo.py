@@ -49,6 +49,13 @@ def dms(text) -> Column:
     return F.round(F.when(south, -F.abs(value)).otherwise(value), 7)
 
 
+def position(text) -> Column:
+    """M6. Struct (lat, lon) of two coordinates, parted by a comma or, if there is none, by blanks; null parts where unreadable."""
+    t = F.trim(_c(text))
+    parts = F.when(t.contains(","), F.split(t, ",", 2)).otherwise(F.split(t, r"\s+"))
+    return F.struct(dms(F.trim(F.get(parts, 0))).alias("lat"), dms(F.trim(F.get(parts, 1))).alias("lon"))
+
+
 #: The sixteen compass points, clockwise from north, in Spanish.
 COMPASS = ("N", "NNE", "NE", "ENE", "E", "ESE", "SE", "SSE", "S", "SSO", "SO", "OSO", "O", "ONO", "NO", "NNO")
 

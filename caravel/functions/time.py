@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Fixed value: the archive's local time, without daylight saving.
 LOCAL = "-03:00"
 #: Forms of a time without an offset, which count as local.
-NAIVE_FORMS = ("yyyy-MM-dd HH:mm:ss", "yyyy:MM:dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy/MM/dd HH:mm:ss")
+NAIVE_FORMS = ("yyyy-MM-dd HH:mm:ss", "yyyy:MM:dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy/MM/dd HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm:ss")
 #: Weekday names from Monday on.
 WEEKDAYS = ("lunes", "martes", "miércoles", "jueves", "viernes", "sábado", "domingo")
 
@@ -27,15 +27,23 @@ def parsed(text) -> Column:
     return F.struct(F.coalesce(aware, naive).alias("ts"), note.alias("note"))
 
 
-def of_filename(name) -> Column:
-    """Local time in a file name: date with six, five, four or three fields, missing ones 00; null where there is none."""
-    n = _c(name)
-    at = r"(20\d{2})[-_]?(\d{2})[-_]?(\d{2})(?:[-_ ]?(\d{2})(?:[-_.]?(\d{2}))?(?:[-_.]?(\d{2}))?)?"
+def _of_groups(n: Column, at: str) -> Column:
+    """The local time in the six groups of a pattern, missing ones 00; null where it doesn't match or is no time."""
     part = lambda i: F.lpad(F.coalesce(F.nullif(F.regexp_extract(n, at, i), F.lit("")), F.lit("0")), 2, "0")
     text = F.concat(F.regexp_extract(n, at, 1), F.lit("-"), part(2), F.lit("-"), part(3), F.lit(" "), part(4), F.lit(":"), part(5), F.lit(":"), part(6), F.lit(LOCAL))
     return F.when(F.regexp_extract(n, at, 1) != "", F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ssXXX")))
 
 
+def of_filename(name) -> Column:
+    """Local time in a file name: date with six, five, four or three fields, missing ones 00; null where there is none."""
+    return _of_groups(_c(name), r"(20\d{2})[-_]?(\d{2})[-_]?(\d{2})(?:[-_ ]?(\d{2})(?:[-_.]?(\d{2}))?(?:[-_.]?(\d{2}))?)?")
+
+
+def of_prefix(name) -> Column:
+    """D2. Local time that a file name begins with: date and up to three more fields, joined by hyphens and ended by an underscore."""
+    return _of_groups(F.trim(_c(name)), r"^(\d{4})-(\d{2})-(\d{2})(?:-(\d{2})(?:-(\d{2})(?:-(\d{2}))?)?)?_")
+
+
 def end_time(ts, seconds) -> Column:
     """D4. Start plus duration; the start itself without a duration."""
     return F.timestamp_micros(F.unix_micros(_c(ts)) + (F.coalesce(_c(seconds), F.lit(0.0)) * 1_000_000).cast("long"))

@@ -190,3 +190,19 @@ def changes(df: DataFrame, by: Sequence[str], order: Sequence[str], state: Colum
     """SEQ5. Rows at which a known state differs from the row before; an unknown state resets, so the next known one counts."""
     rows = lagged(df.withColumn(out, state), by, order, {"before": F.col(out), "_any": F.lit(True)})
     return rows.where(F.col(out).isNotNull() & F.col("_any").isNotNull() & ~F.col(out).eqNullSafe(F.col("before"))).drop("_any")
+
+
+def numbered(df: DataFrame, order: Sequence[str], name: str, start: Column | int = 0) -> DataFrame:
+    """SNK1. Adds ``name``: ``start`` and the place of each row in ``order``, from 1 on, without a task that holds all rows.
+
+    Rows are split into ranges and written with their range's number, so that it is the same for every later reader; a window counts within a range, and
+    one row for each range tells how many come before it. ``order`` should tell rows apart: equal ones are in one range.
+    """
+    ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    rows = cut_lineage(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
+    counts = rows.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = counts.select("_range", F.coalesce(F.sum("_n").over(Window.partitionBy().orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    begin = start if isinstance(start, Column) else F.lit(start)
+    placed = rows.withColumn("_own", own).join(F.broadcast(before), "_range")  # at most as many rows as ranges
+    return placed.withColumn(name, (begin + F.col("_before") + F.col("_own")).cast("long")).drop("_range", "_own", "_before")

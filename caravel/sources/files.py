@@ -103,7 +103,7 @@ def markdown_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- chat exports -----------------------------------------------------------------------------------
 
-MESSAGE = "id long, type string, date string, date_unixtime string, `from` string, from_id string, actor string, text string, photo string, file string, media_type string, mime_type string, location struct<latitude: double, longitude: double>, reply_to_message_id long"
+MESSAGE = "id long, type string, date string, date_unixtime string, `from` string, from_id string, actor string, text string, photo string, file string, media_type string, mime_type string, location struct<latitude: double, longitude: double>, reply_to_message_id long, file_name string, file_size long, photo_file_size long, duration_seconds double, width int, height int, thumbnail string, poll string, reactions string, members string, action string, actor_id string, edited_unixtime string, grouped_id string"
 EXPORT = f"id long, name string, type string, messages array<struct<{', '.join(x.replace(' ', ': ', 1) for x in MESSAGE.split(', ') if 'location' not in x and 'longitude' not in x)}, location: struct<latitude: double, longitude: double>>>"
 
 
@@ -147,14 +147,14 @@ def _last_whole(text: str) -> dict[int, str]:
 
 
 def chat_messages(spark: SparkSession, path: str) -> DataFrame:
-    """SRC10. Messages of ``result.json`` exports, cut ones repaired; an export without messages gives no rows."""
+    """SRC10. Messages of ``result.json`` exports with their ``place``, cut ones repaired; an export without messages gives no rows."""
 
     @F.arrow_udf("string")
     def repair(texts: pa.Array) -> pa.Array:
         return pa.array([repaired_json(t) for t in texts.to_pylist()], pa.string())
 
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("export"), F.from_json(repair("value"), EXPORT).alias("x"))
-    return files.where("x.messages is not null").select("export", F.col("x.id").alias("chat_id"), F.col("x.name").alias("chat"), F.explode("x.messages").alias("m")).select("export", "chat_id", "chat", "m.*")
+    return files.where("x.messages is not null").select("export", F.col("x.id").alias("chat_id"), F.col("x.name").alias("chat"), F.col("x.type").alias("chat_type"), F.posexplode("x.messages").alias("place", "m")).select("export", "chat_id", "chat", "chat_type", "place", "m.*")
 
 
 def flat_text(text) -> Column:
@@ -165,9 +165,40 @@ def flat_text(text) -> Column:
     return F.when(F.ltrim(t).startswith("["), F.coalesce(plain, t)).otherwise(t)
 
 
-def message_type(type_, photo, media_type_, file, location) -> Column:
-    """service, photo, the media type, file, location or text; the first that applies."""
-    return F.when(_c(type_) == "service", "service").when(_c(photo).isNotNull(), "photo").when(_c(media_type_).isNotNull(), _c(media_type_)).when(_c(file).isNotNull(), "file").when(_c(location).isNotNull(), "location").otherwise("text")
+#: What a message's media type makes it; others are documents.
+MESSAGE_KINDS = {"voice_message": "voice", "video_file": "video", "video_message": "video", "animation": "animation", "sticker": "sticker", "audio_file": "audio"}
+#: The kind of item that an attachment's media type makes; a sticker is none of the archive's kinds.
+ITEM_KINDS = {"photo": "image", "video_file": "video", "video_message": "video", "animation": "video", "voice_message": "audio", "audio_file": "audio", "audio": "audio", "sticker": "other"}
+
+
+def _of_table(c: Column, table: dict[str, str]) -> Column:
+    return F.coalesce(*[F.when(c == k, v) for k, v in table.items()])
+
+
+def _of_mime(mime: Column) -> Column:
+    return F.coalesce(*[F.when(mime.startswith(f"{k}/"), k) for k in ("video", "audio", "image")])
+
+
+def message_type(messages: DataFrame) -> Column:
+    """S23. system, photo, location, poll, by media type, by the file's MIME type, or text; the first that applies."""
+    has = lambda c: F.col(c).isNotNull()
+    by_type = F.coalesce(_of_table(F.col("media_type"), MESSAGE_KINDS), F.lit("document"))
+    poll = has("poll") if "poll" in messages.columns else F.lit(False)
+    by_file = F.coalesce(_of_mime(F.col("mime_type")), F.lit("document"))
+    return F.when(F.col("type").eqNullSafe("service"), "system").when(has("photo"), "photo").when(has("location"), "location").when(poll, "poll").when(F.coalesce("media_type", F.lit("")) != "", by_type).when(has("file"), by_file).otherwise("text")
+
+
+def item_type(media_type_, mime) -> Column:
+    """S23. The kind of item that an attachment is: by its media type, else by its MIME type, else ``other``."""
+    return F.coalesce(_of_table(_c(media_type_), ITEM_KINDS), _of_mime(_c(mime)), F.lit("other"))
+
+
+def entity_hashtags(text) -> Column:
+    """S22. Sorted different hashtags among the entities of a message, without ``#``, joined by blanks; null if there are none."""
+    t = _c(text)
+    parts = F.when(F.ltrim(t).startswith("["), F.from_json(t, "array<string>"))
+    tags = F.transform(F.filter(parts, lambda p: F.get_json_object(p, "$.type") == "hashtag"), lambda p: F.regexp_replace(F.get_json_object(p, "$.text"), "^#+", ""))
+    return F.nullif(F.array_join(F.array_sort(F.array_distinct(F.filter(tags, lambda x: x != ""))), " "), F.lit(""))
 
 
 def attachments(messages: DataFrame) -> DataFrame:

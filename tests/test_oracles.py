@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from caravel.plans import archive, context, inference, jobs  # noqa: F401  register more queries
+from caravel.plans import archive, context, inference, ingest, jobs  # noqa: F401  register more queries
 from caravel.plans.queries import ORACLE_SQL, QUERIES
 
 DIR = "/root/testdata/sf0.001"
