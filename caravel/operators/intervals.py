@@ -17,6 +17,10 @@ from caravel.operators.ordered import asof
 from caravel.session import cut_lineage
 
 
+#: Points for each of ``k`` that the fullest first cell may hold, and the most columns of a grid (about 10 m).
+_CROWD, _MOST_COLUMNS = 16, 1 << 22
+
+
 def _bins(start: Column, end: Column, width: int) -> Column:
     return F.sequence(F.floor(F.unix_seconds(start) / width), F.floor(F.unix_seconds(end) / width))
 
@@ -63,44 +67,56 @@ def best_interval(items: DataFrame, tracks: DataFrame, item_span: tuple[str, str
 def nearest_points(items: DataFrame, points: DataFrame, item: tuple[str, str, str], point: tuple[str, str, str], k: int = 2, degrees: float = 1.0) -> DataFrame:
     """JN14. (item, point, metres, rank): the ``k`` nearest points of each item, ties by the point's key.
 
-    A pyramid of grids: an item looks at the nine cells around it, and leaves as soon as its k-th distance is within what
-    they cover for sure; the others look again with cells twice as wide, so each round costs nine cells an item
-    whatever the distance. Columns wrap at 180 degrees. ``item`` and ``point`` are (key, lat, lon) names; rows without a
-    position are left out, and an item gets fewer than ``k`` only if there are fewer points.
+    Points at one place are equally far from any item, so only the ``k`` of the least keys go on; items at one place have one
+    answer, which is looked for once. A pyramid of grids: a place looks at the nine cells around it, and leaves as soon as its k-th
+    distance is within what they cover for sure; the others look again with cells twice as wide, so each round costs nine cells a place
+    whatever the distance. The first cells are ``degrees`` wide, or so narrow that the fullest one holds few points for each of ``k``. Columns wrap
+    at 180 degrees. ``item`` and ``point`` are (key, lat, lon) names; rows without a position are left out, and an item gets fewer
+    than ``k`` only if there are fewer points.
     """
     ik, ia, io = item
     pk, pa_, po = point
+    placed = items.where(F.col(ia).isNotNull() & F.col(io).isNotNull()).select(F.col(ik).alias("_i"), F.col(ia).alias("_ia"), F.col(io).alias("_io"))
+    here = ["_ia", "_io"]
     near = points.where(F.col(pa_).isNotNull() & F.col(po).isNotNull()).select(F.col(pk).alias("_p"), F.col(pa_).alias("_pa"), F.col(po).alias("_po"))
-    open_ = items.where(F.col(ia).isNotNull() & F.col(io).isNotNull()).select(F.col(ik).alias("_i"), F.col(ia).alias("_ia"), F.col(io).alias("_io"))
+    least = F.row_number().over(Window.partitionBy("_pa", "_po").orderBy("_p"))
+    near = cut_lineage(near.withColumn("_nth", least).where(F.col("_nth") <= k).drop("_nth"))
     total = near.count()
     if total == 0:
-        return open_.where("false").select(F.col("_i").alias(ik), F.lit(None).cast(points.schema[pk].dataType).alias(pk), F.lit(0.0).alias("metres"), F.lit(0).alias("rank"))
-    w = Window.partitionBy("_i").orderBy("_m", "_p")
+        return placed.where("false").select(F.col("_i").alias(ik), F.lit(None).cast(points.schema[pk].dataType).alias(pk), F.lit(0.0).alias("metres"), F.lit(0).alias("rank"))
+    row = lambda c, size: F.floor((F.col(c) + 90) / size).cast("int")
+    column = lambda c, size, columns: F.pmod(F.floor(F.col(c) / size), F.lit(columns)).cast("int")
+    w = Window.partitionBy(*here).orderBy("_m", "_p")
     columns = 1 << max(2, math.floor(math.log2(360 / degrees)))
+    while columns < _MOST_COLUMNS:
+        counts = near.groupBy(row("_pa", 360.0 / columns), column("_po", 360.0 / columns, columns)).count()
+        fullest = counts.agg(F.max("count")).first()[0]
+        if fullest <= _CROWD * k:
+            break
+        columns = min(columns << max(1, math.ceil(math.log2(fullest / (_CROWD * k)) / 2)), _MOST_COLUMNS)
+    open_ = cut_lineage(placed.select(*here).distinct())
     out = None
     while True:
         size = 360.0 / columns
-        whole = columns <= 4
         # the widest grid is one cell
-        row = (lambda c: F.lit(0)) if whole else (lambda c: F.floor((F.col(c) + 90) / size).cast("int"))
-        column = (lambda c: F.lit(0)) if whole else (lambda c: F.pmod(F.floor(F.col(c) / size), F.lit(columns)).cast("int"))  # noqa: B023
+        whole = columns <= 4
+        at = lambda y, x: (F.lit(0), F.lit(0)) if whole else (row(y, size), column(x, size, columns))  # noqa: B023, E731
         ring = F.array(F.lit(0)) if whole else F.array(F.lit(-1), F.lit(0), F.lit(1))
         cells = open_.withColumn("_dy", F.explode(ring)).withColumn("_dx", F.explode(ring))
-        cells = cells.withColumn("_cy", row("_ia") + F.col("_dy")).withColumn("_cx", F.pmod(column("_io") + F.col("_dx"), F.lit(max(columns, 1))))
-        met = cells.join(near.withColumn("_cy", row("_pa")).withColumn("_cx", column("_po")), ["_cy", "_cx"]).withColumn("_m", haversine("_ia", "_io", "_pa", "_po"))
+        (cy, cx), (py, px) = at("_ia", "_io"), at("_pa", "_po")
+        cells = cells.withColumn("_cy", cy + F.col("_dy")).withColumn("_cx", F.pmod(cx + F.col("_dx"), F.lit(max(columns, 1))))
+        met = cells.join(near.withColumn("_cy", py).withColumn("_cx", px), ["_cy", "_cx"]).withColumn("_m", haversine("_ia", "_io", "_pa", "_po"))
         best = met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         # metres to the nearest edge of the nine cells: along the meridian, and to the meridian one cell away
         aside = F.asin(F.cos(F.radians("_ia")) * math.sin(math.radians(min(size, 90.0))))
         sure = EARTH_M * F.least(F.lit(math.radians(size)), aside) * 0.999
-        each = Window.partitionBy("_i")
+        each = Window.partitionBy(*here)
         tested = best.withColumn("_kth", F.max("_m").over(each)).withColumn("_n", F.count("*").over(each))
         done = tested if whole else tested.where((F.col("_n") >= min(k, total)) & (F.col("_kth") <= sure))
-        part = cut_lineage(done.select("_i", "_p", F.col("_m").alias("metres"), "rank"))
-        named = part.select(F.col("_i").alias(ik), F.col("_p").alias(pk), "metres", "rank")
-        out = named if out is None else out.unionByName(named)
-        if whole:
-            return out
-        open_ = cut_lineage(open_.join(part.select("_i").distinct(), "_i", "left_anti"))
-        if open_.isEmpty():
-            return out
+        part = cut_lineage(done.select(*here, "_p", F.col("_m").alias("metres"), "rank"))
+        out = part if out is None else out.unionByName(part)
+        if not whole:
+            open_ = cut_lineage(open_.join(part.select(*here).distinct(), here, "left_anti"))
+        if whole or open_.isEmpty():
+            return placed.join(out, here).select(F.col("_i").alias(ik), F.col("_p").alias(pk), "metres", "rank")
         columns //= 2

@@ -124,6 +124,27 @@ def test_nearest_points_far_apart(spark):
     assert got == {(1, 1): 10, (1, 2): 11, (2, 1): 12, (2, 2): 11}
 
 
+def test_nearest_points_measures_no_place_twice(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(metres):
+        seen.add(1)
+        return metres
+
+    true = intervals.haversine
+    monkeypatch.setattr(intervals, "haversine", lambda *places: counted(true(*places)))
+    # 300 items and 300 points at each of two places, and a crowd of different points within one cell
+    twice = spark.range(600).select(F.col("id").alias("i"), (F.col("id") % 2).cast("double").alias("la"), F.lit(0.0).alias("lo"))
+    crowd = spark.range(1000, 1400).select(F.col("id").alias("i"), (10 + F.col("id") * 0.0005).alias("la"), (10 + F.col("id") % 7 * 0.01).alias("lo"))
+    points = twice.unionByName(crowd).select((F.col("i") + 5000).alias("p"), F.col("la").alias("pa"), F.col("lo").alias("po"))
+    got = intervals.nearest_points(twice.unionByName(crowd), points, ("i", "la", "lo"), ("p", "pa", "po"), 2, 0.5).collect()
+    assert len(got) == 2000
+    assert all(sorted(r["p"] for r in got if r["i"] == i) == [5000 + i % 2, 5002 + i % 2] for i in (0, 1, 598, 599))
+    assert all(r["p"] == r["i"] + 5000 and r["metres"] == 0 for r in got if r["i"] >= 1000 and r["rank"] == 1)
+    assert seen.value < 60_000
+
+
 def test_leaders(spark):
     df = spark.createDataFrame([("g", 1, 0b0000), ("g", 2, 0b0001), ("g", 3, 0b1111), ("g", 4, 0b0111)], "g string, id long, h long")
     got = {r["id"]: r["leader"] for r in dedup.leader_clusters(df, ["g"], "id", "h", dedup.HammingLeaders, 1).collect()}
