@@ -221,7 +221,7 @@ def sound_matches(spark, d):
     e = table(spark, d, "embeddings")
     short = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("a"), "label", F.slice("embedding", 5, 16).alias("s"))
     long = e.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("v"))
-    return short.join(long, "label").where("a <> b").select("a", "b", F.round(audio.match("s", "v")["similarity"], 4).alias("similarity"))
+    return audio.best_matches(short, long, "label").select("a", "b", F.round("similarity", 4).alias("similarity"))
 
 
 @query(f"WITH {ITEM_SQL}, w AS (SELECT media_id, duration_s, unnest(range(least(30, CAST(ceil(duration_s / 10.0) AS BIGINT)))) AS i FROM item WHERE duration_s > 0) SELECT media_id, i * 10.0::DOUBLE AS start, least((i + 1) * 10, duration_s)::DOUBLE AS stop FROM w")

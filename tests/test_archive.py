@@ -237,3 +237,16 @@ def test_seq17_seq18(spark):
     assert [(s["start"], s["end"]) for s in one(spark, spans)] == [(0.0, 3.0), (3.0, 9.0), (9.0, 10.0)]
     assert one(spark, marks.scene_spans(cuts, F.lit(0.0))) == []
     assert [(s["start"], s["end"]) for s in one(spark, marks.split_spans(spans, 2.99))] == [(0.0, 2.99), (3.0, 5.99), (5.99, 8.98), (9.0, 10.0)]
+
+
+def test_seq21_blocks_of_pairs_equal_a_loop(spark):
+    random.seed(5)
+    values = lambda n: [random.choice([random.gauss(0, 1), 0.0, 1.0]) for _ in range(n)]
+    short = [(i, i % 3 if i % 7 else None, random.choice([None, [], [2.0, 2.0, 2.0], [1.0], values(3), values(4), [0.5, None, 1.0]])) for i in range(40)]
+    long = [(i, i % 3, random.choice([None, [], [0.0] * 6, values(2), values(6), values(9), [1.0, None, 2.0, 3.0, 1.0]])) for i in range(60)]
+    x, y = spark.createDataFrame(short, "a long, k int, s array<double>"), spark.createDataFrame(long, "b long, k int, v array<double>")
+    got = {(r["a"], r["b"]): r["similarity"] for r in audio.best_matches(x, y, "k", 4, 7).collect()}
+    want = {(a, b): audio.best_match(s, v)[0] if s is not None and v is not None else 0.0 for a, g, s in short for b, h, v in long if g == h and a != b}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-12, nan_ok=True) for k in want)
+    assert audio.best_matches(x.where("a < 0"), y, "k").count() == 0
