@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +64,10 @@ class Leaders:
     def first(self, value) -> int | None:
         raise NotImplementedError
 
+    def firsts(self, values: list) -> list[int | None]:
+        """``first`` of each of many values."""
+        return [self.first(v) for v in values]
+
     def add(self, key, value) -> None:
         self.keys.append(key)
 
@@ -121,6 +125,17 @@ class HammingLeaders(Leaders):
         hit = np.bitwise_count((self.hashes[:n] ^ np.int64(value)).view(np.uint64)) <= self.most
         return int(np.argmax(hit)) if hit.any() else None
 
+    def firsts(self, values: list) -> list[int | None]:
+        n = len(self.keys)
+        if not n:
+            return [None] * len(values)
+        out: list[int | None] = []
+        own = np.fromiter((0 if v is None else v for v in values), np.int64, len(values))
+        for i in range(0, len(own), 128):
+            hit = np.bitwise_count((own[i : i + 128, None] ^ self.hashes[None, :n]).view(np.uint64)) <= self.most
+            out += [int(at) if any_ else None for at, any_ in zip(hit.argmax(axis=1), hit.any(axis=1), strict=True)]
+        return [None if v is None else at for v, at in zip(values, out, strict=True)]
+
     def add(self, key, value) -> None:
         if value is None:
             return
@@ -150,10 +165,34 @@ class TagLeaders(Leaders):
         super().add(key, value)
 
 
+def _folded(rows: DataFrame, by: Sequence[str], keys: Sequence[str], kind: type[Leaders], limit: float, out: str) -> DataFrame:
+    """(by, _id, out) of small keys: each one's rows in order, many keys in a task."""
+    fields = [*by, "_id"]
+    schema = T.StructType([*rows.select(*fields).schema.fields, T.StructField(out, rows.schema["_id"].dataType)])
+    same = lambda a, b: all(x == y or (x != x and y != y) for x, y in zip(a, b, strict=True))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = state = None
+        for batch in batches:
+            found = []
+            for i, v, *k in zip(*[batch.column(c).to_pylist() for c in ("_id", "_value", *keys)], strict=True):
+                if state is None or (k != own and not same(k, own)):
+                    own, state = k, kind(limit)
+                at = None if kind.alone(v) else state.first(v)
+                found.append(i if at is None else state.keys[at])
+                if at is None and not kind.alone(v):
+                    state.add(i, v)
+            leaders = pa.array(found, batch.column("_id").type)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in fields], leaders], schema.names)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, F.col("_id").asc_nulls_last()).mapInArrow(fold, schema)
+
+
 def leader_clusters(df: DataFrame, by: Sequence[str], key: str, value: str, kind: type[Leaders], limit: float, out: str = "leader", block: int = 2048, chunk: int = 50_000) -> DataFrame:
     """SET10, SET11, SET12. Greedy leaders within ``by``: in order of ``key``, a row joins the first leader that it is alike to, else it leads.
 
-    Rounds. Of each key the first ``block`` rows that are still undecided find their leaders among themselves, in order; no earlier
+    A key of at most ``block`` rows is a fold: rows are dealt by key and sorted, and a task streams through many keys, one state at a time. Larger keys
+    go in rounds. Of each the first ``block`` rows that are still undecided find their leaders among themselves, in order; no earlier
     leader is alike to them. Then all undecided rows are compared with these leaders, in chunks of at most about
     ``chunk`` rows dealt over all tasks: the first one that a row is alike to is its leader for good, as later leaders come later in
     the order. A key of any size is spread over tasks, a group holds a block or a chunk, and the rounds follow
@@ -161,10 +200,17 @@ def leader_clusters(df: DataFrame, by: Sequence[str], key: str, value: str, kind
     within ``by``, whose nulls are keys like others.
     """
     keys = plain_keys(df, by)
-    rows = df.select(*by, *[c.alias(n) for n, c in keys.items()], F.col(f"`{key}`").alias("_id"), F.col(f"`{value}`").alias("_value"))
-    large = rows.groupBy(*keys).agg(F.ceil(F.count("*") / chunk).cast("int").alias("_chunks")).where("_chunks > 1")
-    rows = rows.join(large, list(keys), "left") if keys else rows.crossJoin(F.broadcast(rows.agg(F.greatest(F.ceil(F.count("*") / chunk).cast("int"), F.lit(1)).alias("_chunks"))))
-    rows = rows.withColumn("_chunks", F.coalesce("_chunks", F.lit(1)))
+    rows = cut_lineage(df.select(*by, *[c.alias(n) for n, c in keys.items()], F.col(f"`{key}`").alias("_id"), F.col(f"`{value}`").alias("_value")))
+    done = None
+    if keys:
+        large = cut_lineage(rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > block).select(*keys, F.ceil(F.col("_n") / chunk).cast("int").alias("_chunks")))
+        names = list(keys)
+        done = cut_lineage(_folded(rows.join(large, names, "left_anti"), by, names, kind, limit, out).withColumnRenamed("_id", key))
+        if large.isEmpty():
+            return done
+        rows = rows.join(large, names)
+    else:
+        rows = rows.crossJoin(F.broadcast(rows.agg(F.greatest(F.ceil(F.count("*") / chunk).cast("int"), F.lit(1)).alias("_chunks"))))
     rows = cut_lineage(rows.withColumn("_chunk", F.pmod(F.xxhash64("_id"), F.col("_chunks")).cast("int")))
     schema = T.StructType([*rows.schema.fields, T.StructField(out, rows.schema["_id"].dataType)])
     lead_schema = rows.drop("_chunk", *by).schema
@@ -184,17 +230,14 @@ def leader_clusters(df: DataFrame, by: Sequence[str], key: str, value: str, kind
         for i, v in zip(leaders.column("_id").to_pylist(), leaders.column("_value").to_pylist(), strict=True):
             state.add(i, v)
             own.add(i)
-        found = []
-        for i, v in zip(group.column("_id").to_pylist(), group.column("_value").to_pylist(), strict=True):
-            if i in own or kind.alone(v):
-                found.append(i)
-            else:
-                at = state.first(v)
-                found.append(None if at is None else state.keys[at])
+        ids, values = group.column("_id").to_pylist(), group.column("_value").to_pylist()
+        found = [i if i in own or kind.alone(v) else None for i, v in zip(ids, values, strict=True)]
+        asked = [n for n, (i, v) in enumerate(zip(ids, values, strict=True)) if not (i in own or kind.alone(v))]
+        for n, at in zip(asked, state.firsts([values[n] for n in asked]), strict=True):
+            found[n] = None if at is None else state.keys[at]
         return group.append_column(schema[out].name, pa.array(found, group.column("_id").type))
 
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy("_id"))
-    done = None
     while True:
         first = rows.withColumn("_nth", nth).where(F.col("_nth") <= block).drop("_nth")
         leaders = cut_lineage(first.groupBy(*keys).applyInArrow(led, lead_schema))

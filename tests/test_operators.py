@@ -151,6 +151,44 @@ def test_leaders(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 3}
 
 
+def test_small_keys_are_folded_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    class Counted(dedup.HammingLeaders):
+        def __init__(self, most):
+            super().__init__(most)
+            made.add(1)
+
+    rows = [(i // 4 if i // 4 else None, i, h) for i, h in enumerate([0, 1, 15, None] * 300)]
+    df = spark.createDataFrame(rows, "g long, id long, h long")
+    got = {r["id"]: r["leader"] for r in dedup.leader_clusters(df, ["g"], "id", "h", Counted, 1).collect()}
+    assert got == {i: i - 1 if i % 4 == 1 else i for _, i, _ in rows}
+    assert made.value <= 300
+
+
+def test_many_hashes_at_once():
+    import random
+
+    import numpy as np
+
+    from caravel.functions import image
+
+    random.seed(8)
+    leaders = dedup.HammingLeaders(20)
+    for i in range(40):
+        leaders.add(i, random.getrandbits(64) - 2**63)
+    asked = [None, -(2**63), 2**63 - 1] + [random.getrandbits(64) - 2**63 for _ in range(300)]
+    found = leaders.firsts(asked)
+    assert found == [leaders.first(h) for h in asked] and None in found and len(set(found)) > 5
+    assert dedup.HammingLeaders(2).firsts([1, None]) == [None, None]
+    # means of a raster as slices have them
+    for size in ((1, 64), (7, 3), (40, 64), (33, 100)):
+        pixels = np.random.default_rng(3).integers(0, 256, size, dtype=np.uint8)
+        rows, columns = (np.minimum(np.arange(33) * n // 32, n - 1) for n in size)
+        want = [[pixels[a : max(b, a + 1), c : max(d, c + 1)].mean() for c, d in zip(columns, columns[1:])] for a, b in zip(rows, rows[1:])]
+        assert np.array_equal(image.shrunk(pixels), want)
+
+
 def test_leaders_equal_a_loop(spark):
     import random
 
