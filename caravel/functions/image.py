@@ -22,12 +22,14 @@ def raster_hash(grey: np.ndarray) -> int:
 
 def shrunk(pixels: np.ndarray) -> np.ndarray:
     """A raster of any size as 32 x 32 means (nearest pixels where it is smaller)."""
-    rows, columns = (np.minimum(np.arange(SIDE + 1) * n // SIDE, n - 1) for n in pixels.shape)
-    out = np.empty((SIDE, SIDE))
-    for i in range(SIDE):
-        for j in range(SIDE):
-            out[i, j] = pixels[rows[i] : max(rows[i + 1], rows[i] + 1), columns[j] : max(columns[j + 1], columns[j] + 1)].mean()
-    return out
+    for axis, n in enumerate(pixels.shape):
+        edges = np.minimum(np.arange(SIDE + 1) * n // SIDE, n - 1)
+        # equal edges stand for the one pixel they begin at
+        pixels = pixels.take(np.arange(max(edges[-1], edges[-2] + 1)), axis)
+        pixels = np.add.reduceat(pixels, edges[:-1], axis, dtype=np.int64)
+        counts = np.maximum(np.diff(edges), 1)
+        sizes = counts[:, None] if axis == 0 else sizes * counts
+    return pixels / sizes
 
 
 def perceptual_hash(pixels: Column | str, width: Column | str) -> Column:
