@@ -69,9 +69,11 @@ def facet_weekday(spark, d):
 WHERE regexp_full_match(lw, '[a-záéíóúñüöäàâçèêëîïôûù]+') GROUP BY 1""")
 def facet_fold_order(spark, d):
     """AG9, S15."""
-    words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-záéíóúñüößäàâçèêëîïôûùÁÉÍÓÚÑ]+)"), F.lit(1))).alias("w"))
-    plain = words.where(F.lower("w").rlike("^[a-záéíóúñüöäàâçèêëîïôûù]+$"))
-    return plain.groupBy(text.folded("w").alias("folded")).agg(F.count("*").alias("n"), F.min("w").alias("example"))
+    words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-záéíóúñüößäàâçèêëîïôûùÁÉÍÓÚÑ]+"), F.lit(0))).alias("w"))
+    # each different word is looked at and folded once
+    counts = words.groupBy("w").agg(F.count("*").alias("n"))
+    plain = counts.where(F.lower("w").rlike("^[a-záéíóúñüöäàâçèêëîïôûù]+$"))
+    return plain.groupBy(text.folded("w").alias("folded")).agg(F.sum("n").alias("n"), F.min("w").alias("example"))
 
 
 @query(f"""WITH {ITEM_SQL}, {EAV_SQL} SELECT key, count(*)::BIGINT AS n FROM eav GROUP BY 1 ORDER BY n DESC, key LIMIT 50""")

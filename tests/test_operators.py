@@ -151,6 +151,22 @@ def test_leaders(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 3}
 
 
+def test_each_different_word_is_folded_once(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(word):
+        seen.add(1)
+        return word
+
+    words = queries.table(spark, DIR, "documents").select(F.explode(F.split("text", "[^A-Za-zéíóúñüäàçèêôÁÉÑáößâëîïûùÍÓÚ]+")).alias("w")).where("w <> ''")
+    different, whole = words.distinct().count(), words.count()
+    true = text.folded
+    monkeypatch.setattr(queries.text, "folded", lambda w: true(counted(F.col(w))))
+    assert queries.QUERIES["facet_fold_order"](spark, DIR).agg(F.sum("n")).first()[0] <= whole
+    assert 0 < seen.value <= different < whole
+
+
 def test_small_keys_are_folded_once(spark):
     made = spark.sparkContext.accumulator(0)
 
