@@ -70,21 +70,22 @@ def transitions(found: DataFrame, places: DataFrame, weather: DataFrame, coarse_
     mark = lambda df, name, value: df.select("media_id", "offset_s", "at", F.lit(PREFIX + name).alias("key"), value.alias("value"), "source")
     # offsets are cut into days, as a clip of any length is
     block = F.floor(F.col("offset_s") / 86_400)
-    before = F.struct("lat", "lon", "ele", "at", F.lit(True).alias("any"))
-    rows = ordered.with_neighbours(found, order, before, key, block, names=("_prev", ""))
+    # height, light and motion in one stream of samples; a light that is unknown resets
+    lit = found.withColumn("_light", sun.twilight(sun.elevation("at", "lat", "lon")))
+    rows = ordered.with_neighbours(lit, order, F.struct("lat", "lon", "ele", "at", "_light"), key, block, names=("_prev", ""))
     rise = F.col("ele") - F.col("_prev.ele")
     text = F.concat(F.when(rise > 0, "subida").otherwise("bajada"), F.lit(" sostenida "), F.when(rise > 0, "+").otherwise("-"), F.abs(F.bround(rise)).cast("long").cast("string"), F.lit("m"))
-    out = mark(rows.where(F.abs(rise) >= elevation), "elevacion", text)
-    # light: a state that is unknown resets
-    lit = found.withColumn("_state", sun.twilight(sun.elevation("at", "lat", "lon")))
-    lit = ordered.with_neighbours(lit, order, F.coalesce("_state", F.lit("")), key, block, names=("_before", ""))
-    out = out.unionByName(mark(lit.where(F.col("_state").isNotNull() & ~F.col("_state").eqNullSafe(F.col("_before"))), "astronomia", F.col("_state")))
     known = F.col("lat").isNotNull() & F.col("_prev.lat").isNotNull()
     seconds = (F.unix_micros("at") - F.unix_micros("_prev.at")) / 1e6
     kmh = F.try_divide(geo.haversine("_prev.lat", "_prev.lon", "lat", "lon"), seconds) * 3.6
-    moved = rows.where("_prev is not null").withColumn("_state", F.when(~known, "").when(kmh >= movement, "en movimiento").otherwise("detenido")).drop("_prev")
-    moved = ordered.with_neighbours(moved, order, F.col("_state"), key, block, names=("_before", ""))
-    out = out.unionByName(mark(moved.where((F.col("_state") != "") & ~F.col("_state").eqNullSafe(F.col("_before"))), "movimiento", F.col("_state")))
+    motion = F.when(F.col("_prev").isNotNull(), F.when(~known, "").when(kmh >= movement, "en movimiento").otherwise("detenido"))
+    turned = F.col("_light").isNotNull() & ~F.col("_light").eqNullSafe(F.col("_prev._light"))
+    slim = rows.select("media_id", "offset_s", "at", "source", F.when(F.abs(rise) >= elevation, text).alias("_rise"), F.when(turned, F.col("_light")).alias("_turn"), motion.alias("_state"))
+    moved = ordered.with_neighbours(slim, order, F.col("_state"), key, block, names=("_before", ""))
+    other = (F.col("_state") != "") & ~F.col("_state").eqNullSafe(F.col("_before"))
+    made = lambda name, value: F.when(value.isNotNull(), F.struct(F.lit(PREFIX + name).alias("key"), value.alias("value")))
+    each = F.array_compact(F.array(made("elevacion", F.col("_rise")), made("astronomia", F.col("_turn")), made("movimiento", F.when(other, F.col("_state")))))
+    out = moved.withColumn("_mark", F.explode(each)).select("media_id", "offset_s", "at", "_mark.key", "_mark.value", "source")
     # places and weather at coarse samples
     few = marks.coarse(found, key, "offset_s", coarse_every)
     near, wide = decimals

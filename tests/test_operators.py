@@ -151,6 +151,19 @@ def test_leaders(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 3}
 
 
+def test_transitions_go_through_samples_twice(spark, monkeypatch):
+    from caravel.plans import context
+
+    calls, true = [], ordered.with_neighbours
+    monkeypatch.setattr(ordered, "with_neighbours", lambda df, *a, **k: calls.append(df) or true(df, *a, **k))
+    found = spark.createDataFrame([], "media_id long, offset_s long, at timestamp, lat double, lon double, ele double, source string")
+    places = spark.createDataFrame([], "lat double, lon double, place string")
+    weather = spark.createDataFrame([], "day date, lat double, lon double, hour int, label string, temperature double")
+    context.transitions(found, places, weather)
+    # light, height and motion need two passes; places are looked for among coarse samples
+    assert sum("_before" not in df.columns and "place" not in df.columns and "label" not in df.columns for df in calls) == 2
+
+
 def test_each_different_word_is_folded_once(spark, monkeypatch):
     seen = spark.sparkContext.accumulator(0)
 
